@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from netloom.llm import op2_decontaminate
 from netloom.llm.op1_substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": op2_decontaminate.ORACLE}
