@@ -13,8 +13,8 @@ compact blocks, and none of which gathers more than one block group in a task:
    each node learns the smallest document id below it;
 5. batches get those ids back, cover the repeats that start in a document with a smaller id, and join what is left.
 
-A hot passage costs one leaf for each batch that holds it, not one for each occurrence. Symbols have 16 bits and are
-backed by a 64-bit hash of the whole suffix, so leaves meet in a node only when all 272 bits agree.
+A hot passage costs one leaf for each batch that holds it, not one for each occurrence. Symbols have 8 bits and are
+backed by a 64-bit hash of the whole suffix, so leaves meet in a node only when all 168 bits agree.
 
 Defined cases: null text has no words; a row without an id takes no part (nothing is smaller than null) and keeps all
 its words; repeated ids count as one document; texts shorter than ``min_words`` have no suffix of that depth and stay
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
+from netloom.llm.arrowio import slices
 
 _SYMBOL, _TREE, _FILTER = 0x51A7, 0x7EE5, 0xF117
 
@@ -74,15 +75,15 @@ def _bits(total: int) -> int:
     return min(60, max(24, math.ceil(math.log2(max(total, 2))) + 10))
 
 
-def _heavy_prefixes(batched: DataFrame, depth: int, groups: int) -> tuple[int, list[np.ndarray]]:
+def _heavy_prefixes(docs: DataFrame, depth: int, groups: int) -> tuple[int, list[np.ndarray]]:
     """Number of suffixes, and by length the prefixes that more than one suffix in 4 x groups start with.
 
-    A batch reports a prefix with a share of its own suffixes half as large; a prefix that is heavy overall is so in
-    some batch. What comes to the driver is bounded by 4 x groups prefixes for each length.
+    A slice of the input reports a prefix with a share of its own suffixes half as large; a prefix that is heavy overall
+    is so in some slice. What comes to the driver is bounded by 4 x groups prefixes for each length.
     """
 
-    def count(table: pa.Table) -> pa.Table:
-        b = _Batch(table, depth)
+    def count(piece: pa.RecordBatch) -> pa.RecordBatch:
+        b = _Batch(pa.Table.from_batches([piece]), depth)
         rows = [(0, 0, len(b.at))]
         left, least = b.at, max(2, len(b.at) / (8 * groups))
         for k in range(1, depth):
@@ -92,9 +93,13 @@ def _heavy_prefixes(batched: DataFrame, depth: int, groups: int) -> tuple[int, l
                 break
             rows += zip([k] * len(n), found.view(np.int64).tolist(), n.tolist(), strict=True)
             left = left[np.isin(b.hasher.of(left, k), found)]
-        return pa.table({"width": pa.array([r[0] for r in rows], pa.int32()), "prefix": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+        return pa.record_batch({"width": pa.array([r[0] for r in rows], pa.int32()), "prefix": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+    def scan(batches):
+        for batch in batches:
+            yield from map(count, slices(batch, "text"))
 
-    counted = batched.groupBy("batch").applyInArrow(count, "width int, prefix long, n long").groupBy("width", "prefix").agg(F.sum("n").alias("n"))
+    counted = docs.mapInArrow(scan, "width int, prefix long, n long").groupBy("width", "prefix").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "width", "prefix").limit(4 * groups * depth + 1).collect()
     total = max([r.n for r in rows if r.width == 0], default=0)
     least = max(2, total / (4 * groups))
@@ -110,8 +115,9 @@ def substring_dedup(docs: DataFrame, *, min_words: int = 13, batches_per_partiti
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches, depth = parts * batches_per_partition, min_words
-    batched = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total, heavy = _heavy_prefixes(batched, depth, parts)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
+    total, heavy = _heavy_prefixes(docs, depth, parts)
     bits = _bits(total)
     width = (bits + 7) // 8
 
@@ -173,7 +179,7 @@ def substring_dedup(docs: DataFrame, *, min_words: int = 13, batches_per_partiti
         group = (tv.mix(group, _TREE) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(group, kind="stable")
         index, at, group = index[order], at[order], group[order]
-        symbols = (tv.mix(b.hashes, _SYMBOL) >> np.uint64(48)).astype("<u2")
+        symbols = (tv.mix(b.hashes, _SYMBOL) >> np.uint64(56)).astype(np.uint8)
         smallest = (b.ids[b.doc[first[index]]]).view(np.uint64) ^ np.uint64(1 << 63)
         edges = np.searchsorted(group, np.arange(parts + 1))
         rows = []
@@ -191,10 +197,10 @@ def substring_dedup(docs: DataFrame, *, min_words: int = 13, batches_per_partiti
         for x, n in zip(table.column("block"), sizes, strict=True):
             raw = memoryview(x.as_buffer())
             index, smallest, full = (tv.get_planes(raw[a * n : b * n], n, b - a) for a, b in ((0, 5), (5, 13), (13, 21)))
-            symbols = np.frombuffer(raw[21 * n :], "<u2").reshape(depth, n)
-            pad = (-depth) % 4
-            packed = np.concatenate([symbols, np.zeros((pad, n), "<u2")]).reshape(-1, 4, n).astype(np.uint64)
-            keys = (packed[:, 0] << np.uint64(48)) | (packed[:, 1] << np.uint64(32)) | (packed[:, 2] << np.uint64(16)) | packed[:, 3]
+            symbols = np.frombuffer(raw[21 * n :], np.uint8).reshape(depth, n)
+            keys = np.zeros(((depth + 7) // 8, n), np.uint64)
+            for k in range(depth):
+                keys[k // 8] |= symbols[k].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
             parts_in.append((index, smallest, full, keys))
         index, smallest, full = (np.concatenate([p[i] for p in parts_in]) for i in range(3))
         keys = np.concatenate([p[3] for p in parts_in], axis=1)
