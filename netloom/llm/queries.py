@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from netloom.llm import op2_decontaminate
 from netloom.llm.op1_substring_dedup import op1_substring_dedup
+from netloom.llm.op4_quality import op4_quality
+from netloom.llm.op6_toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate, op4_quality, op6_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": op2_decontaminate.ORACLE}
