@@ -5,7 +5,9 @@ from __future__ import annotations
 from netloom.llm import op2_decontaminate
 from netloom.llm.op1_substring_dedup import op1_substring_dedup
 from netloom.llm.op4_quality import op4_quality
+from netloom.llm.op5_training_order import op5_training_order
 from netloom.llm.op6_toxicity import op6_toxicity
+from netloom.llm.op9_mixture import op9_mixture
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate, op4_quality, op6_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate, op4_quality, op5_training_order, op6_toxicity, op9_mixture)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": op2_decontaminate.ORACLE}
