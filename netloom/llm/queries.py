@@ -10,7 +10,8 @@ from netloom.llm.op4_quality import op4_quality
 from netloom.llm.op5_training_order import op5_training_order
 from netloom.llm.op6_toxicity import op6_toxicity
 from netloom.llm.op7_bagminhash import op7_bagminhash
+from netloom.llm.op8_token_counts import op8_token_counts
 from netloom.llm.op9_mixture import op9_mixture
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate, op3_cross_polytope, op4_quality, op5_training_order, op6_toxicity, op7_bagminhash, op9_mixture, op10_brown)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate.op2_decontaminate, op3_cross_polytope, op4_quality, op5_training_order, op6_toxicity, op7_bagminhash, op8_token_counts, op9_mixture, op10_brown)}
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": op2_decontaminate.ORACLE}
