@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def dns_name(name: Column) -> Column:
@@ -16,7 +17,7 @@ def host_label(name: Column) -> Column:
     return F.nullif(F.substring_index(dns_name(name), ".", 1), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_labels(name: pd.Series) -> pd.Series:
     """Internationalised labels in the form that zones store."""
 

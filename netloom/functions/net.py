@@ -12,11 +12,12 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _V4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _v6_key(address: pd.Series) -> pd.Series:
     def key(text):
         try:
@@ -27,7 +28,7 @@ def _v6_key(address: pd.Series) -> pd.Series:
     return address.map(key)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _v6_text(key: pd.Series) -> pd.Series:
     return key.map(lambda k: str(ipaddress.IPv6Address(int(k, 16))) if k else None)
 

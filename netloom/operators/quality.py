@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from netloom.functions import scope
 from netloom.operators.derive import HELD_FIELDS
 
-_n = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def flow_contract() -> dict[str, Column]:
@@ -43,7 +46,7 @@ def aggregate_coverage(slots: Mapping[str, DataFrame]) -> DataFrame:
 
 def unresolved_joins(flow: DataFrame, geo: DataFrame) -> DataFrame:
     known = geo.select(F.col("address").alias("dst_address"), F.lit(1).alias("_g"))
-    return flow.join(known, "dst_address", "left").agg(_n.alias("records"), F.count_if(F.col("interface_lookup_state") != "resolved").alias("interface"), F.count_if(F.col("rule_lookup_state") != "resolved").alias("rule"), F.count_if(F.col("src_interface_id").isNotNull() & F.col("src_client_id").isNull() & ~F.col("src_is_this_firewall")).alias("client"), F.count_if((F.col("traffic_scope") == "north_south") & F.col("_g").isNull()).alias("geo"))
+    return flow.join(known, "dst_address", "left").agg(_n().alias("records"), F.count_if(F.col("interface_lookup_state") != "resolved").alias("interface"), F.count_if(F.col("rule_lookup_state") != "resolved").alias("rule"), F.count_if(F.col("src_interface_id").isNotNull() & F.col("src_client_id").isNull() & ~F.col("src_is_this_firewall")).alias("client"), F.count_if((F.col("traffic_scope") == "north_south") & F.col("_g").isNull()).alias("geo"))
 
 
 def source_availability(providers: DataFrame, checks: DataFrame) -> DataFrame:
@@ -57,36 +60,36 @@ def unresolved_hostnames_by_cause(lookups: DataFrame, leases: DataFrame) -> Data
     held = leases.select(F.col("hostname_label").alias("label"), F.coalesce("starts_at", F.lit(0)).alias("s"), F.coalesce("expires_at", F.lit(4102444800)).alias("e"), "address")
     flags = lookups.join(held, "label", "left").groupBy("id").agg(F.count("s").alias("any"), F.count_if(F.col("s") <= F.col("at")).alias("begun"), F.count_if((F.col("s") <= F.col("at")) & (F.col("e") >= F.col("at"))).alias("current"), F.count_distinct(F.when((F.col("s") <= F.col("at")) & (F.col("e") >= F.col("at")), F.col("address"))).alias("addresses"))
     cause = F.when(F.col("any") == 0, "no_lease").when(F.col("begun") == 0, "lease_later").when(F.col("current") == 0, "lease_over").when(F.col("addresses") > 1, "several_addresses").otherwise("resolvable")
-    return flags.groupBy(cause.alias("cause")).agg(_n.alias("lookups"))
+    return flags.groupBy(cause.alias("cause")).agg(_n().alias("lookups"))
 
 
 def unmarked_firewall_ends(flow: DataFrame, holdings: DataFrame, *, margin_s: int = 300) -> DataFrame:
     """Records whose target the firewall held at their instant, by whether they are marked."""
     h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias("dst_address"), "first_seen_at", "last_seen_at", "is_current")
     held = flow.join(h, "dst_address").filter((F.col("first_seen_at") - margin_s <= F.col("observed_at")) & (F.col("is_current") | (F.col("last_seen_at") + margin_s >= F.col("observed_at")))).select("id", "dst_is_this_firewall").distinct()
-    return held.groupBy("dst_is_this_firewall").agg(_n.alias("records"))
+    return held.groupBy("dst_is_this_firewall").agg(_n().alias("records"))
 
 
 def anonymous_north_south(flow: DataFrame) -> DataFrame:
     rows = flow.filter((F.col("traffic_scope") == "north_south") & scope.not_second_leg())
-    return rows.groupBy(F.col("src_client_id").isNull().alias("anonymous")).agg(_n.alias("records"), F.sum("packet_bytes").alias("bytes"))
+    return rows.groupBy(F.col("src_client_id").isNull().alias("anonymous")).agg(_n().alias("records"), F.sum("packet_bytes").alias("bytes"))
 
 
 def pairing_outcomes(flow: DataFrame) -> DataFrame:
-    return flow.groupBy(F.coalesce("pair_outcome", F.lit("unpaired")).alias("outcome")).agg(_n.alias("records"))
+    return flow.groupBy(F.coalesce("pair_outcome", F.lit("unpaired")).alias("outcome")).agg(_n().alias("records"))
 
 
 def counted_twice(paired: DataFrame) -> DataFrame:
     """Pairs that don't point at each other or whose legs are alike: must be 0."""
     partner = paired.select(F.col("id").alias("paired_flow_id"), F.col("paired_flow_id").alias("_back"), F.col("pair_outcome").alias("_o"))
     bad = paired.filter("paired_flow_id is not null").join(partner, "paired_flow_id", "left").filter(~F.col("_back").eqNullSafe(F.col("id")) | (F.col("_o") == F.col("pair_outcome")))
-    return bad.agg(_n.alias("violations"))
+    return bad.agg(_n().alias("violations"))
 
 
 def unattributed_with_one_candidate(candidates: DataFrame, attribution: DataFrame) -> DataFrame:
     """candidates: flow_id, domain. Records with exactly one candidate domain and no attribution: must be 0."""
     one = candidates.groupBy("flow_id").agg(F.count_distinct("domain").alias("n")).filter("n = 1")
-    return one.join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n.alias("violations"))
+    return one.join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
 
 
 def evidence_mismatch(attribution: DataFrame, flow: DataFrame, answers: DataFrame) -> DataFrame:
@@ -96,26 +99,26 @@ def evidence_mismatch(attribution: DataFrame, flow: DataFrame, answers: DataFram
     """
     exact = attribution.filter("method = 'resolver_cache_answer'").join(flow.select(F.col("id").alias("flow_id"), "observed_at", "dst_address"), "flow_id")
     good = exact.join(answers, (exact["site_name"] == answers["name"]) & (exact["dst_address"] == answers["address"]) & F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at")), "left_semi")
-    return exact.join(good.select("flow_id"), "flow_id", "left_anti").agg(_n.alias("violations"))
+    return exact.join(good.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
 
 
 def other_family_only(timed: DataFrame, answers: DataFrame) -> DataFrame:
     """Timing attributions whose name had answers only of the other address family. timed: flow_id, name, at, family."""
     held = timed.join(answers, "name").filter(F.col("at").between(F.col("covered_from_at"), F.col("covered_until_at")))
     flags = held.groupBy("flow_id").agg(F.max((F.col("answer_family") == F.col("family")).cast("int")).alias("same"))
-    return flags.filter("same = 0").agg(_n.alias("records"))
+    return flags.filter("same = 0").agg(_n().alias("records"))
 
 
 def cache_coverage(flow: DataFrame, records: DataFrame) -> DataFrame:
     """Share of records whose target had a covering address record."""
     r = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "covered_from_at", "covered_until_at")
-    covered = flow.join(r, (flow["dst_address"] == r["dst_address"]) & F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at")), "left_semi").agg(_n.alias("covered"))
-    return flow.agg(_n.alias("records")).crossJoin(covered).withColumn("percent", F.round(F.try_divide(100.0 * F.col("covered"), F.col("records")), 2))
+    covered = flow.join(r, (flow["dst_address"] == r["dst_address"]) & F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at")), "left_semi").agg(_n().alias("covered"))
+    return flow.agg(_n().alias("records")).crossJoin(covered).withColumn("percent", F.round(F.try_divide(100.0 * F.col("covered"), F.col("records")), 2))
 
 
 def observations_per_hour(intervals: DataFrame) -> DataFrame:
-    return intervals.groupBy(F.expr("first_seen_at - first_seen_at % 3600").alias("hour_at")).agg(_n.alias("started"))
+    return intervals.groupBy(F.expr("first_seen_at - first_seen_at % 3600").alias("hour_at")).agg(_n().alias("started"))
 
 
 def lookups_by_resolution(dns: DataFrame) -> DataFrame:
-    return dns.groupBy("client_resolution").agg(_n.alias("lookups"), F.min("looked_up_at").alias("earliest"), F.max("looked_up_at").alias("latest"))
+    return dns.groupBy("client_resolution").agg(_n().alias("lookups"), F.min("looked_up_at").alias("earliest"), F.max("looked_up_at").alias("latest"))

@@ -15,9 +15,18 @@ from netloom.operators.joins import overlapping
 from netloom.operators.rollup import VOLUME
 from netloom.operators.windows import OTHER, latest_reading
 
-_n = F.count(F.lit(1))
-_blocked = F.count_if(scope.blocked())
-_allowed = F.count_if(scope.allowed())
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
+
+
+def _blocked() -> Column:
+    return F.count_if(scope.blocked())
+
+
+def _allowed() -> Column:
+    return F.count_if(scope.allowed())
 
 
 def _label(df: DataFrame, dim: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
@@ -94,7 +103,7 @@ def connection_tree(classified: DataFrame, clients: DataFrame, geo: DataFrame, a
     outer = F.when(F.col("peer_address").isNull(), "none").when(F.col("lookup_state").isNull(), "no_row").when(F.col("asn").isNull(), "unplaced").otherwise(text("asn"))
     site = F.coalesce("site_name", F.lit("none"))
     keyed = f.select(inner[root].alias("i1"), child.alias("i2"), outer.alias("o1"), site.alias("o2"), "packet_bytes", scope.blocked().alias("_b"))
-    figures = [F.sum("packet_bytes").alias("bytes"), _n.alias("connections"), F.count_if("_b").alias("blocked")]
+    figures = [F.sum("packet_bytes").alias("bytes"), _n().alias("connections"), F.count_if("_b").alias("blocked")]
     # One pass over the records for the finest of both levels; parents are sums of their children.
     sides = []
     for side, one, two in (("inside", "i1", "i2"), ("outside", "o1", "o2")):
@@ -116,8 +125,8 @@ def attribution_rate(flow: DataFrame, attribution: DataFrame, dns: DataFrame, *,
     """Eligible and named records, by method, with the rate; without any lookup in the window the rate is null."""
     a = attribution.select(F.col("flow_id").alias("id"), "method", "delay_s", F.lit(1).alias("_a"))
     rows = _rated(flow.filter(in_window("observed_at", start, end))).join(a, "id", "left")
-    out = rows.groupBy(*by).agg(_n.alias("eligible"), F.count("_a").alias("named"), F.avg("delay_s").alias("mean_delay_s"), F.max("delay_s").alias("max_delay_s"), F.count_if(F.col("method") == "resolver_cache_answer").alias("exact"), F.count_if(F.col("method") == "lookup_timing").alias("timed"))
-    covered = dns.filter(in_window("looked_up_at", start, end, closed=True)).limit(1).agg((_n > 0).alias("covered"))
+    out = rows.groupBy(*by).agg(_n().alias("eligible"), F.count("_a").alias("named"), F.avg("delay_s").alias("mean_delay_s"), F.max("delay_s").alias("max_delay_s"), F.count_if(F.col("method") == "resolver_cache_answer").alias("exact"), F.count_if(F.col("method") == "lookup_timing").alias("timed"))
+    covered = dns.filter(in_window("looked_up_at", start, end, closed=True)).limit(1).agg((_n() > 0).alias("covered"))
     out = out.crossJoin(covered)  # one row
     return out.withColumn("rate", F.when(F.col("covered"), F.try_divide("named", "eligible")))
 
@@ -131,12 +140,12 @@ def site_totals(domain_slots: DataFrame, *, start: int, end: int) -> DataFrame:
 def group_by_registrable_domain(totals: DataFrame, rules: DataFrame) -> DataFrame:
     """Sums by registrable domain; names without one stay apart under themselves. No client count: it can't be summed."""
     named = registrable_domain(totals, "site_name", rules)
-    return named.groupBy(F.coalesce("registrable", "site_name").alias("domain"), F.col("registrable").isNotNull().alias("is_registrable")).agg(F.sum("bytes").alias("bytes"), F.sum("connections").alias("connections"), _n.alias("names"))
+    return named.groupBy(F.coalesce("registrable", "site_name").alias("domain"), F.col("registrable").isNotNull().alias("is_registrable")).agg(F.sum("bytes").alias("bytes"), F.sum("connections").alias("connections"), _n().alias("names"))
 
 
 def top_sites(flow: DataFrame, attribution: DataFrame, geo: DataFrame, *, start: int, end: int, min_flows: int) -> DataFrame:
     rows = flow.filter(in_window("observed_at", start, end) & scope.not_second_leg()).join(attribution.select(F.col("flow_id").alias("id"), "site_name"), "id").join(geo.select(F.col("address").alias("dst_address"), "country_code", "operator"), "dst_address", "left")
-    return rows.groupBy("site_name").agg(_n.alias("flows"), F.sum("packet_bytes").alias("bytes"), F.count_distinct("src_client_id").alias("clients"), F.min("country_code").alias("first_country"), F.count_distinct("operator").alias("operators")).filter(F.col("flows") >= min_flows)
+    return rows.groupBy("site_name").agg(_n().alias("flows"), F.sum("packet_bytes").alias("bytes"), F.count_distinct("src_client_id").alias("clients"), F.min("country_code").alias("first_country"), F.count_distinct("operator").alias("operators")).filter(F.col("flows") >= min_flows)
 
 
 def owner_totals(owner_slots: DataFrame, client_slots: DataFrame, clients: DataFrame, *, start: int, end: int) -> DataFrame:
@@ -158,7 +167,7 @@ def owner_activity(client_slots: DataFrame, clients: DataFrame, *, start: int, e
 def interface_clients(classified: DataFrame, clients: DataFrame, interfaces: DataFrame, *, start: int, end: int, known_since: int) -> DataFrame:
     """Clients seen and known by interface; silent interfaces stay."""
     seen = classified.filter(in_window("observed_at", start, end)).filter("local_client_id is not null").groupBy(F.col("local_interface_id").alias("id")).agg(F.count_distinct("local_client_id").alias("seen"))
-    known = clients.filter(F.col("last_seen_at") >= known_since).groupBy(F.col("interface_id").alias("id")).agg(_n.alias("known"))
+    known = clients.filter(F.col("last_seen_at") >= known_since).groupBy(F.col("interface_id").alias("id")).agg(_n().alias("known"))
     return interfaces.select("id", "device").join(seen, "id", "left").join(known, "id", "left").na.fill(0, ["seen", "known"])
 
 
@@ -167,7 +176,7 @@ def rule_logging(rules: DataFrame, interfaces: DataFrame) -> DataFrame:
     listed = rules.withColumn("identifier", F.explode_outer(F.split("interface", ",")))
     where = listed.join(interfaces.select("identifier", F.col("id").alias("_i")), "identifier", "left")
     kind = F.when(F.col("interface").isNull(), "floating").when(F.col("_i").isNull(), "unresolved").otherwise("interface")
-    return where.withColumn("placement", kind).groupBy("placement", F.col("_i").alias("interface_id")).agg(_n.alias("rules"), F.count_if(~F.col("logs_matches")).alias("silent"), F.count_if(F.col("logs_matches").isNull()).alias("not_reported"))
+    return where.withColumn("placement", kind).groupBy("placement", F.col("_i").alias("interface_id")).agg(_n().alias("rules"), F.count_if(~F.col("logs_matches")).alias("silent"), F.count_if(F.col("logs_matches").isNull()).alias("not_reported"))
 
 
 def public_addresses(holdings: DataFrame, interfaces: DataFrame) -> DataFrame:
@@ -176,16 +185,16 @@ def public_addresses(holdings: DataFrame, interfaces: DataFrame) -> DataFrame:
 
 
 def blocked_counts(decisions: DataFrame, *, start: int, end: int) -> DataFrame:
-    return decisions.filter(in_window("occurred_at", start, end)).groupBy("engine_kind").agg(_n.alias("decisions"))
+    return decisions.filter(in_window("occurred_at", start, end)).groupBy("engine_kind").agg(_n().alias("decisions"))
 
 
 def blocked_feed(decisions: DataFrame, *, start: int, end: int, group: str) -> DataFrame:
-    return decisions.filter(in_window("occurred_at", start, end)).groupBy(F.col(group).cast("string").alias("grp")).agg(_n.alias("decisions"), F.max("occurred_at").alias("newest_at"), F.count_distinct("engine_kind").alias("engines"))
+    return decisions.filter(in_window("occurred_at", start, end)).groupBy(F.col(group).cast("string").alias("grp")).agg(_n().alias("decisions"), F.max("occurred_at").alias("newest_at"), F.count_distinct("engine_kind").alias("engines"))
 
 
 def blocked_by_rule(flow: DataFrame, rules: DataFrame, *, start: int, end: int) -> DataFrame:
     """Every rule with its refusals, 0 too; records of rules that no longer exist under no rule."""
-    hit = flow.filter(in_window("observed_at", start, end) & scope.blocked()).groupBy("rule_id").agg(_n.alias("blocked"), F.sum("packet_bytes").alias("bytes"))
+    hit = flow.filter(in_window("observed_at", start, end) & scope.blocked()).groupBy("rule_id").agg(_n().alias("blocked"), F.sum("packet_bytes").alias("bytes"))
     both = rules.select("id", "description").join(hit, rules["id"].eqNullSafe(hit["rule_id"]), "full")
     return both.select("id", "description", F.when(F.col("id").isNull(), "rule_gone").otherwise("rule").alias("state"), F.coalesce("blocked", F.lit(0)).alias("blocked"), "bytes")
 
@@ -193,16 +202,16 @@ def blocked_by_rule(flow: DataFrame, rules: DataFrame, *, start: int, end: int)
 def blocked_lookups_by_list(dns: DataFrame, lists: DataFrame) -> DataFrame:
     rows = dns.filter(F.col("action").isin("block", "drop")).join(lists.select(F.col("id").alias("blocklist_id"), "name", "purpose"), "blocklist_id", "left")
     state = F.when(F.col("blocklist_id").isNull(), "not_recorded").when(F.col("name").isNull(), "unknown_list").otherwise("recorded")
-    return rows.groupBy(state.alias("list_state"), "name", "purpose").agg(_n.alias("lookups"), F.count_distinct("domain").alias("domains"))
+    return rows.groupBy(state.alias("list_state"), "name", "purpose").agg(_n().alias("lookups"), F.count_distinct("domain").alias("domains"))
 
 
 def clients_per_owner(owners: DataFrame, clients: DataFrame) -> DataFrame:
-    counted = clients.groupBy(F.col("owner_id").alias("id")).agg(_n.alias("clients"), F.count_if("unstable_identity").alias("unstable"))
+    counted = clients.groupBy(F.col("owner_id").alias("id")).agg(_n().alias("clients"), F.count_if("unstable_identity").alias("unstable"))
     return owners.join(counted, "id", "left").na.fill(0, ["clients", "unstable"])
 
 
 def leases_per_client(leases: DataFrame, clients: DataFrame) -> DataFrame:
-    counted = leases.groupBy("client_id").agg(_n.alias("leases"), F.count_distinct("address").alias("addresses"), F.max("observed_at").alias("newest_at"))
+    counted = leases.groupBy("client_id").agg(_n().alias("leases"), F.count_distinct("address").alias("addresses"), F.max("observed_at").alias("newest_at"))
     return counted.join(clients.select(F.col("id").alias("client_id"), "hostname", "identity_kind"), "client_id", "left")
 
 
@@ -211,7 +220,7 @@ def leases_per_client(leases: DataFrame, clients: DataFrame) -> DataFrame:
 
 def current_rates(samples: DataFrame, *, now: int, interval_s: int) -> DataFrame:
     """Newest rates by measure; a measure nobody reported is no row."""
-    return latest_reading(samples, now=now, interval_s=interval_s).groupBy("measure").agg(F.sum("value").alias("rate"), _n.alias("subjects"), F.max("sampled_at").alias("sampled_at"))
+    return latest_reading(samples, now=now, interval_s=interval_s).groupBy("measure").agg(F.sum("value").alias("rate"), _n().alias("subjects"), F.max("sampled_at").alias("sampled_at"))
 
 
 def sampled_bytes(samples: DataFrame, *, start: int, end: int, seconds_each: int = 2) -> DataFrame:
@@ -238,14 +247,14 @@ def chart_series(specs: Sequence[tuple[str, DataFrame, Column]], *, at: str, sta
 
 
 def screen_overview(flow: DataFrame, *, start: int, end: int) -> DataFrame:
-    return flow.filter(in_window("observed_at", start, end)).groupBy("traffic_scope").agg(_n.alias("flow_count"), _blocked.alias("blocked_count"), _allowed.alias("allowed_count"), F.sum("packet_bytes").alias("observed_bytes"), F.count_distinct("src_interface_id").alias("source_interface_count"), F.count_distinct("src_client_id").alias("source_client_count"))
+    return flow.filter(in_window("observed_at", start, end)).groupBy("traffic_scope").agg(_n().alias("flow_count"), _blocked().alias("blocked_count"), _allowed().alias("allowed_count"), F.sum("packet_bytes").alias("observed_bytes"), F.count_distinct("src_interface_id").alias("source_interface_count"), F.count_distinct("src_client_id").alias("source_client_count"))
 
 
 def screen_matrix(flow: DataFrame, interfaces: DataFrame, rules: DataFrame, *, start: int, end: int) -> DataFrame:
     """Interface by interface. Records are reduced to (cell, rule) before rules and labels are joined."""
     cell = ["src_interface_id", "dst_interface_id", "traffic_scope"]
     rows = flow.filter(in_window("observed_at", start, end)).filter("src_interface_id is not null")
-    small = rows.groupBy(*cell, "rule_id").agg(F.sum("packet_bytes").alias("b"), _allowed.alias("a"), _blocked.alias("k"), F.count_if(F.col("rule_lookup_state") == "not_found").alias("u"))
+    small = rows.groupBy(*cell, "rule_id").agg(F.sum("packet_bytes").alias("b"), _allowed().alias("a"), _blocked().alias("k"), F.count_if(F.col("rule_lookup_state") == "not_found").alias("u"))
     named = small.join(rules.select(F.col("id").alias("rule_id"), F.col("description").alias("_rule")), "rule_id", "left")
     out = named.groupBy(*cell).agg(F.sum("b").alias("observed_bytes"), F.sum("a").alias("allowed_connections"), F.sum("k").alias("blocked_connections"), F.array_join(F.array_sort(F.collect_set("_rule")), ",").alias("matching_rules"), F.sum("u").alias("unknown_rule_connections"))
     for side in ("src", "dst"):
@@ -255,7 +264,7 @@ def screen_matrix(flow: DataFrame, interfaces: DataFrame, rules: DataFrame, *, s
 
 def screen_interface(flow: DataFrame, clients: DataFrame, *, interface_id: int, start: int, end: int) -> DataFrame:
     rows = flow.filter((F.col("src_interface_id") == interface_id) & in_window("observed_at", start, end))
-    sums = rows.groupBy(F.col("src_client_id").alias("client_id")).agg(_n.alias("flow_count"), F.sum("packet_bytes").alias("observed_bytes"), _blocked.alias("blocked_count"), F.count_distinct("dst_address").alias("distinct_destinations"), F.count_if(F.col("traffic_scope") == "east_west").alias("east_west_count"), F.max("observed_at").alias("last_seen_at"))
+    sums = rows.groupBy(F.col("src_client_id").alias("client_id")).agg(_n().alias("flow_count"), F.sum("packet_bytes").alias("observed_bytes"), _blocked().alias("blocked_count"), F.count_distinct("dst_address").alias("distinct_destinations"), F.count_if(F.col("traffic_scope") == "east_west").alias("east_west_count"), F.max("observed_at").alias("last_seen_at"))
     return _label(sums, clients, "client_id", {c: F.col(c) for c in ("hostname", "last_address", "identity_kind", "unstable_identity")})
 
 
@@ -281,8 +290,8 @@ def screen_alerts(events: DataFrame, rule_info: DataFrame, clients: DataFrame, i
 
 def screen_map(flow: DataFrame, geo: DataFrame, *, start: int, end: int) -> DataFrame:
     """Countries and operators by interface, of addresses that were looked up."""
-    rows = flow.filter(in_window("observed_at", start, end) & (F.col("traffic_scope") == "north_south")).groupBy("src_interface_id", "dst_address").agg(F.sum("packet_bytes").alias("b"), _n.alias("n"))
-    return rows.join(geo.select(F.col("address").alias("dst_address"), "lookup_state", "country_code", "operator"), "dst_address").groupBy("src_interface_id", "lookup_state", "country_code", "operator").agg(F.sum("b").alias("observed_bytes"), F.sum("n").alias("flow_count"), _n.alias("addresses"))
+    rows = flow.filter(in_window("observed_at", start, end) & (F.col("traffic_scope") == "north_south")).groupBy("src_interface_id", "dst_address").agg(F.sum("packet_bytes").alias("b"), _n().alias("n"))
+    return rows.join(geo.select(F.col("address").alias("dst_address"), "lookup_state", "country_code", "operator"), "dst_address").groupBy("src_interface_id", "lookup_state", "country_code", "operator").agg(F.sum("b").alias("observed_bytes"), F.sum("n").alias("flow_count"), _n().alias("addresses"))
 
 
 # -- catalogue ---------------------------------------------------------------------------------------------------------
@@ -292,25 +301,25 @@ def world_map(flow: DataFrame, geo: DataFrame, *, start: int, end: int) -> DataF
     """Like the map, but what was not looked up or not placed is a row, so totals add up."""
     rows = flow.filter(in_window("observed_at", start, end) & (F.col("traffic_scope") == "north_south")).groupBy("dst_address").agg(F.sum("packet_bytes").alias("b"))
     placed = rows.join(geo.select(F.col("address").alias("dst_address"), "country_code"), "dst_address", "left")
-    return placed.groupBy(F.coalesce("country_code", F.lit("unplaced")).alias("country")).agg(F.sum("b").alias("bytes"), _n.alias("addresses"))
+    return placed.groupBy(F.coalesce("country_code", F.lit("unplaced")).alias("country")).agg(F.sum("b").alias("bytes"), _n().alias("addresses"))
 
 
 def alerts_over_time(events: DataFrame, *, start: int, end: int, period: str) -> DataFrame:
     band = F.coalesce("normalised_severity", F.lit("unknown"))
-    return events.filter(in_window("occurred_at", start, end)).groupBy(slot_start(F.col("occurred_at"), period).alias("period_start_at"), band.alias("severity")).agg(_n.alias("alerts"))
+    return events.filter(in_window("occurred_at", start, end)).groupBy(slot_start(F.col("occurred_at"), period).alias("period_start_at"), band.alias("severity")).agg(_n().alias("alerts"))
 
 
 def alerts_by_signature(events: DataFrame, rule_info: DataFrame) -> DataFrame:
     info = rule_info.select("rule_identity", F.col("normalised_severity").alias("_s"))
     sums = events.join(info, "rule_identity", "left")
     _, severity = scope.severity(F.col("normalised_severity"), F.col("_s"))
-    return sums.groupBy("rule_identity", "signature", F.coalesce(severity, F.lit("unknown")).alias("severity")).agg(_n.alias("alerts"), F.count_if(F.col("event_action") == "blocked").alias("blocked"))
+    return sums.groupBy("rule_identity", "signature", F.coalesce(severity, F.lit("unknown")).alias("severity")).agg(_n().alias("alerts"), F.count_if(F.col("event_action") == "blocked").alias("blocked"))
 
 
 def alerts_by_client(events: DataFrame, clients: DataFrame) -> DataFrame:
     """Alerts by client with the worst severity; those of no known client stay as a row."""
     worst = F.max(scope.severity_rank(F.col("normalised_severity"))).alias("_w")
-    sums = events.groupBy(F.col("src_client_id").alias("client_id")).agg(_n.alias("alerts"), worst)
+    sums = events.groupBy(F.col("src_client_id").alias("client_id")).agg(_n().alias("alerts"), worst)
     named = _label(sums, clients, "client_id", {"hostname": F.col("hostname")})
     name = F.try_element_at(F.array(*(F.lit(s) for s in scope.SEVERITIES)), F.nullif("_w", F.lit(0)).cast("int"))
     return named.select("client_id", "hostname", "alerts", name.alias("worst_severity"))
@@ -320,12 +329,12 @@ def sankey(classified: DataFrame, *, left: str, right: str, measure: str = "pack
     """Flows between two keys; links below the share go to the remainder, so totals are kept."""
     links = classified.groupBy(F.coalesce(F.col(left).cast("string"), F.lit("none")).alias("src"), F.coalesce(F.col(right).cast("string"), F.lit("none")).alias("dst")).agg(F.sum(measure).alias("v"))
     small = F.col("v") < min_share * F.col("_t")
-    return links.crossJoin(links.agg(F.sum("v").alias("_t"))).groupBy(F.when(small, OTHER).otherwise(F.col("src")).alias("src"), F.when(small, OTHER).otherwise(F.col("dst")).alias("dst")).agg(F.sum("v").alias("value"), _n.alias("links"))
+    return links.crossJoin(links.agg(F.sum("v").alias("_t"))).groupBy(F.when(small, OTHER).otherwise(F.col("src")).alias("src"), F.when(small, OTHER).otherwise(F.col("dst")).alias("dst")).agg(F.sum("v").alias("value"), _n().alias("links"))
 
 
 def composition(classified: DataFrame, *, group: str) -> DataFrame:
     """Parts of a whole with their shares."""
-    parts = classified.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("none")).alias("part")).agg(F.sum("packet_bytes").alias("bytes"), _n.alias("connections"))
+    parts = classified.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("none")).alias("part")).agg(F.sum("packet_bytes").alias("bytes"), _n().alias("connections"))
     return parts.crossJoin(parts.agg(F.sum("bytes").alias("_t"))).select("part", "bytes", "connections", F.try_divide("bytes", "_t").alias("share"))
 
 
@@ -337,12 +346,12 @@ def sites_by_client(flow: DataFrame, attribution: DataFrame, clients: DataFrame,
 
 
 def interface_volume_ranking(classified: DataFrame, interfaces: DataFrame) -> DataFrame:
-    sums = classified.filter("exit_leg_device is null").groupBy(F.col("local_interface_id").alias("id")).agg(F.sum("packet_bytes").alias("bytes"), F.count_distinct("local_client_id").alias("clients"), _blocked.alias("blocked"))
+    sums = classified.filter("exit_leg_device is null").groupBy(F.col("local_interface_id").alias("id")).agg(F.sum("packet_bytes").alias("bytes"), F.count_distinct("local_client_id").alias("clients"), _blocked().alias("blocked"))
     return interfaces.select("id", _interface_label().alias("label")).join(sums, "id", "left")
 
 
 def client_volume_ranking(classified: DataFrame, clients: DataFrame) -> DataFrame:
-    sums = classified.filter("exit_leg_device is null").groupBy(F.col("local_client_id").alias("id")).agg(F.sum("packet_bytes").alias("bytes"), F.count_distinct("peer_address").alias("peers"), _blocked.alias("blocked"), F.sum(F.when(F.col("traffic_direction") == "inter_interface", F.col("packet_bytes")).otherwise(0)).alias("inner_bytes"))
+    sums = classified.filter("exit_leg_device is null").groupBy(F.col("local_client_id").alias("id")).agg(F.sum("packet_bytes").alias("bytes"), F.count_distinct("peer_address").alias("peers"), _blocked().alias("blocked"), F.sum(F.when(F.col("traffic_direction") == "inter_interface", F.col("packet_bytes")).otherwise(0)).alias("inner_bytes"))
     return clients.select("id", "hostname", "unstable_identity").join(sums, "id", "left").withColumn("inner_share", F.try_divide("inner_bytes", "bytes"))
 
 
