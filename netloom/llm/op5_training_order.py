@@ -101,7 +101,8 @@ def materialise(docs: DataFrame, *, length: int = 512, key: int = 5, shards: int
     n = np.array([r.n for r in counts], np.int64)
     total, shards = int(n.sum()), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     stride = max(1, -(-total // shards))
-    offsets = spark.createDataFrame([(r.part, int(at)) for r, at in zip(counts, np.cumsum(n) - n, strict=True)], "part int, base long")
+    # From Arrow it becomes a local relation of known size: broadcast below Spark's threshold, without a shuffle of tokens.
+    offsets = spark.createDataFrame(pa.table({"part": pa.array([r.part for r in counts], pa.int32()), "base": pa.array(np.cumsum(n) - n, pa.int64())}))
     slot = feistel(F.col("base") + F.col("place"), F.lit(total).cast("long"), F.lit(key).cast("long"))
     placed = cut.join(offsets, "part").withColumn("slot", slot)
     placed = placed.withColumn("shard", F.expr(f"cast(slot div {stride} as int)")).withColumn("record", F.expr(f"cast(slot % {stride} as int)"))
