@@ -133,6 +133,20 @@ def expand_paths(frontier: DataFrame, edges: DataFrame, *, max_links: int = 11,
     return best.select("origin", "terminal", "name", "at", "covered_from", "links")
 
 
+def answer_addresses(names: DataFrame, records: DataFrame, *, max_links: int = 11) -> DataFrame:
+    """origin, name, address: what a name answered at an instant, by address records and over aliases held in cache.
+
+    names: origin, name, at. Local data answers without aliases only.
+    """
+    span = {"covered_from": F.col("covered_from_at"), "covered_until": F.col("covered_until_at")}
+    aliases = records.filter("rrtype = 'CNAME' and held_in = 'cache'").select(F.col("owner_name").alias("from_name"), F.col("value").alias("to_name"), *(c.alias(k) for k, c in span.items()))
+    start = names.select("origin", F.col("name").alias("terminal"), "name", "at", F.lit(0).cast("bigint").alias("covered_from"))
+    reached = expand_paths(start, aliases, max_links=max_links)
+    held = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), "address", "held_in", "covered_from_at", "covered_until_at")
+    found = reached.join(held, (F.col("name") == F.col("_n")) & F.col("at").between(F.col("covered_from_at"), F.col("covered_until_at")) & ((F.col("held_in") == "cache") | (F.col("links") == 0)))
+    return found.select("origin", F.col("terminal").alias("name"), "address").distinct()
+
+
 def exact_candidates(paths: DataFrame, lookups: DataFrame, *, cap_s: int = 3600) -> DataFrame:
     """Lookups of a path's name by the same client inside [max(covered_from, at - cap_s), at].
 

@@ -811,3 +811,104 @@ def _(x: Tables) -> DataFrame:
 def _(x: Tables) -> DataFrame:
     slots = x.flow.select(t.slot_start(F.col("observed_at"), "24h").alias("period_start_at")).distinct()
     return retention.expire_slots(slots, "24h", A + 100000)
+
+
+# -- names, identities and what checks them ----------------------------------------------------------------------------
+
+_WHO = "(v.src_client_id = d.client_id OR (v.src_address = d.client_address AND (d.client_id IS NULL OR v.src_client_id IS NULL)))"
+_USABLE = "usable AS (SELECT * FROM dns WHERE action = 'pass' AND client_resolution = 'logged_address')"
+_WALK = """walk AS (SELECT v.id, v.observed_at AS t0, r.owner_name AS name, r.held_in, r.covered_from_at AS c, 0 AS links FROM visit v JOIN record r ON r.rrtype = 'A' AND r.address = v.dst_address AND v.observed_at BETWEEN r.covered_from_at AND r.covered_until_at
+  UNION SELECT w.id, w.t0, r.owner_name, w.held_in, greatest(w.c, r.covered_from_at), w.links + 1 FROM walk w JOIN record r ON r.rrtype = 'CNAME' AND r.value = w.name AND w.t0 BETWEEN r.covered_from_at AND r.covered_until_at WHERE w.held_in = 'cache' AND w.links < 11)"""
+_EXACT = f"""{_USABLE}, cand AS (SELECT w.id, w.name, d.domain, d.looked_up_at, d.lookup_key, w.t0 FROM walk w JOIN visit v ON v.id = w.id JOIN usable d ON d.domain = w.name AND d.looked_up_at BETWEEN greatest(w.c, w.t0 - 86400) AND w.t0 AND {_WHO} AND (w.held_in = 'cache' OR (d.answer_source = 'Local-data' AND w.links = 0))),
+ ex AS (SELECT id, count(DISTINCT name) AS n, max((looked_up_at, lookup_key, domain)) AS l, any_value(t0) AS t0 FROM cand GROUP BY id),
+ tm AS (SELECT v.id, v.observed_at AS t0, v.dst_address, max((d.looked_up_at, d.lookup_key, d.domain)) AS l FROM visit v JOIN usable d ON d.looked_up_at BETWEEN v.observed_at - 3600 AND v.observed_at AND {_WHO} WHERE v.id NOT IN (SELECT id FROM ex) GROUP BY v.id, v.observed_at, v.dst_address HAVING count(DISTINCT d.domain) = 1),
+ held AS (SELECT tm.id, max(CASE WHEN r.address = tm.dst_address THEN 1 ELSE 0 END) AS good FROM tm JOIN record r ON r.rrtype = 'A' AND r.owner_name = struct_extract_at(tm.l, 3) AND struct_extract_at(tm.l, 1) BETWEEN r.covered_from_at AND r.covered_until_at GROUP BY tm.id),
+ att AS (SELECT id AS flow_id, struct_extract_at(l, 3) AS site_name, 'resolver_cache_answer' AS method, t0 - struct_extract_at(l, 1) AS delay_s FROM ex WHERE n = 1
+  UNION ALL SELECT id, struct_extract_at(l, 3), 'lookup_timing', t0 - struct_extract_at(l, 1) FROM tm WHERE id NOT IN (SELECT id FROM held WHERE good = 0))"""
+
+
+def _attributed(x: Tables) -> DataFrame:
+    return derive.attribute_sites(x.visit, x.dns, x.record, timing_s=3600, cap_s=86400)
+
+
+@add("d08_attribute_sites", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT * FROM att")
+def _(x: Tables) -> DataFrame:
+    return _attributed(x)
+
+
+@add("j10_exact_candidates", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT DISTINCT id, name, lookup_key FROM cand")
+def _(x: Tables) -> DataFrame:
+    span = {"covered_from": F.col("covered_from_at"), "covered_until": F.col("covered_until_at")}
+    start = x.visit.join(x.record.filter("rrtype = 'A'").withColumn("dst_address", F.col("address")), "dst_address").filter("observed_at between covered_from_at and covered_until_at")
+    frontier = start.select(F.col("id").alias("origin"), F.col("held_in").alias("terminal"), F.col("owner_name").alias("name"), F.col("observed_at").alias("at"), F.col("covered_from_at").alias("covered_from"))
+    aliases = x.record.filter("rrtype = 'CNAME'").select(F.col("value").alias("from_name"), F.col("owner_name").alias("to_name"), *(c.alias(k) for k, c in span.items()))
+    local = frontier.filter("terminal = 'local_data'").withColumn("links", F.lit(0))
+    paths = joins.expand_paths(frontier.filter("terminal = 'cache'"), aliases).unionByName(local).withColumn("held_in", F.col("terminal"))
+    usable = x.dns.filter("action = 'pass' and client_resolution = 'logged_address'")
+    found = joins.exact_candidates(paths.join(x.visit.select(F.col("id").alias("origin"), "src_client_id", "src_address"), "origin"), usable, cap_s=86400)
+    return found.select(F.col("origin").alias("id"), "name", "lookup_key").distinct()
+
+
+@add("j11_answer_addresses", """WITH RECURSIVE q AS (SELECT id AS origin, domain AS name, looked_up_at AS t0 FROM dns WHERE action = 'pass'),
+ fw AS (SELECT origin, name AS asked, name, t0, 0 AS links FROM q UNION SELECT f.origin, f.asked, r.value, f.t0, f.links + 1 FROM fw f JOIN record r ON r.rrtype = 'CNAME' AND r.owner_name = f.name AND f.t0 BETWEEN r.covered_from_at AND r.covered_until_at WHERE f.links < 11)
+ SELECT DISTINCT origin, asked AS name, r.address FROM fw f JOIN record r ON r.rrtype = 'A' AND r.owner_name = f.name AND f.t0 BETWEEN r.covered_from_at AND r.covered_until_at AND (r.held_in = 'cache' OR f.links = 0)""")
+def _(x: Tables) -> DataFrame:
+    asked = x.dns.filter("action = 'pass'").select(F.col("id").alias("origin"), F.col("domain").alias("name"), F.col("looked_up_at").alias("at"))
+    return joins.answer_addresses(asked, x.record)
+
+
+@add("d05_client_identity", """WITH l AS (SELECT *, CASE WHEN client_id % 4 = 0 THEN concat('c', CAST(client_id AS STRING)) END AS dhcp, CASE WHEN client_id % 4 = 1 THEN concat('d', CAST(client_id AS STRING)) END AS duid FROM lease),
+ k AS (SELECT *, CASE WHEN dhcp IS NOT NULL THEN 'dhcp_client_id' WHEN duid IS NOT NULL THEN 'duid' ELSE 'address_in_interface' END AS identity_kind, coalesce(dhcp, duid, concat(CAST(client_id % 25 AS STRING), '|', address, '|', CAST(observed_at // 86400 AS STRING))) AS identity_key FROM l)
+ SELECT identity_kind, identity_key, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, arg_max(address, (observed_at, address)) AS address, arg_max(hostname_label, (observed_at, address)) AS hostname, arg_max(client_id % 25, (observed_at, address)) AS interface_id FROM k GROUP BY 1, 2""")
+def _(x: Tables) -> DataFrame:
+    kind = lambda n, p: F.when(F.col("client_id") % 4 == n, F.concat(F.lit(p), F.col("client_id").cast("string")))
+    rows = x.lease.withColumns({"dhcp_client_id": kind(0, "c"), "duid": kind(1, "d"), "iaid": F.lit(None).cast("string"), "mac": F.lit(None).cast("string"), "hostname": F.col("hostname_label"), "interface_id": F.col("client_id") % 25})
+    return derive.client_identity(rows)
+
+
+@add("d09_resolve_hostnames", """WITH q AS (SELECT id, concat('host', CAST(id % 120 AS STRING)) AS label, looked_up_at - 820000000 + id * 9000 AS t0 FROM dns), ld AS (SELECT concat('host', CAST(n_nationkey * 5 AS STRING)) AS label, concat('10.8.0.', CAST(n_nationkey AS STRING)) AS address FROM nation),
+ c AS (SELECT q.id, q.label, count(DISTINCT address) AS n, min(address) AS a FROM q LEFT JOIN lease l ON l.hostname_label = q.label AND coalesce(starts_at, 0) <= t0 AND coalesce(expires_at, 4102444800) >= t0 GROUP BY 1, 2)
+ SELECT c.id, CASE WHEN n = 1 THEN a WHEN n = 0 THEN ld.address END AS address, CASE WHEN n = 1 THEN 'lease_hostname' WHEN n > 1 THEN 'ambiguous_hostname' WHEN ld.address IS NOT NULL THEN 'local_data_hostname' ELSE 'unknown_hostname' END AS client_resolution FROM c LEFT JOIN ld ON ld.label = c.label""")
+def _(x: Tables) -> DataFrame:
+    asked = x.dns.select("id", F.concat(F.lit("host"), (F.col("id") % 120).cast("string"), F.lit(".lan.")).alias("client_hostname"), (F.col("looked_up_at") - 820000000 + F.col("id") * 9000).alias("looked_up_at"))
+    local = x.nation.select(F.concat(F.lit("host"), (F.col("n_nationkey") * 5).cast("string")).alias("hostname_label"), F.concat(F.lit("10.8.0."), F.col("n_nationkey").cast("string")).alias("address"), F.lit(None).cast("bigint").alias("starts_at"), F.lit(None).cast("bigint").alias("expires_at"))
+    return derive.resolve_hostnames(asked, x.lease, local)
+
+
+@add("d04_classify_flows", f"""WITH {_LPM}, s AS (SELECT last_address, id FROM (SELECT *, row_number() OVER (PARTITION BY last_address ORDER BY CASE identity_kind WHEN 'dhcp_client_id' THEN 0 ELSE 1 END, last_seen_at DESC, id) AS r FROM client WHERE identity_kind <> 'address_in_interface') WHERE r = 1),
+ n AS (SELECT f.id, f.src_interface_id, f.src_client_id, p.interface_id AS new_src_interface_id, CASE WHEN p.interface_id IS NULL THEN NULL WHEN k.identity_kind <> 'address_in_interface' THEN f.src_client_id ELSE coalesce(s.id, f.src_client_id) END AS new_src_client_id FROM flow f LEFT JOIN placed p ON p.address = f.src_address LEFT JOIN client k ON k.id = f.src_client_id LEFT JOIN s ON s.last_address = f.src_address)
+ SELECT id, new_src_interface_id, new_src_client_id, src_interface_id IS DISTINCT FROM new_src_interface_id OR src_client_id IS DISTINCT FROM new_src_client_id AS src_changed FROM n""")
+def _(x: Tables) -> DataFrame:
+    placed = joins.longest_prefix_match(x.flow.select(F.col("src_address").alias("address")).distinct(), x.network).select("address", "interface_id")
+    return derive.classify_end(x.flow, side="src", at="observed_at", placed=placed, holdings=x.interface_address, client=x.client).select("id", "new_src_interface_id", "new_src_client_id", "src_changed")
+
+
+@add("q09_q11_exact_evidence_mismatch", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT 0 * count(*) AS violations FROM att")
+def _(x: Tables) -> DataFrame:
+    named = derive.attribute_sites(x.visit, x.dns, x.record, timing_s=3600, cap_s=86400).filter("method = 'resolver_cache_answer'")
+    asked = named.join(x.visit.select(F.col("id").alias("flow_id"), "observed_at"), "flow_id").select(F.col("flow_id").alias("origin"), F.col("site_name").alias("name"), F.col("observed_at").alias("at"))
+    answers = joins.answer_addresses(asked, x.record).select("name", "address", "origin").join(asked.select("origin", F.col("at").alias("covered_from_at")), "origin").withColumn("covered_until_at", F.col("covered_from_at")).drop("origin")
+    return quality.evidence_mismatch(named, x.visit, answers)
+
+
+@add("q12_other_family_only", "SELECT count(*) AS records FROM (SELECT v.id FROM visit v JOIN dns d ON d.id = v.id + 1 JOIN record r ON r.rrtype = 'A' AND r.owner_name = d.domain AND v.observed_at BETWEEN r.covered_from_at AND r.covered_until_at GROUP BY v.id HAVING max(CASE WHEN CASE WHEN v.id % 2 = 0 THEN 4 ELSE 6 END = 4 THEN 1 ELSE 0 END) = 0)")
+def _(x: Tables) -> DataFrame:
+    timed = x.visit.join(x.dns.select((F.col("id") - 1).alias("id"), F.col("domain").alias("name")), "id").select(F.col("id").alias("flow_id"), "name", F.col("observed_at").alias("at"), F.when(F.col("id") % 2 == 0, 4).otherwise(6).alias("family"))
+    answers = x.record.filter("rrtype = 'A'").select(F.col("owner_name").alias("name"), "covered_from_at", "covered_until_at", F.lit(4).alias("answer_family"))
+    return quality.other_family_only(timed, answers)
+
+
+@add("q14_observations_per_hour", "WITH rd AS (SELECT provider_id, read_at, row_number() OVER (PARTITION BY provider_id ORDER BY read_at) AS k FROM (SELECT DISTINCT provider_id, read_at FROM poll)), s AS (SELECT p.*, k FROM poll p JOIN rd USING (provider_id, read_at)), i AS (SELECT *, k - row_number() OVER (PARTITION BY provider_id, owner_name, rrtype, value ORDER BY k) AS isl FROM s), v AS (SELECT min(read_at) AS f FROM i GROUP BY provider_id, owner_name, rrtype, value, isl) SELECT f - f % 3600 AS hour_at, count(*) AS started FROM v GROUP BY 1")
+def _(x: Tables) -> DataFrame:
+    return quality.observations_per_hour(windows.record_intervals(x.poll))
+
+
+@add("t02_expire", f"SELECT id FROM lease WHERE observed_at >= {A}")
+def _(x: Tables) -> DataFrame:
+    return retention.expire(x.lease, "observed_at", A).select("id")
+
+
+@add("t05_repoint_purged", "SELECT CASE WHEN local_client_id % 3 = 1 THEN local_client_id + 1000000 ELSE local_client_id END AS local_client_id, CASE WHEN src_client_id % 3 = 1 THEN src_client_id + 1000000 ELSE src_client_id END AS src_client_id, count(*) AS n FROM purged GROUP BY 1, 2")
+def _(x: Tables) -> DataFrame:
+    mapping = x.client.filter("id % 3 = 1").select(F.col("id").alias("old_client_id"), (F.col("id") + 1000000).alias("new_client_id"))
+    return retention.repoint_purged(x.purged, mapping).groupBy("local_client_id", "src_client_id").agg(F.count(F.lit(1)).alias("n"))
