@@ -126,8 +126,9 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, *, vocabula
     one = F.struct(whole("at").alias("at"), whole("delete").alias("delete"), F.coalesce("insert", F.lit("")).alias("insert"))
     lists = edits.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(one)).alias("edits"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    known = trees.dropDuplicates(["doc_id", "text_key"]).withColumnsRenamed({"doc_id": "tree_id", "text_key": "tree_key"})
-    joined = texts.join(known, F.col("doc_id").eqNullSafe(F.col("tree_id")) & (F.col("text_key") == F.col("tree_key"))).join(lists, "doc_id", "left")
+    # Trees and edits, which are short, meet first; texts are shuffled once.
+    known = trees.dropDuplicates(["doc_id", "text_key"]).join(lists, "doc_id", "left").withColumnsRenamed({"doc_id": "tree_id", "text_key": "tree_key"})
+    joined = texts.join(known, F.col("doc_id").eqNullSafe(F.col("tree_id")) & (F.col("text_key") == F.col("tree_key")))
     out = "doc_id long, text string, chars array<int>, tokens array<int>, n_tokens long, n_edits long, n_tokens_after long, n_reencoded long"
 
     def run(batches):
