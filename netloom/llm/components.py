@@ -12,17 +12,18 @@ def components(edges: DataFrame) -> DataFrame:
     """id and label (the smallest id of its component) for every id in edges (a, z).
 
     Each round takes the smallest label among the neighbours and then the label of that label, so paths halve; rounds
-    end when no label changes. An id with many edges is reduced by partial sums before it is shuffled, and the joins are
-    plain equi-joins that Spark splits when one side of a key is large. Only a count of changes reaches the driver.
+    end when no label changes. An id with many edges is reduced by partial minima before it is shuffled, and the joins
+    are plain equi-joins that Spark splits when one side of a key is large. Only whether a label changed reaches the
+    driver.
     """
     both = checkpointed(edges.select("a", "z").union(edges.select("z", "a")).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("z")).alias("label")))
     while True:
-        near = both.join(labels, both.z == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        better = labels.join(near, labels.id == near.a).select("id", F.least("label", "near").alias("label"))
-        jump = better.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        after = checkpointed(better.join(jump, better.label == jump.via, "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label")))
-        changed = after.join(labels.withColumnRenamed("label", "old"), "id").filter("label < old").limit(1).count()
-        labels = after
-        if not changed:
+        own = labels.select("id", "label", F.col("label").alias("old"))
+        near = both.join(labels, both.z == labels.id).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        better = own.union(near).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
+        after = checkpointed(better.join(jump, better.label == jump.via, "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old"))
+        labels = after.select("id", "label")
+        if after.filter("label < old").isEmpty():
             return labels

@@ -8,16 +8,18 @@ with probability equal to their weighted Jaccard similarity. Only points early e
 which almost all components are filled, doubled for the documents that need more.
 
 Documents with equal multisets are one class from the start and are never paired. Representatives that share a band meet
-in a bucket. A bucket isn't expanded into pairs: all members are compared with its smallest member, those that aren't
-near it again with the smallest of the rest, until none is left; each comparison is the exact weighted Jaccard of the
-texts. A member that is far from a leader is far from all that are near that leader (1 - J is a metric), so only members
-between the two bounds, and not yet connected, are compared with that leader's followers. Links between different texts
-that share a band are therefore complete; components of the links are the groups.
+in a bucket. A bucket isn't expanded into pairs: first all members are compared with its smallest member, which joins
+most. Where a bucket still holds several components, its members meet in blocks of at most ``block``: members of
+different components are compared until a link joins the two, so that one link stands for all. Larger buckets are dealt
+into blocks twice, each time in another way, which joins what is dense; then the members outside a bucket's largest
+component are compared with all of its blocks. Every comparison is the exact weighted Jaccard of the texts, and members
+of a bucket that end in different components have all been compared; components of the links are the groups.
 
 With 20 bands of 6 components, texts of similarity 0.8 share a band with chance 0.997, of 0.85 with 0.9999.
 
 Defined cases: texts without words (null and empty too) are alone; a row without an id gets its text's class and never
-names it unless all copies lack one; repeated rows share a class; an empty table gives an empty result; further columns
+names it unless all copies lack one; repeated rows share a class, and so do other
+texts of one id, which is compared by the first of them in text order; an empty table gives an empty result; further columns
 are kept by ``drop_near_duplicates`` and ignored otherwise.
 """
 
@@ -152,7 +154,50 @@ def _similarities(pairs: DataFrame, contents: DataFrame, width: int) -> DataFram
     return joined.mapInArrow(run, "a long, z long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 6) -> DataFrame:
+def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, z) that join components within each block. entries: bucket, block, rep, label, seeks.
+
+    Members are compared across labels until a link joins two components; those that end apart have all been compared,
+    if one of the two seeks.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        shingle, doc, n = shingles(table.column("text"), width)
+        s, d, c = _counted(shingle, doc)
+        at = np.searchsorted(d, np.arange(n + 1))
+        sizes = np.bincount(d, c, n)
+        ids, seeks = table.column("rep").to_pylist(), table.column("seeks").to_pylist()
+        groups: dict[int, list[int]] = {}
+        for i, label in enumerate(table.column("label").to_pylist()):
+            groups.setdefault(label, []).append(i)
+
+        def near(i: int, j: int) -> bool:
+            if not (seeks[i] or seeks[j]) or min(sizes[i], sizes[j]) < threshold * max(sizes[i], sizes[j]):
+                return False
+            _, ia, ij = np.intersect1d(s[at[i] : at[i + 1]], s[at[j] : at[j + 1]], assume_unique=True, return_indices=True)
+            both = np.minimum(c[at[i] : at[i + 1]][ia], c[at[j] : at[j + 1]][ij]).sum()
+            return both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+
+        apart: list[list[int]] = []
+        links = []
+        for group in sorted(groups.values(), key=len, reverse=True):
+            whole, rest = list(group), []
+            for other in apart:
+                link = next(((i, j) for i in group for j in other if near(i, j)), None)
+                if link is None:
+                    rest.append(other)
+                else:
+                    links.append((ids[link[0]], ids[link[1]]))
+                    whole += other
+            apart = [*rest, whole]
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "z": pa.array([x[1] for x in links], pa.int64())})
+
+    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "seeks", "text")
+    return rows.groupBy("bucket", "block").applyInArrow(run, "a long, z long")
+
+
+def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 6, block: int = 256) -> DataFrame:
     """doc_id and class_id (the smallest id in its group of near copies) for every row."""
     features = stored(_features(docs, width=width, bands=bands, rows=rows))
     found = features.filter("k1 <> 0")
@@ -161,47 +206,34 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5,
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     open_entries = checkpointed(entries.join(shared, "bucket"))
     members = open_entries.select(F.col("rep").alias("id")).distinct()
-    contents = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").groupBy("id").agg(F.first("text").alias("text")))
-    edges, near, middle = [], None, []
-    known = None
-    while True:
-        leaders = open_entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        followers = checkpointed(open_entries.join(leaders, "bucket").filter("rep <> leader"))
-        pairs = followers.select(F.col("leader").alias("a"), F.col("rep").alias("z")).distinct()
-        new = pairs if known is None else pairs.join(known.select("a", "z"), ["a", "z"], "left_anti")
-        measured = checkpointed(_similarities(new, contents, width))
-        if known is None and not measured.limit(1).count():
-            break
-        known = measured if known is None else checkpointed(known.union(measured))
-        edges.append(measured.filter(F.col("similarity") >= threshold).select("a", "z"))
-        judged = followers.join(known.withColumnsRenamed({"a": "leader", "z": "rep"}), ["leader", "rep"])
-        close = judged.filter(F.col("similarity") >= threshold).select("bucket", "leader", "rep", "similarity")
-        near = close if near is None else near.union(close)
-        middle.append(judged.filter(F.col("similarity").between(1 - 2 * (1 - threshold) - 1e-9, threshold) & (F.col("similarity") < threshold)).select("bucket", "leader", F.col("rep").alias("other"), F.col("similarity").alias("far")))
-        open_entries = checkpointed(judged.filter(F.col("similarity") < threshold).select("rep", "bucket"))
-        if not open_entries.groupBy("bucket").count().filter("count > 1").limit(1).count():
-            break
+    contents = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").groupBy("id").agg(F.min("text").alias("text")))
     reps = copies.select("k1", "k2", "rep")
-    if edges:
-        links = edges[0]
-        for e in edges[1:]:
-            links = links.union(e)
-        links = checkpointed(links)
-        labels = components(links)
-        between = middle[0]
-        for e in middle[1:]:
-            between = between.union(e)
-        # Followers of a leader and members at middle distance from it: the only pairs that may link unseen.
-        unseen = near.join(between, ["bucket", "leader"]).filter(F.col("rep") != F.col("other")).filter((1 - F.col("far")) - (1 - F.col("similarity")) <= 1 - threshold + 1e-9)
-        unseen = unseen.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("z"))
-        own = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
-        unseen = unseen.join(own("a"), "a", "left").join(own("z"), "z", "left").filter(F.coalesce("a_label", "a") != F.coalesce("z_label", "z")).select("a", "z").distinct()
-        more = checkpointed(_similarities(unseen, contents, width).filter(F.col("similarity") >= threshold).select("a", "z"))
-        if more.limit(1).count():
-            labels = components(links.union(more))
-        reps = reps.join(labels, reps.rep == labels.id, "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
-    else:
-        reps = reps.select("k1", "k2", F.col("rep").alias("class_id"))
+    leaders = open_entries.groupBy("bucket").agg(F.min("rep").alias("leader"))
+    pairs = open_entries.join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("z")).distinct()
+    links = checkpointed(_similarities(pairs, contents, width).filter(F.col("similarity") >= threshold - 1e-9).select("a", "z"))
+    labels = components(links)
+    least = 0
+    for step in range(3):
+        named = open_entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        by_label = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+        open_buckets = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("largest")).filter((F.col("labels") > 1) & (F.col("n") > least))
+        blocks = F.ceil(F.col("n") / block).cast("long")
+        mine = F.pmod(F.xxhash64("rep", F.lit(step)), blocks)
+        dealt = named.join(open_buckets, "bucket").withColumns({"seeks": F.lit(True), "block": mine})
+        if step == 2:
+            # What two ways of dealing left outside the largest component is compared with every block.
+            outside = F.col("label") != F.col("largest")
+            visit = F.when(outside, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(mine))
+            dealt = dealt.withColumn("seeks", outside).withColumn("block", F.explode(visit))
+        dealt = checkpointed(dealt.select("bucket", "block", "rep", "label", "seeks"))
+        if dealt.isEmpty():
+            break
+        more = checkpointed(_connect(dealt, contents, threshold, width))
+        if not more.isEmpty():
+            links = checkpointed(links.union(more))
+            labels = components(links)
+        least = block  # smaller buckets are settled
+    reps = reps.join(labels, reps.rep == labels.id, "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
     keyed = found.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "class_id")
     return keyed.union(features.filter("k1 = 0").select("doc_id", F.col("doc_id").alias("class_id")))
 
