@@ -19,9 +19,13 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netloom.llm import textvec as tv
+from netloom.llm.arrowio import add_columns, column
 from netloom.llm.permute import feistel
 from netloom.llm.session import checkpointed
 
@@ -103,8 +107,9 @@ def draw(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int
     quotas = np.minimum(np.round(wanted * n / np.maximum(size, 1)).astype(np.int64), 3 * n)
     shares = split_quotas(quotas, shards, seed)
     ends = np.cumsum(shares, axis=0).T  # permuted positions below ends[source][shard] belong to that shard or an earlier one
-    # A local table, whose size Spark knows: it is broadcast below Spark's own threshold and shuffled above.
-    table = spark.createDataFrame([(p.source, p.source_size, p.target, int(n[i]), int(quotas[i]), ends[i].tolist()) for i, p in enumerate(plan)], "s string, source_size long, target double, source_blocks long, quota long, ends array<long>")
+    # From Arrow it becomes a local relation of known size: broadcast below Spark's own threshold and shuffled above.
+    columns = {"s": pa.array([p.source for p in plan], pa.string()), "source_size": pa.array([p.source_size for p in plan], pa.int64()), "target": pa.array(wanted), "source_blocks": pa.array(n), "quota": pa.array(quotas), "ends": pa.array(ends.tolist(), pa.list_(pa.int64()))}
+    table = spark.createDataFrame(pa.table(columns))
     base = F.coalesce(F.sum("blocks").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_cell.select("source", "cell", base.alias("base")).withColumnsRenamed({"source": "s", "cell": "c"})
     inner = Window.partitionBy("source", "cell").orderBy("doc_id", "text_key", "size")
@@ -141,10 +146,23 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int =
     keyed = docs.withColumn("mix_key", F.xxhash64("text"))
     got = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mix_key") == F.col("k"))).withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
     got = got.withColumn("mix_blocks", F.array_sort(F.transform(F.filter("drawn", lambda b: b["times"] >= F.col("mix_pass")), lambda b: b["block"])))
-    whole = F.size("mix_blocks") == F.ceil(words(F.col("text")) / block_words)
-    split = F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("mix_blocks", lambda b: F.slice(F.col("mix_words"), (b * block_words + 1).cast("int"), F.lit(block_words)))), " ")
-    got = got.withColumn("mix_words", F.when(~whole, split)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
+    def cut(piece: pa.RecordBatch) -> list:
+        """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""
+        data, offsets = tv.as_bytes(column(piece, "text"))
+        starts, ends, at = tv.words(data, offsets)
+        lists = column(piece, "mix_blocks")
+        doc = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        blocks = -(-np.diff(at) // block_words)
+        base = np.cumsum(blocks) - blocks
+        drawn = np.zeros(int(blocks.sum()), bool)
+        drawn[base[doc] + np.asarray(lists.flatten())] = True
+        of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        keep = drawn[base[of] + (np.arange(len(starts)) - at[of]) // block_words]
+        made = tv.join_words(data, starts, ends, at, keep)
+        whole = np.bincount(doc, minlength=len(blocks)) == blocks
+        return [pc.if_else(pa.array(whole), column(piece, "text").cast(pa.string()), made)]
+
+    got = add_columns(got, "text string", cut, keep=[*docs.columns])
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
     return got.select(*docs.columns)
