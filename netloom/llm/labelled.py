@@ -14,12 +14,12 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def sample_labels(labels: DataFrame, label: str, *, trainable: Column, per_class: int) -> DataFrame:
+def sample_labels(labels: DataFrame, label: str, *, trainable: Column, per_class: int, even: bool = True) -> DataFrame:
     """doc_id, label, weight and fold (0 to 2: fit, 3: calibrate) of about per_class rows of each class.
 
     Rows are chosen by a hash of the id. The weight is how many labelled rows stand behind a sampled one.
 
-    Both classes get the same expected number of rows. Rows without an id or a 0/1 label take no part; of contradicting
+    Both classes get the same expected number of rows, or up to per_class rows each where not ``even``. Rows without an id or a 0/1 label take no part; of contradicting
     labels of one id the larger counts. What comes back is bounded by 2 x per_class rows, and so may be broadcast.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & trainable).groupBy("doc_id").agg(F.max(label).alias("label"))
@@ -27,8 +27,9 @@ def sample_labels(labels: DataFrame, label: str, *, trainable: Column, per_class
     most = min([per_class, *counts.values()]) if len(counts) == 2 else 0
     share, weight = F.lit(0), F.lit(0.0)
     for value, n in counts.items():
-        share = F.when(F.col("label") == value, F.lit(int(_STEPS * most / n))).otherwise(share)
-        weight = F.when(F.col("label") == value, F.lit(n / max(most, 1))).otherwise(weight)
+        take = most if even or not most else min(per_class, n)
+        share = F.when(F.col("label") == value, F.lit(int(_STEPS * take / n))).otherwise(share)
+        weight = F.when(F.col("label") == value, F.lit(n / max(take, 1))).otherwise(weight)
     return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(_STEPS)) < share).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int")).withColumn("weight", weight)
 
 

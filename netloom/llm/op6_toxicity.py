@@ -1,18 +1,17 @@
-"""Toxicity: class-conditional Kneser-Ney models and their length-normalised log-likelihood ratio.
+"""Toxicity: class-conditional Kneser-Ney continuation models and their log-likelihood ratio, normalised by length.
 
 A class model has three levels. A word counts as often as there are different words that it follows in the class's
-documents, so copies and near copies of a document add nothing; its stem (first four bytes) counts as often as there
-are different words that complete it, which catches inflections never seen; below both lie continuation counts that the
-classes share, each class's weighted by how common its label is. At each level counts are discounted and the mass taken
-off backs off to the next. The discount grows with the square root of the count (``strength`` standard errors), so an
-expression too rare to tell the classes apart leaves all its mass to the shared counts and adds the same to both
-likelihoods. What a word's ratio exceeds ``margin`` by (differences within it tell languages and subjects apart, not
-classes) is summed over a text's different words; the score is a logistic curve over that sum divided by a power of
-their number.
-
-A bounded sample of labelled rows (``per_class`` of each label) is counted by Spark: three quarters make the models, the
-rest places the curve. Only words and stems above their discount reach the driver and the broadcast, at most the
-sample's tokens over strength**2. Scoring is one pass without a shuffle.
+documents, so copies and near copies of a document add nothing; its stem (first four bytes) counts as often as
+there are different words that complete it, which catches inflections never seen; below both lies what the classes
+share: in how many of them a key occurs, as Kneser-Ney counts contexts once more. At each level an absolute discount
+below 1, estimated for each class from how many keys have one context and two, is taken off every count and backs off to
+the next, so a word seen once in a class keeps evidence. A text's raw score is the largest mean of its tokens' ratios
+over ``window`` words in a row (over all of a shorter text), so a passage counts the same in a long text as in a short
+one. A logistic curve makes it a score.
+
+A bounded sample of labelled rows (up to ``per_class`` of each label, weighted by the rows behind them) is counted by
+Spark: three quarters make the models, the rest places the curve. All words and stems of the sample reach the driver and
+the broadcast, as Arrow columns. Scoring is one pass without a shuffle.
 
 Defined cases: null counts as the empty text, whose ratio is 0; without labels of both classes every score is 0; rows
 without an id are scored and never held out; repeated ids are scored row by row; further columns are kept by
@@ -29,7 +28,6 @@ from pyspark.sql import functions as F
 from netloom.llm import textvec as tv
 from netloom.llm.arrowio import add_columns, column, slices
 from netloom.llm.labelled import Scale, remainder, sample_labels
-from netloom.llm.session import checkpointed
 
 _PAIR = 0x70C5
 STEM = 4
@@ -43,19 +41,27 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tv.word_hashes(data, starts, ends), tv.word_hashes(data, starts, np.minimum(ends, starts + STEM)), at
 
 
+def discounts(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Absolute discounts n1 / (n1 + 2 n2), kept between 0.1 and 0.9 where a table is too small to tell."""
+    return np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
+
+
 class _Level:
-    """Discounted counts of both classes, by key, as shares of each class's total."""
+    """Probabilities of both classes by key: discounted counts, and the mass taken off shared by how many classes have a key.
+
+    Both classes share the same mass, the larger of the two, so that having fewer documents is no evidence by itself.
+    """
 
-    def __init__(self, rows: list, totals, prior: np.ndarray, strength: float):
-        n = np.array([totals.n0, totals.n1], float)
-        self.back = 1 - np.array([totals.k0, totals.k1]) / n
-        counts = np.array([(r.n0, r.n1) for r in rows], float).reshape(-1, 2)
-        keys = np.array([r.key for r in rows], np.int64).view(np.uint64)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        n = counts.sum(axis=0)
+        off = np.minimum(counts, discounts((counts == 1).sum(axis=0), (counts == 2).sum(axis=0)))
+        back = off.sum(axis=0) / n
+        self.mass = back.max()
         order = np.argsort(keys)
         # A last entry that no search passes keeps lookups in range.
-        self.keys, counts = np.append(keys[order], np.uint64(2**64 - 1)), counts[order]
-        self.kept = (counts - np.minimum(counts, strength * np.sqrt(counts))) / n
-        self.shared = ((counts / n) @ prior)[:, None]
+        self.keys, counts, off = np.append(keys[order], np.uint64(2**64 - 1)), counts[order], off[order]
+        self.kept = (1 - self.mass) * (counts - off) / n / (1 - back)
+        self.classes = (counts > 0).sum(axis=1)[:, None]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.keys, hashes)
@@ -65,29 +71,38 @@ class _Level:
 class Ratio:
     """Logarithm of toxic over ordinary probability, by word and, for words not in the model, by stem."""
 
-    def __init__(self, words: list, word_totals, stems: list, stem_totals, prior: np.ndarray, strength: float, power: float, margin: float):
-        word, stem = _Level(words, word_totals, prior, strength), _Level(stems, stem_totals, prior, strength)
-        # How much likelier than by the shared counts a stem is in each class; any other stem backs off to them alike.
-        lift = np.concatenate([stem.kept / np.maximum(stem.shared, 1e-300) + stem.back, [stem.back]])
-        place, found = stem.find(np.array([r.stem for r in words], np.int64).view(np.uint64)[np.argsort(np.array([r.key for r in words], np.int64).view(np.uint64))])
-        p = word.kept + word.back * word.shared * lift[np.where(found, place, len(lift) - 1)]
-        self.words, self.stems, self.power, self.margin = word, stem, power, margin
+    def __init__(self, keys: np.ndarray, stems: np.ndarray, counts: np.ndarray, window: int):
+        """keys, their stems and (words, 2) counts of contexts; both classes have some."""
+        completed, of = np.unique(stems, return_inverse=True)
+        types = np.stack([np.bincount(of, counts[:, c] > 0, len(completed)) for c in (0, 1)], axis=1)
+        word, stem = _Level(keys, counts), _Level(completed, types)
+        p_stem = stem.kept + stem.mass * stem.classes / stem.classes.sum()
+        place, _ = stem.find(stems[np.argsort(keys)])
+        inside = np.bincount(place, word.classes[:, 0], len(completed))[:, None]
+        p = word.kept + word.mass * (p_stem / inside)[place] * word.classes
+        self.words, self.stems, self.window = word, stem, window
         self.word_ratio = np.append(np.log(p[:, 1] / p[:, 0]), 0.0)
-        self.stem_ratio = np.log(word.back[1] / word.back[0]) + np.log(lift[:, 1] / lift[:, 0])
+        # A word whose stem is new too backs off alike in both classes.
+        self.stem_ratio = np.append(np.log(p_stem[:, 1] / p_stem[:, 0]), 0.0)
 
     def __call__(self, texts) -> np.ndarray:
-        """The ratios' sum over each text's different words, over a power of their number."""
+        """The largest mean of the ratios of ``window`` tokens in a row; 0 for a text without any."""
         hashes, stems, at = _tokens(texts)
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        _, once = np.unique(tv.mix(hashes) ^ tv.mix(doc.astype(np.uint64), _PAIR), return_index=True)
-        hashes, stems, doc = hashes[once], stems[once], doc[once]
         place, found = self.stems.find(stems)
-        ratio = self.stem_ratio[np.where(found, place, len(self.stem_ratio) - 1)]
+        ratio = np.where(found, self.stem_ratio[place], 0.0)
         place, found = self.words.find(hashes)
         ratio = np.where(found, self.word_ratio[place], ratio)
-        ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - self.margin, 0)
-        docs = len(at) - 1
-        return np.bincount(doc, ratio, docs) / np.maximum(np.bincount(doc, minlength=docs), 1) ** self.power
+        sizes = np.diff(at)
+        last = np.repeat(at[1:], sizes)
+        first = np.arange(len(hashes))
+        begin = first[(first + self.window <= last) | (first == np.repeat(at[:-1], sizes))]
+        end = np.minimum(begin + self.window, last[begin])
+        sums = np.concatenate([[0.0], np.cumsum(ratio)])
+        out = np.zeros(len(sizes))
+        some = sizes > 0
+        if some.any():
+            out[some] = np.maximum.reduceat((sums[end] - sums[begin]) / (end - begin), np.searchsorted(begin, at[:-1][some]))
+        return out
 
 
 class Model:
@@ -98,8 +113,8 @@ class Model:
         return np.zeros(len(texts)) if self.ratio is None else self.scale(self.ratio(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=None, per_class: int = 8_000, strength: float = 4.0, power: float = 0.65, margin: float = 0.5, at: float = 0.5) -> Model:
-    sample = sample_labels(labels, label, trainable=F.lit(True) if trainable is None else trainable, per_class=per_class)
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=None, per_class: int = 8_000, window: int = 4, at: float = 0.5) -> Model:
+    sample = sample_labels(labels, label, trainable=F.lit(True) if trainable is None else trainable, per_class=per_class, even=False)
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "fold", "weight")
 
     def contexts(batches):
@@ -119,19 +134,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=N
 
     pairs = rows.filter("fold < 3").select("text", "label").mapInArrow(contexts, "key long, stem long, before long, n0 int, n1 int")
     pairs = pairs.groupBy("key", "stem", "before").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    counted = checkpointed(pairs.groupBy("key", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    completed = counted.groupBy(F.col("stem").alias("key")).agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"))
-    left = lambda n: F.greatest(F.lit(0.0), F.col(n) - strength * F.sqrt(n))
-    levels = []
-    for level in (counted, completed):
-        level = level.withColumns({"k0": left("n0"), "k1": left("n1")})
-        totals = level.agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "k0", "k1"))).first()
-        if not totals.n0 or not totals.n1:
-            return Model(None, None)
-        levels += [level.filter((F.col("k0") > 0) | (F.col("k1") > 0)).drop("k0", "k1").collect(), totals]
-    weights = {r.label: r.weight for r in sample.select("label", "weight").distinct().collect()}
-    prior = np.array([weights.get(0, 1.0), weights.get(1, 1.0)])
-    ratio = Ratio(*levels, prior / prior.sum(), strength, power, margin)
+    counted = pairs.groupBy("key", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    key, stem = (counted[c].to_numpy().view(np.uint64) for c in ("key", "stem"))
+    counts = np.stack([counted[c].to_numpy().astype(float) for c in ("n0", "n1")], axis=1)
+    if not len(counts) or not counts.sum(axis=0).all():
+        return Model(None, None)
+    ratio = Ratio(key, stem, counts, window)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     held = add_columns(rows.filter("fold = 3").select("text", "label", "weight"), "raw double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())], keep=["label", "weight"]).collect()
     return Model(ratio, Scale(np.array([r.raw for r in held]), np.array([r.label for r in held]), at=at, weight=np.array([r.weight for r in held])))

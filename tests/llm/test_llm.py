@@ -131,6 +131,18 @@ def test_classifiers_on_odd_rows(spark, odd, empty, op, label, scored):
     assert scored(empty, none).count() == 0 and len({r.score for r in scored(odd, none).collect()}) == 1
 
 
+def test_toxicity_keeps_rare_words(spark):
+    """An insult with a handful of contexts, in no ordinary document, is evidence."""
+    r = random.Random(8)
+    plain = [f"{a}{b}" for a in ("ba", "co", "du", "fe", "gi", "ho") for b in ("lan", "mir", "nos", "pet", "rul", "sav", "tik", "vom")]
+    rows = [(i, " ".join([*(r.choice(plain) for _ in range(20)), *(["zugword"] if i % 10 == 0 else []), *(r.choice(plain) for _ in range(9))]), int(i % 10 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op6.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    clean = " ".join(plain[:15])
+    with_insult, without, nothing = model(op6.pa.array([f"{clean} zugword {clean}", clean, None]))
+    assert with_insult > 0.5 and without < 0.5 and nothing < 0.5
+
+
 def test_training_order(spark, odd, empty, tmp_path):
     ordered = op5.materialise(odd, length=16, shards=3)
     rows = ordered.collect()
