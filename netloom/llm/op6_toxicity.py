@@ -1,7 +1,7 @@
 """Toxicity: class-conditional Kneser-Ney continuation models and their log-likelihood ratio, normalised by length.
 
 A class model has three levels. A word counts as often as there are different words that it follows in the class's
-documents, so copies and near copies of a document add nothing; its stem (first four bytes) counts as often as
+documents, so copies and near copies of a document add nothing; its stem (first four characters) counts as often as
 there are different words that complete it, which catches inflections never seen; below both lies what the classes
 share: in how many of them a key occurs, as Kneser-Ney counts contexts once more. At each level an absolute discount
 below 1, estimated for each class from how many keys have one context and two, is taken off every count and backs off to
@@ -9,6 +9,9 @@ the next, so a word seen once in a class keeps evidence. A text's raw score is t
 over ``window`` words in a row (over all of a shorter text), so a passage counts the same in a long text as in a short
 one. A logistic curve makes it a score.
 
+What comes before a word is counted, not scored: with interpolated bigrams, near copies with different labels make
+passages seem toxic (figures in the README).
+
 A bounded sample of labelled rows (up to ``per_class`` of each label, weighted by the rows behind them) is counted by
 Spark: three quarters make the models, the rest places the curve. All words and stems of the sample reach the driver and
 the broadcast, as Arrow columns. Scoring is one pass without a shuffle.
@@ -38,7 +41,12 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = tv.as_bytes(texts)
     data = tv.LOWER[data]
     starts, ends, at = tv.words(data, offsets, tv.NOT_ALNUM)
-    return tv.word_hashes(data, starts, ends), tv.word_hashes(data, starts, np.minimum(ends, starts + STEM)), at
+    heads = (data & 0xC0) != 0x80
+    # Where characters begin, and beyond the last one the end of the data.
+    begins = np.append(np.flatnonzero(heads), np.full(STEM, len(data)))
+    before = np.cumsum(heads) - heads
+    cut = begins[before[starts] + STEM]
+    return tv.word_hashes(data, starts, ends), tv.word_hashes(data, starts, np.minimum(ends, cut)), at
 
 
 def discounts(once: np.ndarray, twice: np.ndarray) -> np.ndarray:

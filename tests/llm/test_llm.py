@@ -143,6 +143,12 @@ def test_toxicity_keeps_rare_words(spark):
     assert with_insult > 0.5 and without < 0.5 and nothing < 0.5
 
 
+def test_toxicity_cuts_stems_at_characters():
+    words, stems, at = op6._tokens(op6.pa.array(["дурак дуга дуракам", "笨蛋 笨", "idiot IDIOTS ab", "", None, "é"]))
+    assert at.tolist() == [0, 3, 5, 8, 8, 8, 9] and len(set(words.tolist())) == 9
+    assert stems[0] == stems[2] != stems[1] and stems[3] != stems[4] and stems[5] == stems[6] and stems[7] == words[7] and stems[8] == words[8]
+
+
 def test_training_order(spark, odd, empty, tmp_path):
     ordered = op5.materialise(odd, length=16, shards=3)
     rows = ordered.collect()
