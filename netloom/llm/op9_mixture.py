@@ -5,11 +5,13 @@ is served by whole passes over its blocks and one partial pass; the number of bl
 of all sources are split among the output shards by a binary tree: at each node the left half's share of every source is
 drawn from the multivariate hypergeometric distribution, so shards have exact sizes and quotas add up exactly. A keyed
 Feistel permutation of each source's blocks then gives every shard a run of permuted positions of its own: draws are
-disjoint, need no state, and agree between runs. Inside a shard draws are ordered by a keyed hash.
+disjoint, need no state, and agree between runs. Inside a shard draws are ordered by a keyed hash. A shard holds about
+``shard_words`` words, so their number grows with the sizes' sum; there are ``LEAST_SHARDS`` at least.
 
 Blocks get their numbers in two levels, so that a source with most of the rows is spread: (source, cell) groups number
 their own documents, and small sums of cells offset them. What the driver handles is one row for each source and the
-tree's quotas (sources x shards); documents, blocks and draws stay distributed.
+tree's quotas (sources x shards); documents, blocks and draws stay distributed. ``mixed`` gives each document its draws
+with shard and place; ``mix`` writes documents, each in the shard and at the place of the first of its drawn blocks.
 
 Defined cases: null texts and texts without words have size 0 and are never drawn; a null source is a source of its own
 and comes last; a row without an id is numbered like the others; rows that repeat an id and a text are drawn together;
@@ -30,6 +32,7 @@ from netloom.llm.permute import feistel
 from netloom.llm.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
+LEAST_SHARDS = 16
 
 
 def words(text: Column) -> Column:
@@ -88,11 +91,11 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
 
 
-def draw(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int = 9, cells_per_partition: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(documents with size, source_size and target; draws).
+def draw(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9, cells_per_partition: int = 4) -> tuple[DataFrame, DataFrame, int]:
+    """(documents with size, source_size and target; draws; number of shards).
 
-    A draw is doc_id, source, text_key, block (its place in the document), words, shard and order (its place in the
-    shard, by a keyed hash). A block is drawn at most once more than another of its source.
+    A draw is doc_id, source, text_key, block (its place in the document), words, shard and place (in the shard, in the
+    order of a keyed hash). A block is drawn at most once more than another of its source.
     """
     spark = docs.sparkSession
     cells = int(spark.conf.get("spark.sql.shuffle.partitions")) * cells_per_partition
@@ -105,47 +108,66 @@ def draw(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int
     size = np.array([p.source_size for p in plan], np.float64)
     wanted = np.array([p.target for p in plan], np.float64)
     quotas = np.minimum(np.round(wanted * n / np.maximum(size, 1)).astype(np.int64), 3 * n)
+    shards = shards or max(LEAST_SHARDS, -(-int(wanted.sum()) // shard_words))
     shares = split_quotas(quotas, shards, seed)
-    ends = np.cumsum(shares, axis=0).T  # permuted positions below ends[source][shard] belong to that shard or an earlier one
+    # Runs of all sources one after another; those of a source begin at its base.
+    ends = np.cumsum(shares.T.reshape(-1))
+    shared = spark.sparkContext.broadcast(ends)
     # From Arrow it becomes a local relation of known size: broadcast below Spark's own threshold and shuffled above.
-    columns = {"s": pa.array([p.source for p in plan], pa.string()), "source_size": pa.array([p.source_size for p in plan], pa.int64()), "target": pa.array(wanted), "source_blocks": pa.array(n), "quota": pa.array(quotas), "ends": pa.array(ends.tolist(), pa.list_(pa.int64()))}
+    columns = {"s": pa.array([p.source for p in plan], pa.string()), "source_size": pa.array([p.source_size for p in plan], pa.int64()), "target": pa.array(wanted), "source_blocks": pa.array(n), "quota": pa.array(shares.sum(axis=0)), "nth": pa.array(np.arange(len(plan), dtype=np.int64)), "run": pa.array(np.cumsum(quotas) - quotas)}
     table = spark.createDataFrame(pa.table(columns))
     base = F.coalesce(F.sum("blocks").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_cell.select("source", "cell", base.alias("base")).withColumnsRenamed({"source": "s", "cell": "c"})
     inner = Window.partitionBy("source", "cell").orderBy("doc_id", "text_key", "size")
     numbered = rows.withColumn("own", F.sum("blocks").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))
     numbered = numbered.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c").join(table.drop("source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    block = numbered.filter("blocks > 0").select("doc_id", "source", "text_key", "size", "source_blocks", "quota", "ends", (F.col("base") + F.col("own")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    block = numbered.filter("blocks > 0").select("doc_id", "source", "text_key", "size", "source_blocks", "quota", "nth", "run", (F.col("base") + F.col("own")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     block = block.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.col("source_blocks")) - 1)))
     place = feistel(F.col("first") + F.col("block"), F.col("source_blocks"), F.xxhash64("source", "pass", F.lit(seed)))
     drawn = block.withColumn("position", F.col("pass") * F.col("source_blocks") + place).filter(F.col("position") < F.col("quota"))
-    shard = F.aggregate("ends", F.lit(0), lambda n, end: n + (F.col("position") >= end).cast("int"))
-    drawn = drawn.select("doc_id", "source", "text_key", "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), shard.alias("shard"), F.xxhash64("doc_id", "block", "pass", F.lit(seed)).alias("order"))
+    drawn = drawn.select("doc_id", "source", "text_key", "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), "nth", (F.col("run") + F.col("position")).alias("at"), F.xxhash64("doc_id", "block", "pass", F.lit(seed)).alias("order"))
+
+    def leaf(piece: pa.RecordBatch) -> list:
+        """The shard whose run holds a draw: the first of its source that ends beyond it."""
+        run = np.searchsorted(shared.value, np.asarray(column(piece, "at")), "right")
+        return [pa.array((run - np.asarray(column(piece, "nth")) * shards).astype(np.int32))]
+
+    drawn = add_columns(drawn, "shard int", leaf, text=None, keep=["doc_id", "source", "text_key", "block", "words", "at", "order"])
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("order", "at")) - 1).drop("order", "at")
     known = table.select("s", "source_size", "target")
-    return rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "text_key", "size", "source_size", "target"), drawn
+    return rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "text_key", "size", "source_size", "target"), drawn, shards
+
 
+def mixed(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9) -> DataFrame:
+    """Each document with size, source_size, target, taken (the words that the mix takes of it, repeats counted) and draws.
 
-def mixed(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int = 9) -> DataFrame:
-    """Each document with size, source_size, target and taken: the words that the mix takes of it, repeats counted."""
-    rows, drawn = draw(docs, block_words=block_words, shards=shards, seed=seed)
-    taken = drawn.groupBy("doc_id", "text_key").agg(F.sum("words").alias("taken")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    Draws are (shard, place, block), in order; rows that repeat an id and a text deal them among themselves.
+    """
+    rows, drawn, _ = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
+    taken = drawn.groupBy("doc_id", "text_key").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place", "block"))).alias("all")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     copies = Window.partitionBy("doc_id", "text_key")
     joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")), "left")
-    even = F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.count(F.lit(1)).over(copies)).cast("long")
-    return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", even.alias("taken"))
+    joined = joined.withColumns({"copies": F.count(F.lit(1)).over(copies), "copy": F.row_number().over(copies.orderBy("size")) - 1})
+    even = F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.col("copies")).cast("long")
+    dealt = F.coalesce(F.filter("all", lambda d, i: i % F.col("copies") == F.col("copy")), F.array().cast("array<struct<shard:int,place:int,block:bigint>>"))
+    return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", even.alias("taken"), dealt.alias("draws"))
 
 
-def mix(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int = 9) -> DataFrame:
+def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9) -> DataFrame:
     """The mixture as documents with the columns of docs: what the mix takes of a document, in a row for each pass.
 
-    A row's text is the document's drawn blocks of that pass in their order; a document drawn whole keeps its text.
+    A row's text is the document's drawn blocks of that pass in their order; a document drawn whole keeps its text. Rows
+    are dealt to one partition for each shard and ordered by place: those of the row's first block in the mixture.
     """
-    rows, drawn = draw(docs, block_words=block_words, shards=shards, seed=seed)
-    blocks = drawn.groupBy("doc_id", "text_key", "block").agg(F.count(F.lit(1)).alias("times"))
-    lists = blocks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("block", "times")).alias("drawn"), F.max("times").alias("passes")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    rows, drawn, shards = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
+    blocks = drawn.groupBy("doc_id", "text_key", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
+    lists = blocks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("block", "times", "places")).alias("drawn"), F.max("times").alias("passes")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
     keyed = docs.withColumn("mix_key", F.xxhash64("text"))
     got = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mix_key") == F.col("k"))).withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
     got = got.withColumn("mix_blocks", F.array_sort(F.transform(F.filter("drawn", lambda b: b["times"] >= F.col("mix_pass")), lambda b: b["block"])))
+    got = got.withColumn("mix_at", F.array_min(F.transform(F.filter("drawn", lambda b: b["times"] >= F.col("mix_pass")), lambda b: F.element_at(b["places"], F.col("mix_pass").cast("int")))))
+    got = got.withColumns({"mix_shard": F.col("mix_at.shard"), "mix_place": F.col("mix_at.place")})
+
     def cut(piece: pa.RecordBatch) -> list:
         """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""
         data, offsets = tv.as_bytes(column(piece, "text"))
@@ -162,11 +184,11 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int = 16, seed: int =
         whole = np.bincount(doc, minlength=len(blocks)) == blocks
         return [pc.if_else(pa.array(whole), column(piece, "text").cast(pa.string()), made)]
 
-    got = add_columns(got, "text string", cut, keep=[*docs.columns])
+    got = add_columns(got, "text string", cut, keep=[*docs.columns, "mix_shard", "mix_place"])
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
-    return got.select(*docs.columns)
+    return got.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_place").select(*docs.columns)
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "draws")

@@ -253,6 +253,27 @@ def test_mixture(spark, odd, empty, docs):
     assert mixed.columns == docs.columns and mixed.select(F.sum(op9.words(F.col("text")))).first()[0] == sum(r.taken for r in rows)
 
 
+def test_mixture_gives_shards_and_places(docs):
+    rows = op9.mixed(docs, shard_words=1 << 11).collect()
+    draws = [(d.shard, d.place, d.block, r.source, r.doc_id) for r in rows for d in r.draws]
+    by, quotas = defaultdict(list), defaultdict(int)
+    for shard, place, _, source, _ in draws:
+        by[shard].append(place)
+        quotas[source] += 1
+    # The number of shards follows the sizes' sum; places count on without gaps; shards are of one size.
+    assert len(by) == -(-int(sum({r.source: r.target for r in rows}.values())) // (1 << 11)) > 16
+    assert all(sorted(places) == list(range(len(places))) for places in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 8
+    names = sorted(quotas, key=lambda s: (s is None, s or ""))
+    want = op9.split_quotas(np.array([quotas[s] for s in names]), len(by), 9)
+    got = np.zeros_like(want)
+    for shard, _, _, source, _ in draws:
+        got[shard, names.index(source)] += 1
+    assert (got == want).all()
+    first = min(draws)[4]
+    assert op9.mix(docs, shard_words=1 << 11).first().doc_id == first
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([5, 0, 123, 4000])
     out = op9.split_quotas(quotas, 7, 1)
