@@ -1,7 +1,7 @@
 """Structured Streaming jobs over record files. Each ends in the same tables as its batch operator over all files.
 
-Late records are never dropped: they reopen exactly their slots, which a batch of the stream writes again. The
-watermark bounds only the state that finds repeated records.
+Late records are never dropped by ``refresh_sink``: they reopen exactly their slots, which a batch of the stream writes
+again. The watermark bounds only the state of the windows on arrival, which find repeats within it.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,47 +21,60 @@ from netloom.sources.sinks import write_slots
 
 
 def stream_flows(spark: SparkSession, path: str, schema: StructType, *, delay: str = "1 day", files_per_batch: int = 100) -> DataFrame:
-    """Records of new files, each digest once within the delay, with event_at as event time.
+    """Records of new files, late and repeated ones too, with event_at as event time.
 
     The source's checkpoint is the offset: files already read are not read again.
     """
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return raw.withColumn("event_at", F.timestamp_seconds("observed_at")).withWatermark("event_at", delay).dropDuplicatesWithinWatermark(["log_digest"])
+    return raw.withColumn("event_at", F.timestamp_seconds("observed_at")).withWatermark("event_at", delay)
+
+
+def once(stream: DataFrame) -> DataFrame:
+    """Each digest once within the delay, for windows on arrival; records behind the watermark are dropped."""
+    return stream.dropDuplicatesWithinWatermark(["log_digest"])
 
 
 def hourly(stream: DataFrame) -> DataFrame:
     """Tumbling hours on arrival, for sinks in update or append mode."""
-    return stream.groupBy(F.window("event_at", "1 hour").alias("w"), "action").agg(F.sum("packet_bytes").alias("bytes"), F.count(F.lit(1)).alias("connections")).select(F.unix_seconds("w.start").alias("period_start_at"), "action", "bytes", "connections")
+    return once(stream).groupBy(F.window("event_at", "1 hour").alias("w"), "action").agg(F.sum("packet_bytes").alias("bytes"), F.count(F.lit(1)).alias("connections")).select(F.unix_seconds("w.start").alias("period_start_at"), "action", "bytes", "connections")
 
 
 def rolling_day(stream: DataFrame) -> DataFrame:
     """24 hours, every hour."""
-    return stream.groupBy(F.window("event_at", "24 hours", "1 hour").alias("w")).agg(F.sum("packet_bytes").alias("bytes")).select(F.unix_seconds("w.end").alias("end_at"), "bytes")
+    return once(stream).groupBy(F.window("event_at", "24 hours", "1 hour").alias("w")).agg(F.sum("packet_bytes").alias("bytes")).select(F.unix_seconds("w.end").alias("end_at"), "bytes")
 
 
 def sessions(stream: DataFrame, *, keys: list[str], gap: str = "1 day") -> DataFrame:
     """Spells of sightings of a key, closed when none comes for the gap."""
-    return stream.groupBy(F.session_window("event_at", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("sightings"), F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")).drop("w")
+    return once(stream).groupBy(F.session_window("event_at", gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("sightings"), F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at")).drop("w")
 
 
-def refresh_sink(store: str, out: str, *, attribution: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+def refresh_sink(store: str, out: str, *, attribution: Callable[[DataFrame], DataFrame] | None = None, clients: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: keep the batch's records, then write again every slot they touch.
 
-    Records are kept by batch id, so a repeated batch replaces itself; the touched hours, days, weeks and months of the
-    volume and rule families are computed from all kept records of those periods and overwrite their partitions alone.
+    A digest kept by another batch is not kept again; records without one all are. Records are kept by batch id, so a
+    repeated batch replaces itself; the touched hours, days, weeks and months of all families are computed from all kept
+    records of those periods and overwrite their partitions alone. Owners come from clients (id, owner_id).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         day = batch.withColumns({"day": slot_start(F.col("observed_at"), "24h"), "batch": F.lit(batch_id)})
+        day = day.filter("log_digest is null").unionByName(day.filter("log_digest is not null").dropDuplicates(["log_digest"]))
+        schema = day.schema
+        try:
+            kept = spark.read.schema(schema).parquet(store).filter(F.col("batch") != batch_id).select("day", "log_digest")
+            day = day.join(kept, ["day", "log_digest"], "left_anti").select(*schema.names)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
         day.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(store)
-        records = spark.read.parquet(store).drop("batch", "day")
-        hours = spark.read.parquet(store).filter(F.col("batch") == batch_id).select(slot_start(F.col("observed_at"), "1h").alias("period_start_at")).distinct()
+        records = spark.read.schema(schema).parquet(store).drop("batch", "day")
+        hours = spark.read.schema(schema).parquet(store).filter(F.col("batch") == batch_id).select(slot_start(F.col("observed_at"), "1h").alias("period_start_at")).distinct()
         names = records.select(F.col("id").alias("flow_id"), F.lit(None).cast("string").alias("site_name")).limit(0) if attribution is None else attribution(records)
-        clients = records.select(F.col("src_client_id").alias("id"), F.lit(None).cast("bigint").alias("owner_id")).limit(0)
-        for (family, period), slots in rollup.refresh(records, clients, names, hours).items():
-            if family in ("volume", "rule"):
-                write_slots(slots, f"{out}/{family}", period=period)
+        known = records.select(F.col("src_client_id").alias("id"), F.lit(None).cast("bigint").alias("owner_id")).limit(0) if clients is None else clients
+        for (family, period), slots in rollup.refresh(records, known, names, hours).items():
+            write_slots(slots, f"{out}/{family}", period=period)
 
     return run
 

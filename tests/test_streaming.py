@@ -29,6 +29,26 @@ def test_late_and_repeated_files_equal_the_batch(spark, tmp_path):
         assert rows(got.withColumn("period_start_at", F.col("period_start_at").cast("bigint"))) == rows(want[period])
 
 
+def test_records_behind_the_watermark_reach_all_families(spark, tmp_path):
+    x = Tables(spark, "/root/testdata/sf0.001")
+    flow = x.flow.dropDuplicates(["id"]).orderBy("id").limit(12).withColumn("log_digest", F.col("id").cast("string")).persist()
+    source, store, out = (str(tmp_path / n) for n in ("in", "store", "out"))
+    named = lambda records: records.select(F.col("id").alias("flow_id"), F.lit("s1.example").alias("site_name"))
+    middle = flow.agg(F.percentile_approx("observed_at", 0.5)).first()[0]
+    for part in (f"observed_at >= {middle}", "true"):
+        flow.filter(part).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.stream_flows(spark, source, flow.schema, delay="1 minute", files_per_batch=1)
+        query = stream.drop("event_at").writeStream.foreachBatch(jobs.refresh_sink(store, out, attribution=named, clients=x.client)).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    assert spark.read.parquet(store).count() == flow.count()
+    hours = flow.select((F.col("observed_at") - F.col("observed_at") % 3600).alias("period_start_at")).distinct()
+    want = rollup.refresh(flow, x.client, named(flow), hours)
+    for family in ("volume", "rule", "domain", "peer", "client", "owner"):
+        slots = want[family, "1h"]
+        got = spark.read.parquet(f"{out}/{family}").filter("period = '1h'").select(*slots.columns)
+        assert rows(got.withColumn("period_start_at", F.col("period_start_at").cast("bigint"))) == rows(slots), family
+
+
 def test_stateful_intervals_equal_the_batch(spark, tmp_path):
     x = Tables(spark, "/root/testdata/sf0.001")
     polls = x.poll
