@@ -45,5 +45,16 @@ def add_columns(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list]
     return df.mapInArrow(run, StructType([*kept, *new]))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it: for helper columns beside those that a table brings."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -6,16 +6,18 @@ of all sources are split among the output shards by a binary tree: at each node
 drawn from the multivariate hypergeometric distribution, so shards have exact sizes and quotas add up exactly. A keyed
 Feistel permutation of each source's blocks then gives every shard a run of permuted positions of its own: draws are
 disjoint, need no state, and agree between runs. Inside a shard draws are ordered by a keyed hash. A shard holds about
-``shard_words`` words, so their number grows with the sizes' sum; there are ``LEAST_SHARDS`` at least.
+``shard_words`` words, so their number grows with the sizes' sum; there are ``LEAST_SHARDS`` at least, and where sources
+x shards would pass ``MOST_QUOTAS`` (what the driver and a broadcast hold, 32 MB) shards are larger instead of more.
 
 Blocks get their numbers in two levels, so that a source with most of the rows is spread: (source, cell) groups number
 their own documents, and small sums of cells offset them. What the driver handles is one row for each source and the
-tree's quotas (sources x shards); documents, blocks and draws stay distributed. ``mixed`` gives each document its draws
+tree's quotas (sources x shards, bounded); documents, blocks and draws stay distributed. ``mixed`` gives each document its draws
 with shard and place; ``mix`` writes documents, each in the shard and at the place of the first of its drawn blocks.
 
 Defined cases: null texts and texts without words have size 0 and are never drawn; a null source is a source of its own
-and comes last; a row without an id is numbered like the others; rows that repeat an id and a text are drawn together;
-an empty table gives an empty result; further columns are ignored.
+and comes last; a row without an id is numbered like the others; rows that repeat an id, source and text are numbered
+and drawn one by one, and one id in several sources counts in each; an empty table gives an empty result; further
+columns, whatever their names, are kept by ``mix`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
-from netloom.llm.arrowio import add_columns, column
+from netloom.llm.arrowio import add_columns, column, unused
 from netloom.llm.permute import feistel
 from netloom.llm.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
 LEAST_SHARDS = 16
+MOST_QUOTAS = 1 << 22
 
 
 def words(text: Column) -> Column:
@@ -59,6 +62,29 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int =
     return table.select("source", "source_size", F.least(F.col("limit").cast("double"), free).alias("target"))
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` from an urn are good, at any size.
+
+    A binomial proposal is accepted in proportion to the ratio of the two probabilities, which is largest at ``top``; at
+    most half of the urn is drawn (else what stays in it), so seven in ten proposals are accepted. The ratio's logarithm
+    is a sum over the values between the proposal and ``top``, about the square root of the draws.
+    """
+    if not good or not bad or not draws:
+        return draws if not bad else 0
+    if 2 * draws > good + bad:
+        return good - hypergeometric(rng, good, bad, good + bad - draws)
+    top = min((draws - 1) * good // (good + bad) + 1, good)
+    between = lambda x, a, z: float(np.log1p(-np.arange(a, z, dtype=np.float64) / x).sum()) if z > a else 0.0
+    while True:
+        k = int(rng.binomial(draws, good / (good + bad)))
+        if k > good or draws - k > bad:
+            continue
+        low, high = min(k, top), max(k, top)
+        change = between(good, low, high) - between(bad, draws - high, draws - low)
+        if np.log(rng.random()) <= (change if k > top else -change):
+            return k
+
+
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Each shard's number of draws from each source: a tree of multivariate-hypergeometric splits."""
     rng = np.random.default_rng(seed)
@@ -74,32 +100,35 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
         need, rest = total * (mid - low) // (high - low), total
         for i, n in enumerate(have.tolist()):  # one source after another: the marginal of a hypergeometric is one too
             rest -= n
-            if n and need:
-                # numpy draws need both parts below 10**9; beyond, its normal limit is exact to less than a block
-                if n + rest < 10**9:
-                    left[i] = rng.hypergeometric(n, rest, need) if rest else need
-                else:
-                    share, of = n / (n + rest), n + rest
-                    spread = np.sqrt(max(need * share * (1 - share) * (of - need) / max(of - 1, 1), 0))
-                    left[i] = int(np.clip(round(rng.normal(need * share, spread)), max(0, need - rest), min(n, need)))
-                need -= int(left[i])
+            left[i] = hypergeometric(rng, n, rest, need)
+            need -= int(left[i])
         nodes += [(low, mid, left), (mid, high, have - left)]
     return out
 
 
+def _keys() -> tuple[Column, Column]:
+    """128 bits of what makes a row: its id, source and text."""
+    return F.xxhash64("doc_id", "source", "text"), F.xxhash64(F.lit(9), F.col("text"), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
+    """Each row with its size and key, rows of one key numbered: doc_id, source, size, k1, k2, copy."""
+    k1, k2 = _keys()
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), k1.alias("k1"), k2.alias("k2"))
+    counted = rows.groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
 
 
 def draw(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9, cells_per_partition: int = 4) -> tuple[DataFrame, DataFrame, int]:
-    """(documents with size, source_size and target; draws; number of shards).
+    """(documents with key, size, source_size and target; draws; number of shards).
 
-    A draw is doc_id, source, text_key, block (its place in the document), words, shard and place (in the shard, in the
-    order of a keyed hash). A block is drawn at most once more than another of its source.
+    A draw is a row's key (k1, k2, copy), block (its place in the document), words, shard and place (in the shard, in
+    the order of a keyed hash). A block is drawn at most once more than another of its source.
     """
     spark = docs.sparkSession
     cells = int(spark.conf.get("spark.sql.shuffle.partitions")) * cells_per_partition
-    rows = checkpointed(sized(docs).withColumn("blocks", F.ceil(F.col("size") / block_words).cast("long")).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(cells)).cast("int")))
+    key = ["k1", "k2", "copy"]
+    rows = checkpointed(sized(docs).withColumn("blocks", F.ceil(F.col("size") / block_words).cast("long")).withColumn("cell", F.pmod(F.xxhash64(*key), F.lit(cells)).cast("int")))
     by_cell = rows.groupBy("source", "cell").agg(F.sum("blocks").alias("blocks"), F.sum("size").alias("size"))
     sizes = by_cell.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("blocks").alias("source_blocks"))
     target = targets(sizes.select("source", "source_size"))
@@ -108,7 +137,8 @@ def draw(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, s
     size = np.array([p.source_size for p in plan], np.float64)
     wanted = np.array([p.target for p in plan], np.float64)
     quotas = np.minimum(np.round(wanted * n / np.maximum(size, 1)).astype(np.int64), 3 * n)
-    shards = shards or max(LEAST_SHARDS, -(-int(wanted.sum()) // shard_words))
+    # As many shards as the sizes ask for, within what the table of quotas (sources x shards) may hold.
+    shards = shards or max(LEAST_SHARDS, min(-(-int(wanted.sum()) // shard_words), MOST_QUOTAS // max(len(plan), 1)))
     shares = split_quotas(quotas, shards, seed)
     # Runs of all sources one after another; those of a source begin at its base.
     ends = np.cumsum(shares.T.reshape(-1))
@@ -118,39 +148,36 @@ def draw(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, s
     table = spark.createDataFrame(pa.table(columns))
     base = F.coalesce(F.sum("blocks").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = by_cell.select("source", "cell", base.alias("base")).withColumnsRenamed({"source": "s", "cell": "c"})
-    inner = Window.partitionBy("source", "cell").orderBy("doc_id", "text_key", "size")
+    inner = Window.partitionBy("source", "cell").orderBy(*key)
     numbered = rows.withColumn("own", F.sum("blocks").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("blocks"))
     numbered = numbered.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c").join(table.drop("source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    block = numbered.filter("blocks > 0").select("doc_id", "source", "text_key", "size", "source_blocks", "quota", "nth", "run", (F.col("base") + F.col("own")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    block = numbered.filter("blocks > 0").select(*key, "source", "size", "source_blocks", "quota", "nth", "run", (F.col("base") + F.col("own")).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     block = block.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("quota") / F.col("source_blocks")) - 1)))
     place = feistel(F.col("first") + F.col("block"), F.col("source_blocks"), F.xxhash64("source", "pass", F.lit(seed)))
     drawn = block.withColumn("position", F.col("pass") * F.col("source_blocks") + place).filter(F.col("position") < F.col("quota"))
-    drawn = drawn.select("doc_id", "source", "text_key", "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), "nth", (F.col("run") + F.col("position")).alias("at"), F.xxhash64("doc_id", "block", "pass", F.lit(seed)).alias("order"))
+    drawn = drawn.select(*key, "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), "nth", (F.col("run") + F.col("position")).alias("at"), F.xxhash64(*key, "block", "pass", F.lit(seed)).alias("order"))
 
     def leaf(piece: pa.RecordBatch) -> list:
         """The shard whose run holds a draw: the first of its source that ends beyond it."""
         run = np.searchsorted(shared.value, np.asarray(column(piece, "at")), "right")
         return [pa.array((run - np.asarray(column(piece, "nth")) * shards).astype(np.int32))]
 
-    drawn = add_columns(drawn, "shard int", leaf, text=None, keep=["doc_id", "source", "text_key", "block", "words", "at", "order"])
+    drawn = add_columns(drawn, "shard int", leaf, text=None, keep=[*key, "block", "words", "at", "order"])
     drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("order", "at")) - 1).drop("order", "at")
     known = table.select("s", "source_size", "target")
-    return rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "text_key", "size", "source_size", "target"), drawn, shards
+    return rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select(*key, "doc_id", "source", "size", "source_size", "target"), drawn, shards
 
 
 def mixed(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9) -> DataFrame:
     """Each document with size, source_size, target, taken (the words that the mix takes of it, repeats counted) and draws.
 
-    Draws are (shard, place, block), in order; rows that repeat an id and a text deal them among themselves.
+    Draws are (shard, place, block), in order.
     """
     rows, drawn, _ = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
-    taken = drawn.groupBy("doc_id", "text_key").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place", "block"))).alias("all")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    copies = Window.partitionBy("doc_id", "text_key")
-    joined = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_key").eqNullSafe(F.col("k")), "left")
-    joined = joined.withColumns({"copies": F.count(F.lit(1)).over(copies), "copy": F.row_number().over(copies.orderBy("size")) - 1})
-    even = F.floor(F.coalesce(F.col("taken"), F.lit(0)) / F.col("copies")).cast("long")
-    dealt = F.coalesce(F.filter("all", lambda d, i: i % F.col("copies") == F.col("copy")), F.array().cast("array<struct<shard:int,place:int,block:bigint>>"))
-    return joined.select("doc_id", "source", "text_key", "size", "source_size", "target", even.alias("taken"), dealt.alias("draws"))
+    key = ["k1", "k2", "copy"]
+    taken = drawn.groupBy(*key).agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "place", "block"))).alias("draws"))
+    none = F.array().cast("array<struct<shard:int,place:int,block:bigint>>")
+    return rows.join(taken, key, "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("draws", none).alias("draws"))
 
 
 def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, shard_words: int = 1 << 20, seed: int = 9) -> DataFrame:
@@ -160,19 +187,26 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
     are dealt to one partition for each shard and ordered by place: those of the row's first block in the mixture.
     """
     rows, drawn, shards = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
-    blocks = drawn.groupBy("doc_id", "text_key", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
-    lists = blocks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("block", "times", "places")).alias("drawn"), F.max("times").alias("passes")).withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-    keyed = docs.withColumn("mix_key", F.xxhash64("text"))
-    got = keyed.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mix_key") == F.col("k"))).withColumn("mix_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
-    got = got.withColumn("mix_blocks", F.array_sort(F.transform(F.filter("drawn", lambda b: b["times"] >= F.col("mix_pass")), lambda b: b["block"])))
-    got = got.withColumn("mix_at", F.array_min(F.transform(F.filter("drawn", lambda b: b["times"] >= F.col("mix_pass")), lambda b: F.element_at(b["places"], F.col("mix_pass").cast("int")))))
-    got = got.withColumns({"mix_shard": F.col("mix_at.shard"), "mix_place": F.col("mix_at.place")})
+    blocks = drawn.groupBy("k1", "k2", "copy", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
+    lists = blocks.groupBy("k1", "k2", "copy").agg(F.collect_list(F.struct("block", "times", "places")).alias("drawn"))
+    k1, k2, copy, todo, turn, chosen, at, shard, place, picked = unused(docs.columns, "k1", "k2", "copy", "drawn", "turn", "chosen", "at", "shard", "place", "blocks")
+    lists = lists.groupBy("k1", "k2").agg(F.collect_list(F.struct("copy", "drawn")).alias(todo)).withColumnsRenamed({"k1": k1, "k2": k2})
+    first, second = _keys()
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
+    got = docs.withColumns({k1: first, k2: second}).join(lists, [k1, k2])
+    # Rows of one id, source and text are told apart by their other columns.
+    got = got.withColumn(copy, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.xxhash64(*rest))))
+    got = got.withColumn(todo, F.filter(todo, lambda x: x["copy"] == F.col(copy))).filter(F.size(todo) > 0).withColumn(todo, F.col(todo)[0]["drawn"])
+    got = got.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform(todo, lambda b: b["times"])))))
+    got = got.withColumn(chosen, F.filter(todo, lambda b: b["times"] >= F.col(turn)))
+    got = got.withColumn(at, F.array_min(F.transform(chosen, lambda b: F.element_at(b["places"], F.col(turn).cast("int")))))
+    got = got.withColumns({picked: F.array_sort(F.transform(chosen, lambda b: b["block"])), shard: F.col(at)["shard"], place: F.col(at)["place"]})
 
     def cut(piece: pa.RecordBatch) -> list:
         """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""
         data, offsets = tv.as_bytes(column(piece, "text"))
         starts, ends, at = tv.words(data, offsets)
-        lists = column(piece, "mix_blocks")
+        lists = column(piece, picked)
         doc = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
         blocks = -(-np.diff(at) // block_words)
         base = np.cumsum(blocks) - blocks
@@ -184,10 +218,10 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
         whole = np.bincount(doc, minlength=len(blocks)) == blocks
         return [pc.if_else(pa.array(whole), column(piece, "text").cast(pa.string()), made)]
 
-    got = add_columns(got, "text string", cut, keep=[*docs.columns, "mix_shard", "mix_place"])
+    got = add_columns(got, "text string", cut, keep=[*docs.columns, shard, place])
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
-    return got.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions("mix_place").select(*docs.columns)
+    return got.repartitionById(shards, F.col(shard)).sortWithinPartitions(place).select(*docs.columns)
 
 
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
