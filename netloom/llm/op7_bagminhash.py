@@ -7,31 +7,33 @@ levels. A component's value is the first point at or below the document's weight
 with probability equal to their weighted Jaccard similarity. Only points early enough to win are made: up to a bound at
 which almost all components are filled, doubled for the documents that need more.
 
-Documents with equal multisets are one class from the start and are never paired. Representatives that share a band meet
-in a bucket. A bucket isn't expanded into pairs: first all members are compared with its smallest member, which joins
-most. Where a bucket still holds several components, its members meet in blocks of at most ``block``: members of
-different components are compared until a link joins the two, so that one link stands for all. Larger buckets are dealt
-into blocks twice, each time in another way, which joins what is dense; then the members outside a bucket's largest
-component are compared with all of its blocks. Every comparison is the exact weighted Jaccard of the texts, and members
-of a bucket that end in different components have all been compared; components of the links are the groups.
+Documents with equal multisets are one content from the start and are never paired. Contents that share a band meet in
+a bucket. A bucket isn't expanded into pairs: first all members are compared with its first member, which joins most
+(Spark splits the join where one leader has many). Where a bucket still holds several components, its members meet in
+blocks of at most about ``block``: members of different components are compared until a link joins the two, so that one
+link stands for all. Larger buckets are dealt into blocks twice, each time in another way, which joins what is dense;
+then the members outside a bucket's largest component look for partners by a join on their rarest shingles, which
+misses no pair of the threshold and brings those together that share more than boilerplate. Every comparison is the
+exact weighted Jaccard of the texts; components of the links are the groups.
 
 With 20 bands of 6 components, texts of similarity 0.8 share a band with chance 0.997, of 0.85 with 0.9999.
 
 Defined cases: texts without words (null and empty too) are alone; a row without an id gets its text's class and never
-names it unless all copies lack one; repeated rows share a class, and so do other
-texts of one id, which is compared by the first of them in text order; an empty table gives an empty result; further columns
-are kept by ``drop_near_duplicates`` and ignored otherwise.
+names it unless all members lack one (class_id is then null, class_key tells groups apart); repeated rows share a class;
+several texts of one id are compared each on its own, and their groups bear the same class_id if it is the smallest in
+both; an empty table gives an empty result; further columns, whatever their names, are kept by ``drop_near_duplicates``
+and ignored otherwise.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
-from netloom.llm.arrowio import add_columns, column, slices
+from netloom.llm.arrowio import add_columns, column, slices, unused
 from netloom.llm.components import components
 from netloom.llm.session import checkpointed, stored
 
@@ -106,7 +108,7 @@ def bagminhash(shingle: np.ndarray, doc: np.ndarray, count: np.ndarray, docs: in
 
 
 def _features(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, a 128-bit key of its multiset (0 without words) and its bands' hashes."""
+    """doc_id, a 128-bit key of the row (its id and text), one of its multiset (0 without words) and its bands' hashes."""
 
     def fn(piece: pa.RecordBatch) -> list:
         shingle, doc, n = shingles(column(piece, "text"), width)
@@ -127,7 +129,13 @@ def _features(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFram
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(of_band.reshape(-1).view(np.int64)))
         return [pa.array(k.view(np.int64)) for k in map(np.ascontiguousarray, keys)] + [lists]
 
-    return add_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "k1 long, k2 long, bands array<long>", fn, keep=["doc_id"])
+    t1, t2 = _row_key()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", t1.alias("t1"), t2.alias("t2"))
+    return add_columns(keyed, "k1 long, k2 long, bands array<long>", fn, keep=["doc_id", "t1", "t2"])
+
+
+def _row_key() -> tuple[Column, Column]:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text"), F.xxhash64(F.lit(7), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull())
 
 
 def _similarities(pairs: DataFrame, contents: DataFrame, width: int) -> DataFrame:
@@ -155,10 +163,9 @@ def _similarities(pairs: DataFrame, contents: DataFrame, width: int) -> DataFram
 
 
 def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links (a, z) that join components within each block. entries: bucket, block, rep, label, seeks.
+    """Links (a, z) that join components within each block. entries: bucket, block, rep, label.
 
-    Members are compared across labels until a link joins two components; those that end apart have all been compared,
-    if one of the two seeks.
+    Members are compared across labels until a link joins two components; those that end apart have all been compared.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -167,13 +174,13 @@ def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: i
         s, d, c = _counted(shingle, doc)
         at = np.searchsorted(d, np.arange(n + 1))
         sizes = np.bincount(d, c, n)
-        ids, seeks = table.column("rep").to_pylist(), table.column("seeks").to_pylist()
+        ids = table.column("rep").to_pylist()
         groups: dict[int, list[int]] = {}
         for i, label in enumerate(table.column("label").to_pylist()):
             groups.setdefault(label, []).append(i)
 
         def near(i: int, j: int) -> bool:
-            if not (seeks[i] or seeks[j]) or min(sizes[i], sizes[j]) < threshold * max(sizes[i], sizes[j]):
+            if min(sizes[i], sizes[j]) < threshold * max(sizes[i], sizes[j]):
                 return False
             _, ia, ij = np.intersect1d(s[at[i] : at[i + 1]], s[at[j] : at[j + 1]], assume_unique=True, return_indices=True)
             both = np.minimum(c[at[i] : at[i + 1]][ia], c[at[j] : at[j + 1]][ij]).sum()
@@ -193,57 +200,103 @@ def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: i
             apart = [*rest, whole]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "z": pa.array([x[1] for x in links], pa.int64())})
 
-    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "seeks", "text")
+    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "text")
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, z long")
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 6, block: int = 256) -> DataFrame:
-    """doc_id and class_id (the smallest id in its group of near copies) for every row."""
+def _rare_pairs(members: DataFrame, contents: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Pairs (a, z) of members under different labels, one of which seeks, that share a rare shingle.
+
+    members: rep, label, seeks. Two multisets of similarity t share one of the first n - ceil(t n) + 1 of their n
+    shingles in any common order (the k-th occurrence of a shingle is one of its own), and their sizes' ratio is t at
+    least. The order is from rare to frequent, so what many members have in common brings none together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                shingle, doc, n = shingles(column(piece, "text"), width)
+                s, d, c = _counted(shingle, doc)
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                token = tv.mix(np.repeat(s, c) + tv.mix(nth.astype(np.uint64), 5))
+                of = np.repeat(d, c)
+                yield pa.RecordBatch.from_arrays([column(piece, "rep").take(pa.array(of)), pa.array(token.view(np.int64)), pa.array(np.bincount(of, minlength=n)[of])], names=["rep", "token", "size"])
+
+    texts = contents.withColumnRenamed("id", "rep").join(members.select("rep"), "rep", "left_semi")
+    tokens = checkpointed(texts.select("rep", "text").mapInArrow(run, "rep long, token long, size long"))
+    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "token")
+    kept = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
+    first = tokens.join(frequent, "token").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= kept).select("rep", "token", "size")
+    first = checkpointed(first.join(members, "rep"))
+    left = first.filter("seeks").select("token", F.col("rep").alias("a"), F.col("size").alias("n"), F.col("label").alias("l"))
+    right = first.select("token", F.col("rep").alias("z"), F.col("size").alias("m"), F.col("label").alias("r"))
+    close = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
+    return left.join(right, "token").filter((F.col("l") != F.col("r")) & close).select("a", "z").distinct()
+
+
+def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 6, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, t1, t2, k1, k2; contents: k1, k2, first row as (no_id, doc_id, t1, t2) and label of its group)."""
     features = stored(_features(docs, width=width, bands=bands, rows=rows))
-    found = features.filter("k1 <> 0")
-    copies = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    entries = copies.filter("rep is not null").select("rep", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")).alias("first")
+    # Written before it is read again, so a content's number stays.
+    copies = stored(features.filter("k1 <> 0").groupBy("k1", "k2").agg(first, F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
+    entries = copies.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     open_entries = checkpointed(entries.join(shared, "bucket"))
-    members = open_entries.select(F.col("rep").alias("id")).distinct()
-    contents = stored(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").groupBy("id").agg(F.min("text").alias("text")))
-    reps = copies.select("k1", "k2", "rep")
+    members = copies.join(open_entries.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "first.t1", "first.t2")
+    t1, t2 = _row_key()
+    contents = stored(docs.select(t1.alias("t1"), t2.alias("t2"), "text").join(members, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
     leaders = open_entries.groupBy("bucket").agg(F.min("rep").alias("leader"))
     pairs = open_entries.join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("z")).distinct()
-    links = checkpointed(_similarities(pairs, contents, width).filter(F.col("similarity") >= threshold - 1e-9).select("a", "z"))
+    near = lambda pairs: _similarities(pairs, contents, width).filter(F.col("similarity") >= threshold - 1e-9).select("a", "z")
+    links = checkpointed(near(pairs))
     labels = components(links)
     least = 0
     for step in range(3):
         named = open_entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         by_label = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         open_buckets = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("largest")).filter((F.col("labels") > 1) & (F.col("n") > least))
-        blocks = F.ceil(F.col("n") / block).cast("long")
-        mine = F.pmod(F.xxhash64("rep", F.lit(step)), blocks)
-        dealt = named.join(open_buckets, "bucket").withColumns({"seeks": F.lit(True), "block": mine})
-        if step == 2:
-            # What two ways of dealing left outside the largest component is compared with every block.
-            outside = F.col("label") != F.col("largest")
-            visit = F.when(outside, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(mine))
-            dealt = dealt.withColumn("seeks", outside).withColumn("block", F.explode(visit))
-        dealt = checkpointed(dealt.select("bucket", "block", "rep", "label", "seeks"))
+        if step < 2:
+            mine = F.pmod(F.xxhash64("rep", F.lit(step)), F.ceil(F.col("n") / block).cast("long"))
+            dealt = checkpointed(named.join(open_buckets, "bucket").select("bucket", mine.alias("block"), "rep", "label"))
+        else:
+            # What two ways of dealing left outside its bucket's largest component looks for partners by rare shingles.
+            outside = F.max(F.col("label") != F.col("largest")).alias("seeks")
+            dealt = checkpointed(named.join(open_buckets, "bucket").groupBy("rep", "label").agg(outside))
         if dealt.isEmpty():
             break
-        more = checkpointed(_connect(dealt, contents, threshold, width))
+        more = checkpointed(_connect(dealt, contents, threshold, width) if step < 2 else near(_rare_pairs(dealt, contents, threshold, width)))
         if not more.isEmpty():
             links = checkpointed(links.union(more))
             labels = components(links)
         least = block  # smaller buckets are settled
-    reps = reps.join(labels, reps.rep == labels.id, "left").select("k1", "k2", F.coalesce("label", "rep").alias("class_id"))
-    keyed = found.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "class_id")
-    return keyed.union(features.filter("k1 = 0").select("doc_id", F.col("doc_id").alias("class_id")))
+    named = copies.join(labels, copies.rep == labels.id, "left").select("k1", "k2", "first", F.coalesce("label", "rep").alias("label"))
+    return features.select("doc_id", "t1", "t2", "k1", "k2"), named
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id (the smallest id in its group of near copies) and class_key (one number for each group) of every row."""
+    features, contents = _classes(docs, **how)
+    groups = contents.groupBy("label").agg(F.min("first.doc_id").alias("class_id"), F.min("k1").alias("class_key"))
+    named = contents.select("k1", "k2", "label").join(groups, "label").select("k1", "k2", "class_id", "class_key")
+    keyed = features.filter("k1 <> 0").join(named, ["k1", "k2"]).select("doc_id", "class_id", "class_key")
+    return keyed.union(features.filter("k1 = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("t1").alias("class_key")))
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group: the one that names the class, and every text without words."""
-    classes = near_duplicates(docs, **how)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group: of its smallest id, if any has one; and the texts without words, without exact repeats."""
+    features, contents = _classes(docs, **how)
+    firsts = contents.groupBy("label").agg(F.min("first").alias("first")).select("first.t1", "first.t2", F.lit(False).alias("alone"))
+    wordless = features.filter("k1 = 0").select("t1", "t2", F.col("doc_id").isNull().alias("alone")).distinct()
+    t1, t2, nth, alone = unused(docs.columns, "t1", "t2", "nth", "alone")
+    kept = firsts.union(wordless).withColumnsRenamed({"t1": t1, "t2": t2, "alone": alone})
+    first, second = _row_key()
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    found = docs.withColumns({t1: first, t2: second}).join(kept, [t1, t2])
+    found = found.withColumn(nth, F.row_number().over(Window.partitionBy(t1, t2).orderBy(F.xxhash64(*rest))))
+    return found.filter(F.col(alone) | (F.col(nth) == 1)).select(*docs.columns)
 
 
 def op7_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
