@@ -8,7 +8,7 @@ set and every hit is verified word by word.
 
 Defined cases: null texts have no words; items without words have no windows; an item without an id counts as the item
 with the empty id; repeated item ids are one item; repeated documents are judged row by row; further columns of
-documents are kept by ``drop_contaminated`` and ignored by ``scan``; empty tables give no hits.
+documents, whatever their names, are kept by ``drop_contaminated`` and ``cut_spans``; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
-from netloom.llm.arrowio import add_columns, column
+from netloom.llm.arrowio import add_columns, column, unused
 from netloom.llm.session import checkpointed
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SALT = 0xDEC0
-_FIELDS = "n_words long, n_hit long, items array<string>, hits array<struct<from_word:int,to_word:int>>"
+FIELDS = ("n_words", "n_hit", "items", "hits")
+_TYPES = ("long", "long", "array<string>", "array<struct<from_word:int,to_word:int>>")
 
 
 def _normalised(texts) -> tuple[np.ndarray, ...]:
@@ -89,32 +90,35 @@ def _spans(at: np.ndarray, hit: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - base, pa.int32()), pa.array(end - base, pa.int32())], ["from_word", "to_word"]))
 
 
-def _add_hits(docs: DataFrame, found: _Windows, *, before: bool) -> DataFrame:
+def _add_hits(docs: DataFrame, found: _Windows, names: tuple[str, ...], *, before: bool) -> DataFrame:
     windows = docs.sparkSession.sparkContext.broadcast(found)
 
     def fn(piece: pa.RecordBatch) -> list:
         at, hit, items = windows.value.find(column(piece, "text"))
         if before:
-            for i, (spans, old) in enumerate(zip(column(piece, "hits").to_pylist(), column(piece, "items").to_pylist(), strict=True)):
+            for i, (spans, old) in enumerate(zip(column(piece, names[3]).to_pylist(), column(piece, names[2]).to_pylist(), strict=True)):
                 items[i] |= set(old)
                 for s in spans:
                     hit[at[i] + s["from_word"] : at[i] + s["to_word"]] = True
         sums = np.concatenate([[0], np.cumsum(hit)])
         return [pa.array(np.diff(at), pa.int64()), pa.array(np.diff(sums[at]), pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), _spans(at, hit)]
 
-    return add_columns(docs, _FIELDS, fn)
+    return add_columns(docs, ", ".join(f"`{n}` {t}" for n, t in zip(names, _TYPES, strict=True)), fn)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10, most_windows: int = 1_000_000) -> DataFrame:
-    """docs with n_words, n_hit, items (ids of items with windows in it, sorted as strings) and hits (word ranges)."""
+def scan(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10, most_windows: int = 1_000_000, names: tuple[str, ...] = FIELDS) -> DataFrame:
+    """docs with n_words, n_hit, items (ids of items with windows in it, sorted as strings) and hits (word ranges).
+
+    The four go by ``names``; a column of such a name is replaced.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     windows = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0  # a window starts at a byte of its own
     blocks = -(-windows // most_windows) if windows else 1
     if blocks == 1:
-        return _add_hits(docs, _Windows(items.collect(), ngram), before=False)
+        return _add_hits(docs, _Windows(items.collect(), ngram), names, before=False)
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        docs = _add_hits(docs, _Windows(part, ngram), before=block > 0)
+        docs = _add_hits(docs, _Windows(part, ngram), names, before=block > 0)
         if block + 1 < blocks:
             docs = checkpointed(docs)
     return docs
@@ -122,15 +126,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10, most_windows
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10) -> DataFrame:
     """Documents without a hit, with the columns they had."""
-    return scan(docs, benchmark, ngram=ngram).filter("n_hit = 0").select(*docs.columns)
+    names = tuple(unused(docs.columns, *FIELDS))
+    return scan(docs, benchmark, ngram=ngram, names=names).filter(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10) -> DataFrame:
     """All documents, with hit passages cut from their texts and everything else as it was."""
+    names = tuple(unused(docs.columns, *FIELDS))
 
     def fn(piece: pa.RecordBatch) -> list:
         out = []
-        for text, spans in zip(column(piece, "text").to_pylist(), column(piece, "hits").to_pylist(), strict=True):
+        for text, spans in zip(column(piece, "text").to_pylist(), column(piece, names[3]).to_pylist(), strict=True):
             if spans:
                 raw = text.encode()
                 at = [m.span() for m in _WORD.finditer(bytes(tv.LOWER[np.frombuffer(raw, np.uint8)]))]
@@ -140,7 +146,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, *, ngram: int = 10) -> Data
             out.append(text)
         return [pa.array(out, pa.string())]
 
-    return add_columns(scan(docs, benchmark, ngram=ngram), "text string", fn).select(*docs.columns)
+    return add_columns(scan(docs, benchmark, ngram=ngram, names=names), "text string", fn).select(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

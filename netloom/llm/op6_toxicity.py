@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
-from netloom.llm.arrowio import add_columns, column, slices
+from netloom.llm.arrowio import add_columns, column, slices, unused
 from netloom.llm.labelled import Scale, remainder, sample_labels
 
 _PAIR = 0x70C5
@@ -162,8 +162,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, model: Model, *, at: float = 0.5) -> DataFrame:
     """Documents that score below ``at``, with the columns they had."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "toxicity_of_row"
-    scored = add_columns(docs, f"{name} double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())])
+    (name,) = unused(docs.columns, "toxicity")
+    scored = add_columns(docs, f"`{name}` double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())])
     return scored.filter(F.col(name) < at).select(*docs.columns)
 
 
