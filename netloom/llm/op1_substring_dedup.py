@@ -1,20 +1,28 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-Suffixes are cut at ``min_words`` words, the depth from which a repeat counts. Five steps, each a Spark shuffle of
-compact blocks, and none of which gathers more than one block group in a task:
-
-1. texts are dealt into batches by a hash of their id;
-2. a filter prunes suffixes that cannot reach the wanted depth: each batch sends the distinct fingerprints of its
-   full-depth suffixes to buckets, and gets back one bit for each that occurs elsewhere too;
+A repeat is a sequence of at least ``min_words`` words that several documents have. A suffix can begin a maximal repeat
+only where what stands before it differs between its occurrences; only such suffixes become leaves. Five steps, each a
+Spark shuffle of compact blocks, none of which gathers more than one block group in a task:
+
+1. texts are dealt into batches of about ``batch_bytes`` by a hash of id and text;
+2. each batch sends the distinct fingerprints of its runs of ``min_words`` words, with the word before each run (or that
+   it differs within the batch), to buckets, and gets back two bits for each: it occurs elsewhere too, and what stands
+   before it differs. Repeated runs that follow each other form a stretch; suffixes to keep start a stretch or differ in
+   what stands before them;
 3. prefixes that start more suffixes than a group may hold are lengthened by one word until they don't
-   (variable-length prefixes); what a batch counts is pre-aggregated, so a hot prefix costs a batch one row;
-4. the remaining suffixes, each once for each batch, go to their prefix's group as symbol sequences. There they are
-   sorted; neighbours' common prefix lengths give the subtree, its internal nodes at full depth are the repeats, and
-   each node learns the smallest document id below it;
-5. batches get those ids back, cover the repeats that start in a document with a smaller id, and join what is left.
+   (variable-length prefixes, so that a group fits in memory); what a batch counts is pre-aggregated;
+4. kept suffixes, equal ones of a batch once, go to their prefix's group as symbol sequences. There they are sorted, and
+   common prefix lengths of neighbours give the subtree: an internal node is a range of leaves with its depth. Each leaf
+   learns the deepest node above it that holds a document of smaller id;
+5. batches get these depths back, cut the words from a suffix's start to its node's depth, and join what is left.
+
+For step 4 a suffix goes only as far as the next kept suffix of its stretch needs it (what the rest repeats, that one
+finds), so all sequences together are about as long as the repeated text; ``maximal_repeats`` sends whole stretches, and
+returns every internal node with differing words before it: a maximal repeat, its true length and its occurrences.
 
-A hot passage costs one leaf for each batch that holds it, not one for each occurrence. Symbols have 8 bits and are
-backed by a 64-bit hash of the whole suffix, so leaves meet in a node only when all 168 bits agree.
+A hot passage costs one leaf for each batch and way of going on, not one for each occurrence. Symbols are 48-bit word
+hashes; fingerprints and the words before them grow with the logarithm of the input, so that a filter's false answers
+stay as rare at any size.
 
 Defined cases: null text has no words; a row without an id takes no part (nothing is smaller than null) and keeps all
 its words; repeated ids count as one document; texts shorter than ``min_words`` have no suffix of that depth and stay
@@ -33,13 +41,16 @@ from pyspark.sql import functions as F
 from netloom.llm import textvec as tv
 from netloom.llm.arrowio import slices
 
-_SYMBOL, _TREE, _FILTER = 0x51A7, 0x7EE5, 0xF117
+_SYMBOL, _TREE, _FILTER, _BEFORE = 0x51A7, 0x7EE5, 0xF117, 0xBEF0
+_WIDE = 6
+_FLIP = np.uint64(1 << 63)
 
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<from_word:int,to_word:int>>"
+_BLOCKS = "grp int, batch int, n int, block binary"
 
 
 class _Batch:
-    """One batch's documents in a fixed order, with their full-depth suffixes."""
+    """One batch's documents in a fixed order, with their runs of ``depth`` words."""
 
     def __init__(self, table: pa.Table, depth: int):
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -57,26 +68,58 @@ class _Batch:
             at, doc = at[take], doc[take]
         self.at, self.doc, self.depth = at, doc, depth
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct suffix hashes in order, and for each the first and last place in self.at."""
-        full = self.hasher.of(self.at, self.depth)
-        order = np.argsort(full, kind="stable")
-        ordered = full[order]
-        new = np.ones(len(order), bool)
+    def fingerprints(self, bits: int) -> np.ndarray:
+        """Distinct fingerprints in order; keeps the runs' order and for each run the place of its fingerprint."""
+        prints = tv.mix(self.hasher.of(self.at, self.depth), _FILTER) >> np.uint64(64 - bits)
+        self.order = np.argsort(prints, kind="stable")
+        ordered = prints[self.order]
+        new = np.ones(len(ordered), bool)
         new[1:] = ordered[1:] != ordered[:-1]
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(order)) - 1 if len(order) else head
-        self.order, self.run = order, np.cumsum(new) - 1
-        return ordered[head], order[head], order[tail]
-
-
-def _bits(total: int) -> int:
-    """Width of the filter's fingerprints: about one false pass in 1000 suffixes at any size."""
-    return min(60, max(24, math.ceil(math.log2(max(total, 2))) + 10))
-
-
-def _heavy_prefixes(docs: DataFrame, depth: int, groups: int) -> tuple[int, list[np.ndarray]]:
-    """Number of suffixes, and by length the prefixes that more than one suffix in 4 x groups start with.
+        self.head = np.flatnonzero(new)
+        self.run = np.cumsum(new) - 1
+        return ordered[self.head]
+
+    def before(self, bits: int) -> np.ndarray:
+        """The word before each distinct fingerprint's runs; all ones where it differs, or a text begins."""
+        most = np.uint64(2**bits - 1)
+        code = np.full(len(self.at), most)
+        inner = self.at > self.offsets[self.doc]
+        code[inner] = np.minimum(tv.mix(self.hashes[self.at[inner] - 1], _BEFORE) >> np.uint64(64 - bits), most - np.uint64(1))
+        if not len(code):
+            return code
+        code = code[self.order]
+        return np.where(np.minimum.reduceat(code, self.head) == np.maximum.reduceat(code, self.head), code[self.head], most)
+
+    def leaves(self, again: np.ndarray, differs: np.ndarray, whole: bool) -> None:
+        """Kept suffixes: places in the text (begin), words to send (size), document (of), by distinct sequence (leaf)."""
+        n = len(self.at)
+        self.begin = self.size = self.of = self.leaf = self.first = np.zeros(0, np.int64)
+        if not n:
+            return
+        tail = np.append(self.head[1:], n) - 1
+        docs = self.ids[self.doc[self.order]]
+        again = again | (docs[self.head] != docs[tail])
+        repeated, keep = np.zeros(n, bool), np.zeros(n, bool)
+        repeated[self.order], keep[self.order] = again[self.run], differs[self.run]
+        follows = np.zeros(n, bool)
+        follows[1:] = repeated[:-1] & (self.doc[1:] == self.doc[:-1])
+        at = np.flatnonzero(repeated & (keep | ~follows))
+        if not len(at):
+            return
+        stretch = np.cumsum(repeated & ~follows)[at]
+        last = repeated.copy()
+        last[:-1] &= ~(repeated[1:] & follows[1:])
+        ends = np.flatnonzero(last)[stretch - 1]
+        if not whole:
+            inside = np.append(stretch[1:] == stretch[:-1], False)
+            ends[inside] = np.append(at[1:], 0)[inside] - 1
+        self.begin, self.of, self.size = self.at[at], self.doc[at], ends - at + self.depth
+        sequences = tv.mix(self.hasher.of(self.begin, self.size) ^ tv.mix(self.size.astype(np.uint64)))
+        _, self.first, self.leaf = np.unique(sequences, return_index=True, return_inverse=True)
+
+
+def _heavy_prefixes(docs: DataFrame, depth: int, groups: int) -> tuple[int, int, list[np.ndarray]]:
+    """Numbers of suffixes and bytes, and by length the prefixes that more than one suffix in 4 x groups start with.
 
     A slice of the input reports a prefix with a share of its own suffixes half as large; a prefix that is heavy overall
     is so in some slice. What comes to the driver is bounded by 4 x groups prefixes for each length.
@@ -84,7 +127,7 @@ def _heavy_prefixes(docs: DataFrame, depth: int, groups: int) -> tuple[int, list
 
     def count(piece: pa.RecordBatch) -> pa.RecordBatch:
         b = _Batch(pa.Table.from_batches([piece]), depth)
-        rows = [(0, 0, len(b.at))]
+        rows = [(0, 0, len(b.at)), (-1, 0, len(b.data))]
         left, least = b.at, max(2, len(b.at) / (8 * groups))
         for k in range(1, depth):
             found, n = np.unique(b.hasher.of(left, k), return_counts=True)
@@ -100,150 +143,281 @@ def _heavy_prefixes(docs: DataFrame, depth: int, groups: int) -> tuple[int, list
             yield from map(count, slices(batch, "text"))
 
     counted = docs.mapInArrow(scan, "width int, prefix long, n long").groupBy("width", "prefix").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "width", "prefix").limit(4 * groups * depth + 1).collect()
-    total = max([r.n for r in rows if r.width == 0], default=0)
+    rows = counted.orderBy(F.col("width") > 0, F.desc("n"), "width", "prefix").limit(4 * groups * depth + 2).collect()
+    total, size = (sum(r.n for r in rows if r.width == w) for w in (0, -1))
     least = max(2, total / (4 * groups))
-    return total, [np.sort(np.array([r.prefix for r in rows if r.width == k and r.n >= least], np.int64).view(np.uint64)) for k in range(depth)]
-
-
-def substring_dedup(docs: DataFrame, *, min_words: int = 13, batches_per_partition: int = 2) -> DataFrame:
-    """Remove every word covered by a run of ``min_words`` words that also starts in a document with a smaller id.
-
-    Returns one row for each input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and the
-    removed spans as word ranges. Windows are judged on the input texts.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    batches, depth = parts * batches_per_partition, min_words
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    total, heavy = _heavy_prefixes(docs, depth, parts)
-    bits = _bits(total)
-    width = (bits + 7) // 8
-
-    def fingerprints(hashes: np.ndarray) -> np.ndarray:
-        return tv.mix(hashes, _FILTER) >> np.uint64(64 - bits)
-
-    def ask(table: pa.Table) -> pa.Table:
-        """Distinct fingerprints of a batch, sorted, as differences, a block for each bucket."""
-        b = _Batch(table, depth)
-        hashes, _, _ = b.distinct()
-        prints = np.unique(fingerprints(hashes))
-        edges = np.searchsorted(prints, np.array([(i << bits) // parts for i in range(parts + 1)], np.uint64))
-        rows = [(i, int(hi - lo), tv.put_planes(np.diff(prints[lo:hi], prepend=np.uint64(0)), width)) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
-        batch = table.column("batch")[0].as_py()
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        """Which of a bucket's fingerprints came from more than one batch."""
+    return total, size, [np.sort(np.array([r.prefix for r in rows if r.width == k and r.n >= least], np.int64).view(np.uint64)) for k in range(depth)]
+
+
+def _pack(rows: list[tuple], names: tuple[str, ...]) -> pa.Table:
+    """Rows of numbers that end with bytes, as a table."""
+    kinds = [pa.int32()] * (len(names) - 1) + [pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
+
+
+def _common(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many symbols each sequence shares with the one before it; 0 for the first."""
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes), np.int64)
+    live = np.arange(1, len(sizes))
+    most = np.minimum(sizes[1:], sizes[:-1])
+    k = 0
+    while len(live):
+        live = live[most[live - 1] > k]
+        live = live[symbols[offsets[live] + k] == symbols[offsets[live - 1] + k]]
+        out[live] += 1
+        k += 1
+    return out
+
+
+def _deepest_with_smaller(common: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each leaf in order, the depth of the deepest node above it that holds a smaller document; 0 without one."""
+    best = [0] * len(docs)
+    lcp, docs = common.tolist(), docs.tolist()
+    for places, step in ((range(len(docs)), 0), (range(len(docs) - 1, -1, -1), 1)):
+        stack: list[tuple[int, int]] = []  # documents that grow, each with the depth it shares with the one before it
+        for i in places:
+            depth = lcp[i + step] if i + step < len(lcp) else 0
+            while stack and stack[-1][0] >= docs[i]:
+                depth = min(depth, stack.pop()[1])
+            if stack and depth > best[i]:
+                best[i] = depth
+            stack.append((docs[i], depth))
+    return np.array(best, np.int64)
+
+
+def _nodes(common: np.ndarray):
+    """Internal nodes as (depth, first leaf, leaf beyond the last)."""
+    stack: list[tuple[int, int]] = []
+    for i, depth in enumerate([*common.tolist()[1:], 0], 1):
+        low = i - 1
+        while stack and stack[-1][0] > depth:
+            top, low = stack.pop()
+            yield top, low, i
+        if depth and (not stack or stack[-1][0] < depth):
+            stack.append((depth, low))
+
+
+class _Leaves:
+    """A group's leaves, sorted by their sequences. Per leaf: batch row, index in the batch, smallest and largest
+    document, words before (code), occurrences, place in the smallest document, symbols."""
+
+    FIELDS = (("index", 4), ("doc", 8), ("most", 8), ("code", 8), ("n", 5), ("word", 4), ("size", 4))
+
+    def __init__(self, table: pa.Table):
         sizes = table.column("n").to_pylist()
-        got = [np.cumsum(tv.get_planes(x.as_py(), n, width)) for x, n in zip(table.column("block"), sizes, strict=True)]
-        prints = np.concatenate(got)
-        ordered = np.sort(prints)
-        again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        bits_out, at = [], 0
-        flags = np.zeros(len(prints), bool)
-        if len(again):
-            place = np.minimum(np.searchsorted(again, prints), len(again) - 1)
-            flags = again[place] == prints
-        for n in sizes:
-            bits_out.append(np.packbits(flags[at : at + n]).tobytes())
-            at += n
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "n": table.column("n"), "bits": pa.array(bits_out, pa.binary())})
+        columns, symbols = {k: [] for k, _ in self.FIELDS}, []
+        for x, n in zip(table.column("block"), sizes, strict=True):
+            raw, at = memoryview(x.as_buffer()), 0
+            for name, width in self.FIELDS:
+                columns[name].append(tv.get_planes(raw[at : at + n * width], n, width))
+                at += n * width
+            symbols.append(np.frombuffer(raw[at:], np.uint8))
+        self.sizes = sizes
+        self.columns = {k: np.concatenate(v) for k, v in columns.items()}
+        raw = np.concatenate(symbols).tobytes()
+        size = self.columns["size"].astype(np.int64)
+        ends = np.cumsum(size)
+        keys = [raw[_WIDE * (e - s) : _WIDE * e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)]
+        self.order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+        ordered = np.frombuffer(b"".join([keys[i] for i in self.order]), np.uint8).reshape(-1, _WIDE)
+        wide = np.zeros((len(ordered), 8), np.uint8)
+        wide[:, 8 - _WIDE :] = ordered
+        self.common = _common(wide.view(">u8").reshape(-1), np.concatenate([[0], np.cumsum(size[self.order])]))
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name][self.order]
+
+    @staticmethod
+    def write(b: _Batch, leaf: np.ndarray, code: np.ndarray, most: np.ndarray, n: np.ndarray, symbols: np.ndarray) -> bytes:
+        """The block of some of a batch's leaves."""
+        at = b.first[leaf]
+        begin, size = b.begin[at], b.size[at]
+        values = {"index": leaf, "doc": b.ids[b.of[at]].view(np.uint64) ^ _FLIP, "most": most[leaf].view(np.uint64) ^ _FLIP, "code": code[leaf], "n": n[leaf], "word": begin - b.offsets[b.of[at]], "size": size}
+        ends = np.cumsum(size)
+        words = np.repeat(begin - (ends - size), size) + np.arange(ends[-1])
+        return b"".join([*(tv.put_planes(values[k].astype(np.uint64), w) for k, w in _Leaves.FIELDS), symbols[words].tobytes()])
+
+
+class _Forest:
+    """What the steps share: sizes, heavy prefixes and functions over batches, buckets and groups (no DataFrames: it goes to executors)."""
+
+    def __init__(self, docs: DataFrame, min_words: int, batch_bytes: int, whole: bool):
+        self.depth, self.whole = min_words, whole
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total, size, self.heavy = _heavy_prefixes(docs, min_words, parts)
+        self.batches = max(parts, -(-size // batch_bytes))
+        self.groups = max(parts, -(-16 * total // batch_bytes))
+        # A fingerprint passes falsely once in 1,000 suffixes; of suffixes with differing words before, one in 1,000 x the input is missed.
+        need = math.ceil(math.log2(max(total, 2))) + 10
+        self.bits, self.code_bits = min(60, max(24, need)), min(56, max(32, need))
+        self.width, self.code_width = (self.bits + 7) // 8, (self.code_bits + 7) // 8
+
+    def ask(self, table: pa.Table) -> pa.Table:
+        """A batch's distinct fingerprints, sorted, as differences, and the words before them; a block for each bucket."""
+        b = _Batch(table, self.depth)
+        prints = b.fingerprints(self.bits)
+        code = b.before(self.code_bits)
+        edges = np.searchsorted(prints, np.array([(i << self.bits) // self.groups for i in range(self.groups + 1)], np.uint64))
+        batch = table.column("batch")[0].as_py()
+        rows = [(i, batch, int(hi - lo), tv.put_planes(np.diff(prints[lo:hi], prepend=np.uint64(0)), self.width) + tv.put_planes(code[lo:hi], self.code_width)) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+        return _pack(rows, ("grp", "batch", "n", "block"))
 
-    def suffixes(table: pa.Table, replies: pa.Table) -> pa.Table:
-        """A batch's distinct suffixes that occur elsewhere or in several of its documents, by prefix group."""
-        empty = pa.table({"grp": pa.array([], pa.int32()), "batch": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "block": pa.array([], pa.binary())})
+    def answer(self, table: pa.Table) -> pa.Table:
+        """Two bits for each of a bucket's fingerprints: it came from several batches; the words before it differ."""
+        sizes, prints, codes = table.column("n").to_pylist(), [], []
+        for x, n in zip(table.column("block"), sizes, strict=True):
+            raw = memoryview(x.as_buffer())
+            prints.append(np.cumsum(tv.get_planes(raw[: n * self.width], n, self.width)))
+            codes.append(tv.get_planes(raw[n * self.width :], n, self.code_width))
+        prints, codes = np.concatenate(prints), np.concatenate(codes)
+        order = np.argsort(prints, kind="stable")
+        ordered, codes = prints[order], codes[order]
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        low, high = np.minimum.reduceat(codes, head), np.maximum.reduceat(codes, head)
+        times = np.diff(np.append(head, len(ordered)))
+        again, differs = np.zeros(len(prints), bool), np.zeros(len(prints), bool)
+        again[order] = np.repeat(times > 1, times)
+        differs[order] = np.repeat((low != high) | (high == np.uint64(2**self.code_bits - 1)), times)
+        ends = np.cumsum(sizes).tolist()
+        made = [np.packbits(again[e - n : e]).tobytes() + np.packbits(differs[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
+        return pa.table({"grp": table.column("grp"), "batch": table.column("batch"), "n": table.column("n"), "block": pa.array(made, pa.binary())})
+
+    def kept(self, table: pa.Table, replies: pa.Table) -> _Batch:
+        b = _Batch(table, self.depth)
+        b.fingerprints(self.bits)
+        again, differs = [np.zeros(0, bool)], [np.zeros(0, bool)]
+        replies = replies.sort_by("grp")
+        for x, n in zip(replies.column("block"), replies.column("n").to_pylist(), strict=True):
+            raw = np.frombuffer(x.as_buffer(), np.uint8)
+            half = (n + 7) // 8
+            again.append(np.unpackbits(raw[:half], count=n).astype(bool))
+            differs.append(np.unpackbits(raw[half:], count=n).astype(bool))
+        b.leaves(np.concatenate(again), np.concatenate(differs), self.whole)
+        return b
+
+    def suffixes(self, table: pa.Table, replies: pa.Table) -> pa.Table:
+        """A batch's leaves, by prefix group."""
         if not table.num_rows:
-            return empty
-        b = _Batch(table, depth)
-        hashes, first, last = b.distinct()
-        if not len(hashes):
-            return empty
-        replies = replies.sort_by("bucket")
-        flags = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n).astype(bool) for x, n in zip(replies.column("bits"), replies.column("n").to_pylist(), strict=True))])
-        own = fingerprints(hashes)
-        passed = np.isin(own, np.unique(own)[flags]) | (b.ids[b.doc[first]] != b.ids[b.doc[last]])
-        index = np.flatnonzero(passed)
-        at = b.at[first[index]]
+            return _pack([], ("grp", "batch", "n", "block"))
+        b = self.kept(table, replies)
+        if not len(b.first):
+            return _pack([], ("grp", "batch", "n", "block"))
+        at = b.begin[b.first]
         group = np.zeros(len(at), np.uint64)
         left = np.arange(len(at))
-        for k in range(1, depth + 1):
+        for k in range(1, self.depth + 1):
             prefix = b.hasher.of(at[left], k)
             group[left] = prefix
-            if k == depth or not len(heavy[k]):
+            if k == self.depth or not len(self.heavy[k]):
                 break
-            left = left[np.isin(prefix, heavy[k])]
+            left = left[np.isin(prefix, self.heavy[k])]
             if not len(left):
                 break
-        group = (tv.mix(group, _TREE) % np.uint64(parts)).astype(np.int64)
+        group = (tv.mix(group, _TREE) % np.uint64(self.groups)).astype(np.int64)
+        # What the leaves of equal sequence have in common: words before, largest document, occurrences.
+        most_code = np.uint64(2**self.code_bits - 1)
+        code = np.full(len(b.begin), most_code)
+        inner = b.begin > b.offsets[b.of]
+        code[inner] = np.minimum(tv.mix(b.hashes[b.begin[inner] - 1], _BEFORE) >> np.uint64(64 - self.code_bits), most_code - np.uint64(1))
+        by = np.argsort(b.leaf, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], np.diff(b.leaf[by]) > 0]))
+        low, high = np.minimum.reduceat(code[by], head), np.maximum.reduceat(code[by], head)
+        most, n = np.maximum.reduceat(b.ids[b.of[by]], head), np.diff(np.append(head, len(by)))
+        raw = np.ascontiguousarray(tv.mix(b.hashes, _SYMBOL), ">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDE]
         order = np.argsort(group, kind="stable")
-        index, at, group = index[order], at[order], group[order]
-        symbols = (tv.mix(b.hashes, _SYMBOL) >> np.uint64(56)).astype(np.uint8)
-        smallest = (b.ids[b.doc[first[index]]]).view(np.uint64) ^ np.uint64(1 << 63)
-        edges = np.searchsorted(group, np.arange(parts + 1))
-        rows = []
-        for g, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if hi > lo:
-                columns = np.stack([symbols[at[lo:hi] + k] for k in range(depth)])
-                rows.append((g, int(hi - lo), b"".join([tv.put_planes(index[lo:hi], 5), tv.put_planes(smallest[lo:hi], 8), tv.put_planes(hashes[index[lo:hi]], 8), columns.tobytes()])))
+        edges = np.searchsorted(group[order], np.arange(self.groups + 1))
         batch = table.column("batch")[0].as_py()
-        return pa.table({"grp": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.binary())})
-
-    def subtree(table: pa.Table) -> pa.Table:
-        """Sort a group's suffixes; nodes at full depth with several leaves give each leaf the smallest id below."""
-        sizes = table.column("n").to_pylist()
-        parts_in = []
-        for x, n in zip(table.column("block"), sizes, strict=True):
-            raw = memoryview(x.as_buffer())
-            index, smallest, full = (tv.get_planes(raw[a * n : b * n], n, b - a) for a, b in ((0, 5), (5, 13), (13, 21)))
-            symbols = np.frombuffer(raw[21 * n :], np.uint8).reshape(depth, n)
-            keys = np.zeros(((depth + 7) // 8, n), np.uint64)
-            for k in range(depth):
-                keys[k // 8] |= symbols[k].astype(np.uint64) << np.uint64(56 - 8 * (k % 8))
-            parts_in.append((index, smallest, full, keys))
-        index, smallest, full = (np.concatenate([p[i] for p in parts_in]) for i in range(3))
-        keys = np.concatenate([p[3] for p in parts_in], axis=1)
-        order = np.lexsort((full, *keys[::-1]))
-        same = np.all(keys[:, order[1:]] == keys[:, order[:-1]], axis=0) & (full[order[1:]] == full[order[:-1]])
-        head = np.flatnonzero(np.concatenate([[True], ~same]))
-        least = np.minimum.reduceat(smallest[order], head)
-        leaves = np.diff(np.append(head, len(order)))
-        below = np.empty(len(order), np.uint64)
-        below[order] = np.repeat(least, leaves)
-        ids, ats, rows = np.asarray(table.column("batch")), 0, []
-        for batch, n in zip(ids.tolist(), sizes, strict=True):
-            rows.append((batch, n, tv.put_planes(index[ats : ats + n], 5) + tv.put_planes(below[ats : ats + n], 8)))
-            ats += n
-        return pa.table({"batch": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int32()), "block": pa.array([r[2] for r in rows], pa.binary())})
-
-    def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
-        b = _Batch(table, depth)
-        b.distinct()
+        rows = [(g, batch, int(hi - lo), _Leaves.write(b, order[lo:hi], np.where(low == high, low, most_code), most, n, raw)) for g, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+        return _pack(rows, ("grp", "batch", "n", "block"))
+
+    def subtree(self, table: pa.Table) -> pa.Table:
+        """The depth to which each leaf repeats a smaller document; replies bear the group's number beyond the buckets'."""
+        leaves = _Leaves(table)
+        depth = np.empty(len(leaves.order), np.int64)
+        depth[leaves.order] = _deepest_with_smaller(leaves.common, leaves["doc"])
+        index, rows, at = leaves.columns["index"], [], 0
+        for grp, batch, n in zip(*(table.column(c).to_pylist() for c in ("grp", "batch", "n")), strict=True):
+            rows.append((self.groups + grp, batch, n, tv.put_planes(index[at : at + n], 4) + tv.put_planes(depth[at : at + n].astype(np.uint64), 4)))
+            at += n
+        return _pack(rows, ("grp", "batch", "n", "block"))
+
+    def repeats(self, table: pa.Table) -> pa.Table:
+        """Maximal repeats of a group: internal nodes of several documents whose words before differ."""
+        leaves = _Leaves(table)
+        n = leaves["n"].astype(np.int64)
+        # A leaf of several occurrences is a node of its own: it stands twice.
+        times = np.where(n > 1, 2, 1)
+        at = np.repeat(np.arange(len(n)), times)
+        second = np.concatenate([[False], at[1:] == at[:-1]])
+        size = leaves["size"].astype(np.int64)
+        common = np.where(second, size[at], leaves.common[at])
+        weight = np.where(second, n[at] - 1, 1)
+        doc, most, code, word = (leaves[k][at] for k in ("doc", "most", "code", "word"))
+        rows = []
+        for depth, low, high in _nodes(common):
+            codes = code[low:high]
+            differs = codes.min() != codes.max() or int(codes.max()) == 2**self.code_bits - 1
+            if depth >= self.depth and differs and doc[low:high].min() != most[low:high].max():
+                i = low + int(np.lexsort((word[low:high], doc[low:high]))[0])
+                rows.append((int(depth), int(weight[low:high].sum()), int((doc[i] ^ _FLIP).view(np.int64)), int(word[i])))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["n_words", "occurrences", "doc_id", "from_word"])
+
+    def cut(self, table: pa.Table, replies: pa.Table) -> pa.Table:
+        number = np.asarray(replies.column("grp").combine_chunks())
+        b = self.kept(table, replies.filter(pa.array(number < self.groups)))
         removed = np.zeros(len(b.starts), bool)
-        if replies.num_rows:
-            got = [(tv.get_planes(memoryview(x.as_buffer())[: 5 * n], n, 5), tv.get_planes(memoryview(x.as_buffer())[5 * n :], n, 8)) for x, n in zip(replies.column("block").combine_chunks(), replies.column("n").to_pylist(), strict=True)]
-            least = np.full(len(b.order) and int(b.run[-1]) + 1, np.iinfo(np.int64).max)
-            least[np.concatenate([g[0] for g in got]).astype(np.int64)] = (np.concatenate([g[1] for g in got]) ^ np.uint64(1 << 63)).view(np.int64)
-            hit = b.order[least[b.run] < b.ids[b.doc[b.order]]]
-            removed = tv.cover(b.at[hit], depth, len(b.starts))
+        if len(b.first):
+            depth = np.zeros(len(b.first), np.int64)
+            found = replies.filter(pa.array(number >= self.groups))
+            for x, n in zip(found.column("block"), found.column("n").to_pylist(), strict=True):
+                raw = memoryview(x.as_buffer())
+                depth[tv.get_planes(raw[: 4 * n], n, 4).astype(np.int64)] = tv.get_planes(raw[4 * n :], n, 4)
+            # Leaves stand for the smallest of their documents; the others repeat that one whole.
+            docs = b.ids[b.of]
+            own = np.where(docs > docs[b.first][b.leaf], b.size, depth[b.leaf])
+            hit = own >= self.depth
+            removed = tv.cover(b.begin[hit], own[hit], len(b.starts))
         text = tv.join_words(b.data, b.starts, b.ends, b.offsets, ~removed)
         sums = np.concatenate([[0], np.cumsum(removed)])
-        edge = removed.copy()
-        edge[1:] &= ~removed[:-1] | np.isin(np.arange(1, len(removed)), b.offsets)
-        tail = removed.copy()
-        tail[:-1] &= ~removed[1:] | np.isin(np.arange(1, len(removed)), b.offsets)
+        inner = np.isin(np.arange(1, max(len(removed), 1)), b.offsets)
+        edge, tail = removed.copy(), removed.copy()
+        edge[1:] &= ~removed[:-1] | inner
+        tail[:-1] &= ~removed[1:] | inner
         begin, end = np.flatnonzero(edge), np.flatnonzero(tail) + 1
         at = np.searchsorted(begin, b.offsets)
         base = np.repeat(b.offsets[:-1], np.diff(at))
         spans = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - base, pa.int32()), pa.array(end - base, pa.int32())], ["from_word", "to_word"]))
         return pa.table({"doc_id": b.rows.combine_chunks(), "n_words": pa.array(np.diff(b.offsets), pa.int64()), "n_removed": pa.array(np.diff(sums[b.offsets]), pa.int64()), "kept_text": text, "removed": spans})
 
-    asked = batched.groupBy("batch").applyInArrow(ask, "bucket int, batch int, n int, block binary")
-    answered = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, n int, bits binary")
-    leaves = batched.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(suffixes, "grp int, batch int, n int, block binary")
-    nodes = leaves.groupBy("grp").applyInArrow(subtree, "batch int, n int, block binary")
-    return batched.groupBy("batch").cogroup(nodes.groupBy("batch")).applyInArrow(cut, OUT)
+
+def _planted(docs: DataFrame, min_words: int, batch_bytes: int, whole: bool) -> tuple[_Forest, DataFrame, DataFrame, DataFrame]:
+    """The forest, texts by batch, answers to batches, and leaves by group."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    forest = _Forest(docs, min_words, batch_bytes, whole)
+    batched = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(forest.batches)).cast("int"))
+    answered = batched.groupBy("batch").applyInArrow(lambda rows: forest.ask(rows), _BLOCKS).groupBy("grp").applyInArrow(lambda rows: forest.answer(rows), _BLOCKS)
+    leaves = batched.groupBy("batch").cogroup(answered.groupBy("batch")).applyInArrow(lambda rows, replies: forest.suffixes(rows, replies), _BLOCKS)
+    return forest, batched, answered, leaves
+
+
+def substring_dedup(docs: DataFrame, *, min_words: int = 13, batch_bytes: int = 8 << 20) -> DataFrame:
+    """Remove every word covered by a run of ``min_words`` words that also starts in a document with a smaller id.
+
+    Returns one row for each input row: doc_id, n_words, n_removed, kept_text (kept words joined by one space) and the
+    removed spans as word ranges. Repeats are judged on the input texts.
+    """
+    forest, batched, answered, leaves = _planted(docs, min_words, batch_bytes, False)
+    found = leaves.groupBy("grp").applyInArrow(lambda rows: forest.subtree(rows), _BLOCKS)
+    return batched.groupBy("batch").cogroup(answered.unionByName(found).groupBy("batch")).applyInArrow(lambda rows, replies: forest.cut(rows, replies), OUT)
+
+
+def maximal_repeats(docs: DataFrame, *, min_words: int = 13, batch_bytes: int = 8 << 20) -> DataFrame:
+    """n_words, occurrences, and doc_id and from_word of the first, for every sequence that several documents have and
+    that no longer one contains at all its occurrences."""
+    forest, _, _, leaves = _planted(docs, min_words, batch_bytes, True)
+    return leaves.groupBy("grp").applyInArrow(lambda rows: forest.repeats(rows), "n_words int, occurrences long, doc_id long, from_word int")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
