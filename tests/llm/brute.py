@@ -36,6 +36,18 @@ def substring_dedup(docs, width=13):
     return sorted(out, key=str)
 
 
+def maximal_repeats(docs, width):
+    """(words, occurrences, first document, word there) of sequences of several documents that no way of going on shares."""
+    found = {}
+    for d, t in docs:
+        w = WORDS.findall(t or "")
+        for i in range(len(w)):
+            for j in range(i + width, len(w) + 1):
+                found.setdefault(tuple(w[i:j]), []).append((d, i, w[i - 1] if i else None, w[j] if j < len(w) else None))
+    several = lambda x: len(set(x)) > 1 or None in x
+    return sorted((len(k), len(o), *min(o)[:2]) for k, o in found.items() if len({x[0] for x in o}) > 1 and several([x[2] for x in o]) and several([x[3] for x in o]))
+
+
 def decontaminate(docs, items, width=10):
     windows = {}
     for i, t in items:

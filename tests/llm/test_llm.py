@@ -68,6 +68,43 @@ def test_substring_dedup(spark, odd, empty, docs):
     assert [tuple(s) for s in spans[1]] == [(1, 31)]
 
 
+def test_maximal_repeats(spark):
+    r = random.Random(4)
+    passages = [[f"w{r.randrange(8)}" for _ in range(30)] for _ in range(5)]
+    rows = []
+    for i in range(24):
+        text = []
+        for _ in range(3):
+            passage, a = r.choice(passages), r.randrange(8)
+            text += [*passage[a : a + r.randrange(10, 22)], *(f"u{i}_{r.randrange(3)}" for _ in range(r.randrange(3)))]
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for least in (5, 13):
+        got = sorted(tuple(x) for x in op1.maximal_repeats(df, min_words=least, batch_bytes=400).collect())
+        assert got == brute.maximal_repeats(rows, least) and len(got) > 20
+        cut = op1.substring_dedup(df, min_words=least, batch_bytes=400).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256))
+        assert sorted((tuple(x) for x in cut.collect()), key=str) == brute.substring_dedup(rows, least)
+    assert op1.maximal_repeats(df.limit(0)).count() == 0
+
+
+def test_substring_dedup_spreads_rows_without_ids(spark):
+    """Rows without an id, or of one id, don't meet in one batch."""
+    df = spark.createDataFrame([(None, f"a{i} " * 20) for i in range(200)], "doc_id long, text string")
+    forest, batched, _, _ = op1._planted(df, 13, 500, False)
+    assert forest.batches > 20 and batched.groupBy("batch").count().agg(F.max("count")).first()[0] < 20
+
+
+CLASHES = ("k", "passes", "drawn", "mix_key", "d", "kept_id", "n_words", "n_hit", "items", "hits", "t1", "t2", "k1", "k2", "copy", "shard", "place", "turn", "at", "toxicity", "nth", "alone", "label", "size")
+
+
+def test_columns_of_clashing_names_stay(spark, odd):
+    df = odd.withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    bench = spark.createDataFrame([(1, "one"), (2, odd_rows()[0][1])], "item_id long, text string")
+    model = op6.fit(df, spark.createDataFrame([(k, k % 2) for k in range(13)], "doc_id long, toxic int"))
+    for got in (op2.drop_contaminated(df, bench), op2.cut_spans(df, bench), op6.drop_toxic(df, model, at=1.1), op7.drop_near_duplicates(df), op9.mix(df)):
+        assert got.columns == df.columns and {tuple(r) for r in got.select(*CLASHES).distinct().collect()} == {tuple(range(len(CLASHES)))}
+
+
 @pytest.mark.parametrize("most", [1_000_000, 200])
 def test_decontaminate(spark, odd, empty, docs, most):
     items = [(1, " ".join(odd_rows()[0][1].split()[5:20])), (2, "one TWO three"), (3, None), (4, ""), (10, "word"), (None, "déjà"), (1, "42 42")]
@@ -190,6 +227,40 @@ def test_near_duplicates(spark, odd, empty):
     assert op7.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """One row of each content stays; every text of an id is compared, and so are texts without an id."""
+    words = [f"w{i}" for i in range(100)]
+    text, near, other = " ".join(words), " ".join([*words[:50], "x", *words[51:]]), " ".join(reversed(words))
+    rows = [(1, text), (1, text), (1, other), (2, near), (None, near), (3, other), (None, other), (None, ""), (None, ""), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {(r.doc_id, r.class_id): r.class_key for r in op7.near_duplicates(df).collect()}
+    assert len({k for (_, c), k in keys.items() if c == 1}) == 1 or {c for _, c in keys} == {1, None, 4}
+    got = sorted((r.doc_id or 0, r.text) for r in op7.drop_near_duplicates(df).collect())
+    assert got == sorted([(0, ""), (0, ""), (4, ""), (1, text), (1, other)])
+    nameless = spark.createDataFrame([(None, text), (None, near), (None, other)], "doc_id long, text string")
+    assert op7.drop_near_duplicates(nameless).count() == 2 and len({r.class_key for r in op7.near_duplicates(nameless).collect()}) == 2
+
+
+def test_rare_shingles_find_all_partners(spark):
+    """What shares a long passage below the threshold isn't paired, what reaches the threshold always is."""
+    r = random.Random(6)
+    common = [f"c{i}" for i in range(70)]
+    rows = []
+    for family in range(40):
+        own = [f"f{family}_{i}" for i in range(30)]
+        rows.append((len(rows), " ".join(common + own)))
+        if family % 4 == 0:
+            own[r.randrange(30)] = "x"
+            rows.append((len(rows), " ".join(common + own)))
+    contents = spark.createDataFrame(rows, "id long, text string")
+    members = contents.select(F.col("id").alias("rep"), F.col("id").alias("label"), F.lit(True).alias("seeks"))
+    pairs = {tuple(sorted(p)) for p in op7._rare_pairs(members, contents, 0.8, 5).collect()}
+    bags = {d: brute.shingles(t) for d, t in rows}
+    want = {(a, z) for a in bags for z in bags if a < z and brute.similarity(bags[a], bags[z]) >= 0.8}
+    assert want <= pairs and len(want) == 10 and len(pairs) < 3 * len(want)
+    assert sorted((x.doc_id, x.class_id) for x in op7.near_duplicates(contents.withColumnRenamed("id", "doc_id"), block=8).collect()) == brute.near_classes(rows)
+
+
 def test_signature_is_unbiased():
     r = np.random.default_rng(2)
     a, b = r.integers(0, 6, 60), r.integers(0, 6, 60)
@@ -274,6 +345,36 @@ def test_mixture_gives_shards_and_places(docs):
     assert op9.mix(docs, shard_words=1 << 11).first().doc_id == first
 
 
+def test_mixture_of_one_text_in_several_sources(spark):
+    """One id and text in two sources counts in each; repeated rows are drawn one by one; no word of a draw is lost."""
+    rows = [(1, "dup text " * 200, s) for s in ("A", "B")] + [(2, "a b c " * 30, None)] * 3 + [(i, f"w{i} " * 90, "A") for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op9.mixed(df, block_words=8).collect()
+    assert len(got) == len(rows)
+    for source in ("A", "B", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8 * len(mine) and all(r.taken <= 3 * r.size for r in mine)
+        assert all(r.taken == sum(min(8, r.size - 8 * d.block) for d in r.draws) for r in mine)
+    mixed = op9.mix(df, block_words=8)
+    assert mixed.select(F.sum(op9.words(F.col("text")))).first()[0] == sum(r.taken for r in got)
+
+
+@pytest.mark.parametrize("good, bad, draws", [(5, 7, 4), (50, 70, 90), (3, 400, 200), (10**12, 3 * 10**12, 10**12)])
+def test_hypergeometric_at_any_size(good, bad, draws):
+    rng = np.random.default_rng(1)
+    x = np.array([op9.hypergeometric(rng, good, bad, draws) for _ in range(4000 if good < 10**6 else 60)], float)
+    total = good + bad
+    mean, var = draws * good / total, draws * good / total * bad / total * (total - draws) / (total - 1)
+    assert abs(x.mean() - mean) < 4.5 * (var / len(x)) ** 0.5 and 0.5 < x.var() / var < 1.7
+    assert x.min() >= max(0, draws - bad) and x.max() <= min(good, draws)
+    if good < 10:
+        from math import comb
+
+        for k in range(min(good, draws) + 1):
+            p = comb(good, k) * comb(bad, draws - k) / comb(total, draws)
+            assert abs((x == k).mean() - p) < 4.5 * (p * (1 - p) / len(x)) ** 0.5 + 1e-9
+
+
 def test_splitting_tree_is_exact():
     quotas = np.array([5, 0, 123, 4000])
     out = op9.split_quotas(quotas, 7, 1)
