@@ -398,6 +398,57 @@ def test_brown_base_and_score(spark, odd, empty, docs):
     assert len(run(odd)) == len(odd_rows()) and all(np.isfinite(r.score) for r in run(odd)) and run(empty) == []
 
 
+def test_brown_probabilities_add_up(spark, docs):
+    """After any class, all words and the unseen word of each shape have probability 1 together."""
+    known = op10._Clustered(docs.select("doc_id", "text", F.lit(False).alias("held_out"), F.lit(True).alias("learn")), least=2, rounds=2, batch_bytes=1 << 18, classes=None)
+    model, words = known.model(), known.words().collect()
+    place, count = np.array([r["class"] for r in words]), np.array([r.n for r in words])
+    shapes = known.classes + np.arange(op10._SHAPES)
+    place, count = np.concatenate([place, shapes]), np.concatenate([count, np.zeros(op10._SHAPES, int)])
+    spell = np.where(count > 0, np.maximum(count - model.off[place], 1e-9) / model.in_class[place], model.unseen[place])
+    by = np.bincount(place, spell, known.classes + op10._SHAPES)
+    held = np.bincount(place, count > 0, len(by)) > 0
+    unheard = np.isin(np.arange(len(by)), shapes) & (np.bincount(place, count, len(by)) == 0)
+    # A shape that training never saw has its unseen word alone; the end has no unseen word.
+    assert np.allclose(by[held & (np.arange(len(by)) != model.end)], 1, atol=1e-6) and np.allclose(by[unheard], 1)
+    total = (10.0**model.step).sum(axis=1)
+    assert np.allclose(total, 1, atol=1e-9)
+    # Every word seen twice has a Brown class, however many there are.
+    assert all((r["class"] < known.classes) == (r.n >= 2) for r in words if r["class"] != model.end) and sum(r.n >= 2 for r in words) > 4 * known.classes
+
+
+def test_brown_finds_planted_classes(spark):
+    r = random.Random(9)
+    kinds, per = 4, 30
+    text = lambda n: " ".join(f"k{(i % kinds)}x{r.randrange(per)}y" for i in range(n))
+    df = spark.createDataFrame([(i, text(400)) for i in range(60)], "doc_id long, text string").repartition(5)
+    found = {x.word: x["class"] for x in op10.word_classes(df, classes=16, rounds=2, batch_bytes=20_000).collect()}
+    names = [f"k{k}x{j}y" for k in range(kinds) for j in range(per)]
+    hashes, _, at = op10.tokens(op10.pa.array(names))
+    of = [found[int(h.view(np.int64))] for h in hashes[at[:-1]]]
+    own = [set(of[k * per : (k + 1) * per]) for k in range(kinds)]
+    assert all(not own[a] & own[b] for a in range(kinds) for b in range(a)) and max(of) < 16
+
+
+def test_moves_take_the_best_class():
+    r = np.random.default_rng(3)
+    classes, k, n = 3, 5, 40
+    grid, counts, now = r.integers(0, 200, (k, k)).astype(float), r.poisson(1.0, (n, 2 * k)), r.integers(-1, classes, n)
+    word, column = np.nonzero(counts)
+    got = op10.moves(word, column, counts[word, column], grid, classes, now, chunk=16)
+    f = lambda x: np.where(x > 1, x * np.log(np.maximum(x, 1)), 0)
+    for w in range(n):
+        gain = []
+        for c in range(classes):
+            g = np.concatenate([grid[c], grid[:, c]])
+            rest = np.maximum(g - counts[w] * (c == now[w]), 0)
+            total = np.array([grid[c].sum(), grid[:, c].sum()])
+            own = np.array([counts[w, :k].sum(), counts[w, k:].sum()])
+            left = np.maximum(total - own * (c == now[w]), 0)
+            gain.append((f(rest + counts[w]) - f(rest)).sum() - (f(left + own) - f(left)).sum())
+        assert gain[got[w]] > max(gain) - 2e-2
+
+
 def test_exchange_finds_planted_classes():
     r = np.random.default_rng(0)
     classes, per = 4, 6
