@@ -1,22 +1,25 @@
-"""Toxicity: class-conditional Kneser-Ney continuation models and their log-likelihood ratio, normalised by length.
+"""Toxicity: class-conditional Kneser-Ney bigram models, compared by length-normalised log-likelihoods.
 
-A class model has three levels. A word counts as often as there are different words that it follows in the class's
-documents, so copies and near copies of a document add nothing; its stem (first four characters) counts as often as
-there are different words that complete it, which catches inflections never seen; below both lies what the classes
-share: in how many of them a key occurs, as Kneser-Ney counts contexts once more. At each level an absolute discount
-below 1, estimated for each class from how many keys have one context and two, is taken off every count and backs off to
-the next, so a word seen once in a class keeps evidence. A text's raw score is the largest mean of its tokens' ratios
-over ``window`` words in a row (over all of a shorter text), so a passage counts the same in a long text as in a short
-one. A logistic curve makes it a score.
+Each class, toxic and ordinary, has a model P(word | word before) of three levels, with absolute discounts:
 
-What comes before a word is counted, not scored: with interpolated bigrams, near copies with different labels make
-passages seem toxic (figures in the README).
+* a pair of words counts as often as there are different words that it follows in the class's documents, so copies and
+  near copies of a document add nothing; 1 is taken off each count and goes to what both classes share: the pairs'
+  counts of both, discounted in the same way, weighed by how much likelier the pair's word is in the class;
+* below, a word counts as often as there are different words that it follows in the class; its stem (first four
+  characters) as often as there are different words that complete it, which catches inflections never seen. The
+  discount, below 1, is estimated for each class from how many keys have one context and two;
+* below both lies what the classes share: in how many of them a key occurs, as Kneser-Ney counts contexts once more. So
+  a word seen once in a class keeps evidence, and a rare expression that one class alone has is weak evidence.
+
+Probabilities of all words of the model add up to 1 after any word. A text's raw score is the difference of the classes'
+log-likelihoods divided by length, taken over ``window`` tokens in a row where it is largest (over all of a shorter
+text), so a passage counts the same in a long text as in a short one. A logistic curve makes it a score.
 
 A bounded sample of labelled rows (up to ``per_class`` of each label, weighted by the rows behind them) is counted by
-Spark: three quarters make the models, the rest places the curve. All words and stems of the sample reach the driver and
-the broadcast, as Arrow columns. Scoring is one pass without a shuffle.
+Spark: three quarters make the models, the rest places the curve. The sample's pairs reach the driver and the broadcast,
+as Arrow columns: at most one for each of the sample's tokens. Scoring is one pass without a shuffle.
 
-Defined cases: null counts as the empty text, whose ratio is 0; without labels of both classes every score is 0; rows
+Defined cases: null counts as the empty text, whose difference is 0; without labels of both classes every score is 0; rows
 without an id are scored and never held out; repeated ids are scored row by row; further columns are kept by
 ``drop_toxic``.
 """
@@ -49,6 +52,14 @@ def _tokens(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tv.word_hashes(data, starts, ends), tv.word_hashes(data, starts, np.minimum(ends, cut)), at
 
 
+def _before(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The word before each token; 0 where a text begins."""
+    before = np.zeros(len(hashes), np.uint64)
+    before[1:] = hashes[:-1]
+    before[at[:-1][np.diff(at) > 0]] = 0
+    return before
+
+
 def discounts(once: np.ndarray, twice: np.ndarray) -> np.ndarray:
     """Absolute discounts n1 / (n1 + 2 n2), kept between 0.1 and 0.9 where a table is too small to tell."""
     return np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.9)
@@ -76,33 +87,87 @@ class _Level:
         return place, self.keys[place] == hashes
 
 
-class Ratio:
-    """Logarithm of toxic over ordinary probability, by word and, for words not in the model, by stem."""
+class _Pairs:
+    """P(word | word before) of both classes, over a backoff in which the classes share the pairs' counts.
+
+    A pair counts as often as there are different words before it, and 1 is taken off: what one passage has said, however
+    often it was copied, stays with the words. What is taken off after a word goes to the pairs of both classes together
+    (discounted alike, over the words of both), each weighed by how much likelier its word is in the class; so a pair
+    that one class alone has seen a few times is no more than weak evidence, and its word keeps its own.
+    """
 
-    def __init__(self, keys: np.ndarray, stems: np.ndarray, counts: np.ndarray, window: int):
-        """keys, their stems and (words, 2) counts of contexts; both classes have some."""
-        completed, of = np.unique(stems, return_inverse=True)
-        types = np.stack([np.bincount(of, counts[:, c] > 0, len(completed)) for c in (0, 1)], axis=1)
-        word, stem = _Level(keys, counts), _Level(completed, types)
+    def __init__(self, before: np.ndarray, words: np.ndarray, counts: np.ndarray, lean: np.ndarray):
+        """lean: for each pair the ratio of its word's probability in each class and in both."""
+        firsts, of = np.unique(before, return_inverse=True)
+        add = lambda x: np.stack([np.bincount(of, x[:, c], len(firsts)) for c in range(x.shape[1])], axis=1)
+        counts = np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
+        mass = add(counts > 0) / np.maximum(add(counts), 1)
+        mass[:, :2] = mass[:, :2].max(axis=1, keepdims=True)  # having fewer documents is no evidence by itself
+        kept = np.maximum(counts - 1, 0)
+        total = add(kept)
+        mass = np.where(total > 0, mass, 1.0)  # a class that kept no pair of a word gives all to what is shared
+        share = (1 - mass)[of] * kept / np.maximum(total, 1)[of]
+        # Weighing by class changes the sum over all words from 1 to this.
+        norm = mass[:, 2:] + add(share[:, 2:] * lean)
+        take = kept[:, 2] > 0
+        key = tv.mix(before[take], _PAIR) ^ words[take]
+        order = np.argsort(key)
+        self.keys, self.share = np.append(key[order], np.uint64(2**64 - 1)), np.concatenate([share[take][order], np.zeros((1, 3))])
+        some = total[:, 2] > 0
+        self.firsts = np.append(firsts[some], np.uint64(2**64 - 1))
+        self.mass, self.norm = np.concatenate([mass[some], np.ones((1, 3))]), np.concatenate([norm[some], np.ones((1, 2))])
+
+    def __call__(self, before: np.ndarray, words: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Each token's probability in both classes; p: its word's in the classes and in both."""
+        key = tv.mix(before, _PAIR) ^ words
+        place = np.searchsorted(self.keys, key)
+        share = np.where((self.keys[place] == key)[:, None], self.share[place], 0.0)
+        place = np.searchsorted(self.firsts, before)
+        found = (self.firsts[place] == before)[:, None]
+        mass, norm = np.where(found, self.mass[place], 1.0), np.where(found, self.norm[place], 1.0)
+        both = share[:, 2:] + mass[:, 2:] * p[:, 2:]
+        return share[:, :2] + mass[:, :2] * both * (p[:, :2] / p[:, 2:]) / norm
+
+
+class Models:
+    """Both classes' models: pairs of words over words over stems."""
+
+    def __init__(self, keys: np.ndarray, stems: np.ndarray, before: np.ndarray, counts: np.ndarray, window: int):
+        """Pairs (before, word), the word's stem, and (pairs, 2) counts of what stands before the pair; both classes have some."""
+        words, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        follows = np.stack([np.bincount(of, counts[:, c] > 0, len(words)) for c in (0, 1)], axis=1)
+        own = stems[first]
+        completed, within = np.unique(own, return_inverse=True)
+        types = np.stack([np.bincount(within, follows[:, c] > 0, len(completed)) for c in (0, 1)], axis=1)
+        word, stem = _Level(words, follows), _Level(completed, types)
         p_stem = stem.kept + stem.mass * stem.classes / stem.classes.sum()
-        place, _ = stem.find(stems[np.argsort(keys)])
+        place, _ = stem.find(own)
         inside = np.bincount(place, word.classes[:, 0], len(completed))[:, None]
-        p = word.kept + word.mass * (p_stem / inside)[place] * word.classes
         self.words, self.stems, self.window = word, stem, window
-        self.word_ratio = np.append(np.log(p[:, 1] / p[:, 0]), 0.0)
-        # A word whose stem is new too backs off alike in both classes.
-        self.stem_ratio = np.append(np.log(p_stem[:, 1] / p_stem[:, 0]), 0.0)
-
-    def __call__(self, texts) -> np.ndarray:
-        """The largest mean of the ratios of ``window`` tokens in a row; 0 for a text without any."""
+        both = lambda p: np.concatenate([p, p.mean(axis=1, keepdims=True)], axis=1)
+        # The last rows: a word not in the model is its stem's, in the share of half a word; a new stem backs off alike in both classes.
+        self.p_word = both(np.concatenate([word.kept + word.mass * (p_stem / inside)[place] * word.classes, np.ones((1, 2))]))
+        least = word.mass * p_stem / np.maximum(inside, 1) / 2
+        self.p_stem = both(np.concatenate([least, np.full((1, 2), least.min())]))
+        at, _ = word.find(keys)
+        self.pairs = _Pairs(before, keys, counts, self.p_word[at, :2] / self.p_word[at, 2:])
+
+    def likelihoods(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its logarithm of probability after the word before it, in both classes; tokens before each text."""
         hashes, stems, at = _tokens(texts)
         place, found = self.stems.find(stems)
-        ratio = np.where(found, self.stem_ratio[place], 0.0)
+        p = np.where(found[:, None], self.p_stem[place], self.p_stem[-1])
         place, found = self.words.find(hashes)
-        ratio = np.where(found, self.word_ratio[place], ratio)
+        p = np.where(found[:, None], self.p_word[place], p)
+        return np.log(self.pairs(_before(hashes, at), hashes, p)), at
+
+    def __call__(self, texts) -> np.ndarray:
+        """The largest mean difference of the classes' log-likelihoods over ``window`` tokens in a row; 0 without any."""
+        logs, at = self.likelihoods(texts)
+        ratio = logs[:, 1] - logs[:, 0]
         sizes = np.diff(at)
         last = np.repeat(at[1:], sizes)
-        first = np.arange(len(hashes))
+        first = np.arange(len(ratio))
         begin = first[(first + self.window <= last) | (first == np.repeat(at[:-1], sizes))]
         end = np.minimum(begin + self.window, last[begin])
         sums = np.concatenate([[0.0], np.cumsum(ratio)])
@@ -114,40 +179,37 @@ class Ratio:
 
 
 class Model:
-    def __init__(self, ratio: Ratio | None, scale: Scale | None):
-        self.ratio, self.scale = ratio, scale
+    def __init__(self, models: Models | None, scale: Scale | None):
+        self.models, self.scale = models, scale
 
     def __call__(self, texts) -> np.ndarray:
-        return np.zeros(len(texts)) if self.ratio is None else self.scale(self.ratio(texts))
+        return np.zeros(len(texts)) if self.models is None else self.scale(self.models(texts))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=None, per_class: int = 8_000, window: int = 4, at: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=None, per_class: int = 8_000, window: int = 3, at: float = 0.5) -> Model:
     sample = sample_labels(labels, label, trainable=F.lit(True) if trainable is None else trainable, per_class=per_class, even=False)
     rows = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", "fold", "weight")
 
     def contexts(batches):
-        """Each word with each word before it, and in which classes; once for each slice."""
+        """Each word with the two words before it, and in which classes; once for each slice."""
         for batch in batches:
             for piece in slices(batch, "text"):
                 hashes, stems, at = _tokens(column(piece, "text"))
-                before = np.zeros(len(hashes), np.uint64)
-                before[1:] = hashes[:-1]
-                before[at[:-1][np.diff(at) > 0]] = 0
+                before = _before(hashes, at)
+                second = _before(before, at)
                 toxic = np.repeat(np.asarray(column(piece, "label")), np.diff(at)) == 1
-                pair = tv.mix(before, _PAIR) ^ hashes
-                _, first, inverse = np.unique(pair, return_index=True, return_inverse=True)
-                in1 = np.bincount(inverse, weights=toxic, minlength=len(first)) > 0
-                in0 = np.bincount(inverse, weights=~toxic, minlength=len(first)) > 0
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(stems[first].view(np.int64)), pa.array(before[first].view(np.int64)), pa.array(in0.astype(np.int32)), pa.array(in1.astype(np.int32))], names=["key", "stem", "before", "n0", "n1"])
-
-    pairs = rows.filter("fold < 3").select("text", "label").mapInArrow(contexts, "key long, stem long, before long, n0 int, n1 int")
-    pairs = pairs.groupBy("key", "stem", "before").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    counted = pairs.groupBy("key", "stem").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    key, stem = (counted[c].to_numpy().view(np.uint64) for c in ("key", "stem"))
+                _, first, inverse = np.unique(tv.mix(tv.mix(second, _PAIR) ^ before, _PAIR) ^ hashes, return_index=True, return_inverse=True)
+                flags = [np.bincount(inverse, weights=x, minlength=len(first)) > 0 for x in (~toxic, toxic)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first].view(np.int64)) for x in (hashes, stems, before, second)), *(pa.array(x.astype(np.int32)) for x in flags)], names=["key", "stem", "before", "second", "n0", "n1"])
+
+    triples = rows.filter("fold < 3").select("text", "label").mapInArrow(contexts, "key long, stem long, before long, second long, n0 int, n1 int")
+    triples = triples.groupBy("key", "stem", "before", "second").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    counted = triples.groupBy("key", "stem", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    key, stem, before = (counted[c].to_numpy().view(np.uint64) for c in ("key", "stem", "before"))
     counts = np.stack([counted[c].to_numpy().astype(float) for c in ("n0", "n1")], axis=1)
     if not len(counts) or not counts.sum(axis=0).all():
         return Model(None, None)
-    ratio = Ratio(key, stem, counts, window)
+    ratio = Models(key, stem, before, counts, window)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     held = add_columns(rows.filter("fold = 3").select("text", "label", "weight"), "raw double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())], keep=["label", "weight"]).collect()
     return Model(ratio, Scale(np.array([r.raw for r in held]), np.array([r.label for r in held]), at=at, weight=np.array([r.weight for r in held])))
