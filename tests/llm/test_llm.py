@@ -180,6 +180,31 @@ def test_toxicity_keeps_rare_words(spark):
     assert with_insult > 0.5 and without < 0.5 and nothing < 0.5
 
 
+def test_toxicity_models_are_distributions(spark):
+    """All words together have probability 1 after any word, in both classes; a pair's order matters; scores are sums by hand."""
+    r = random.Random(2)
+    plain = [f"p{i}lain" for i in range(40)]
+    rows = []
+    for i in range(200):
+        text = [r.choice(plain) for _ in range(25)]
+        text[7:9] = ["go", "away"] if i % 4 == 0 else ["away", "go"]
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = op6.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    m = model.models
+    words = m.words.keys[:-1]
+    p = m.p_word[:-1]
+    assert np.allclose(p.sum(axis=0), 1)
+    for before in (*m.pairs.firsts[:-1], np.uint64(7)):
+        assert np.allclose(m.pairs(np.full(len(words), before), words, p).sum(axis=0), 1, atol=1e-9)
+    good, bad = "p1lain away go p2lain p3lain", "p1lain go away p2lain p3lain"
+    toxic, ordinary = m(op6.pa.array([bad, good]))
+    assert toxic > ordinary + 0.1
+    logs, at = m.likelihoods(op6.pa.array([bad, good, None, "go"]))
+    by_hand = [max((logs[i : min(i + m.window, z), 1] - logs[i : min(i + m.window, z), 0]).mean() for i in range(a, max(z - m.window, a) + 1)) if z > a else 0.0 for a, z in zip(at[:-1], at[1:])]
+    assert np.allclose(m(op6.pa.array([bad, good, None, "go"])), by_hand)
+
+
 def test_toxicity_cuts_stems_at_characters():
     words, stems, at = op6._tokens(op6.pa.array(["дурак дуга дуракам", "笨蛋 笨", "idiot IDIOTS ab", "", None, "é"]))
     assert at.tolist() == [0, 3, 5, 8, 8, 8, 9] and len(set(words.tolist())) == 9
