@@ -256,10 +256,15 @@ class _Bucket:
         return _table(rows, _BLOCKS).combine_chunks().to_batches()[0]
 
 
-def _buckets(batches):
+def _rows(batches):
+    """Rows one by one: each may hold megabytes."""
     for batch in batches:
-        for row in batch.to_pylist():
-            yield _Bucket(row)
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _buckets(batches):
+    return map(_Bucket, _rows(batches))
 
 
 class _Text:
@@ -310,10 +315,9 @@ def _matrix(contexts: DataFrame, units: int) -> np.ndarray:
 
     def add(batches):
         grid = np.zeros(units * units, np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                pair, n = _uncells(row["block"], row["n"])
-                grid[pair] += n
+        for row in _rows(batches):
+            pair, n = _uncells(row["block"], row["n"])
+            grid[pair] += n
         at = np.flatnonzero(grid)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid[at])], names=["pair", "n"])
 
@@ -425,10 +429,9 @@ class _Clustered:
         moved = stored(state.groupBy("bucket").cogroup(contexts.filter("bucket is not null").groupBy("bucket")).applyInArrow(run, "bucket int, n int, place binary"))
 
         def answer(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = _Bucket(row)
-                    yield b.answers(tv.get_planes(row["place"], len(b.words), 2).astype(np.int64))
+            for row in _rows(batches):
+                b = _Bucket(row)
+                yield b.answers(tv.get_planes(row["place"], len(b.words), 2).astype(np.int64))
 
         self.answered = stored(self.state.join(moved.select("bucket", "place"), "bucket").mapInArrow(answer, _BLOCKS))
         return moved
@@ -437,11 +440,10 @@ class _Clustered:
         """word (its hash), n and class of every training word; classes from ``classes`` on are spelling shapes."""
 
         def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b, n = _Bucket(row), row["n"]
-                    seen = b.totals > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (b.words.view(np.int64), b.totals, tv.get_planes(row["place"], n, 2).astype(np.int64))], names=["word", "n", "class"])
+            for row in _rows(batches):
+                b, n = _Bucket(row), row["n"]
+                seen = b.totals > 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (b.words.view(np.int64), b.totals, tv.get_planes(row["place"], n, 2).astype(np.int64))], names=["word", "n", "class"])
 
         return self.state.join(self.places.select("bucket", "place"), "bucket").mapInArrow(run, "word long, n long, class long")
 
@@ -454,13 +456,13 @@ class _Clustered:
         return Model(grid, np.stack([n, v, shape(self.once), shape(self.twice)]), self.classes)
 
 
-def word_classes(docs: DataFrame, *, least: int = 2, rounds: int = 2, batch_bytes: int = 8 << 20, classes: int | None = None) -> DataFrame:
+def word_classes(docs: DataFrame, *, least: int = 2, rounds: int = 2, batch_bytes: int = 4 << 20, classes: int | None = None) -> DataFrame:
     """word (64-bit hash), n and class of every word of all texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(False).alias("held_out"), F.lit(True).alias("learn"))
     return _Clustered(docs, least=least, rounds=rounds, batch_bytes=batch_bytes, classes=classes).words()
 
 
-def score(docs: DataFrame, *, held_out, learn, least: int = 2, rounds: int = 2, batch_bytes: int = 8 << 20, classes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, *, held_out, learn, least: int = 2, rounds: int = 2, batch_bytes: int = 4 << 20, classes: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"))
