@@ -187,7 +187,8 @@ def test_toxicity_models_are_distributions(spark):
     rows = []
     for i in range(200):
         text = [r.choice(plain) for _ in range(25)]
-        text[7:9] = ["go", "away"] if i % 4 == 0 else ["away", "go"]
+        text[3], text[5], text[9], text[11] = "go", "away", "away", "go"
+        text[15:17] = ["go", "away"] if i % 4 == 0 else text[15:17]
         rows.append((i, " ".join(text), int(i % 4 == 0)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     model = op6.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
@@ -197,7 +198,7 @@ def test_toxicity_models_are_distributions(spark):
     assert np.allclose(p.sum(axis=0), 1)
     for before in (*m.pairs.firsts[:-1], np.uint64(7)):
         assert np.allclose(m.pairs(np.full(len(words), before), words, p).sum(axis=0), 1, atol=1e-9)
-    good, bad = "p1lain away go p2lain p3lain", "p1lain go away p2lain p3lain"
+    good, bad = "p1lain go p2lain away p3lain", "p1lain p2lain go away p3lain"
     toxic, ordinary = m(op6.pa.array([bad, good]))
     assert toxic > ordinary + 0.1
     logs, at = m.likelihoods(op6.pa.array([bad, good, None, "go"]))
