@@ -2,20 +2,22 @@
 
 A table's hash of a unit vector is the signed axis nearest to it after three pseudo-rotations (random signs, then a
 Hadamard transform). Every row is indexed in every table. A query probes buckets in the order of its own rotated
-coordinates, in two passes: the first few buckets of each table give it a 20th-best score; from that score, the chance
+coordinates, in two passes: the first few buckets of each table give it a k-th best score; from that score, the chance
 that a neighbour at least as near hides in a table's later buckets is known (it depends on the angle and the dimension
-alone, and is simulated once), and the second pass probes as many further buckets as bring the expected recall to
-``recall``. Queries in dense regions need no second pass; queries without near neighbours probe most of a table, at any
-size. Candidates are reranked by the inner product of the original vectors in double precision.
+alone, and is simulated once), and the second pass probes what brings the expected recall to ``recall`` at the least
+work: a few buckets of many tables for near neighbours, most of one table for far ones. A query without a score to go
+by searches one table whole, so none costs more than a comparison with every row besides the first pass. Candidates are
+reranked by the inner product of the original vectors in double precision.
 
-Buckets are split into blocks of at most ``block_rows`` rows (so copies of one vector are spread), queries go to the
-blocks of their buckets, and a block answers each query with its best ``k`` rows that beat what the query already has.
+Buckets are split into blocks of about ``block_rows`` rows (so copies of one vector are spread) and their queries into
+blocks of about ``block_queries``; a pair of blocks answers each query with its best ``k`` rows that beat what the query
+already has.
 
 Rows of unequal length as vectors: inner product is turned into angle by one more coordinate that brings every row to
 the largest norm; where norms agree it is left out.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, nor do vectors of another
-dimension than most, nor rows without an id; rows that repeat an id are candidates once each, at their best score; with
+dimension than most, nor rows without an id; rows that repeat an id are candidates once each, at their best score, and the least of their vectors is the query; with
 fewer than k candidates all are returned; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -57,8 +59,9 @@ class Rotations:
             x = x / np.sqrt(self.size)
         return np.concatenate([x, -x], axis=1)
 
-    def probes(self, tables: int, recall: float, samples: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-        """By cosine, how many buckets of each table find a neighbour of that cosine with chance ``recall``."""
+    def probes(self, tables: int, recall: float, samples: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By cosine, how many tables to look into and how many buckets of each, so that a neighbour of that cosine is
+        found with chance ``recall`` at the least work: few of many tables for near ones, most of one for far ones."""
         rng = np.random.default_rng(1)
         x = rng.normal(size=(samples, self.size))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -67,33 +70,36 @@ class Rotations:
         y /= np.linalg.norm(y, axis=1, keepdims=True)
         seen = np.argsort(np.argsort(-self.turned(x, 0), axis=1), axis=1)
         cosines = np.arange(0, 1, 0.02)
-        needed = []
+        used, needed = [], []
         for c in cosines:
             rank = np.sort(seen[np.arange(samples), self.turned(c * x + np.sqrt(1 - c * c) * y, 0).argmax(axis=1)])
             share = np.searchsorted(rank, np.arange(1, 2 * self.size + 1)) / samples
-            enough = np.flatnonzero(1 - (1 - share) ** tables >= recall)
-            needed.append(enough[0] + 1 if len(enough) else 2 * self.size)
-        return cosines, np.array(needed)
+            options = [(t * n, t, n) for t in range(1, tables + 1) for n in np.flatnonzero(1 - (1 - share) ** t >= recall)[:1] + 1]
+            _, t, n = min(options, default=(0, 1, 2 * self.size))
+            used.append(t)
+            needed.append(n)
+        return cosines, np.array(used), np.array(needed)
 
 
 def _matrix(vectors) -> np.ndarray:
     vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    return np.asarray(vectors.flatten()).astype(np.float64).reshape(len(vectors), -1)
+    return np.asarray(vectors.flatten()).astype(np.float64).reshape(len(vectors), -1)  # products are taken in double precision
 
 
-def nearest(rows: DataFrame, *, is_query, k: int = 20, tables: int = 6, first: int = 4, recall: float = 0.97, block_rows: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(rows: DataFrame, *, is_query, k: int = 20, tables: int = 6, first: int = 4, recall: float = 0.95, block_rows: int = 512, block_queries: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's k nearest found among all other rows."""
     values = F.col(vector_col)
     sound = values.isNotNull() & F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0)
-    rows = rows.filter(F.col(id_col).isNotNull()).filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), values.cast("array<double>").alias("v"), is_query.alias("q"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = rows.filter(F.col(id_col).isNotNull()).filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), values.alias("v"), is_query.alias("q"))
+    kind = rows.schema["v"].dataType.simpleString()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     by_dim = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("most"), F.min(norm).alias("least")).orderBy(F.desc("n"), "dim").first()
     empty = "query_id long, rank int, vec_id long, score double"
     if by_dim is None:
         return rows.sparkSession.createDataFrame([], empty)
     rows = rows.filter(F.size("v") == by_dim.dim)
     turn = Rotations(by_dim.dim, tables, by_dim.most, by_dim.least < 0.999 * by_dim.most)
-    cosines, needed = turn.probes(tables, recall)
+    cosines, used, needed = turn.probes(tables, recall)
     every = 2 * turn.size
 
     def index(batches):
@@ -103,10 +109,9 @@ def nearest(rows: DataFrame, *, is_query, k: int = 20, tables: int = 6, first: i
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(found.reshape(-1).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "v"), lists], names=["id", "v", "cells"])
 
-    indexed = checkpointed(rows.select("id", "v").mapInArrow(index, "id long, v array<double>, cells array<int>"))
+    indexed = checkpointed(rows.select("id", "v").mapInArrow(index, f"id long, v {kind}, cells array<int>"))
     entries = indexed.select("id", "v", F.explode("cells").alias("cell"))
     blocks = checkpointed(entries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
-    members = entries.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).select("cell", "block", "id", "v")
 
     def probe(low: np.ndarray | None):
         """Which cells queries look into: the first, or (given a 20th-best score) those from there to what is needed."""
@@ -116,17 +121,20 @@ def nearest(rows: DataFrame, *, is_query, k: int = 20, tables: int = 6, first: i
                 v = _matrix(column(batch, "v"))
                 x = turn.padded(v, query=True)
                 if low is None:
-                    lo, hi = np.zeros(len(x), int), np.full(len(x), first)
+                    lo, hi, of = np.zeros(len(x), int), np.full(len(x), first), np.full(len(x), tables)
                     floor = np.full(len(x), -np.inf)
                 else:
                     floor = np.asarray(column(batch, "floor"))
                     cosine = np.where(np.isfinite(floor), floor / (np.linalg.norm(v, axis=1) * turn.norm), 0)
-                    lo, hi = np.full(len(x), first), needed[np.clip(np.floor(np.maximum(cosine, 0) / 0.02).astype(int), 0, len(cosines) - 1)]
-                    hi = np.where(np.isfinite(floor) & (floor > 0), hi, every)
+                    at = np.clip(np.floor(np.maximum(cosine, 0) / 0.02).astype(int), 0, len(cosines) - 1)
+                    # Without a score to go by, one table is searched whole.
+                    known = np.isfinite(floor) & (floor > 0)
+                    hi, of = np.where(known, needed[at], every), np.where(known, used[at], 1)
+                    lo = np.full(len(x), first)
                 cells, counts = [], np.zeros(len(x), np.int64)
                 orders = [np.argsort(-turn.turned(x, t), axis=1) + t * every for t in range(tables)]
                 for i in range(len(x)):
-                    own = np.concatenate([o[i, lo[i] : hi[i]] for o in orders])
+                    own = np.concatenate([o[i, lo[i] : hi[i]] for o in orders[: of[i]]])
                     cells.append(own)
                     counts[i] = len(own)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -154,17 +162,25 @@ def nearest(rows: DataFrame, *, is_query, k: int = 20, tables: int = 6, first: i
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     def search(probing: DataFrame) -> DataFrame:
-        asked = probing.select("qid", "v", "floor", F.explode("cells").alias("cell")).join(blocks, "cell")
-        asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "qid", "v", "floor")
-        return asked.groupBy("cell", "block").cogroup(members.groupBy("cell", "block")).applyInArrow(rank_in_block, "query_id long, vec_id long, score double")
+        """Rows of a cell and queries that look into it meet in blocks of both, so that neither side of a group grows."""
+        probing = checkpointed(probing)
+        asked = probing.select("qid", "v", "floor", F.explode("cells").alias("cell"))
+        asking = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("turns"))
+        grid = checkpointed(blocks.join(asking, "cell"))
+        part = lambda key, by: F.pmod(F.xxhash64(key), F.col(by).cast("long")).cast("int")
+        all_of = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
+        queries = asked.join(grid, "cell").withColumn("turn", part("qid", "turns")).select("cell", all_of("blocks").alias("block"), "turn", "qid", "v", "floor")
+        members = entries.join(grid, "cell").withColumn("block", part("id", "blocks")).select("cell", "block", all_of("turns").alias("turn"), "id", "v")
+        key = ["cell", "block", "turn"]
+        return queries.groupBy(*key).cogroup(members.groupBy(*key)).applyInArrow(rank_in_block, "query_id long, vec_id long, score double")
 
     def best(found: DataFrame) -> DataFrame:
         unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return unique.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    queries = rows.filter("q").groupBy("id").agg(F.first("v").alias("v"))
-    schema = "qid long, v array<double>, floor double, cells array<int>"
+    queries = rows.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    schema = f"qid long, v {kind}, floor double, cells array<int>"
     near = checkpointed(best(search(queries.mapInArrow(probe(None), schema))))
     reached = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     again = queries.join(reached, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
