@@ -93,13 +93,18 @@ def sequences(docs: DataFrame, *, length: int = 512, vocabulary: Vocabulary | No
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def materialise(docs: DataFrame, *, length: int = 512, key: int = 5, shards: int | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Sequences with slot, shard and record (place in the shard), in shards partitions sorted by slot."""
+def materialise(docs: DataFrame, *, length: int = 512, key: int = 5, shards: int | None = None, shard_sequences: int = 1 << 15, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Sequences with slot, shard and record (place in the shard), in one partition for each shard, sorted by slot.
+
+    There are as many shards as sequences ask for at ``shard_sequences`` each (32 MB at the usual length), whatever the
+    session's settings.
+    """
     spark = docs.sparkSession
     cut = stored(sequences(docs, length=length, vocabulary=vocabulary))
     counts = cut.groupBy("part").agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     n = np.array([r.n for r in counts], np.int64)
-    total, shards = int(n.sum()), shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = int(n.sum())
+    shards = shards or max(1, -(-total // shard_sequences))
     stride = max(1, -(-total // shards))
     # From Arrow it becomes a local relation of known size: broadcast below Spark's threshold, without a shuffle of tokens.
     offsets = spark.createDataFrame(pa.table({"part": pa.array([r.part for r in counts], pa.int32()), "base": pa.array(np.cumsum(n) - n, pa.int64())}))
