@@ -104,7 +104,7 @@ def exchange(counts: np.ndarray, movable: int, classes: int, *, rounds: int = 20
     return of
 
 
-def moves(words: np.ndarray, columns: np.ndarray, n: np.ndarray, grid: np.ndarray, classes: int, now: np.ndarray, chunk: int = 16_384) -> np.ndarray:
+def moves(words: np.ndarray, columns: np.ndarray, n: np.ndarray, grid: np.ndarray, classes: int, now: np.ndarray, chunk: int = 4_096) -> np.ndarray:
     """The class for each word that raises the likelihood of the class bigrams most, all else staying as it is.
 
     Cells (word, column, n), ordered by word, count the classes before (columns from len(grid) on) and after a word. grid
