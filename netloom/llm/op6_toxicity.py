@@ -16,8 +16,8 @@ log-likelihoods divided by length, taken over ``window`` tokens in a row where i
 text), so a passage counts the same in a long text as in a short one. A logistic curve makes it a score.
 
 A bounded sample of labelled rows (up to ``per_class`` of each label, weighted by the rows behind them) is counted by
-Spark: three quarters make the models, the rest places the curve. The sample's pairs reach the driver and the broadcast,
-as Arrow columns: at most one for each of the sample's tokens. Scoring is one pass without a shuffle.
+Spark: three quarters make the models, the rest places the curve. The sample's words and its pairs of two contexts or
+more reach the driver and the broadcast, as Arrow columns. Scoring is one pass without a shuffle.
 
 Defined cases: null counts as the empty text, whose difference is 0; without labels of both classes every score is 0; rows
 without an id are scored and never held out; repeated ids are scored row by row; further columns are kept by
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from netloom.llm import textvec as tv
 from netloom.llm.arrowio import add_columns, column, slices, unused
 from netloom.llm.labelled import Scale, remainder, sample_labels
+from netloom.llm.session import checkpointed
 
 _PAIR = 0x70C5
 STEM = 4
@@ -96,12 +97,13 @@ class _Pairs:
     that one class alone has seen a few times is no more than weak evidence, and its word keeps its own.
     """
 
-    def __init__(self, before: np.ndarray, words: np.ndarray, counts: np.ndarray, lean: np.ndarray):
-        """lean: for each pair the ratio of its word's probability in each class and in both."""
-        firsts, of = np.unique(before, return_inverse=True)
+    def __init__(self, before: np.ndarray, words: np.ndarray, counts: np.ndarray, lean: np.ndarray, firsts: np.ndarray, sums: np.ndarray, types: np.ndarray):
+        """Pairs of two contexts or more and their (pairs, 3) counts in each class and both; lean: the ratio of the
+        word's probability in each class and in both. firsts: the words before them, in order, with the sums and numbers
+        of all pairs' counts after them."""
+        of = np.searchsorted(firsts, before)
         add = lambda x: np.stack([np.bincount(of, x[:, c], len(firsts)) for c in range(x.shape[1])], axis=1)
-        counts = np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
-        mass = add(counts > 0) / np.maximum(add(counts), 1)
+        mass = types / np.maximum(sums, 1)
         mass[:, :2] = mass[:, :2].max(axis=1, keepdims=True)  # having fewer documents is no evidence by itself
         kept = np.maximum(counts - 1, 0)
         total = add(kept)
@@ -109,13 +111,11 @@ class _Pairs:
         share = (1 - mass)[of] * kept / np.maximum(total, 1)[of]
         # Weighing by class changes the sum over all words from 1 to this.
         norm = mass[:, 2:] + add(share[:, 2:] * lean)
-        take = kept[:, 2] > 0
-        key = tv.mix(before[take], _PAIR) ^ words[take]
+        key = tv.mix(before, _PAIR) ^ words
         order = np.argsort(key)
-        self.keys, self.share = np.append(key[order], np.uint64(2**64 - 1)), np.concatenate([share[take][order], np.zeros((1, 3))])
-        some = total[:, 2] > 0
-        self.firsts = np.append(firsts[some], np.uint64(2**64 - 1))
-        self.mass, self.norm = np.concatenate([mass[some], np.ones((1, 3))]), np.concatenate([norm[some], np.ones((1, 2))])
+        self.keys, self.share = np.append(key[order], np.uint64(2**64 - 1)), np.concatenate([share[order], np.zeros((1, 3))])
+        self.firsts = np.append(firsts, np.uint64(2**64 - 1))
+        self.mass, self.norm = np.concatenate([mass, np.ones((1, 3))]), np.concatenate([norm, np.ones((1, 2))])
 
     def __call__(self, before: np.ndarray, words: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Each token's probability in both classes; p: its word's in the classes and in both."""
@@ -132,13 +132,13 @@ class _Pairs:
 class Models:
     """Both classes' models: pairs of words over words over stems."""
 
-    def __init__(self, keys: np.ndarray, stems: np.ndarray, before: np.ndarray, counts: np.ndarray, window: int):
-        """Pairs (before, word), the word's stem, and (pairs, 2) counts of what stands before the pair; both classes have some."""
-        words, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        follows = np.stack([np.bincount(of, counts[:, c] > 0, len(words)) for c in (0, 1)], axis=1)
-        own = stems[first]
+    def __init__(self, words: np.ndarray, own: np.ndarray, follows: np.ndarray, pairs: tuple, firsts: tuple, window: int):
+        """Words, their stems and (words, 2) numbers of what they follow; both classes have some. For pairs (before, word,
+        counts) and firsts see _Pairs."""
         completed, within = np.unique(own, return_inverse=True)
         types = np.stack([np.bincount(within, follows[:, c] > 0, len(completed)) for c in (0, 1)], axis=1)
+        order = np.argsort(words)
+        words, own, follows, within = words[order], own[order], follows[order], within[order]
         word, stem = _Level(words, follows), _Level(completed, types)
         p_stem = stem.kept + stem.mass * stem.classes / stem.classes.sum()
         place, _ = stem.find(own)
@@ -149,8 +149,8 @@ class Models:
         self.p_word = both(np.concatenate([word.kept + word.mass * (p_stem / inside)[place] * word.classes, np.ones((1, 2))]))
         least = word.mass * p_stem / np.maximum(inside, 1) / 2
         self.p_stem = both(np.concatenate([least, np.full((1, 2), least.min())]))
-        at, _ = word.find(keys)
-        self.pairs = _Pairs(before, keys, counts, self.p_word[at, :2] / self.p_word[at, 2:])
+        at, _ = word.find(pairs[1])
+        self.pairs = _Pairs(*pairs, self.p_word[at, :2] / self.p_word[at, 2:], *firsts)
 
     def likelihoods(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """For each token its logarithm of probability after the word before it, in both classes; tokens before each text."""
@@ -204,12 +204,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=N
 
     triples = rows.filter("fold < 3").select("text", "label").mapInArrow(contexts, "key long, stem long, before long, second long, n0 int, n1 int")
     triples = triples.groupBy("key", "stem", "before", "second").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
-    counted = triples.groupBy("key", "stem", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    key, stem, before = (counted[c].to_numpy().view(np.uint64) for c in ("key", "stem", "before"))
-    counts = np.stack([counted[c].to_numpy().astype(float) for c in ("n0", "n1")], axis=1)
-    if not len(counts) or not counts.sum(axis=0).all():
+    counted = checkpointed(triples.groupBy("key", "stem", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    both = F.col("n0") + F.col("n1")
+    table = lambda df, keys, columns: (*((got := df.toArrow())[c].to_numpy().view(np.uint64) for c in keys), *(np.stack([got[c].to_numpy().astype(float) for c in cs], axis=1) for cs in columns))
+    key, stem, follows = table(counted.groupBy("key", "stem").agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), ("key", "stem"), (("n0", "n1"),))
+    if not len(key) or not follows.sum(axis=0).all():
         return Model(None, None)
-    ratio = Models(key, stem, before, counts, window)
+    pairs = table(counted.filter(both > 1).withColumn("n2", both), ("before", "key"), (("n0", "n1", "n2"),))
+    sums = counted.groupBy("before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum(both).alias("n2"), F.count_if(F.col("n0") > 0).alias("t0"), F.count_if(F.col("n1") > 0).alias("t1"), F.count(F.lit(1)).alias("t2"), F.max(both).alias("most"))
+    firsts, n, types = table(sums.filter("most > 1"), ("before",), (("n0", "n1", "n2"), ("t0", "t1", "t2")))
+    order = np.argsort(firsts)
+    ratio = Models(key, stem, follows, pairs, (firsts[order], n[order], types[order]), window)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     held = add_columns(rows.filter("fold = 3").select("text", "label", "weight"), "raw double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())], keep=["label", "weight"]).collect()
     return Model(ratio, Scale(np.array([r.raw for r in held]), np.array([r.label for r in held]), at=at, weight=np.array([r.weight for r in held])))
