@@ -206,7 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=N
     triples = triples.groupBy("key", "stem", "before", "second").agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"))
     counted = checkpointed(triples.groupBy("key", "stem", "before").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     both = F.col("n0") + F.col("n1")
-    table = lambda df, keys, columns: (*((got := df.toArrow())[c].to_numpy().view(np.uint64) for c in keys), *(np.stack([got[c].to_numpy().astype(float) for c in cs], axis=1) for cs in columns))
+
+    def table(df: DataFrame, keys: tuple, columns: tuple) -> tuple:
+        got = df.toArrow()  # once: rows may come in another order each time
+        return (*(got[c].to_numpy().view(np.uint64) for c in keys), *(np.stack([got[c].to_numpy().astype(float) for c in cs], axis=1) for cs in columns))
+
     key, stem, follows = table(counted.groupBy("key", "stem").agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1")), ("key", "stem"), (("n0", "n1"),))
     if not len(key) or not follows.sum(axis=0).all():
         return Model(None, None)

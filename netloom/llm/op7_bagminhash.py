@@ -12,9 +12,10 @@ a bucket. A bucket isn't expanded into pairs: first all members are compared wit
 (Spark splits the join where one leader has many). Where a bucket still holds several components, its members meet in
 blocks of at most about ``block``: members of different components are compared until a link joins the two, so that one
 link stands for all. Larger buckets are dealt into blocks twice, each time in another way, which joins what is dense;
-then the members outside a bucket's largest component look for partners by a join on their rarest shingles, which
-misses no pair of the threshold and brings those together that share more than boilerplate. Every comparison is the
-exact weighted Jaccard of the texts; components of the links are the groups.
+then the members outside a bucket's largest component are dealt into parts of about ``block``, and each part meets each
+block of the bucket, so that no group holds more than two blocks. Every comparison is the exact weighted Jaccard of the
+texts, and members of a bucket that end in different components have all been compared; components of the links are the
+groups. What is compared in a bucket grows with its members outside the largest component times all its members.
 
 With 20 bands of 6 components, texts of similarity 0.8 share a band with chance 0.997, of 0.85 with 0.9999.
 
@@ -163,9 +164,10 @@ def _similarities(pairs: DataFrame, contents: DataFrame, width: int) -> DataFram
 
 
 def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Links (a, z) that join components within each block. entries: bucket, block, rep, label.
+    """Links (a, z) that join components within each block. entries: bucket, block, rep, label, seeks.
 
-    Members are compared across labels until a link joins two components; those that end apart have all been compared.
+    Members are compared across labels until a link joins two components; those that end apart have all been compared,
+    if one of the two seeks.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -174,13 +176,13 @@ def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: i
         s, d, c = _counted(shingle, doc)
         at = np.searchsorted(d, np.arange(n + 1))
         sizes = np.bincount(d, c, n)
-        ids = table.column("rep").to_pylist()
+        ids, seeks = table.column("rep").to_pylist(), table.column("seeks").to_pylist()
         groups: dict[int, list[int]] = {}
         for i, label in enumerate(table.column("label").to_pylist()):
             groups.setdefault(label, []).append(i)
 
         def near(i: int, j: int) -> bool:
-            if min(sizes[i], sizes[j]) < threshold * max(sizes[i], sizes[j]):
+            if not (seeks[i] or seeks[j]) or min(sizes[i], sizes[j]) < threshold * max(sizes[i], sizes[j]):
                 return False
             _, ia, ij = np.intersect1d(s[at[i] : at[i + 1]], s[at[j] : at[j + 1]], assume_unique=True, return_indices=True)
             both = np.minimum(c[at[i] : at[i + 1]][ia], c[at[j] : at[j + 1]][ij]).sum()
@@ -200,41 +202,10 @@ def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: i
             apart = [*rest, whole]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "z": pa.array([x[1] for x in links], pa.int64())})
 
-    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "text")
+    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "seeks", "text")
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, z long")
 
 
-def _rare_pairs(members: DataFrame, contents: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Pairs (a, z) of members under different labels, one of which seeks, that share a rare shingle.
-
-    members: rep, label, seeks. Two multisets of similarity t share one of the first n - ceil(t n) + 1 of their n
-    shingles in any common order (the k-th occurrence of a shingle is one of its own), and their sizes' ratio is t at
-    least. The order is from rare to frequent, so what many members have in common brings none together.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                shingle, doc, n = shingles(column(piece, "text"), width)
-                s, d, c = _counted(shingle, doc)
-                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                token = tv.mix(np.repeat(s, c) + tv.mix(nth.astype(np.uint64), 5))
-                of = np.repeat(d, c)
-                yield pa.RecordBatch.from_arrays([column(piece, "rep").take(pa.array(of)), pa.array(token.view(np.int64)), pa.array(np.bincount(of, minlength=n)[of])], names=["rep", "token", "size"])
-
-    texts = contents.withColumnRenamed("id", "rep").join(members.select("rep"), "rep", "left_semi")
-    tokens = checkpointed(texts.select("rep", "text").mapInArrow(run, "rep long, token long, size long"))
-    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "token")
-    kept = F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1
-    first = tokens.join(frequent, "token").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= kept).select("rep", "token", "size")
-    first = checkpointed(first.join(members, "rep"))
-    left = first.filter("seeks").select("token", F.col("rep").alias("a"), F.col("size").alias("n"), F.col("label").alias("l"))
-    right = first.select("token", F.col("rep").alias("z"), F.col("size").alias("m"), F.col("label").alias("r"))
-    close = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    return left.join(right, "token").filter((F.col("l") != F.col("r")) & close).select("a", "z").distinct()
-
-
 def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 6, block: int = 256) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, t1, t2, k1, k2; contents: k1, k2, first row as (no_id, doc_id, t1, t2) and label of its group)."""
     features = stored(_features(docs, width=width, bands=bands, rows=rows))
@@ -256,17 +227,19 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
     for step in range(3):
         named = open_entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         by_label = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        open_buckets = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("largest")).filter((F.col("labels") > 1) & (F.col("n") > least))
-        if step < 2:
-            mine = F.pmod(F.xxhash64("rep", F.lit(step)), F.ceil(F.col("n") / block).cast("long"))
-            dealt = checkpointed(named.join(open_buckets, "bucket").select("bucket", mine.alias("block"), "rep", "label"))
-        else:
-            # What two ways of dealing left outside its bucket's largest component looks for partners by rare shingles.
-            outside = F.max(F.col("label") != F.col("largest")).alias("seeks")
-            dealt = checkpointed(named.join(open_buckets, "bucket").groupBy("rep", "label").agg(outside))
+        open_buckets = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.max("k").alias("most")).filter((F.col("labels") > 1) & (F.col("n") > least))
+        dealt = named.join(open_buckets, "bucket").withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "parts": F.ceil((F.col("n") - F.col("most")) / block).cast("long")})
+        mine = F.pmod(F.xxhash64("rep", F.lit(step)), F.col("blocks"))
+        dealt = dealt.withColumns({"seeks": F.lit(True), "block": mine})
+        if step == 2:
+            # What two ways of dealing left outside the largest component is dealt into parts; every part meets every block.
+            each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+            outside = dealt.filter(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts"))).withColumn("block", each("blocks"))
+            dealt = outside.unionByName(dealt.withColumn("part", each("parts")).withColumn("seeks", F.lit(False))).withColumn("block", F.col("part") * F.col("blocks") + F.col("block"))
+        dealt = checkpointed(dealt.groupBy("bucket", "block", "rep", "label").agg(F.max("seeks").alias("seeks")))
         if dealt.isEmpty():
             break
-        more = checkpointed(_connect(dealt, contents, threshold, width) if step < 2 else near(_rare_pairs(dealt, contents, threshold, width)))
+        more = checkpointed(_connect(dealt, contents, threshold, width))
         if not more.isEmpty():
             links = checkpointed(links.union(more))
             labels = components(links)
