@@ -16,22 +16,33 @@ from netloom.functions.names import dns_name
 from netloom.session import checkpointed
 
 
-def binned_range_join(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, width: int, on: Sequence[str] = (), how: str = "inner") -> DataFrame:
-    """Points within closed intervals (a null bound is open on that side within the other side's bins).
+def binned_range_join(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, width: int, on: Sequence[str] = (), how: str = "inner", closed: bool = False) -> DataFrame:
+    """Points within closed intervals; a null bound is open on that side, unless all are known to be closed.
 
-    Intervals are repeated for each bin of ``width`` that they meet, points for none, so every pair meets once.
+    Intervals are repeated for each bin of ``width`` that they meet (an open side reaches to the last point there, whose
+    one row of least and largest is joined to them by a constant), points for none, so every pair meets once.
     """
-    bins = F.sequence(F.expr(f"{low} div {width}"), F.expr(f"{high} div {width}"))
-    spread = intervals.withColumn("_bin", F.explode(bins))
+    if closed:
+        spread = intervals.withColumn("_bin", F.explode(F.sequence(F.expr(f"{low} div {width}"), F.expr(f"{high} div {width}"))))
+    else:
+        spread = _reaching(points, intervals, at, low, high, width)
     binned = points.withColumn("_bin", F.expr(f"{at} div {width}"))
     keys = ["_bin", *on]
     condition = [binned[k] == spread[k] for k in keys]
-    joined = binned.join(spread, [*condition, binned[at] >= spread[low], binned[at] <= spread[high]], how)
+    joined = binned.join(spread, [*condition, binned[at] >= F.coalesce(spread[low], binned[at]), binned[at] <= F.coalesce(spread[high], binned[at])], how)
     for k in keys:
         joined = joined.drop(spread[k])
     return joined.drop("_bin")
 
 
+def _reaching(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+    """intervals by bin, open sides as far as points go."""
+    reach = points.agg(F.min(at).alias("_least"), F.max(at).alias("_most")).withColumn("_one", F.lit(1))
+    ends = intervals.withColumn("_one", F.lit(1)).join(F.broadcast(reach), "_one").drop("_one")
+    first, last = F.coalesce(F.col(low), F.col("_least")), F.coalesce(F.col(high), F.col("_most"))
+    return ends.filter(first <= last).withColumns({"_first": first, "_last": last}).withColumn("_bin", F.explode(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}")))).drop("_first", "_last", "_least", "_most")
+
+
 def longest_prefix_match(addresses: DataFrame, networks: DataFrame, *, address: str = "address") -> DataFrame:
     """addresses with interface_id of the network that holds them: operator's before detected, then longest, then lowest id.
 
@@ -54,7 +65,7 @@ def ip_range_join(addresses: DataFrame, ranges: DataFrame, *, address: str = "ad
     each /16 they meet; an address has one.
     """
     points = addresses.select(address).filter(net.is_public(F.col(address))).distinct().withColumn("_n", net.v4_number(F.col(address)))
-    found = binned_range_join(points, ranges, at="_n", low="range_start", high="range_end", width=65536, how="left")
+    found = binned_range_join(points, ranges, at="_n", low="range_start", high="range_end", width=65536, how="left", closed=True)
     return found.withColumn("lookup_state", F.when(F.col("range_start").isNull(), "miss").otherwise("resolved")).drop("_n", "range_start", "range_end")
 
 

@@ -147,7 +147,7 @@ def _(x: Tables) -> DataFrame:
 
 @add("h1_binned_range_join", "SELECT f.id, g.interval_start_at, g.reason FROM flow f JOIN gap g ON f.observed_at BETWEEN g.interval_start_at AND g.interval_end_at")
 def _(x: Tables) -> DataFrame:
-    return joins.binned_range_join(x.flow.select("id", "observed_at"), x.gap, at="observed_at", low="interval_start_at", high="interval_end_at", width=86400).select("id", "interval_start_at", "reason")
+    return joins.binned_range_join(x.flow.select("id", "observed_at"), x.gap, at="observed_at", low="interval_start_at", high="interval_end_at", width=86400, closed=True).select("id", "interval_start_at", "reason")
 
 
 @add("j01_dimension_lookup", "SELECT f.id, r.description, CASE WHEN r.id IS NULL THEN 'not_found' ELSE 'resolved' END AS state FROM flow f LEFT JOIN rule r ON r.id = f.rule_id")
@@ -255,15 +255,15 @@ def _(x: Tables) -> DataFrame:
 
 
 @add("d01_place_addresses", f"""WITH {_LPM.replace("FROM network)", "FROM network WHERE interface_id IN (SELECT id FROM interface WHERE NOT is_upstream))")}, ins AS (SELECT id FROM interface WHERE NOT is_upstream),
- l AS (SELECT last_address AS address, interface_id FROM (SELECT c.*, row_number() OVER (PARTITION BY last_address ORDER BY last_seen_at DESC, c.interface_id) AS r FROM client c JOIN ins ON ins.id = interface_id WHERE c.id % 5 = 0) WHERE r = 1),
- i AS (SELECT last_address AS address, interface_id FROM (SELECT c.*, row_number() OVER (PARTITION BY last_address ORDER BY last_seen_at DESC, c.id) AS r FROM client c JOIN ins ON ins.id = interface_id WHERE identity_kind IN ('dhcp_client_id', 'mac') AND c.id % 3 = 0) WHERE r = 1),
+ l AS (SELECT address, interface_id FROM (SELECT address, client_id % 25 AS interface_id, row_number() OVER (PARTITION BY address ORDER BY observed_at DESC, client_id % 25) AS r FROM lease JOIN ins ON ins.id = client_id % 25) WHERE r = 1),
+ i AS (SELECT last_address AS address, interface_id FROM (SELECT c.*, row_number() OVER (PARTITION BY last_address ORDER BY last_seen_at DESC, c.id) AS r FROM client c JOIN ins ON ins.id = interface_id WHERE identity_kind IN ('dhcp_client_id', 'mac')) WHERE r = 1),
  s AS (SELECT src_address AS address, src_interface_id AS interface_id FROM (SELECT f.*, row_number() OVER (PARTITION BY src_address ORDER BY observed_at DESC, src_interface_id) AS r FROM flow f JOIN ins ON ins.id = src_interface_id WHERE direction = 'in') WHERE r = 1)
  SELECT a.address, coalesce(l.interface_id, i.interface_id, p.interface_id, s.interface_id) AS interface_id, CASE WHEN l.interface_id IS NOT NULL THEN 'lease' WHEN i.interface_id IS NOT NULL THEN 'identity' WHEN p.interface_id IS NOT NULL THEN 'network' WHEN s.interface_id IS NOT NULL THEN 'sighting' END AS evidence
  FROM addr a LEFT JOIN l ON l.address = a.address LEFT JOIN i ON i.address = a.address LEFT JOIN placed p ON p.address = a.address LEFT JOIN s ON s.address = a.address""")
 def _(x: Tables) -> DataFrame:
-    lease = x.client.filter("id % 5 = 0").select(F.col("last_address").alias("address"), "interface_id", F.col("last_seen_at").alias("observed_at"))
+    lease = x.lease.select("address", (F.col("client_id") % 25).alias("interface_id"), "observed_at")
     seen = x.flow.filter("direction = 'in'").select(F.col("src_address").alias("address"), F.col("src_interface_id").alias("interface_id"), "observed_at")
-    return derive.place_addresses(x.flow.select(F.col("src_address").alias("address")), lease=lease, client=x.client.filter("id % 3 = 0"), networks=x.network, sightings=seen, interface=x.interface)
+    return derive.place_addresses(x.flow.select(F.col("src_address").alias("address")), lease=lease, client=x.client, networks=x.network, sightings=seen, interface=x.interface)
 
 
 _HELD = "h.address = f.dst_address AND h.source_field = 'addr4' AND h.first_seen_at - 300 <= f.observed_at AND (h.is_current OR h.last_seen_at + 300 >= f.observed_at)"
@@ -736,9 +736,9 @@ def _(x: Tables) -> DataFrame:
     return quality.aggregate_coverage({"hours": _volume(x), "days": _volume(x, "24h")})
 
 
-@add("q03_source_availability", "SELECT r.id, name AS provider_key, coalesce(arg_max(CASE WHEN action = 'pass' THEN 'reachable' ELSE 'failed' END, looked_up_at * 100000 + d.id), 'never_checked') AS state, max(looked_up_at) AS checked_at FROM (SELECT id + 2 AS id, name FROM blocklist) r LEFT JOIN (SELECT * FROM dns WHERE id % 5 = interface_id % 5) d ON d.interface_id % 5 = r.id GROUP BY 1, 2")
+@add("q03_source_availability", "SELECT r.id, name AS provider_key, coalesce(arg_max(CASE WHEN action = 'pass' THEN 'reachable' ELSE 'failed' END, looked_up_at * 100000 + d.id), 'never_checked') AS state, max(looked_up_at) AS checked_at FROM (SELECT id + 2 AS id, name FROM blocklist) r LEFT JOIN dns d ON d.interface_id % 5 = r.id GROUP BY 1, 2")
 def _(x: Tables) -> DataFrame:
-    checks = x.dns.filter("id % 5 = interface_id % 5").select((F.col("interface_id") % 5).alias("provider_id"), F.when(F.col("action") == "pass", "reachable").otherwise("failed").alias("state"), (F.col("looked_up_at") * 100000 + F.col("id")).alias("checked_at"))
+    checks = x.dns.select((F.col("interface_id") % 5).alias("provider_id"), F.when(F.col("action") == "pass", "reachable").otherwise("failed").alias("state"), (F.col("looked_up_at") * 100000 + F.col("id")).alias("checked_at"))
     out = quality.source_availability(x.blocklist.select((F.col("id") + 2).alias("id"), F.col("name").alias("provider_key")), checks)
     return out.withColumn("checked_at", F.expr("checked_at div 100000"))
 
@@ -770,22 +770,36 @@ def _(x: Tables) -> DataFrame:
     return quality.pairing_outcomes(x.flow)
 
 
-@add("q08_counted_twice", "SELECT CAST(0 * count(*) AS BIGINT) AS violations FROM events")
+_PAIRS = "SELECT CAST(event_id AS BIGINT) AS id, CAST(CASE WHEN user_id % 7 = 0 THEN event_id + 2 ELSE event_id + 1 - 2 * (event_id % 2) END AS BIGINT) AS paired_flow_id, CASE WHEN event_id % 2 = 0 OR user_id % 11 = 0 THEN 'first_leg' ELSE 'second_leg' END AS pair_outcome FROM events"
+
+
+@add("q08_counted_twice", f"WITH p AS ({_PAIRS}) SELECT count(*) AS violations FROM p LEFT JOIN p b ON b.id = p.paired_flow_id WHERE b.paired_flow_id IS DISTINCT FROM p.id OR b.pair_outcome = p.pair_outcome")
 def _(x: Tables) -> DataFrame:
-    legs = _legs(x).withColumns({"pair_outcome": F.lit(None).cast("string"), "paired_flow_id": F.lit(None).cast("bigint")})
-    return quality.counted_twice(joins.pair_legs(legs, x.interface, window_s=60))
+    return quality.counted_twice(x.spark.sql(_PAIRS.replace("FROM events", "FROM {events}"), events=x.events))
+
+
+_COVERED = "r.rrtype = 'A' AND r.address = v.dst_address AND v.observed_at BETWEEN r.covered_from_at AND r.covered_until_at"
+
+
+def _exact_names(x: Tables) -> DataFrame:
+    r = x.record.filter("rrtype = 'A'").select(F.col("address").alias("dst_address"), F.col("owner_name").alias("domain"), "covered_from_at", "covered_until_at")
+    return x.visit.join(r, "dst_address").filter(F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at"))).select(F.col("id").alias("flow_id"), "domain")
+
+
+@add("q09_exact_candidate_unattributed", f"SELECT count(*) AS violations FROM (SELECT v.id FROM visit v JOIN record r ON {_COVERED} GROUP BY v.id HAVING count(DISTINCT r.owner_name) = 1) c WHERE NOT EXISTS (SELECT 1 FROM dns d WHERE d.client_resolution = 'logged_address' AND d.id = c.id + 1)")
+def _(x: Tables) -> DataFrame:
+    known = x.dns.filter("client_resolution = 'logged_address'").select((F.col("id") - 1).alias("flow_id"))
+    return quality.unattributed_with_one_candidate(_exact_names(x), known)
 
 
-@add("q10_single_candidate_unattributed", "SELECT count(*) AS violations FROM (SELECT f.id FROM flow f JOIN attribution a ON a.flow_id = f.id WHERE f.id % 10 = 0 GROUP BY f.id HAVING count(DISTINCT site_name) = 1) WHERE id % 20 <> 0")
+@add("q10_single_candidate_unattributed", "SELECT count(*) AS violations FROM (SELECT flow_id FROM attribution GROUP BY flow_id HAVING count(DISTINCT site_name) = 1) c WHERE NOT EXISTS (SELECT 1 FROM attribution a WHERE a.flow_id = c.flow_id AND a.method = 'resolver_cache_answer')")
 def _(x: Tables) -> DataFrame:
-    candidates = x.attribution.filter("flow_id % 10 = 0").select("flow_id", F.col("site_name").alias("domain"))
-    return quality.unattributed_with_one_candidate(candidates, x.attribution.filter("flow_id % 20 = 0"))
+    return quality.unattributed_with_one_candidate(x.attribution.select("flow_id", F.col("site_name").alias("domain")), x.attribution.filter("method = 'resolver_cache_answer'"))
 
 
-@add("q13_cache_coverage", "WITH r AS (SELECT address, observed_at AS s, observed_at + 864000 AS e FROM (SELECT DISTINCT dst_address AS address, observed_at FROM flow WHERE id % 11 = 0)) SELECT count(*) AS records, count(*) FILTER (c) AS covered, round(100.0 * count(*) FILTER (c) / count(*), 2) AS percent FROM (SELECT EXISTS (SELECT 1 FROM r WHERE r.address = f.dst_address AND f.observed_at BETWEEN s AND e) AS c FROM flow f)")
+@add("q13_cache_coverage", f"SELECT count(*) AS records, count(*) FILTER (c) AS covered, round(100.0 * count(*) FILTER (c) / count(*), 2) AS percent FROM (SELECT EXISTS (SELECT 1 FROM record r WHERE {_COVERED}) AS c FROM visit v)")
 def _(x: Tables) -> DataFrame:
-    records = x.flow.filter("id % 11 = 0").select(F.col("dst_address").alias("address"), F.col("observed_at").alias("covered_from_at"), (F.col("observed_at") + 864000).alias("covered_until_at"), F.lit("A").alias("rrtype"))
-    return quality.cache_coverage(x.flow, records)
+    return quality.cache_coverage(x.visit, x.record)
 
 
 @add("q14_lookups_by_resolution", "SELECT client_resolution, count(*) AS lookups, min(looked_up_at) AS earliest, max(looked_up_at) AS latest FROM dns GROUP BY 1")
@@ -883,11 +897,10 @@ def _(x: Tables) -> DataFrame:
     return derive.classify_end(x.flow, side="src", at="observed_at", placed=placed, holdings=x.interface_address, client=x.client).select("id", "new_src_interface_id", "new_src_client_id", "src_changed")
 
 
-@add("q09_q11_exact_evidence_mismatch", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT 0 * count(*) AS violations FROM att")
+@add("q09_q11_exact_evidence_mismatch", f"SELECT count(*) AS violations FROM visit v WHERE NOT EXISTS (SELECT 1 FROM record r WHERE {_COVERED} AND r.owner_name = concat('s', CAST(v.id % 40 AS STRING), '.example'))")
 def _(x: Tables) -> DataFrame:
-    named = derive.attribute_sites(x.visit, x.dns, x.record, timing_s=3600, cap_s=86400).filter("method = 'resolver_cache_answer'")
-    asked = named.join(x.visit.select(F.col("id").alias("flow_id"), "observed_at"), "flow_id").select(F.col("flow_id").alias("origin"), F.col("site_name").alias("name"), F.col("observed_at").alias("at"))
-    answers = joins.answer_addresses(asked, x.record).select("name", "address", "origin").join(asked.select("origin", F.col("at").alias("covered_from_at")), "origin").withColumn("covered_until_at", F.col("covered_from_at")).drop("origin")
+    named = x.visit.select(F.col("id").alias("flow_id"), F.concat(F.lit("s"), (F.col("id") % 40).cast("string"), F.lit(".example")).alias("site_name"), F.lit("resolver_cache_answer").alias("method"))
+    answers = x.record.filter("rrtype = 'A'").select(F.col("owner_name").alias("name"), "address", "covered_from_at", "covered_until_at")
     return quality.evidence_mismatch(named, x.visit, answers)
 
 
@@ -912,3 +925,70 @@ def _(x: Tables) -> DataFrame:
 def _(x: Tables) -> DataFrame:
     mapping = x.client.filter("id % 3 = 1").select(F.col("id").alias("old_client_id"), (F.col("id") + 1000000).alias("new_client_id"))
     return retention.repoint_purged(x.purged, mapping).groupBy("local_client_id", "src_client_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- sources: text made of the given tables, parsed -----------------------------------------------------------------------
+
+
+@add("f02_normalise_iso", "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) - 7200 AS instant FROM events")
+def _(x: Tables) -> DataFrame:
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(".123456+0200"))
+    return x.events.select("event_id", t.normalise_iso(text).alias("instant"))
+
+
+_BYTES = ("event_id % 16 * 16 + user_id % 16", "event_id % 256", "DIV(event_id, 256) % 256", "user_id % 256", "7", "255")
+
+
+@add("f06_mac", "SELECT event_id, printf('%02x:%02x:%02x:%02x:%02x:%02x', " + ", ".join(f"CAST({b} AS INT)" for b in _BYTES) + ") AS mac, user_id % 16 IN (2, 6, 10, 14) AS randomised FROM events")
+def _(x: Tables) -> DataFrame:
+    from netloom.plans.inputs import spark_sql
+
+    raw = F.concat_ws("-", *(F.lpad(F.hex(F.expr(spark_sql(b)).cast("bigint")), 2, "0") for b in _BYTES))
+    mac = net.mac_normalise(F.concat(F.lit(" "), raw))
+    return x.events.select("event_id", mac.alias("mac"), net.mac_is_randomised(mac).alias("randomised"))
+
+
+@add("f09_text_gauges", "SELECT event_id, CAST(user_id * 86400 + event_id % 24 * 3600 + event_id % 60 * 60 + 5 AS BIGINT) AS uptime_s, CAST(event_id % 1000 / 10.0 AS DOUBLE) AS delay, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(user_id % 100 / 4.0 AS DOUBLE) END AS load FROM events")
+def _(x: Tables) -> DataFrame:
+    from netloom.functions.names import first_load_average, leading_number, uptime_seconds
+
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    uptime = F.concat(F.col("user_id").cast("string"), F.lit(" days, "), two(F.col("event_id") % 24), F.lit(":"), two(F.col("event_id") % 60), F.lit(":05"))
+    delay = F.concat((F.col("event_id") % 1000 / 10).cast("string"), F.lit(" ms"))
+    load = F.when(F.col("event_id") % 5 == 0, "~").otherwise(F.concat((F.col("user_id") % 100 / 4).cast("string"), F.lit(", 0.5, 0.25")))
+    return x.events.select("event_id", uptime_seconds(uptime).alias("uptime_s"), leading_number(delay).alias("delay"), first_load_average(load).alias("load"))
+
+
+@add("s04_parse_lookups", """WITH raw AS (SELECT CASE WHEN event_id % 3 = 0 THEN concat('h', CAST(user_id AS STRING)) ELSE concat('10.0.0.', CAST(user_id AS STRING)) END AS client, concat('S', CAST(event_id % 40 AS STRING), '.example') AS domain, EPOCH(ts) AS at_, event_type, event_id FROM events)
+ SELECT sha256(concat_ws(chr(31), CAST(at_ AS STRING), client, domain, CASE event_type WHEN 'view' THEN 'Pass' WHEN 'error' THEN 'Drop' ELSE event_type END, 'Cache', '')) AS lookup_key, CASE WHEN event_id % 3 <> 0 THEN client END AS client_address, CASE WHEN event_id % 3 = 0 THEN client END AS client_hostname, CASE WHEN event_id % 3 = 0 THEN 'unknown_hostname' ELSE 'logged_address' END AS client_resolution, domain, CASE event_type WHEN 'view' THEN 'pass' WHEN 'error' THEN 'drop' ELSE 'unknown' END AS action, at_ AS looked_up_at FROM raw""")
+def _(x: Tables) -> DataFrame:
+    from netloom.sources import payloads
+
+    e, text = F.col("event_id"), lambda c: c.cast("string")
+    client = F.when(e % 3 == 0, F.concat(F.lit("h"), text(F.col("user_id")))).otherwise(F.concat(F.lit("10.0.0."), text(F.col("user_id"))))
+    action = F.when(F.col("event_type") == "view", "Pass").when(F.col("event_type") == "error", "Drop").otherwise(F.col("event_type"))
+    raw = x.events.select(F.to_json(F.struct(client.alias("client"), F.concat(F.lit("S"), text(e % 40), F.lit(".example")).alias("domain"), text(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("time"), action.alias("action"), F.lit("Cache").alias("source"), F.lit("").alias("blocklist"))).alias("j"))
+    parsed = payloads.parse_lookups(raw.select(F.from_json("j", payloads.LOOKUP).alias("o")).select("o.*"))
+    return parsed.select("lookup_key", "client_address", "client_hostname", "client_resolution", "domain", "action", "looked_up_at")
+
+
+@add("s05_s06_parse_leases", """SELECT concat('10.9.', CAST(o_custkey % 256 AS STRING), '.', CAST(o_orderkey % 256 AS STRING)) AS address, concat('host', CAST(o_custkey % 97 AS STRING)) AS hostname_label, CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'O' THEN 'active' ELSE 'unknown' END AS lease_state, EPOCH(o_orderdate) AS starts_at, EPOCH(o_orderdate) + 7200 AS expires_at, concat('start:', CAST(EPOCH(o_orderdate) AS STRING)) AS generation_key FROM orders""")
+def _(x: Tables) -> DataFrame:
+    from netloom.sources import payloads
+
+    text, at = lambda c: c.cast("string"), F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    state = F.when(F.col("o_orderstatus") == "F", "2").when(F.col("o_orderstatus") == "O", "0").otherwise(F.col("o_orderstatus"))
+    fields = {"address": F.concat(F.lit("10.9."), text(F.col("o_custkey") % 256), F.lit("."), text(F.col("o_orderkey") % 256)), "hostname": F.concat(F.lit("HOST"), text(F.col("o_custkey") % 97), F.lit(".lan.")), "expire": text(at + 7200), "valid_lifetime": F.lit("7200"), "state": state}
+    raw = x.orders.select(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("j")).select(F.from_json("j", payloads.LEASE).alias("o")).select("o.*")
+    return payloads.parse_leases(raw, backend="made", observed_at=NOW).select("address", "hostname_label", "lease_state", "starts_at", "expires_at", "generation_key")
+
+
+@add("s08_parse_security_events", """SELECT concat('f', CAST(user_id AS STRING), ':', CAST(event_id AS STRING)) AS provider_event_key, EPOCH(ts) AS occurred_at, CAST(user_id AS STRING) AS rule_identity, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'allowed' ELSE 'unknown' END AS event_action, concat('10.0.0.', CAST(user_id AS STRING)) AS src_address, CAST(CASE WHEN event_id % 4 <> 0 THEN 1024 + event_id % 1000 END AS INT) AS src_port, 'tcp' AS protocol FROM events""")
+def _(x: Tables) -> DataFrame:
+    from netloom.sources import payloads
+
+    text, e = lambda c: c.cast("string"), F.col("event_id")
+    action = F.when(F.col("event_type") == "error", "Drop").when(F.col("event_type") == "view", "allowed").otherwise("odd")
+    fields = {"fileid": F.concat(F.lit("f"), text(F.col("user_id"))), "filepos": text(e), "alert_sid": text(F.col("user_id")), "alert": F.lit("made"), "alert_action": action, "timestamp": F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")), "src_ip": F.concat(F.lit("10.0.0."), text(F.col("user_id"))), "src_port": F.when(e % 4 != 0, text(1024 + e % 1000)).otherwise("none"), "dest_ip": F.lit("203.0.1.1"), "dest_port": F.lit("443"), "proto": F.lit("TCP")}
+    raw = x.events.select(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("j")).select(F.from_json("j", payloads.text_fields(*fields)).alias("o")).select("o.*")
+    return payloads.parse_security_events(raw).select("provider_event_key", "occurred_at", "rule_identity", "event_action", "src_address", "src_port", "protocol")

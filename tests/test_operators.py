@@ -176,3 +176,12 @@ def test_refresh_rewrites_touched_slots_only(spark):
         a, b = out["rule", period], whole[period].join(wanted, "period_start_at", "left_semi")
         columns = sorted(b.columns)
         assert values(a, *columns) == values(b, *columns)
+
+
+def test_range_join_with_open_bounds(spark):
+    from netloom.operators.joins import binned_range_join
+
+    points = spark.createDataFrame([(i,) for i in (-25, 0, 7, 30)], "at long")
+    spans = spark.createDataFrame([("all", None, None), ("from", 7, None), ("until", None, 0), ("both", 1, 8), ("none", 9, 8), ("beyond", 99, None)], "name string, low long, high long")
+    got = {(r.name, r["at"]) for r in binned_range_join(points, spans, at="at", low="low", high="high", width=10).collect()}
+    assert got == {("all", -25), ("all", 0), ("all", 7), ("all", 30), ("from", 7), ("from", 30), ("until", -25), ("until", 0), ("both", 7)}
