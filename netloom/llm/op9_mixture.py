@@ -12,7 +12,8 @@ x shards would pass ``MOST_QUOTAS`` (what the driver and a broadcast hold, 32 MB
 Blocks get their numbers in two levels, so that a source with most of the rows is spread: (source, cell) groups number
 their own documents, and small sums of cells offset them. What the driver handles is one row for each source and the
 tree's quotas (sources x shards, bounded); documents, blocks and draws stay distributed. ``mixed`` gives each document its draws
-with shard and place; ``mix`` writes documents, each in the shard and at the place of the first of its drawn blocks.
+with shard and place; ``mix`` writes documents, each in the shard and at the place of one of its drawn blocks, chosen by a
+keyed hash; only the document of a shard's first draw opens that shard (the lowest, where it has several).
 
 Defined cases: null texts and texts without words have size 0 and are never drawn; a null source is a source of its own
 and comes last; a row without an id is numbered like the others; rows that repeat an id, source and text are numbered
@@ -184,11 +185,12 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
     """The mixture as documents with the columns of docs: what the mix takes of a document, in a row for each pass.
 
     A row's text is the document's drawn blocks of that pass in their order; a document drawn whole keeps its text. Rows
-    are dealt to one partition for each shard and ordered by place: those of the row's first block in the mixture.
+    are dealt to one partition for each shard and ordered by place: those of a shard's first draw, else of a block by a
+    keyed hash, so that shards have about equal bytes however long documents are.
     """
     rows, drawn, shards = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
     blocks = drawn.groupBy("k1", "k2", "copy", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
-    lists = blocks.groupBy("k1", "k2", "copy").agg(F.collect_list(F.struct("block", "times", "places")).alias("drawn"))
+    lists = blocks.groupBy("k1", "k2", "copy").agg(F.array_sort(F.collect_list(F.struct("block", "times", "places"))).alias("drawn"))
     k1, k2, copy, todo, turn, chosen, at, shard, place, picked = unused(docs.columns, "k1", "k2", "copy", "drawn", "turn", "chosen", "at", "shard", "place", "blocks")
     lists = lists.groupBy("k1", "k2").agg(F.collect_list(F.struct("copy", "drawn")).alias(todo)).withColumnsRenamed({"k1": k1, "k2": k2})
     first, second = _keys()
@@ -199,8 +201,11 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
     got = got.withColumn(todo, F.filter(todo, lambda x: x["copy"] == F.col(copy))).filter(F.size(todo) > 0).withColumn(todo, F.col(todo)[0]["drawn"])
     got = got.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform(todo, lambda b: b["times"])))))
     got = got.withColumn(chosen, F.filter(todo, lambda b: b["times"] >= F.col(turn)))
-    got = got.withColumn(at, F.array_min(F.transform(chosen, lambda b: F.element_at(b["places"], F.col(turn).cast("int")))))
-    got = got.withColumns({picked: F.array_sort(F.transform(chosen, lambda b: b["block"])), shard: F.col(at)["shard"], place: F.col(at)["place"]})
+    # Placing all by their first blocks would gather long documents in the lowest shards.
+    got = got.withColumn(at, F.transform(chosen, lambda b: F.element_at(b["places"], F.col(turn).cast("int"))))
+    chance = F.pmod(F.xxhash64(k1, k2, copy, turn, F.lit(seed)), F.size(at).cast("long")).cast("int")
+    got = got.withColumn(at, F.coalesce(F.array_min(F.filter(at, lambda d: d["place"] == 0)), F.element_at(at, chance + 1)))
+    got = got.withColumns({picked: F.transform(chosen, lambda b: b["block"]), shard: F.col(at)["shard"], place: F.col(at)["place"]})
 
     def cut(piece: pa.RecordBatch) -> list:
         """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""
