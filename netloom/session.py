@@ -17,9 +17,11 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir (a local one in tests)."""
+    """df, computed once and kept in the folder that the cluster names in spark.checkpoint.dir (where none is set, a local one, on one machine only)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
