@@ -189,23 +189,25 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
     keyed hash, so that shards have about equal bytes however long documents are.
     """
     rows, drawn, shards = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
-    blocks = drawn.groupBy("k1", "k2", "copy", "block").agg(F.count(F.lit(1)).alias("times"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("places"))
-    lists = blocks.groupBy("k1", "k2", "copy").agg(F.array_sort(F.collect_list(F.struct("block", "times", "places"))).alias("drawn"))
+    # One exchange by key serves the numbering of a block's draws and the list of a key.
+    nth_draw = F.row_number().over(Window.partitionBy("k1", "k2", "copy", "block").orderBy("shard", "place"))
+    passes = drawn.repartition("k1", "k2").withColumn("turn", nth_draw)
     k1, k2, copy, todo, turn, chosen, at, shard, place, picked = unused(docs.columns, "k1", "k2", "copy", "drawn", "turn", "chosen", "at", "shard", "place", "blocks")
-    lists = lists.groupBy("k1", "k2").agg(F.collect_list(F.struct("copy", "drawn")).alias(todo)).withColumnsRenamed({"k1": k1, "k2": k2})
+    lists = passes.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("copy", "turn", "block", "shard", "place"))).alias(todo)).withColumnsRenamed({"k1": k1, "k2": k2})
     first, second = _keys()
     rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
     got = docs.withColumns({k1: first, k2: second}).join(lists, [k1, k2])
     # Rows of one id, source and text are told apart by their other columns.
     got = got.withColumn(copy, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.xxhash64(*rest))))
-    got = got.withColumn(todo, F.filter(todo, lambda x: x["copy"] == F.col(copy))).filter(F.size(todo) > 0).withColumn(todo, F.col(todo)[0]["drawn"])
-    got = got.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform(todo, lambda b: b["times"])))))
-    got = got.withColumn(chosen, F.filter(todo, lambda b: b["times"] >= F.col(turn)))
+    got = got.withColumn(todo, F.filter(todo, lambda d: d["copy"] == F.col(copy))).filter(F.size(todo) > 0)
+    got = got.withColumn(turn, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(todo, lambda d: d["turn"])))))
+    got = got.withColumn(chosen, F.filter(todo, lambda d: d["turn"] == F.col(turn)))
     # Placing all by their first blocks would gather long documents in the lowest shards.
-    got = got.withColumn(at, F.transform(chosen, lambda b: F.element_at(b["places"], F.col(turn).cast("int"))))
-    chance = F.pmod(F.xxhash64(k1, k2, copy, turn, F.lit(seed)), F.size(at).cast("long")).cast("int")
-    got = got.withColumn(at, F.coalesce(F.array_min(F.filter(at, lambda d: d["place"] == 0)), F.element_at(at, chance + 1)))
-    got = got.withColumns({picked: F.transform(chosen, lambda b: b["block"]), shard: F.col(at)["shard"], place: F.col(at)["place"]})
+    spot = lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"))
+    chance = F.pmod(F.xxhash64(k1, k2, copy, F.col(turn).cast("long"), F.lit(seed)), F.size(chosen).cast("long")).cast("int")
+    first_draw = F.array_min(F.transform(F.filter(chosen, lambda d: d["place"] == 0), spot))
+    got = got.withColumn(at, F.coalesce(first_draw, spot(F.element_at(chosen, chance + 1))))
+    got = got.withColumns({picked: F.transform(chosen, lambda d: d["block"]), shard: F.col(at)["shard"], place: F.col(at)["place"]})
 
     def cut(piece: pa.RecordBatch) -> list:
         """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""
