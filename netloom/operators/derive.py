@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import net, scope
-from netloom.functions.names import host_label
+from netloom.functions.names import dns_name, host_label
 from netloom.operators import joins
 from netloom.operators.windows import changed
 
@@ -58,9 +58,10 @@ def mark_this_firewall(rows: DataFrame, holdings: DataFrame, *, address: str, at
     margin_s before it was first seen to margin_s after it was last, or for ever if current; the most recent one names
     the interface, ties by id. Loopback is always the firewall.
     """
-    h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias("_a"), F.col("interface_id").alias("_i"), "first_seen_at", "last_seen_at", "is_current")
+    until = F.when(~F.col("is_current"), F.col("last_seen_at") + margin_s)
+    h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias(address), F.col("interface_id").alias("_i"), "last_seen_at", (F.col("first_seen_at") - margin_s).alias("_from"), until.alias("_until"))
     key = rows.select(address, at).distinct()
-    held = key.join(h, (F.col(address) == F.col("_a")) & (F.col("first_seen_at") - margin_s <= F.col(at)) & (F.col("is_current") | (F.col("last_seen_at") + margin_s >= F.col(at))))
+    held = joins.binned_range_join(key, h, at=at, low="_from", high="_until", width=86400, on=[address])
     newest = held.groupBy(address, at).agg(F.min(F.struct((-F.col("last_seen_at")).alias("o"), "_i"))["_i"].alias("firewall_interface_id"))
     out = rows.join(newest, [address, at], "left")
     return out.withColumn("is_this_firewall", net.is_loopback(F.col(address)) | F.col("firewall_interface_id").isNotNull())
@@ -124,7 +125,7 @@ def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *,
     usable = lookups.filter((F.col("action") == "pass") & F.col("answer_source").isin("Recursion", "Cache", "Local-data") & F.col("client_resolution").isin("logged_address", "lease_hostname", "local_data_hostname"))
     span = {"covered_from": F.col("covered_from_at"), "covered_until": F.col("covered_until_at")}
     terminal = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "held_in", F.col("owner_name").alias("name"), *(c.alias(k) for k, c in span.items()))
-    start = eligible.select("id", "observed_at", "dst_address", "src_client_id", "src_address").join(terminal, "dst_address").filter(F.col("observed_at").between(F.col("covered_from"), F.col("covered_until")))
+    start = joins.binned_range_join(eligible.select("id", "observed_at", "dst_address"), terminal, at="observed_at", low="covered_from", high="covered_until", width=joins.SPAN_S, on=["dst_address"])
     frontier = start.select(F.col("id").alias("origin"), "held_in", "name", F.col("observed_at").alias("at"), "covered_from")
     aliases = records.filter("rrtype = 'CNAME' and held_in = 'cache'").select(F.col("value").alias("from_name"), F.col("owner_name").alias("to_name"), *(c.alias(k) for k, c in span.items()))
     cached = joins.expand_paths(frontier.filter("held_in <> 'local_data'").withColumn("terminal", F.lit("cache")).drop("held_in"), aliases, max_links=max_links).withColumn("held_in", F.lit("cache"))
@@ -137,11 +138,9 @@ def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *,
     by_name = named.filter("_names = 1").select(F.col("origin").alias("flow_id"), F.col("_l.domain").alias("site_name"), F.lit("resolver_cache_answer").alias("method"), (F.col("at") - F.col("_l.looked_up_at")).alias("delay_s"))
     undecided = eligible.join(named.select(F.col("origin").alias("id")), "id", "left_anti")
     timed = joins.match_lookups_by_time(undecided, usable, delay_s=timing_s)
-    answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_name"), "address", "covered_from_at", "covered_until_at")
-    from netloom.functions.names import dns_name
-
+    answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), "address", "covered_from_at", "covered_until_at")
     asked = timed.join(undecided.select("id", "observed_at", "dst_address"), "id").withColumns({"_looked": F.col("observed_at") - F.col("delay_s"), "_n": dns_name(F.col("domain"))})
-    held = asked.join(answers, (F.col("_n") == F.col("_name")) & F.col("_looked").between(F.col("covered_from_at"), F.col("covered_until_at")) & (net.ip_family(F.col("address")) == net.ip_family(F.col("dst_address"))))
+    held = joins.binned_range_join(asked, answers, at="_looked", low="covered_from_at", high="covered_until_at", width=joins.SPAN_S, on=["_n"]).filter(net.ip_family(F.col("address")) == net.ip_family(F.col("dst_address")))
     contradicted = held.groupBy("id").agg(F.max((F.col("address") == F.col("dst_address")).cast("int")).alias("_ok")).filter("_ok = 0").select("id")
     by_time = timed.join(contradicted, "id", "left_anti").select(F.col("id").alias("flow_id"), F.col("domain").alias("site_name"), F.lit("lookup_timing").alias("method"), "delay_s")
     return by_name.unionByName(by_time)

@@ -15,58 +15,119 @@ from netloom.functions import net
 from netloom.functions.names import dns_name
 from netloom.session import checkpointed
 
+#: Bins of the intervals over which cached answers hold.
+SPAN_S = 3600
 
-def binned_range_join(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, width: int, on: Sequence[str] = (), how: str = "inner", closed: bool = False) -> DataFrame:
-    """Points within closed intervals; a null bound is open on that side, unless all are known to be closed.
 
-    Intervals are repeated for each bin of ``width`` that they meet (an open side reaches to the last point there, whose
-    one row of least and largest is joined to them by a constant), points for none, so every pair meets once.
+#: Spans have so many children, as a power of two.
+_STEP = 3
+
+
+def _levels(width: int, reach: int) -> int:
+    """Levels of spans above the bins, so that the largest holds ``reach``."""
+    n = 0
+    while width << (_STEP * n) < reach:
+        n += 1
+    return n
+
+
+def _bin(value: Column, width: int, top: int) -> Column:
+    """The bin of an instant; what lies beyond the largest spans counts as their first or last bin."""
+    most = 1 << (_STEP * top)
+    at = F.floor(value / F.lit(width)).cast("bigint")
+    return F.when(at.isNotNull(), F.greatest(F.least(at, F.lit(most - 1).cast("bigint")), F.lit(-most).cast("bigint")))
+
+
+def span_cover(low: Column, high: Column, *, width: int, reach: int = 1 << 33, plain: int = 16) -> Column:
+    """(level, span) of aligned spans that an interval is made of, as an array; a null bound is open.
+
+    A span of level n holds 8**n bins of ``width``. An interval of up to ``plain`` bins is its bins; a longer one, or an
+    open one, is the few largest spans inside it: up to 14 on each level and 7 for an open side, however long it is.
+    """
+    top = _levels(width, reach)
+    most = 1 << (_STEP * top)
+    none = F.array().cast("array<struct<level:int,span:bigint>>")
+    down = lambda x, n: F.call_function("shiftright", x, n * _STEP)
+
+    def run(level: Column, a: Column, z: Column) -> Column:
+        return F.when(a < z, F.transform(F.sequence(a, z - 1), lambda i: F.struct(level.alias("level"), i.alias("span")))).otherwise(none)
+
+    def on_level(ends: Column, n: Column) -> Column:
+        """Spans of this level that are whole, less those whose parents are."""
+        above, beyond = -down(-ends["a"], n + 1), down(ends["z"], n + 1)
+        whole = F.struct((-down(-ends["a"], n)).alias("a"), down(ends["z"], n).alias("z"), (above * 8).alias("above"), (beyond * 8).alias("beyond"), ((n < top) & (above < beyond)).alias("split"))
+        return net.let(whole, lambda w: F.when(w["split"], F.concat(run(n, w["a"], w["above"]), run(n, w["beyond"], w["z"]))).otherwise(run(n, w["a"], w["z"])))
+
+    def cover(ends: Column) -> Column:
+        bins = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda n: on_level(ends, n)))
+        return F.when(ends["z"] - ends["a"] <= plain, run(F.lit(0), ends["a"], ends["z"])).otherwise(bins)
+
+    first = F.coalesce(_bin(low, width, top), F.lit(-most).cast("bigint"))
+    last = F.coalesce(_bin(high, width, top), F.lit(most - 1).cast("bigint"))
+    return net.let(F.struct(first.alias("a"), (last + 1).alias("z")), cover)
+
+
+def binned_range_join(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, width: int, on: Sequence[str] = (), reach: int = 1 << 33) -> DataFrame:
+    """Points within closed intervals; a null bound is open on that side.
+
+    Intervals are cut into aligned spans (``span_cover``): a long or open one is a few rows, not one for each bin. Points
+    ask for the span that holds them on each level that the longest interval can reach, so every pair meets once and every join has the span as
+    a key besides those of ``on``. Rows whose key or instant is null meet nothing.
+    """
+    top = _levels(width, reach)
+    spread = intervals.filter(F.coalesce(F.col(low) <= F.col(high), F.lit(True))).withColumn("_s", F.explode(span_cover(F.col(low), F.col(high), width=width, reach=reach)))
+    spread = spread.withColumns({"_level": F.col("_s.level"), "_span": F.col("_s.span")}).drop("_s")
+    size = (F.col(high) - F.col(low)) / width
+    deepest = F.when(size <= 14, 0).when(size.isNotNull(), F.ceil(F.log(8.0, size + 2)).cast("int")).otherwise(top)
+    levels = F.sequence(F.lit(0), F.coalesce(intervals.agg(F.max(F.least(deepest, F.lit(top)))).scalar(), F.lit(0)))
+    asked = points.filter(F.col(at).isNotNull()).withColumn("_level", F.explode(levels))
+    asked = asked.withColumn("_span", F.call_function("shiftright", _bin(F.col(at), width, top), F.col("_level") * _STEP))
+    inside = (F.col(at) >= F.coalesce(F.col(low), F.col(at))) & (F.col(at) <= F.coalesce(F.col(high), F.col(at)))
+    return asked.join(spread, ["_level", "_span", *on]).filter(inside).drop("_level", "_span")
+
+
+def _in_blocks(points: DataFrame, blocks: DataFrame) -> DataFrame:
+    """points (with _at, halves of an address) and the blocks (_block: a prefix) that hold them.
+
+    One equality for each family and length that occurs, on the masked address: a point isn't compared with blocks it
+    lies outside. There are 162 lengths of both families at most.
     """
-    if closed:
-        spread = intervals.withColumn("_bin", F.explode(F.sequence(F.expr(f"{low} div {width}"), F.expr(f"{high} div {width}"))))
-    else:
-        spread = _reaching(points, intervals, at, low, high, width)
-    binned = points.withColumn("_bin", F.expr(f"{at} div {width}"))
-    keys = ["_bin", *on]
-    condition = [binned[k] == spread[k] for k in keys]
-    joined = binned.join(spread, [*condition, binned[at] >= F.coalesce(spread[low], binned[at]), binned[at] <= F.coalesce(spread[high], binned[at])], how)
-    for k in keys:
-        joined = joined.drop(spread[k])
-    return joined.drop("_bin")
-
-
-def _reaching(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """intervals by bin, open sides as far as points go."""
-    reach = points.agg(F.min(at).alias("_least"), F.max(at).alias("_most")).withColumn("_one", F.lit(1))
-    ends = intervals.withColumn("_one", F.lit(1)).join(F.broadcast(reach), "_one").drop("_one")
-    first, last = F.coalesce(F.col(low), F.col("_least")), F.coalesce(F.col(high), F.col("_most"))
-    return ends.filter(first <= last).withColumns({"_first": first, "_last": last}).withColumn("_bin", F.explode(F.sequence(F.expr(f"_first div {width}"), F.expr(f"_last div {width}")))).drop("_first", "_last", "_least", "_most")
+    b = blocks.filter("_block is not null").withColumns({f"_{k}": F.col(f"_block.{k}") for k in ("family", "width", "high", "low")}).drop("_block")
+    lengths = b.select("_family", "_width").distinct()
+    asked = points.filter("_at is not null").withColumn("_family", F.col("_at.family")).join(F.broadcast(lengths), "_family")
+    high, low = net.masked(F.col("_at.high"), F.col("_at.low"), F.col("_width"))
+    return asked.withColumns({"_high": high, "_low": low}).join(b, ["_family", "_width", "_high", "_low"]).drop("_family", "_width", "_high", "_low")
 
 
 def longest_prefix_match(addresses: DataFrame, networks: DataFrame, *, address: str = "address") -> DataFrame:
     """addresses with interface_id of the network that holds them: operator's before detected, then longest, then lowest id.
 
-    networks: interface_id, network_address, prefix_length, origin. One equality for each prefix length that occurs, on
-    the masked address, so no network is compared with addresses outside it.
+    networks: interface_id, network_address, prefix_length, origin, of either family; bits beyond the length don't count.
+    Link-local addresses and what is no address lie in no network.
     """
-    n = networks.select(F.col("interface_id").alias("_interface"), F.col("prefix_length").alias("_bits"), F.col("origin").alias("_origin"), net.network_bounds(F.col("network_address"), F.col("prefix_length"))[0].alias("_low"))
-    lengths = n.select("_bits").distinct()
-    distinct = addresses.select(address).filter(~net.is_link_local(F.col(address))).distinct()
-    spread = distinct.crossJoin(F.broadcast(lengths)).withColumn("_low", net.network_bounds(F.col(address), F.col("_bits"))[0])  # at most 33 lengths
-    order = Window.partitionBy(address).orderBy((F.col("_origin") == "operator").desc(), F.desc("_bits"), "_interface")
-    best = spread.join(n, ["_bits", "_low"]).withColumn("_rank", F.row_number().over(order)).filter("_rank = 1")
-    return addresses.join(best.select(address, F.col("_interface").alias("interface_id"), F.col("_bits").alias("prefix_length")), address, "left")
+    n = networks.select(F.col("interface_id").alias("_interface"), F.col("prefix_length").alias("_bits"), F.col("origin").alias("_origin"), net.prefix(F.col("network_address"), F.col("prefix_length")).alias("_block"))
+    distinct = addresses.select(address).filter(~net.is_link_local(F.col(address))).distinct().withColumn("_at", net.halves(F.col(address)))
+    order = F.struct((F.col("_origin") != "operator").alias("o"), (-F.col("_bits")).alias("b"), F.col("_interface").alias("i"))
+    best = _in_blocks(distinct, n).groupBy(address).agg(F.min(order).alias("_best"))
+    return addresses.join(best.select(address, F.col("_best.i").alias("interface_id"), (-F.col("_best.b")).alias("prefix_length")), address, "left")
 
 
 def ip_range_join(addresses: DataFrame, ranges: DataFrame, *, address: str = "address") -> DataFrame:
     """Each distinct public address with its range's columns and lookup_state resolved or miss.
 
-    ranges: range_start, range_end (numbers of version 4 addresses) and what is known of them. Ranges are repeated for
-    each /16 they meet; an address has one.
+    ranges: range_start, range_end (addresses of either family, or numbers of version 4 ones) and what is known of them.
+    A range lies in one block, that of the leading bits its ends share; of ranges that don't overlap, one block has one
+    at most, however large or small they are. A version 4 address written as version 6 is looked up as version 4.
     """
-    points = addresses.select(address).filter(net.is_public(F.col(address))).distinct().withColumn("_n", net.v4_number(F.col(address)))
-    found = binned_range_join(points, ranges, at="_n", low="range_start", high="range_end", width=65536, how="left", closed=True)
-    return found.withColumn("lookup_state", F.when(F.col("range_start").isNull(), "miss").otherwise("resolved")).drop("_n", "range_start", "range_end")
+    end = lambda c: net.halves(net.v4_text(F.col(c)) if dict(ranges.dtypes)[c] in ("bigint", "int") else F.col(c))
+    known = ranges.withColumns({"_first": end("range_start"), "_last": end("range_end")}).filter("_first.family = _last.family").drop("range_start", "range_end")
+    width = net.shared_width(F.col("_first"), F.col("_last"))
+    high, low = net.masked(F.col("_first.high"), F.col("_first.low"), width)
+    known = known.withColumn("_block", F.struct(F.col("_first.family").alias("family"), width.cast("int").alias("width"), high.alias("high"), low.alias("low")))
+    points = addresses.select(address).filter(net.is_public(F.col(address))).distinct().withColumn("_at", net.halves(net.unmapped(F.col(address))))
+    held = _in_blocks(points, known).filter(net.not_after(F.col("_first"), F.col("_at")) & net.not_after(F.col("_at"), F.col("_last")))
+    held = held.drop("_at", "_first", "_last").withColumn("lookup_state", F.lit("resolved"))
+    return points.select(address).join(held, address, "left").withColumn("lookup_state", F.coalesce("lookup_state", F.lit("miss")))
 
 
 def pair_legs(flow: DataFrame, upstream_devices: DataFrame, *, window_s: int = 1) -> DataFrame:
@@ -129,10 +190,13 @@ def expand_paths(frontier: DataFrame, edges: DataFrame, *, max_links: int = 11,
     key = ["origin", "terminal", "name"]
     while links < max_links:
         links += 1
-        e = edges.withColumnRenamed("covered_from", "_from") if covering else edges
-        holds = [F.col("at").between(F.col("_from"), F.col("covered_until"))] if covering else []
+        if covering:
+            e = edges.select(F.col("from_name").alias("name"), "to_name", F.col("covered_from").alias("_from"), F.col("covered_until").alias("_until"))
+            met = binned_range_join(step, e, at="at", low="_from", high="_until", width=SPAN_S, on=["name"])
+        else:
+            met = step.join(edges.select(F.col("from_name").alias("name"), "to_name"), "name")
         start = F.greatest("covered_from", "_from") if covering else F.col("covered_from")
-        walked = step.join(e, [step["name"] == e["from_name"], *holds]).select("origin", "terminal", F.col("to_name").alias("name"), "at", start.alias("covered_from"))
+        walked = met.select("origin", "terminal", F.col("to_name").alias("name"), "at", start.alias("covered_from"))
         walked = walked.groupBy("origin", "terminal", "name", "at").agg(F.min("covered_from").alias("covered_from"))
         known = reached.select(*key, F.col("covered_from").alias("_known"))
         step = walked.join(known.groupBy(*key).agg(F.min("_known").alias("_known")), key, "left").filter("_known is null or covered_from < _known").drop("_known").withColumn("links", F.lit(links))
@@ -153,8 +217,8 @@ def answer_addresses(names: DataFrame, records: DataFrame, *, max_links: int = 1
     aliases = records.filter("rrtype = 'CNAME' and held_in = 'cache'").select(F.col("owner_name").alias("from_name"), F.col("value").alias("to_name"), *(c.alias(k) for k, c in span.items()))
     start = names.select("origin", F.col("name").alias("terminal"), "name", "at", F.lit(0).cast("bigint").alias("covered_from"))
     reached = expand_paths(start, aliases, max_links=max_links)
-    held = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), "address", "held_in", "covered_from_at", "covered_until_at")
-    found = reached.join(held, (F.col("name") == F.col("_n")) & F.col("at").between(F.col("covered_from_at"), F.col("covered_until_at")) & ((F.col("held_in") == "cache") | (F.col("links") == 0)))
+    held = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("name"), "address", "held_in", "covered_from_at", "covered_until_at")
+    found = binned_range_join(reached, held, at="at", low="covered_from_at", high="covered_until_at", width=SPAN_S, on=["name"]).filter((F.col("held_in") == "cache") | (F.col("links") == 0))
     return found.select("origin", F.col("terminal").alias("name"), "address").distinct()
 
 
@@ -164,20 +228,24 @@ def exact_candidates(paths: DataFrame, lookups: DataFrame, *, cap_s: int = 3600)
     Local data answers only lookups answered from it, and is matched without climbing (links = 0).
     """
     p = paths.withColumn("_low", F.greatest("covered_from", F.col("at") - cap_s))
-    look = lookups.withColumn("_name", dns_name(F.col("domain")))
-    inside = F.col("looked_up_at").between(F.col("_low"), F.col("at"))
+    look = lookups.withColumn("name", dns_name(F.col("domain")))
+    met = binned_range_join(look.drop("held_in"), p, at="looked_up_at", low="_low", high="at", width=SPAN_S, on=["name"])
     local = F.when(F.col("held_in") == "local_data", (F.col("answer_source") == "Local-data") & (F.col("links") == 0)).otherwise(True)
     who = F.col("src_client_id").eqNullSafe(F.col("client_id")) & F.col("client_id").isNotNull() | (F.col("src_address") == F.col("client_address")) & (F.col("client_id").isNull() | F.col("src_client_id").isNull())
-    return p.join(look, [p["name"] == look["_name"], inside, who, local]).drop("_low", "_name")
+    return met.filter(who & local).drop("_low")
 
 
-def lease_at(questions: DataFrame, leases: DataFrame, *, horizon: int = 4102444800) -> DataFrame:
+def lease_at(questions: DataFrame, leases: DataFrame) -> DataFrame:
     """key, address and state of host names at instants: resolved, ambiguous, unknown, or this_firewall for localhost.
 
     questions: key, label, at. leases: hostname_label, address, starts_at and expires_at, either of which may be open.
     """
-    held = leases.select(F.col("hostname_label").alias("label"), F.col("address"), F.coalesce("starts_at", F.lit(0)).alias("_from"), F.coalesce("expires_at", F.lit(horizon)).alias("_until"))
-    found = questions.join(held, [questions["label"] == held["label"], F.col("at").between(F.col("_from"), F.col("_until"))], "left").groupBy("key", questions["label"]).agg(F.count_distinct("address").alias("n"), F.min("address").alias("first"))
+    held = leases.select(F.col("hostname_label").alias("label"), F.col("address"), F.col("starts_at").alias("_from"), F.col("expires_at").alias("_until"))
+    met = binned_range_join(questions, held, at="at", low="_from", high="_until", width=86400, on=["label"])
+    none = questions.select("key", "label", F.lit(None).cast("string").alias("address"))
+    # One address or several is all that is asked, so the least and the largest tell it.
+    found = met.select("key", "label", "address").unionByName(none).groupBy("key", "label").agg(F.min("address").alias("first"), F.max("address").alias("_last"))
+    found = found.withColumn("n", F.when(F.col("first").isNull(), 0).when(F.col("first") == F.col("_last"), 1).otherwise(2)).drop("_last")
     state = F.when(F.col("label") == "localhost", "this_firewall").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
     return found.select("key", state.alias("state"), F.when((F.col("n") == 1) & (F.col("label") != "localhost"), F.col("first")).alias("address"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import scope
+from netloom.operators import joins
 from netloom.operators.derive import HELD_FIELDS
 
 
@@ -56,17 +57,25 @@ def source_availability(providers: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def unresolved_hostnames_by_cause(lookups: DataFrame, leases: DataFrame) -> DataFrame:
-    """lookups: id, label, at. The first cause that holds: no lease ever, none yet, none any more, several at once."""
-    held = leases.select(F.col("hostname_label").alias("label"), F.coalesce("starts_at", F.lit(0)).alias("s"), F.coalesce("expires_at", F.lit(4102444800)).alias("e"), "address")
-    flags = lookups.join(held, "label", "left").groupBy("id").agg(F.count("s").alias("any"), F.count_if(F.col("s") <= F.col("at")).alias("begun"), F.count_if((F.col("s") <= F.col("at")) & (F.col("e") >= F.col("at"))).alias("current"), F.count_distinct(F.when((F.col("s") <= F.col("at")) & (F.col("e") >= F.col("at")), F.col("address"))).alias("addresses"))
-    cause = F.when(F.col("any") == 0, "no_lease").when(F.col("begun") == 0, "lease_later").when(F.col("current") == 0, "lease_over").when(F.col("addresses") > 1, "several_addresses").otherwise("resolvable")
+    """lookups: id, label, at. The first cause that holds: no lease ever, none yet, none any more, several at once.
+
+    The first two need a label's earliest start alone; leases in force are found by label and span of time.
+    """
+    held = leases.select(F.col("hostname_label").alias("label"), "starts_at", "expires_at", "address")
+    earliest = held.groupBy("label").agg(F.min(F.coalesce("starts_at", F.lit(0))).alias("_begins"))
+    met = joins.binned_range_join(lookups, held, at="at", low="starts_at", high="expires_at", width=86400, on=["label"])
+    current = met.groupBy("id").agg(F.min("address").alias("_one"), F.max("address").alias("_other"), F.lit(True).alias("_current"))
+    flags = lookups.join(earliest, "label", "left").join(current, "id", "left")
+    cause = F.when(F.col("_begins").isNull(), "no_lease").when(F.col("_begins") > F.col("at"), "lease_later").when(F.col("_current").isNull(), "lease_over").when(F.col("_one") != F.col("_other"), "several_addresses").otherwise("resolvable")
     return flags.groupBy(cause.alias("cause")).agg(_n().alias("lookups"))
 
 
 def unmarked_firewall_ends(flow: DataFrame, holdings: DataFrame, *, margin_s: int = 300) -> DataFrame:
     """Records whose target the firewall held at their instant, by whether they are marked."""
-    h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias("dst_address"), "first_seen_at", "last_seen_at", "is_current")
-    held = flow.join(h, "dst_address").filter((F.col("first_seen_at") - margin_s <= F.col("observed_at")) & (F.col("is_current") | (F.col("last_seen_at") + margin_s >= F.col("observed_at")))).select("id", "dst_is_this_firewall").distinct()
+    until = F.when(~F.col("is_current"), F.col("last_seen_at") + margin_s)
+    h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias("dst_address"), (F.col("first_seen_at") - margin_s).alias("_from"), until.alias("_until"))
+    rows = flow.select("id", "observed_at", "dst_address", "dst_is_this_firewall")
+    held = joins.binned_range_join(rows, h, at="observed_at", low="_from", high="_until", width=86400, on=["dst_address"]).select("id", "dst_is_this_firewall").distinct()
     return held.groupBy("dst_is_this_firewall").agg(_n().alias("records"))
 
 

@@ -95,6 +95,27 @@ def _(x: Tables) -> DataFrame:
     return a.select("address", net.ip_key(F.col("address"), v6=False).alias("key"), net.ip_in_prefix(F.col("address"), F.lit("203.0.0.0"), F.lit(16)).alias("in_prefix"), net.network_bounds(F.col("address"), F.lit(24))[0].alias("net_low"))
 
 
+#: Addresses of both families as numbers; those of version 6 from the parts that made them, in 128 bits.
+_BOTH = """both_ AS (SELECT address, 6 AS family, CAST(536939960 AS UHUGEINT) * 79228162514264337593543950336::UHUGEINT + u::UHUGEINT * 1208925819614629174706176::UHUGEINT + e::UHUGEINT AS n FROM address6
+ UNION ALL SELECT address, 4, (CAST(split_part(address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(address, '.', 2) AS BIGINT) * 65536 + CAST(split_part(address, '.', 3) AS BIGINT) * 256 + CAST(split_part(address, '.', 4) AS BIGINT))::UHUGEINT FROM (SELECT DISTINCT src_address AS address FROM flow))"""
+_NETS = """nets AS (SELECT interface_id, prefix_length, origin, 6 AS family, CAST(536939960 AS UHUGEINT) * 79228162514264337593543950336::UHUGEINT + u::UHUGEINT * 1208925819614629174706176::UHUGEINT + e::UHUGEINT AS lo, 1::UHUGEINT << (128 - prefix_length)::UHUGEINT AS size FROM network6
+ UNION ALL SELECT interface_id, prefix_length, origin, 4, (CAST(split_part(network_address, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(network_address, '.', 2) AS BIGINT) * 65536 + CAST(split_part(network_address, '.', 3) AS BIGINT) * 256)::UHUGEINT, 1::UHUGEINT << (32 - prefix_length)::UHUGEINT FROM network)"""
+
+
+def _both(x: Tables) -> DataFrame:
+    return x.address6.select("address").unionByName(x.flow.select(F.col("src_address").alias("address")).distinct())
+
+
+def _networks(x: Tables) -> DataFrame:
+    return x.network.unionByName(x.network6.drop("u", "e"))
+
+
+@add("f05_ip6_keys", "SELECT address, printf('%016x%016x', CAST(2306139568115548160 + u * 65536 AS BIGINT), e) AS key, concat('2001:db8:', lower(hex(u)), '::', lower(hex(e))) AS canonical, concat('2001:db8:', lower(hex(u)), '::') AS network, u BETWEEN 16 AND 31 AS in_prefix, TRUE AS public FROM (SELECT address, u, e FROM address6 WHERE u > 0 AND e > 0)")
+def _(x: Tables) -> DataFrame:
+    a = F.col("address")
+    return x.address6.filter("u > 0 and e > 0").select("address", net.ip_key(a).alias("key"), net.ip_canonical(a).alias("canonical"), net.ip_network(a, F.lit(48)).alias("network"), net.ip_in_prefix(a, F.lit("2001:db8:1f::"), F.lit(44)).alias("in_prefix"), net.is_public(a).alias("public"))
+
+
 @add("f07_host_labels", "SELECT page_id, host, split_part(host, '.', 1) AS label FROM host")
 def _(x: Tables) -> DataFrame:
     return x.host.select("page_id", dns_name(F.col("host")).alias("host"), host_label(F.concat("host", F.lit("."))).alias("label"))
@@ -147,7 +168,7 @@ def _(x: Tables) -> DataFrame:
 
 @add("h1_binned_range_join", "SELECT f.id, g.interval_start_at, g.reason FROM flow f JOIN gap g ON f.observed_at BETWEEN g.interval_start_at AND g.interval_end_at")
 def _(x: Tables) -> DataFrame:
-    return joins.binned_range_join(x.flow.select("id", "observed_at"), x.gap, at="observed_at", low="interval_start_at", high="interval_end_at", width=86400, closed=True).select("id", "interval_start_at", "reason")
+    return joins.binned_range_join(x.flow.select("id", "observed_at"), x.gap, at="observed_at", low="interval_start_at", high="interval_end_at", width=86400).select("id", "interval_start_at", "reason")
 
 
 @add("j01_dimension_lookup", "SELECT f.id, r.description, CASE WHEN r.id IS NULL THEN 'not_found' ELSE 'resolved' END AS state FROM flow f LEFT JOIN rule r ON r.id = f.rule_id")
@@ -188,6 +209,32 @@ def _(x: Tables) -> DataFrame:
     return joins.ip_range_join(x.flow.select(F.col("dst_address").alias("address")), ranges)
 
 
+_LPM_BOTH = f"""{_BOTH}, {_NETS},
+ best AS (SELECT a.address, arg_min(m.interface_id, (m.origin <> 'operator', -m.prefix_length, m.interface_id)) AS interface_id, arg_min(m.prefix_length, (m.origin <> 'operator', -m.prefix_length, m.interface_id)) AS prefix_length
+   FROM both_ a JOIN nets m ON m.family = a.family AND a.n >= m.lo AND a.n - m.lo < m.size GROUP BY a.address)"""
+
+
+@add("j05_prefix_match_of_both_families", f"WITH {_LPM_BOTH} SELECT address, interface_id, prefix_length FROM both_ LEFT JOIN best USING (address)")
+def _(x: Tables) -> DataFrame:
+    return joins.longest_prefix_match(_both(x), _networks(x))
+
+
+_FLOORS = "CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 512 END"
+
+
+@add("j06_range_join_of_both_families", f"""WITH ranges AS (SELECT n_nationkey AS range_id, CAST(n_nationkey AS BIGINT) AS u, {_FLOORS} AS lo, {_FLOORS} + 400 AS hi FROM nation), four AS (SELECT DISTINCT dst_address AS address, {_NUM.format('dst_address')} AS n FROM flow),
+ wide AS (SELECT s_suppkey AS range_id, 3405774848 + CAST(s_suppkey AS BIGINT) * 160 AS lo FROM supplier)
+ SELECT address, range_id, CASE WHEN range_id IS NULL THEN 'miss' ELSE 'resolved' END AS lookup_state FROM address6 a LEFT JOIN ranges r ON r.u = a.u AND a.e BETWEEN r.lo AND r.hi
+ UNION ALL SELECT address, range_id, CASE WHEN range_id IS NULL THEN 'miss' ELSE 'resolved' END FROM four LEFT JOIN wide ON n BETWEEN lo AND lo + 127""")
+def _(x: Tables) -> DataFrame:
+    low = F.lit(3405774848).cast("bigint") + F.col("s_suppkey").cast("bigint") * 160
+    four = x.supplier.select(F.col("s_suppkey").alias("range_id"), net.v4_text(low).alias("range_start"), net.v4_text(low + 127).alias("range_end"))
+    e = F.when(F.col("n_nationkey") % 2 == 0, 0).otherwise(512)
+    text = lambda e: F.concat(F.lit("2001:db8:"), F.lower(F.hex(F.col("n_nationkey").cast("bigint"))), F.lit("::"), F.lower(F.hex(e.cast("bigint"))))
+    six = x.nation.select(F.col("n_nationkey").alias("range_id"), text(e).alias("range_start"), text(e + 400).alias("range_end"))
+    return joins.ip_range_join(x.address6.select("address").unionByName(x.flow.select(F.col("dst_address").alias("address"))), four.unionByName(six))
+
+
 _PAIRING = """legs AS (SELECT CAST(event_id AS BIGINT) AS id, EPOCH(ts) AS observed_at, CASE event_type WHEN 'click' THEN 'out' ELSE 'in' END AS direction, concat('em', CAST(event_id % 3 AS STRING)) AS interface_device,
  concat('10.0.0.', CAST(user_id % 10 AS STRING)) AS src_address, CAST(CASE WHEN user_id % 2 = 0 THEN 1000 END AS INT) AS src_port, '203.0.1.1' AS dst_address, CAST(443 AS INT) AS dst_port, 'tcp' AS protocol, 4 AS ip_version,
  CAST(CASE WHEN user_id % 3 = 0 THEN user_id % 10 END AS INT) AS ip_id, CAST(user_id % 10 AS BIGINT) AS tcp_seq, 'pass' AS action, event_id % 37 = 0 AS src_is_this_firewall FROM events WHERE event_type IN ('click', 'view'))"""
@@ -266,6 +313,17 @@ def _(x: Tables) -> DataFrame:
     return derive.place_addresses(x.flow.select(F.col("src_address").alias("address")), lease=lease, client=x.client, networks=x.network, sightings=seen, interface=x.interface)
 
 
+@add("d01_place_both_families", f"""WITH {_LPM_BOTH.replace("FROM network6", "FROM (SELECT * FROM network6 WHERE interface_id IN (SELECT id FROM interface WHERE NOT is_upstream)) n6").replace("FROM network)", "FROM (SELECT * FROM network WHERE interface_id IN (SELECT id FROM interface WHERE NOT is_upstream)) n4)")},
+ seen AS (SELECT address, arg_max(CAST(u % 25 AS BIGINT), e) AS interface_id FROM address6 WHERE e % 2 = 0 AND u % 25 IN (SELECT id FROM interface WHERE NOT is_upstream) GROUP BY address),
+ held AS (SELECT address, CAST((u + 1) % 25 AS BIGINT) AS interface_id FROM address6 WHERE e % 7 = 0 AND (u + 1) % 25 IN (SELECT id FROM interface WHERE NOT is_upstream))
+ SELECT address, coalesce(held.interface_id, best.interface_id, seen.interface_id) AS interface_id, CASE WHEN held.interface_id IS NOT NULL THEN 'lease' WHEN best.interface_id IS NOT NULL THEN 'network' WHEN seen.interface_id IS NOT NULL THEN 'sighting' END AS evidence
+ FROM both_ LEFT JOIN held USING (address) LEFT JOIN best USING (address) LEFT JOIN seen USING (address)""")
+def _(x: Tables) -> DataFrame:
+    lease = x.address6.filter("e % 7 = 0").select("address", ((F.col("u") + 1) % 25).alias("interface_id"), F.lit(0).cast("bigint").alias("observed_at"))
+    seen = x.address6.filter("e % 2 = 0").select("address", (F.col("u") % 25).alias("interface_id"), F.col("e").alias("observed_at"))
+    return derive.place_addresses(_both(x), lease=lease, client=x.client.filter("identity_kind = 'address_in_interface'"), networks=_networks(x), sightings=seen, interface=x.interface)
+
+
 _HELD = "h.address = f.dst_address AND h.source_field = 'addr4' AND h.first_seen_at - 300 <= f.observed_at AND (h.is_current OR h.last_seen_at + 300 >= f.observed_at)"
 
 

@@ -139,10 +139,17 @@ def explode_interface_addresses(raw: DataFrame) -> DataFrame:
 
 
 def detect_networks(addresses: DataFrame, *, detected_at: int) -> DataFrame:
-    """Masked prefixes by interface from its version 4 addresses; link-local ones and hosts are not proposed."""
-    rows = addresses.filter(F.col("prefix_length").between(1, 31) & net.is_v4(F.col("address")) & ~net.is_link_local(F.col("address")))
-    network = net.ip_network(F.col("address"), F.col("prefix_length"))
-    return rows.select("device", network.alias("network_address"), "prefix_length").distinct().withColumns({"origin": F.lit("detected"), "first_detected_at": F.lit(detected_at).cast("bigint"), "last_detected_at": F.lit(detected_at).cast("bigint")})
+    """Masked prefixes by interface from its addresses of either family.
+
+    Hosts, link-local prefixes (and shorter ones around them) and version 4 addresses written as version 6 are not
+    proposed.
+    """
+    six = F.col("address").contains(":")
+    most = F.when(six, 127).otherwise(31)
+    rows = addresses.filter(F.col("prefix_length").between(1, most) & (net.unmapped(F.col("address")) == F.col("address")) & ~net.is_link_local(F.col("address")))
+    rows = rows.filter(~six | ~F.coalesce(net.ip_in_prefix(F.lit("fe80::"), F.col("address"), F.col("prefix_length")), F.lit(False)))
+    found = rows.select("device", net.ip_network(F.col("address"), F.col("prefix_length")).alias("network_address"), "prefix_length").filter("network_address is not null").distinct()
+    return found.withColumns({"address_family": net.ip_family(F.col("network_address")), "origin": F.lit("detected"), "first_detected_at": F.lit(detected_at).cast("bigint"), "last_detected_at": F.lit(detected_at).cast("bigint")})
 
 
 def parse_rules(raw: DataFrame) -> DataFrame:
@@ -181,8 +188,16 @@ def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("line", r"^(!|\*\.)", "").alias("rule"), kind.alias("kind")).distinct()
 
 
+#: Columns of a range table and their types.
+RANGES = {"country_code": "string", "asn": "bigint", "operator": "string", "latitude": "double", "longitude": "double", "dataset_build_at": "bigint"}
+
+
 def read_ip_ranges(spark: SparkSession, path: str) -> DataFrame:
-    """A range table (CSV with a header: start, end, country_code, asn, operator, dataset_build_at) by numbers."""
-    schema = "start string, end string, country_code string, asn bigint, operator string, dataset_build_at bigint"
-    rows = spark.read.csv(path, header=True, schema=schema)
-    return rows.select(net.v4_number(F.col("start")).alias("range_start"), net.v4_number(F.col("end")).alias("range_end"), "country_code", "asn", "operator", "dataset_build_at").filter("range_start is not null and range_end is not null")
+    """A range table of either family (CSV with a header): start, end and the columns of RANGES; one that is missing is null.
+
+    Rows whose ends aren't addresses of one family are left out.
+    """
+    rows = spark.read.csv(path, header=True)
+    known = [(F.col(c) if c in rows.columns else F.lit(None)).try_cast(kind).alias(c) for c, kind in RANGES.items()]
+    ends = rows.select(F.trim("start").alias("range_start"), F.trim("end").alias("range_end"), *known)
+    return ends.filter(net.halves(F.col("range_start"))["family"] == net.halves(F.col("range_end"))["family"])
