@@ -16,7 +16,7 @@ with shard and place; ``mix`` writes documents, each in the shard and at the pla
 keyed hash; only the document of a shard's first draw opens that shard (the lowest, where it has several).
 
 Defined cases: null texts and texts without words have size 0 and are never drawn; a null source is a source of its own
-and comes last; a row without an id is numbered like the others; rows that repeat an id, source and text are numbered
+and comes last; a row without an id is numbered like the others; rows that repeat another in all columns are numbered
 and drawn one by one, and one id in several sources counts in each; an empty table gives an empty result; further
 columns, whatever their names, are kept by ``mix`` and ignored otherwise.
 """
@@ -107,14 +107,16 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _keys() -> tuple[Column, Column]:
-    """128 bits of what makes a row: its id, source and text."""
-    return F.xxhash64("doc_id", "source", "text"), F.xxhash64(F.lit(9), F.col("text"), F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
+def _keys(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits of what makes a row: all of its columns, so that rows of one key are alike and it doesn't matter which is which."""
+    plain = lambda c, kind: F.to_json(F.struct(f"`{c}`")) if kind == "variant" or "map<" in kind or "variant" in kind else F.col(f"`{c}`")
+    parts = [plain(c, kind) for c, kind in docs.dtypes]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(9), *reversed(parts), *(p.isNull() for p in parts))
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """Each row with its size and key, rows of one key numbered: doc_id, source, size, k1, k2, copy."""
-    k1, k2 = _keys()
+    k1, k2 = _keys(docs)
     rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), k1.alias("k1"), k2.alias("k2"))
     counted = rows.groupBy("doc_id", "source", "size", "k1", "k2").agg(F.count(F.lit(1)).cast("int").alias("n"))
     return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
@@ -189,25 +191,24 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
     keyed hash, so that shards have about equal bytes however long documents are.
     """
     rows, drawn, shards = draw(docs, block_words=block_words, shards=shards, shard_words=shard_words, seed=seed)
-    # One exchange by key serves the numbering of a block's draws and the list of a key.
+    k1, k2, shard, place, picked = unused(docs.columns, "k1", "k2", "shard", "place", "blocks")
+    # One exchange by key and copy serves the numbering of a block's draws and the list of each pass.
     nth_draw = F.row_number().over(Window.partitionBy("k1", "k2", "copy", "block").orderBy("shard", "place"))
-    passes = drawn.repartition("k1", "k2").withColumn("turn", nth_draw)
-    k1, k2, copy, todo, turn, chosen, at, shard, place, picked = unused(docs.columns, "k1", "k2", "copy", "drawn", "turn", "chosen", "at", "shard", "place", "blocks")
-    lists = passes.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("copy", "turn", "block", "shard", "place"))).alias(todo)).withColumnsRenamed({"k1": k1, "k2": k2})
-    first, second = _keys()
-    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith(("map", "variant")) and "map<" not in kind]
-    got = docs.withColumns({k1: first, k2: second}).join(lists, [k1, k2])
-    # Rows of one id, source and text are told apart by their other columns.
-    got = got.withColumn(copy, F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.xxhash64(*rest))))
-    got = got.withColumn(todo, F.filter(todo, lambda d: d["copy"] == F.col(copy))).filter(F.size(todo) > 0)
-    got = got.withColumn(turn, F.explode(F.sequence(F.lit(1), F.array_max(F.transform(todo, lambda d: d["turn"])))))
-    got = got.withColumn(chosen, F.filter(todo, lambda d: d["turn"] == F.col(turn)))
+    passes = drawn.repartition("k1", "k2", "copy").withColumn("turn", nth_draw)
+    lists = passes.groupBy("k1", "k2", "copy", "turn").agg(F.array_sort(F.collect_list(F.struct("block", "shard", "place"))).alias("drawn"))
     # Placing all by their first blocks would gather long documents in the lowest shards.
     spot = lambda d: F.struct(d["shard"].alias("shard"), d["place"].alias("place"))
-    chance = F.pmod(F.xxhash64(k1, k2, copy, F.col(turn).cast("long"), F.lit(seed)), F.size(chosen).cast("long")).cast("int")
-    first_draw = F.array_min(F.transform(F.filter(chosen, lambda d: d["place"] == 0), spot))
-    got = got.withColumn(at, F.coalesce(first_draw, spot(F.element_at(chosen, chance + 1))))
-    got = got.withColumns({picked: F.transform(chosen, lambda d: d["block"]), shard: F.col(at)["shard"], place: F.col(at)["place"]})
+    chance = F.pmod(F.xxhash64("k1", "k2", "copy", F.col("turn").cast("long"), F.lit(seed)), F.size("drawn").cast("long")).cast("int")
+    first_draw = F.array_min(F.transform(F.filter("drawn", lambda d: d["place"] == 0), spot))
+    placed = lists.withColumn("at", F.coalesce(first_draw, spot(F.element_at("drawn", chance + 1))))
+    todo = placed.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.transform("drawn", lambda d: d["block"].cast("int")).alias(picked), F.col("at.shard").alias(shard), F.col("at.place").alias(place))
+    first, second = _keys(docs)
+    # Rows of one key are alike: each pass of each copy takes its blocks of one of them, so a row repeated n times meets
+    # n lists once, not n times. Repeats are dropped in each task before anything is exchanged.
+    got = docs.withColumns({k1: first, k2: second})
+    if not rows.filter("copy > 1").isEmpty():
+        got = got.dropDuplicates([k1, k2])
+    got = got.join(todo, [k1, k2])
 
     def cut(piece: pa.RecordBatch) -> list:
         """Texts of the drawn blocks; where all blocks are drawn, the text as it was."""

@@ -220,3 +220,16 @@ def test_large_tables_end_early_and_sums_stay_exact():
     values, _, steps = op13.bidiagonalise(lambda p: x.T @ (x @ p), 300, 8, float((x * x).sum()))
     assert np.allclose(values[:8], np.linalg.svd(x, compute_uv=False)[:8] ** 2) and steps < 120
     assert op13._exact(np.array([[2**40], [3]])).dtype == object and op13._exact(np.array([[2**20]])).dtype == np.int64
+
+
+def test_a_row_repeated_often_costs_what_its_repeats_cost(spark):
+    """Each repeat meets its own draws alone: thousands of repeats of a long row are as many rows, not their square."""
+    from netloom.llm import op9_mixture as op9
+
+    text = " ".join(f"w{i}" for i in range(320))
+    df = spark.range(5000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("a").alias("source"), F.create_map(F.lit("k"), F.lit(1)).alias("extra"))
+    df = df.unionByName(spark.createDataFrame([(2, "one two three", "b"), (2, "one two three", "b")], "doc_id long, text string, source string").withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id").cast("int"))))
+    taken = {r.source: r.n for r in op9.mixed(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = op9.mix(df)
+    assert {r.source: r.n for r in got.groupBy("source").agg(F.sum(op9.words(F.col("text"))).alias("n")).collect()} == {k: n for k, n in taken.items() if n}
+    assert got.filter("source = 'a'").count() >= 4000 and {r.k for r in got.filter("source = 'b'").select(F.col("extra")["k"].alias("k")).collect()} <= {2}
