@@ -6,6 +6,7 @@ period come from the next finer one; distinct counts come from the family whose
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -89,20 +90,16 @@ def periods(hourly: DataFrame, family: str) -> dict[str, DataFrame]:
     return out
 
 
-def regroup_client(peer: DataFrame) -> DataFrame:
-    """By client, with the exact number of peers of each slot."""
-    return peer.groupBy("period_start_at", *CLIENT).agg(*scope.summed_measures(), F.count_distinct("peer_address").alias("distinct_peers"))
+def regroup_client(peer: DataFrame, *more: str) -> DataFrame:
+    """By client (and further keys), with the exact number of peers of each slot."""
+    return peer.groupBy("period_start_at", *more, *CLIENT).agg(*scope.summed_measures(), F.count_distinct("peer_address").alias("distinct_peers"))
 
 
-def regroup_owner(client: DataFrame, clients: DataFrame) -> DataFrame:
-    """By owner and scope, with the exact number of clients. clients: id, owner_id."""
+def regroup_owner(client: DataFrame, clients: DataFrame, *more: str) -> DataFrame:
+    """By owner and scope (and further keys), with the exact number of clients. clients: id, owner_id."""
     side = F.when(F.col("traffic_direction") == "inter_interface", "east_west").otherwise("north_south")
     owned = client.join(clients.select(F.col("id").alias("client_id"), "owner_id"), "client_id").withColumn("traffic_scope", side)
-    return owned.groupBy("period_start_at", *OWNER).agg(*scope.summed_measures(), F.count_distinct("client_id").alias("client_count"))
-
-
-def with_ends(slots: DataFrame, period: str) -> DataFrame:
-    return slots.withColumn("period_end_at", slot_end(F.col("period_start_at"), period))
+    return owned.groupBy("period_start_at", *more, *OWNER).agg(*scope.summed_measures(), F.count_distinct("client_id").alias("client_count"))
 
 
 def dirty_slots(flow: DataFrame, *, since: int, now: int, period: str = "1h", purged: DataFrame | None = None, forced: DataFrame | None = None, computed: DataFrame | None = None) -> DataFrame:
@@ -127,7 +124,8 @@ def dirty_slots(flow: DataFrame, *, since: int, now: int, period: str = "1h", pu
 def refresh(flow: DataFrame, clients: DataFrame, attribution: DataFrame, hours: DataFrame, purged: DataFrame | None = None) -> dict[tuple[str, str], DataFrame]:
     """All families and periods of the slots that the given hours touch, by one batch for each, finest first.
 
-    Records are restricted to the months and weeks touched by a join on the slot, so untouched partitions aren't read.
+    Records are restricted to the months and weeks touched by a join on their day; a caller whose records are stored by day
+    prunes them first. ``refresh_from_hours`` needs the records of the hours alone.
     """
     spans = [F.sequence(slot_start(F.col("period_start_at"), p), slot_end(slot_start(F.col("period_start_at"), p), p) - 1, F.lit(86400).cast("bigint")) for p in ("30d", "7d")]
     days = hours.select(F.explode(F.flatten(F.array(*(F.transform(s, lambda t: slot_start(t, "24h")) for s in spans)))).alias("_day")).distinct()
@@ -148,6 +146,31 @@ def refresh(flow: DataFrame, clients: DataFrame, attribution: DataFrame, hours:
     return out
 
 
+def refresh_from_hours(flow: DataFrame, clients: DataFrame, attribution: DataFrame, hours: DataFrame, stored: Callable[[str], DataFrame | None]) -> dict[str, DataFrame]:
+    """Each family's slots of all periods that the given hours touch, with their period: hours from records, longer periods from hours.
+
+    flow holds the records of those hours and need hold no others. ``stored`` gives a family's hours of the touched
+    weeks and months as they were stored (None for none); those in ``hours`` are left out of them. So a late record
+    costs the records of its hour and the hours of its month, never a month of records.
+    """
+    records = scope.classify(flow)
+    base = {"volume": volume_1h(records), "rule": rule_1h(records), "domain": domain_1h(records, attribution), "peer": peer_1h(records)}
+    slots = F.explode(F.array(*(F.struct(F.lit(p).alias("period"), slot_start(F.col("period_start_at"), p).alias("start")) for p in PERIODS))).alias("_s")
+    wanted = hours.select(slots).select("_s.period", F.col("_s.start").alias("period_start_at")).distinct()
+    out: dict[str, DataFrame] = {}
+    for family, hourly in base.items():
+        others = stored(family)
+        hourly = hourly.join(hours, "period_start_at", "left_semi")
+        if others is not None:
+            hourly = hourly.unionByName(others.join(hours, "period_start_at", "left_anti").select(*hourly.columns))
+        # An hour is part of one slot of each period: one exchange serves all four.
+        dealt = hourly.withColumn("_s", slots).withColumns({"period": F.col("_s.period"), "period_start_at": F.col("_s.start")}).join(wanted, ["period", "period_start_at"], "left_semi")
+        out[family] = dealt.groupBy("period", "period_start_at", *FAMILIES[family]).agg(*scope.summed_measures())
+    out["client"] = regroup_client(out["peer"], "period")
+    out["owner"] = regroup_owner(out["client"], clients, "period")
+    return out
+
+
 def distinct_over_slots(slots: DataFrame, key: str, entity: str) -> DataFrame:
     """Distinct entities over all slots; never a sum of the slots' own counts."""
     return slots.groupBy(key).agg(F.count_distinct(entity).alias(f"distinct_{entity}"))

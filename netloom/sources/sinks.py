@@ -37,8 +37,17 @@ def insert_if_new(target: DataFrame, batch: DataFrame, *, keys: Sequence[str], o
 
 def write_slots(slots: DataFrame, path: str, *, period: str) -> None:
     """Replace exactly the slots that the rows belong to."""
-    out = slots.withColumn("period", F.lit(period))
-    (out.repartition("period_start_at").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "period_start_at").parquet(path))
+    write_periods(slots.withColumn("period", F.lit(period)), path)
+
+
+def write_periods(slots: DataFrame, path: str) -> None:
+    """Replace exactly the slots of each period that the rows belong to.
+
+    Rows of a slot are gathered, but a slot of many rows is dealt to several tasks and small ones share a task: sizes
+    are known when it runs.
+    """
+    out = slots.hint("rebalance", F.col("period"), F.col("period_start_at"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "period_start_at").parquet(path)
 
 
 def write_snapshot(items: DataFrame, path: str, *, set_key: str, captured_at: int) -> None:
