@@ -21,13 +21,19 @@ def host_label(name: Column) -> Column:
 def ascii_labels(name: pd.Series) -> pd.Series:
     """Internationalised labels in the form that zones store."""
 
-    def encode(text):
+    def encode(label):
         try:
-            return text.encode("idna").decode() if text is not None and not text.isascii() else text
+            return label.encode("idna").decode() if not label.isascii() else label
         except UnicodeError:
-            return text
+            return label
 
-    return name.map(encode)
+    return name.map(lambda text: ".".join(map(encode, text.split("."))), na_action="ignore")
+
+
+def in_zone_form(df: DataFrame, name: str) -> DataFrame:
+    """df with names in the form that zones store; rows whose names are in it already don't pass through Python."""
+    plain = F.coalesce(F.col(name).rlike(r"^[\x00-\x7F]*$"), F.lit(True))
+    return df.filter(plain).unionByName(df.filter(~plain).withColumn(name, ascii_labels(F.col(name))))
 
 
 def registrable_domain(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
@@ -35,11 +41,15 @@ def registrable_domain(df: DataFrame, name: str, rules: DataFrame) -> DataFrame:
 
     rules has rule and kind (exact, wildcard, exception; a wildcard's rule is what follows the star, an exception's what
     follows its mark). Suffixes of each distinct name are matched by an equi-join; an exception beats any rule, and a
-    name that no rule matches takes its last label as suffix.
+    name that no rule matches takes its last label as suffix. Names and rules may be written in their own script or in
+    the form that zones store: both are compared in the latter, and the answer keeps the name's way of writing. Only
+    distinct names and rules that need it are encoded.
     """
     names = df.select(F.col(name).alias("_n")).filter("_n is not null").distinct().withColumn("_labels", F.split(dns_name(F.col("_n")), r"\."))
     size = F.size("_labels")
-    suffixes = names.select("_n", "_labels", F.explode(F.sequence(F.lit(1), size)).alias("_k")).withColumn("rule", F.array_join(F.slice("_labels", size - F.col("_k") + 1, F.col("_k")), "."))
+    rules = in_zone_form(rules, "rule")
+    zone = in_zone_form(names.select("_n", "_labels", F.array_join("_labels", ".").alias("_z")), "_z").withColumn("_z", F.split("_z", r"\."))
+    suffixes = zone.select("_n", "_labels", "_z", F.explode(F.sequence(F.lit(1), size)).alias("_k")).withColumn("rule", F.array_join(F.slice("_z", size - F.col("_k") + 1, F.col("_k")), "."))
     length = F.when(F.col("kind") == "wildcard", F.col("_k") + 1).when(F.col("kind") == "exception", F.col("_k") - 1).otherwise(F.col("_k"))
     matched = suffixes.join(rules, "rule").withColumn("_s", length).filter(F.col("_s") <= size)
     best = matched.groupBy("_n").agg(F.max(F.struct((F.col("kind") == "exception").alias("e"), F.col("_s"))).alias("_best"))

@@ -44,7 +44,11 @@ def normalise_epoch(value: Column) -> Column:
 
 
 def normalise_iso(value: Column, offset_seconds: int = 0) -> Column:
-    """An ISO instant as epoch seconds; those without a zone are on a clock ahead of UTC by the offset."""
+    """An ISO instant as epoch seconds; those without a zone are on a clock ahead of UTC by the offset.
+
+    A fraction may have any number of digits; what it says beyond the second doesn't count.
+    """
+    value = F.regexp_replace(value, r"\.(\d{1,6})\d*", ".$1")
     zoned = [F.unix_seconds(F.try_to_timestamp(value, F.lit(p))) for p in ISO_LAYOUTS[:_ZONED]]
     local = [F.unix_seconds(F.try_to_timestamp(value, F.lit(p))) - offset_seconds for p in ISO_LAYOUTS[_ZONED:]]
     return F.coalesce(*zoned, *local)

@@ -115,14 +115,20 @@ def client_identity(leases: DataFrame) -> DataFrame:
     return named.groupBy("identity_kind", "identity_key").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), latest("address"), latest("hostname"), latest("interface_id"))
 
 
-def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, timing_s: int = 5, cap_s: int = 3600, max_links: int = 11) -> DataFrame:
-    """flow_id, site_name, method, delay_s: by exact evidence if that leaves one name, by timing if it leaves none.
+def _eligible(flow: DataFrame) -> DataFrame:
+    return flow.filter(F.col("dst_interface_id").isNull() & ~F.col("dst_is_this_firewall") & scope.not_second_leg())
+
+
+def _usable(lookups: DataFrame) -> DataFrame:
+    return lookups.filter((F.col("action") == "pass") & F.col("answer_source").isin("Recursion", "Cache", "Local-data") & F.col("client_resolution").isin("logged_address", "lease_hostname", "local_data_hostname"))
 
-    records: held_in, owner_name, rrtype, value, address, covered_from_at, covered_until_at. A name that timing suggests
-    is dropped if answers held at the lookup's instant, of the flow's address family, exist and none is its target.
+
+def exact_evidence(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, cap_s: int = 3600, max_links: int = 11) -> DataFrame:
+    """For records that cached answers lead to a lookup: origin, at, names (how many), latest (looked_up_at, lookup_key, domain).
+
+    Names are climbed from the target over aliases, each held at the record's instant; local data isn't climbed.
     """
-    eligible = flow.filter(F.col("dst_interface_id").isNull() & ~F.col("dst_is_this_firewall") & scope.not_second_leg())
-    usable = lookups.filter((F.col("action") == "pass") & F.col("answer_source").isin("Recursion", "Cache", "Local-data") & F.col("client_resolution").isin("logged_address", "lease_hostname", "local_data_hostname"))
+    eligible = _eligible(flow)
     span = {"covered_from": F.col("covered_from_at"), "covered_until": F.col("covered_until_at")}
     terminal = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "held_in", F.col("owner_name").alias("name"), *(c.alias(k) for k, c in span.items()))
     start = joins.binned_range_join(eligible.select("id", "observed_at", "dst_address"), terminal, at="observed_at", low="covered_from", high="covered_until", width=joins.SPAN_S, on=["dst_address"])
@@ -132,18 +138,33 @@ def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *,
     local = frontier.filter("held_in = 'local_data'").withColumns({"terminal": F.lit("local_data"), "links": F.lit(0)})
     paths = cached.unionByName(local.select(*cached.columns))
     who = eligible.select(F.col("id").alias("origin"), "src_client_id", "src_address")
-    exact = joins.exact_candidates(paths.join(who, "origin"), usable, cap_s=cap_s)
-    newest = F.max(F.struct("looked_up_at", "lookup_key", "domain")).alias("_l")
-    named = exact.groupBy("origin", "at").agg(F.count_distinct("name").alias("_names"), newest)
-    by_name = named.filter("_names = 1").select(F.col("origin").alias("flow_id"), F.col("_l.domain").alias("site_name"), F.lit("resolver_cache_answer").alias("method"), (F.col("at") - F.col("_l.looked_up_at")).alias("delay_s"))
-    undecided = eligible.join(named.select(F.col("origin").alias("id")), "id", "left_anti")
-    timed = joins.match_lookups_by_time(undecided, usable, delay_s=timing_s)
+    exact = joins.exact_candidates(paths.join(who, "origin"), _usable(lookups), cap_s=cap_s)
+    return exact.groupBy("origin", "at").agg(F.count_distinct("name").alias("names"), F.max(F.struct("looked_up_at", "lookup_key", "domain")).alias("latest"))
+
+
+def timing_evidence(flow: DataFrame, lookups: DataFrame, records: DataFrame, exact: DataFrame, *, timing_s: int = 5) -> DataFrame:
+    """id, domain, lookup_key, delay_s of records without exact evidence, by the one domain their client looked up just before.
+
+    A name is dropped if answers held at the lookup's instant, of the record's address family, exist and none is its target.
+    """
+    undecided = _eligible(flow).join(exact.select(F.col("origin").alias("id")), "id", "left_anti")
+    timed = joins.match_lookups_by_time(undecided, _usable(lookups), delay_s=timing_s)
     answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), "address", "covered_from_at", "covered_until_at")
     asked = timed.join(undecided.select("id", "observed_at", "dst_address"), "id").withColumns({"_looked": F.col("observed_at") - F.col("delay_s"), "_n": dns_name(F.col("domain"))})
     held = joins.binned_range_join(asked, answers, at="_looked", low="covered_from_at", high="covered_until_at", width=joins.SPAN_S, on=["_n"]).filter(net.ip_family(F.col("address")) == net.ip_family(F.col("dst_address")))
     contradicted = held.groupBy("id").agg(F.max((F.col("address") == F.col("dst_address")).cast("int")).alias("_ok")).filter("_ok = 0").select("id")
-    by_time = timed.join(contradicted, "id", "left_anti").select(F.col("id").alias("flow_id"), F.col("domain").alias("site_name"), F.lit("lookup_timing").alias("method"), "delay_s")
-    return by_name.unionByName(by_time)
+    return timed.join(contradicted, "id", "left_anti")
+
+
+def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, timing_s: int = 5, cap_s: int = 3600, max_links: int = 11) -> DataFrame:
+    """flow_id, site_name, method, delay_s: by exact evidence if that leaves one name, by timing if it leaves none.
+
+    records: held_in, owner_name, rrtype, value, address, covered_from_at, covered_until_at.
+    """
+    exact = exact_evidence(flow, lookups, records, cap_s=cap_s, max_links=max_links)
+    by_name = exact.filter("names = 1").select(F.col("origin").alias("flow_id"), F.col("latest.domain").alias("site_name"), F.lit("resolver_cache_answer").alias("method"), (F.col("at") - F.col("latest.looked_up_at")).alias("delay_s"))
+    timed = timing_evidence(flow, lookups, records, exact, timing_s=timing_s)
+    return by_name.unionByName(timed.select(F.col("id").alias("flow_id"), F.col("domain").alias("site_name"), F.lit("lookup_timing").alias("method"), "delay_s"))
 
 
 def resolve_hostnames(lookups: DataFrame, leases: DataFrame, local_data: DataFrame) -> DataFrame:

@@ -101,6 +101,16 @@ def unattributed_with_one_candidate(candidates: DataFrame, attribution: DataFram
     return one.join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
 
 
+def exact_left_out(exact: DataFrame, attribution: DataFrame) -> DataFrame:
+    """Records whose exact evidence (``derive.exact_evidence``) leaves one name but that have none: must be 0."""
+    return exact.filter("names = 1").select(F.col("origin").alias("flow_id")).join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
+
+
+def timing_left_out(timed: DataFrame, attribution: DataFrame) -> DataFrame:
+    """Records that ``derive.timing_evidence`` names but that have no name: must be 0."""
+    return timed.select(F.col("id").alias("flow_id")).join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
+
+
 def evidence_mismatch(attribution: DataFrame, flow: DataFrame, answers: DataFrame) -> DataFrame:
     """Exact attributions whose name's answers, held at the record's instant, lack its target: must be 0.
 

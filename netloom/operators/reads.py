@@ -223,6 +223,49 @@ def current_rates(samples: DataFrame, *, now: int, interval_s: int) -> DataFrame
     return latest_reading(samples, now=now, interval_s=interval_s).groupBy("measure").agg(F.sum("value").alias("rate"), _n().alias("subjects"), F.max("sampled_at").alias("sampled_at"))
 
 
+def current_rates_by(samples: DataFrame, *, placed: DataFrame, client_of: DataFrame, clients: DataFrame, now: int, interval_s: int) -> DataFrame:
+    """Current rates by device, client, owner and direction, and the outbound part that can't be split: grouping, key,
+    in_rate, out_rate, out_measured, oldest_at, sampled_at.
+
+    samples: subject_kind (interface_endpoint: "device local"; interface_endpoint_pair: "device local peer"),
+    subject_key, measure (rate_bits_in, rate_bits_out), value, sampled_at. placed: address, interface_id (null:
+    outside). client_of: address, client_id. clients: id, owner_id.
+
+    A subject counts with its newest instant, if it is at most two intervals old. Endpoints are summed by device; those
+    inside also by client and owner (null: unassigned). Inbound figures go by where the peer is. An endpoint's outbound
+    total goes to outbound if all peers of that instant are outside, to inter_interface if all are inside, else to
+    ``unsplit``. out_rate sums what was reported; it is measured only where every reading had such a figure.
+    """
+    recent = samples.filter((F.col("sampled_at") >= now - 2 * interval_s) & (F.col("sampled_at") <= now) & F.col("measure").isin("rate_bits_in", "rate_bits_out"))
+    of = lambda m: F.max(F.when(F.col("measure") == m, F.col("value"))).alias(m[-3:].strip("_"))
+    instants = recent.groupBy("subject_kind", "subject_key", "sampled_at").agg(of("rate_bits_in"), of("rate_bits_out"))
+    newest = instants.groupBy("subject_kind", "subject_key").agg(F.max(F.struct("sampled_at", "in", "out")).alias("_n")).select("subject_kind", F.split("subject_key", " ").alias("_p"), "_n.*")
+    inside = placed.filter("interface_id is not null").select("address").distinct()
+    held = lambda c: inside.select(F.col("address").alias(c), F.lit(True).alias(f"_{c}"))
+    part = lambda i, c: F.get("_p", F.lit(i)).alias(c)
+    ends = newest.filter("subject_kind = 'interface_endpoint' and size(_p) = 2").select(part(0, "device"), part(1, "local"), "sampled_at", "in", "out").join(held("local"), "local", "left")
+    pairs = newest.filter("subject_kind = 'interface_endpoint_pair' and size(_p) = 3").select(part(0, "device"), part(1, "local"), part(2, "peer"), "sampled_at", "in")
+    with_peers = pairs.join(ends.filter("_local").select("device", "local", "sampled_at"), ["device", "local", "sampled_at"], "left_semi").join(held("peer"), "peer", "left")
+    sides = with_peers.groupBy("device", "local").agg(F.count_if("_peer").alias("_between"), F.count_if(F.col("_peer").isNull()).alias("_outside"))
+    who = client_of.select(F.col("address").alias("local"), "client_id").join(clients.select(F.col("id").alias("client_id"), "owner_id"), "client_id", "left")
+    known = ends.join(sides, ["device", "local"], "left").join(who, "local", "left")
+    way = F.when((F.col("_outside") > 0) & (F.col("_between") == 0), "outbound").when((F.col("_between") > 0) & (F.col("_outside") == 0), "inter_interface")
+    share = lambda grouping, key, took: F.struct(grouping.alias("grouping"), key.cast("string").alias("key"), took.alias("in"), F.lit(True).alias("asked"))
+    total, none = F.coalesce("in", F.lit(0.0)), F.lit(0.0)
+    mine = F.col("_local") & F.col("client_id").isNotNull()
+    shares = F.array(
+        share(F.lit("device"), F.col("device"), total),
+        F.when(F.col("_local"), share(F.when(way.isNull(), "unsplit").otherwise("direction"), way, none)),
+        F.when(mine, share(F.lit("client"), F.col("client_id"), total)),
+        F.when(mine, share(F.lit("owner"), F.col("owner_id"), total)),
+    )
+    spread = known.select("sampled_at", "out", F.explode(F.filter(shares, lambda x: x.isNotNull())).alias("_s")).select("_s.*", "out", "sampled_at")
+    came = with_peers.filter(F.col("in").isNotNull()).select(F.lit("direction").alias("grouping"), F.when(F.col("_peer"), "inter_interface").otherwise("inbound").alias("key"), "in", F.lit(False).alias("asked"), F.lit(None).cast("double").alias("out"), "sampled_at")
+    rates = spread.unionByName(came).groupBy("grouping", "key")
+    measured = (F.count("out") > 0) & (F.count_if(F.col("asked") & F.col("out").isNull()) == 0)
+    return rates.agg(F.sum("in").alias("in_rate"), F.sum("out").alias("out_rate"), measured.alias("out_measured"), F.min("sampled_at").alias("oldest_at"), F.max("sampled_at").alias("sampled_at"))
+
+
 def sampled_bytes(samples: DataFrame, *, start: int, end: int, seconds_each: int = 2) -> DataFrame:
     rows = samples.filter(in_window("sampled_at", start, end)).groupBy("subject_key").agg(F.sum("value").alias("bytes"), F.count_distinct("sampled_at").alias("instants"))
     return rows.withColumn("seconds_covered", F.col("instants") * seconds_each)

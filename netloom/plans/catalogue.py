@@ -445,6 +445,16 @@ for _p in t.PERIODS:
     _regroups(_p)
 
 
+@add("a08_slots_not_computed_since", f"""WITH n AS (SELECT {HOUR} AS h, max(ingested_at) AS newest FROM flow WHERE ingested_at >= {A} GROUP BY 1), c AS (SELECT {HOUR} AS h, CASE max(id) % 3 WHEN 0 THEN max(ingested_at) WHEN 1 THEN max(ingested_at) + 1 ELSE max(ingested_at) - 50 END AS at_ FROM flow WHERE id % 4 <> 0 GROUP BY 1)
+ SELECT n.h AS period_start_at FROM n LEFT JOIN c ON c.h = n.h WHERE at_ IS NULL OR at_ <= newest UNION SELECT {B - B % 3600}""")
+def _(x: Tables) -> DataFrame:
+    h = t.slot_start(F.col("observed_at"), "1h").alias("period_start_at")
+    last = F.max("ingested_at")
+    at = F.when(F.max("id") % 3 == 0, last).when(F.max("id") % 3 == 1, last + 1).otherwise(last - 50)
+    computed = x.flow.filter("id % 4 <> 0").groupBy(h).agg(at.alias("computed_at"))
+    return rollup.dirty_slots(x.flow, since=A, now=B, computed=computed)
+
+
 @add("a08_dirty_slots", f"SELECT DISTINCT s AS period_start_at FROM (SELECT {HOUR} AS s FROM flow WHERE ingested_at >= {A} UNION ALL SELECT hour_start_at FROM purged WHERE purged_at >= {A} UNION ALL SELECT interval_start_at - interval_start_at % 3600 FROM gap UNION ALL SELECT {B - B % 3600})")
 def _(x: Tables) -> DataFrame:
     return rollup.dirty_slots(x.flow, since=A, now=B, purged=x.purged, forced=x.gap.select(F.col("interval_start_at").alias("at")))
@@ -619,6 +629,21 @@ def _(x: Tables) -> DataFrame:
     return reads.current_rates(x.sample, now=NOW, interval_s=86400)
 
 
+@add("r13_rates_by_group", f"""WITH top AS (SELECT subject_kind, subject_key, max(sampled_at) AS s FROM rate WHERE sampled_at BETWEEN {NOW - 2 * 2592000} AND {NOW} GROUP BY ALL),
+ cur AS (SELECT t.subject_kind, string_split(t.subject_key, ' ') AS p, s, max(value) FILTER (measure = 'rate_bits_in') AS i, max(value) FILTER (measure = 'rate_bits_out') AS o FROM top t JOIN rate r ON r.subject_kind = t.subject_kind AND r.subject_key = t.subject_key AND r.sampled_at = s GROUP BY ALL),
+ e AS (SELECT p[1] AS d, p[2] AS l, s, i, o FROM cur WHERE len(p) = 2), q AS (SELECT p[1] AS d, p[2] AS l, p[3] LIKE '10.%' AS near, cur.s, cur.i FROM cur JOIN e ON len(p) = 3 AND e.d = p[1] AND e.l = p[2] AND e.s = cur.s AND e.l LIKE '10.%'),
+ w AS (SELECT e.*, CASE WHEN l LIKE '10.%' THEN (SELECT CASE WHEN count(*) = 0 THEN 'unsplit' WHEN bool_and(near) THEN 'inter_interface' WHEN bool_and(NOT near) THEN 'outbound' ELSE 'unsplit' END FROM q WHERE q.d = e.d AND q.l = e.l) END AS way, c.id AS client, c.owner_id AS owner FROM e LEFT JOIN client c ON c.last_address = l AND l LIKE '10.%'),
+ a AS (SELECT 'device' AS g, d AS k, coalesce(i, 0) AS i, o, TRUE AS asked, s FROM w UNION ALL SELECT 'direction', way, 0, o, TRUE, s FROM w WHERE way <> 'unsplit' UNION ALL SELECT 'unsplit', NULL, 0, o, TRUE, s FROM w WHERE way = 'unsplit'
+  UNION ALL SELECT 'client', CAST(client AS STRING), coalesce(i, 0), o, TRUE, s FROM w WHERE client IS NOT NULL UNION ALL SELECT 'owner', CAST(owner AS STRING), coalesce(i, 0), o, TRUE, s FROM w WHERE client IS NOT NULL UNION ALL SELECT 'direction', CASE WHEN near THEN 'inter_interface' ELSE 'inbound' END, i, NULL, FALSE, s FROM q WHERE i IS NOT NULL)
+ SELECT g AS "grouping", k AS "key", sum(i) AS in_rate, sum(o) AS out_rate, count(o) > 0 AND count(*) FILTER (asked AND o IS NULL) = 0 AS out_measured, min(s) AS oldest_at, max(s) AS sampled_at FROM a GROUP BY g, k""")
+def _(x: Tables) -> DataFrame:
+    parts = F.split("subject_key", " ")
+    seen = x.rate.select(F.explode(F.slice(parts, 2, 2)).alias("address")).distinct()
+    placed = joins.longest_prefix_match(seen, x.network)
+    client_of = x.client.select(F.col("last_address").alias("address"), F.col("id").alias("client_id"))
+    return reads.current_rates_by(x.rate, placed=placed, client_of=client_of, clients=x.client, now=NOW, interval_s=2592000)
+
+
 @add("r14_sampled_bytes", f"SELECT subject_key, sum(value) AS bytes, count(DISTINCT sampled_at) AS instants, 2 * count(DISTINCT sampled_at) AS seconds_covered FROM sample WHERE sampled_at < {NOW} GROUP BY 1")
 def _(x: Tables) -> DataFrame:
     return reads.sampled_bytes(x.sample, start=0, end=NOW)
@@ -955,6 +980,43 @@ def _(x: Tables) -> DataFrame:
     return derive.classify_end(x.flow, side="src", at="observed_at", placed=placed, holdings=x.interface_address, client=x.client).select("id", "new_src_interface_id", "new_src_client_id", "src_changed")
 
 
+_END = f"""{_LPM.replace("SELECT DISTINCT src_address AS address, " + _NUM.format("src_address") + " AS n FROM flow", "SELECT address, " + _NUM.format("address") + " AS n FROM (SELECT DISTINCT address FROM ends)")}, s AS (SELECT last_address, id FROM (SELECT *, row_number() OVER (PARTITION BY last_address ORDER BY CASE identity_kind WHEN 'dhcp_client_id' THEN 0 ELSE 1 END, last_seen_at DESC, id) AS r FROM client WHERE identity_kind <> 'address_in_interface') WHERE r = 1),
+ lv AS (SELECT last_address, max((last_seen_at, id)) AS l FROM client WHERE identity_kind = 'address_in_interface' GROUP BY 1),
+ fw AS (SELECT e.id, arg_min(h.interface_id, (-h.last_seen_at, h.interface_id)) AS fi FROM ends e JOIN interface_address h ON h.address = e.address AND h.source_field = 'addr4' AND h.first_seen_at - 300 <= e.at_ AND (h.is_current OR h.last_seen_at + 300 >= e.at_) GROUP BY e.id),
+ n AS (SELECT e.*, fw.id IS NOT NULL AS held, CASE WHEN fw.id IS NOT NULL THEN fi ELSE p.interface_id END AS new_interface, CASE WHEN fw.id IS NULL AND p.interface_id IS NOT NULL THEN coalesce(CASE WHEN k.identity_kind <> 'address_in_interface' THEN old_client END, s.id, old_client, CASE WHEN abs(e.at_ - struct_extract_at(lv.l, 1)) <= 86400 THEN struct_extract_at(lv.l, 2) END) END AS new_client
+   FROM ends e LEFT JOIN placed p ON p.address = e.address LEFT JOIN client k ON k.id = old_client LEFT JOIN s ON s.last_address = e.address LEFT JOIN lv ON lv.last_address = e.address LEFT JOIN fw ON fw.id = e.id)"""
+
+
+def _placed(x: Tables, rows: DataFrame, address: str) -> DataFrame:
+    return joins.longest_prefix_match(rows.select(F.col(address).alias("address")).distinct(), x.network).select("address", "interface_id")
+
+
+def _classified(name: str, ends: str, make: Callable[[Tables], DataFrame], side: str, at: str) -> None:
+    @add(name, f"WITH ends AS ({ends}), {_END} SELECT id, new_interface AS new_{side}_interface_id, new_client AS new_{side}_client_id, held AS new_{side}_is_this_firewall, old_interface IS DISTINCT FROM new_interface OR old_client IS DISTINCT FROM new_client AS {side}_changed FROM n")
+    def _(x: Tables) -> DataFrame:
+        rows = make(x)
+        return derive.classify_end(rows, side=side, at=at, placed=_placed(x, rows, f"{side}_address"), holdings=x.interface_address, client=x.client).select("id", f"new_{side}_interface_id", f"new_{side}_client_id", f"new_{side}_is_this_firewall", f"{side}_changed")
+
+
+# Queriers and sources lie at addresses of clients; a fifth of the lookups come from an address the firewall held then.
+_QUERIER = "CASE WHEN id % 5 = 0 THEN concat('203.0.', CAST(interface_id AS STRING), '.', CAST(id % 5 AS STRING)) ELSE concat('10.', CAST(interface_id AS STRING), '.', CAST(id % 200 AS STRING), '.0') END"
+_classified("d04_classify_destinations", "SELECT id, dst_address AS address, dst_interface_id AS old_interface, dst_client_id AS old_client, observed_at AS at_ FROM flow", lambda x: x.flow, "dst", "observed_at")
+_classified("d04_classify_events", "SELECT id, src_address AS address, src_interface_id AS old_interface, src_client_id AS old_client, occurred_at AS at_ FROM alert", lambda x: x.alert, "src", "occurred_at")
+_classified("d04_classify_lookups", f"SELECT id, {_QUERIER} AS address, interface_id AS old_interface, client_id AS old_client, looked_up_at - 830000000 AS at_ FROM dns", lambda x: x.dns.select("id", F.expr(_QUERIER).alias("client_address"), F.col("interface_id").alias("client_interface_id"), F.col("client_id").alias("client_client_id"), (F.col("looked_up_at") - 830000000).alias("looked_up_at")), "client", "looked_up_at")
+
+
+@add("q09_exact_candidates_left_out", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT count(*) AS violations FROM ex WHERE n = 1 AND id NOT IN (SELECT flow_id FROM att WHERE flow_id % 3 <> 0)")
+def _(x: Tables) -> DataFrame:
+    found = derive.exact_evidence(x.visit, x.dns, x.record, cap_s=86400)
+    return quality.exact_left_out(found, _attributed(x).filter("flow_id % 3 <> 0"))
+
+
+@add("q10_timing_candidates_left_out", f"WITH RECURSIVE {_WALK}, {_EXACT} SELECT count(*) AS violations FROM tm WHERE id NOT IN (SELECT id FROM held WHERE good = 0) AND id NOT IN (SELECT flow_id FROM att WHERE flow_id % 3 <> 0)")
+def _(x: Tables) -> DataFrame:
+    found = derive.timing_evidence(x.visit, x.dns, x.record, derive.exact_evidence(x.visit, x.dns, x.record, cap_s=86400), timing_s=3600)
+    return quality.timing_left_out(found, _attributed(x).filter("flow_id % 3 <> 0"))
+
+
 @add("q09_q11_exact_evidence_mismatch", f"SELECT count(*) AS violations FROM visit v WHERE NOT EXISTS (SELECT 1 FROM record r WHERE {_COVERED} AND r.owner_name = concat('s', CAST(v.id % 40 AS STRING), '.example'))")
 def _(x: Tables) -> DataFrame:
     named = x.visit.select(F.col("id").alias("flow_id"), F.concat(F.lit("s"), (F.col("id") % 40).cast("string"), F.lit(".example")).alias("site_name"), F.lit("resolver_cache_answer").alias("method"))

@@ -16,13 +16,31 @@ from netloom.functions.time import normalise_epoch, normalise_iso, normalise_sys
 
 def read_enveloped_json(spark: SparkSession, path: str, schema: T.StructType, *, rows: str | None = "rows") -> DataFrame:
     """One row for each object of a bare array, of an envelope's list, or of a map keyed by member (then with member)."""
-    raw = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
-    array, envelope = T.ArrayType(schema), T.StructType([T.StructField(rows or "rows", T.ArrayType(schema))])
-    objects = F.when(F.col("value").startswith("["), F.from_json("value", array)).otherwise(F.from_json("value", envelope)[rows or "rows"])
-    listed = raw.select("value", objects.alias("objects"))
-    plain = listed.filter("objects is not null").select(F.explode("objects").alias("o")).select(F.lit(None).cast("string").alias("member"), "o.*")
-    keyed = listed.filter("objects is null").select(F.explode(F.from_json("value", T.MapType(T.StringType(), schema))).alias("member", "o")).select("member", "o.*")
-    return plain.unionByName(keyed)
+    return read_with_rejects(spark, path, schema, rows=rows)[0]
+
+
+def read_with_rejects(spark: SparkSession, path: str, schema: T.StructType, *, rows: str | None = "rows") -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): rows as ``read_enveloped_json`` gives them, and what could not be read.
+
+    rejected: path, reason, at, content. A file that isn't JSON (``json``), is empty (``empty``) or is neither list,
+    envelope nor map (``shape``) is rejected whole; an element that isn't an object (``element``) alone, with its place.
+    """
+    name = rows or "rows"
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("value"))
+    parsed = raw.withColumn("_json", F.try_parse_json("value"))
+    as_list = F.try_variant_get("_json", "$", "array<variant>")
+    enveloped = F.try_variant_get("_json", f"$.{name}", "array<variant>")
+    as_map = F.try_variant_get("_json", "$", "map<string,variant>")
+    shaped = parsed.withColumns({"_list": F.coalesce(as_list, enveloped), "_map": F.when(as_list.isNull() & enveloped.isNull(), as_map)})
+    reason = F.when(F.coalesce(F.col("value"), F.lit("")) == "", "empty").when(F.col("_json").isNull(), "json").when(F.col("_list").isNull() & F.col("_map").isNull(), "shape")
+    judged = shaped.withColumn("_reason", reason)
+    listed = judged.filter("_reason is null and _list is not null").select("path", F.posexplode("_list").alias("at", "_v")).withColumn("member", F.lit(None).cast("string"))
+    keyed = judged.filter("_reason is null and _list is null").select("path", F.posexplode("_map").alias("at", "member", "_v"))
+    objects = listed.select("path", "at", "member", "_v").unionByName(keyed.select("path", "at", "member", "_v"))
+    objects = objects.withColumns({"_is": F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)), "o": F.from_json(F.to_json("_v"), schema)})
+    whole = judged.filter("_reason is not null").select("path", F.col("_reason").alias("reason"), F.lit(None).cast("int").alias("at"), F.col("value").alias("content"))
+    single = objects.filter(~F.col("_is")).select("path", F.lit("element").alias("reason"), "at", F.to_json("_v").alias("content"))
+    return objects.filter("_is").select("member", "o.*"), whole.unionByName(single)
 
 
 def text_fields(*names: str) -> T.StructType:
@@ -52,9 +70,12 @@ def parse_flow_log(raw: DataFrame, *, reference_at: Column, offset_seconds: int
 
 
 def resolve_flow_keys(flow: DataFrame, interface_map: DataFrame, rule: DataFrame) -> DataFrame:
-    """Device to interface and label to rule, each with its state: resolved, not_found, or pending where none is given."""
-    im = interface_map.select(F.col("device").alias("interface_device"), F.lit(True).alias("_i"))
-    r = rule.select(F.col("pf_label").alias("rid"), F.col("id").alias("rule_id"))
+    """Device to interface and label to rule, each with its state: resolved, not_found, or pending where none is given.
+
+    Of a label given twice the least id counts, so records stay as many as they were.
+    """
+    im = interface_map.select(F.col("device").alias("interface_device")).distinct().withColumn("_i", F.lit(True))
+    r = rule.groupBy(F.col("pf_label").alias("rid")).agg(F.min("id").alias("rule_id"))
     state = lambda given, found: F.when(given.isNull(), "pending").when(found.isNotNull(), "resolved").otherwise("not_found")
     out = flow.join(im, "interface_device", "left").join(r, "rid", "left")
     return out.withColumns({"interface_lookup_state": state(F.col("interface_device"), F.col("_i")), "rule_lookup_state": state(F.col("rid"), F.col("rule_id"))}).drop("_i")

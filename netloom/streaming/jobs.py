@@ -273,29 +273,51 @@ def reattribute_sink(flows: str, lookups: str, names: str, reopened: str, answer
 
 
 class RecordIntervals(StatefulProcessor):
-    """Keyed by provider and record: extends the open interval while each poll of the provider sees the record.
+    """Keyed by provider and record: one open interval, extended while each poll of the provider sees the record.
 
-    Rows have read_at, previous_at (the poll before) and ttl. An interval is put out each time it grows; the last row of
-    a (key, first_seen_at) is its final state.
+    Rows have read_at, previous_at (the poll before) and ttl. Polls wait until the watermark has passed them and are then
+    taken by their time, so late ones within the delay are merged as if they had come in order. An interval is put out
+    when it ends: at the first poll that doesn't follow its last one, or when two more polls could have come
+    (``expire_s``) and none did. After that the key has no state.
     """
 
+    def __init__(self, expire_s: int):
+        self.expire_s = expire_s
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "first_seen_at long, last_seen_at long, covered_from_at long, covered_until_at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        polls = pd.concat(list(rows)).sort_values(["read_at", "ttl"])
-        state = self.open.get() if self.open.exists() else None
+        self.waiting = handle.getMapState("waiting", "read_at long", "previous_at long, until long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            for p in frame.itertuples(index=False):
+                at, until = int(p.read_at), int(p.read_at + p.ttl)
+                before = -1 if pd.isna(p.previous_at) else int(p.previous_at)
+                if self.waiting.containsKey((at,)):
+                    until = max(until, self.waiting.getValue((at,))[1])
+                self.waiting.updateValue((at,), (before, until))
+                self.handle.registerTimer(at * 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        state = tuple(self.open.get()) if self.open.exists() else None
         out = []
-        for p in polls.itertuples(index=False):
-            at, before, until = int(p.read_at), None if pd.isna(p.previous_at) else int(p.previous_at), int(p.read_at + p.ttl)
-            if state is not None and (state[1] == at or (before is not None and state[1] == before)):
-                state = (state[0], at, state[2], max(state[3], until))
+        if self.waiting.containsKey((now,)):
+            before, until = self.waiting.getValue((now,))
+            self.waiting.removeKey((now,))
+            if state is not None and state[1] == before:
+                state = (state[0], now, state[2], max(state[3], until))
             else:
                 if state is not None:
                     out.append((*key, *state))
-                state = (at, at, at if before is None else before, until)
-        self.open.update(state)
-        out.append((*key, *state))
+                state = (now, now, now if before < 0 else before, until)
+            self.open.update(state)
+            self.handle.registerTimer((now + self.expire_s) * 1000)
+        elif state is not None and state[1] + self.expire_s <= now:
+            out.append((*key, *state))
+            self.open.clear()
         names = ["provider_id", "owner_name", "rrtype", "value", "first_seen_at", "last_seen_at", "covered_from_at", "covered_until_at"]
         yield pd.DataFrame(out, columns=names)
 
@@ -306,9 +328,11 @@ class RecordIntervals(StatefulProcessor):
 INTERVALS = "provider_id long, owner_name string, rrtype string, value string, first_seen_at long, last_seen_at long, covered_from_at long, covered_until_at long"
 
 
-def stream_intervals(polls: DataFrame) -> DataFrame:
-    """Growing intervals of record sightings, from a stream of polls in order of time."""
-    keyed = polls.groupBy("provider_id", "owner_name", "rrtype", "value")
-    return keyed.transformWithStateInPandas(RecordIntervals(), INTERVALS, "Update", "None")
-
+def stream_intervals(polls: DataFrame, *, delay: str = "1 hour", expire_s: int = 7200) -> DataFrame:
+    """Intervals of record sightings, each once, when it has ended. expire_s: two polls' time.
 
+    Polls that come later than the delay are left to ``windows.record_intervals`` over all of them.
+    """
+    timed = polls.withColumn("event_at", F.timestamp_seconds("read_at")).withWatermark("event_at", delay)
+    keyed = timed.groupBy("provider_id", "owner_name", "rrtype", "value")
+    return keyed.transformWithStateInPandas(RecordIntervals(expire_s), INTERVALS, "Append", "EventTime")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions import names, net
 from netloom.functions import time as t
-from netloom.operators import derive, joins, rollup, windows
+from netloom.operators import derive, joins, reads, rollup, windows
 from netloom.sources import payloads, sinks
 
 
@@ -156,6 +156,46 @@ def test_other_payloads(spark, tmp_path):
     assert values(samples, "measure", "value") == [("delay", 12.5)]
 
 
+def test_what_cannot_be_read_is_rejected_with_its_reason(spark, tmp_path):
+    files = {"a.json": '[{"domain": "a"}, 5, null, {"domain": "b"}]', "b.json": "[{", "c.json": " ", "d.json": "7", "e.json": '{"rows": [{"domain": "c"}]}', "f.json": '{"m1": {"domain": "d"}, "m2": [1]}'}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got, rejected = payloads.read_with_rejects(spark, str(tmp_path), payloads.LOOKUP)
+    assert values(got, "member", "domain") == [("m1", "d"), (None, "a"), (None, "b"), (None, "c")]
+    found = sorted((r.path.rpartition("/")[2], r.reason, r["at"]) for r in rejected.collect())
+    assert found == [("a.json", "element", 1), ("a.json", "element", 2), ("b.json", "json", None), ("c.json", "empty", None), ("d.json", "shape", None), ("f.json", "element", 1)]
+
+
+def test_repeated_dimensions_do_not_multiply_records(spark):
+    flow = spark.createDataFrame([(1, "em1", "r1"), (2, None, "r2")], "id long, interface_device string, rid string")
+    im = spark.createDataFrame([("em1",), ("em1",)], "device string")
+    rule = spark.createDataFrame([("r1", 9), ("r1", 4)], "pf_label string, id long")
+    got = payloads.resolve_flow_keys(flow, im, rule)
+    assert values(got, "id", "rule_id", "interface_lookup_state", "rule_lookup_state") == [(1, 4, "resolved", "resolved"), (2, None, "pending", "not_found")]
+
+
+def test_names_in_their_own_script(spark):
+    rules = spark.createDataFrame([("com", "exact"), ("cn", "exact"), ("公司.cn", "exact"), ("xn--fiqs8s", "exact"), ("de", "exact")], "rule string, kind string")
+    want = {"食狮.com.cn": "com.cn", "食狮.公司.cn": "食狮.公司.cn", "www.食狮.公司.cn": "食狮.公司.cn", "公司.cn": None, "www.xn--85x722f.xn--55qx5d.cn": "xn--85x722f.xn--55qx5d.cn", "食狮.中国": "食狮.中国", "中国": None, "www.bücher.de": "bücher.de"}
+    df = spark.createDataFrame([(n,) for n in want], "n string")
+    assert {r.n: r.registrable for r in names.registrable_domain(df, "n", rules).collect()} == want
+
+
+def test_fractions_of_any_length(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05.123456789Z",), ("2024-01-02T03:04:05.1Z",), ("2024-01-02T03:04:05.123456789",)], "v string")
+    assert [r[0] for r in df.select(t.normalise_iso(F.col("v"), 3600)).collect()] == [1704164645, 1704164645, 1704161045]
+
+
+def test_rates_split_by_direction_only_where_peers_agree(spark):
+    rows = [("interface_endpoint", "em1 10.0.0.1", "rate_bits_in", 5.0, 100), ("interface_endpoint", "em1 10.0.0.1", "rate_bits_out", 7.0, 100), ("interface_endpoint", "em1 10.0.0.1", "rate_bits_out", 99.0, 90),
+            ("interface_endpoint", "em1 10.0.0.2", "rate_bits_in", 1.0, 100), ("interface_endpoint", "em0 203.0.113.1", "rate_bits_out", 8.0, 100), ("interface_endpoint", "em1 10.0.0.3", "rate_bits_out", 50.0, 10),
+            ("interface_endpoint_pair", "em1 10.0.0.1 8.8.8.8", "rate_bits_in", 2.0, 100), ("interface_endpoint_pair", "em1 10.0.0.1 9.9.9.9", "rate_bits_in", 3.0, 90), ("interface_endpoint_pair", "em1 10.0.0.2 8.8.8.8", "rate_bits_in", 4.0, 100), ("interface_endpoint_pair", "em1 10.0.0.2 10.0.1.1", "rate_bits_in", 6.0, 100)]
+    samples = spark.createDataFrame(rows, "subject_kind string, subject_key string, measure string, value double, sampled_at long")
+    placed = spark.createDataFrame([("10.0.0.1", 1), ("10.0.0.2", 1), ("10.0.1.1", 2), ("8.8.8.8", None)], "address string, interface_id long")
+    got = reads.current_rates_by(samples, placed=placed, client_of=spark.createDataFrame([("10.0.0.1", 4)], "address string, client_id long"), clients=spark.createDataFrame([(4, None)], "id long, owner_id long"), now=110, interval_s=30)
+    assert values(got, "grouping", "key", "in_rate", "out_rate", "out_measured") == sorted([("client", "4", 5.0, 7.0, True), ("device", "em0", 0.0, 8.0, True), ("device", "em1", 6.0, 7.0, False), ("direction", "inbound", 6.0, None, False), ("direction", "inter_interface", 6.0, None, False), ("direction", "outbound", 0.0, 7.0, True), ("owner", None, 5.0, 7.0, True), ("unsplit", None, 0.0, None, False)], key=str)
+
+
 def test_suffix_list_and_ranges(spark, tmp_path):
     (tmp_path / "list.dat").write_text("// comment\n\ncom\n*.ck\n!www.ck extra\n")
     assert values(payloads.read_suffix_rules(spark, str(tmp_path / "list.dat")), "rule", "kind") == [("ck", "wildcard"), ("com", "exact"), ("www.ck", "exception")]

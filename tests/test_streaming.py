@@ -138,19 +138,21 @@ def test_windows_on_arrival(spark, tmp_path):
 
 
 def test_stateful_intervals_equal_the_batch(spark, tmp_path):
-    x = Tables(spark, "/root/testdata/sf0.001")
-    polls = x.poll
-    reads = polls.select("provider_id", "read_at").distinct()
+    """Files out of order; a last poll of another provider moves the watermark, after which nothing is left open."""
     from pyspark.sql import Window
 
-    before = reads.withColumn("previous_at", F.lag("read_at").over(Window.partitionBy("provider_id").orderBy("read_at")))
-    fed = polls.join(before, ["provider_id", "read_at"])
+    x = Tables(spark, "/root/testdata/sf0.001")
+    polls = x.poll
+    before = polls.select("provider_id", "read_at").distinct().withColumn("previous_at", F.lag("read_at").over(Window.partitionBy("provider_id").orderBy("read_at")))
+    fed = polls.join(before, ["provider_id", "read_at"]).persist()
     path = str(tmp_path / "polls")
-    fed.coalesce(1).write.parquet(path)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(fed.schema).parquet(path)
-    query = jobs.stream_intervals(stream).writeStream.format("memory").queryName("intervals").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    key = ["provider_id", "owner_name", "rrtype", "value", "first_seen_at"]
-    got = spark.table("intervals").groupBy(*key).agg(F.max_by(F.struct("last_seen_at", "covered_from_at", "covered_until_at"), "last_seen_at").alias("s")).select(*key, "s.*")
+    last = fed.agg(F.max("read_at")).first()[0]
+    end, after = (spark.createDataFrame([(99, last + days * 86400, "end", "A", "x", 60, None)], "provider_id long, read_at long, owner_name string, rrtype string, value string, ttl long, previous_at long").select(*fed.columns) for days in (90, 200))
+    for part in (fed.filter("read_at % 172800 = 0"), fed.filter("read_at % 172800 <> 0"), end, after):
+        part.coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(fed.schema).parquet(path)
+        query = jobs.stream_intervals(stream, delay="1 day" if any(part is p for p in (end, after)) else "3650 days", expire_s=30 * 86400).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).filter("provider_id <> 99")
     assert rows(got) == rows(windows.record_intervals(polls).select(*got.columns))
