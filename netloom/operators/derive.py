@@ -69,7 +69,7 @@ def mark_this_firewall(rows: DataFrame, holdings: DataFrame, *, address: str, at
 
 def assign_client(rows: DataFrame, client: DataFrame, *, address: str, stored: str, at: str, idle_s: int = 86400) -> DataFrame:
     """rows with client_id: the stored one unless address-level, else the strongest identity at the address, else the
-    stored one, else a recent address-level one; else null (``minted_key`` names the one to create)."""
+    stored one, else a recent address-level one; else null."""
     c = client.select("id", "identity_kind", F.col("last_address").alias("_a"), "last_seen_at")
     rank = F.when(F.col("identity_kind") == "dhcp_client_id", 0).otherwise(1)
     strong = c.filter(F.col("identity_kind").isin(*STRONG)).groupBy("_a").agg(F.min(F.struct(rank.alias("k"), (-F.col("last_seen_at")).alias("t"), "id"))["id"].alias("_strong"))
@@ -82,11 +82,6 @@ def assign_client(rows: DataFrame, client: DataFrame, *, address: str, stored: s
     return out.withColumn("client_id", chosen).drop("_stored", "_kind", "_strong", "_sa", "_a", "_l")
 
 
-def minted_key(interface_id: Column, address: Column, at: Column) -> Column:
-    """Deterministic key of an address-level identity: interface, address, day."""
-    return F.concat_ws("|", interface_id.cast("string"), address, F.expr("0") + F.floor(at / 86400))
-
-
 def classify_end(rows: DataFrame, *, side: str, at: str, placed: DataFrame, holdings: DataFrame, client: DataFrame, margin_s: int = 300) -> DataFrame:
     """rows with new_<side>_interface_id, new_<side>_client_id, new_<side>_is_this_firewall and whether they changed."""
     address = f"{side}_address"
@@ -115,6 +110,27 @@ def client_identity(leases: DataFrame) -> DataFrame:
     return named.groupBy("identity_kind", "identity_key").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), latest("address"), latest("hostname"), latest("interface_id"))
 
 
+def clients_seen(leases: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """One client for each identity over all servers and neighbour tables, with what was last known of it.
+
+    leases: server, dhcp_client_id, duid, iaid, mac, address, hostname, interface_id, observed_at; the first of the
+    three ids that is there is the identity, else the MAC, else interface, address and day. neighbours (as
+    ``parse_neighbours`` gives them: without upstream entries and those the firewall holds): mac, address, interface_id,
+    observed_at; an entry without a MAC or an address is none. A column's last value that is there counts, ties by
+    address; servers are those that knew the client. Identities are not merged across levels.
+    """
+    address_day = F.concat_ws("|", F.col("interface_id").cast("string"), F.col("address"), F.floor(F.col("observed_at") / 86400).cast("string"))
+    given = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("dhcp_client_id", "duid", "iaid")))
+    mac = net.mac_normalise(F.col("mac"))
+    kind = F.when(given.isNotNull(), "dhcp_client_id").when(mac.isNotNull(), "mac").otherwise("address_in_interface")
+    last = ["address", "hostname", "interface_id", "mac"]
+    held = leases.select("server", kind.alias("identity_kind"), F.coalesce(given, mac, address_day).alias("identity_key"), "observed_at", "address", "hostname", "interface_id", mac.alias("mac"))
+    seen = neighbours.filter(mac.isNotNull() & F.col("address").isNotNull()).select(F.lit(None).cast("string").alias("server"), F.lit("mac").alias("identity_kind"), mac.alias("identity_key"), "observed_at", "address", F.lit(None).cast("string").alias("hostname"), "interface_id", mac.alias("mac"))
+    newest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("observed_at", F.col("address").alias("_a"), F.col(c).alias("_v"))))["_v"].alias(c)
+    both = held.unionByName(seen).groupBy("identity_kind", "identity_key")
+    return both.agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), *(newest(c) for c in last), F.array_join(F.array_sort(F.collect_set("server")), ",").alias("servers"))
+
+
 def _eligible(flow: DataFrame) -> DataFrame:
     return flow.filter(F.col("dst_interface_id").isNull() & ~F.col("dst_is_this_firewall") & scope.not_second_leg())
 
@@ -202,10 +218,38 @@ def pair_volume_daily(flow: DataFrame) -> DataFrame:
     return out.withColumns({"observed_direction": F.col("_f.direction"), "observed_interface_device": F.col("_f.interface_device")}).drop("_f")
 
 
-def detect_gaps(pages: DataFrame) -> DataFrame:
-    """Intervals missing between one poll's page and all before it. pages: provider_id, polled_at, oldest_at, newest_at."""
-    before = F.max("newest_at").over(Window.partitionBy("provider_id").orderBy("polled_at").rowsBetween(Window.unboundedPreceding, -1))
-    return pages.withColumn("_b", before).filter(F.col("oldest_at") > F.col("_b")).select("provider_id", F.col("_b").alias("interval_start_at"), F.col("oldest_at").alias("interval_end_at"), F.lit("page_overrun").alias("reason"), F.col("polled_at").alias("detected_at"))
+def detect_gaps(pages: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Intervals missing between one poll's page and all before it. pages: provider_id, polled_at, oldest_at, newest_at.
+
+    stored (provider_id, newest_at) is what was stored before the first page. The running maximum is taken in two
+    levels, over a provider's days and within a day, so that a provider with a long history is not one task's rows.
+    """
+    day = F.expr("polled_at div 86400")
+    by_day = pages.groupBy("provider_id", day.alias("_day")).agg(F.max("newest_at").alias("_most"))
+    before_day = F.max("_most").over(Window.partitionBy("provider_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
+    days = by_day.select("provider_id", "_day", before_day.alias("_days"))
+    if stored is not None:
+        first = stored.groupBy("provider_id").agg(F.max("newest_at").alias("_stored"))
+        days = days.join(first, "provider_id", "left").withColumn("_days", F.greatest("_days", "_stored")).drop("_stored")
+    within = F.max("newest_at").over(Window.partitionBy("provider_id", "_day").orderBy("polled_at").rowsBetween(Window.unboundedPreceding, -1))
+    known = pages.withColumn("_day", day).withColumn("_w", within).join(days, ["provider_id", "_day"]).withColumn("_b", F.greatest("_w", "_days"))
+    return known.filter(F.col("oldest_at") > F.col("_b")).select("provider_id", F.col("_b").alias("interval_start_at"), F.col("oldest_at").alias("interval_end_at"), F.lit("page_overrun").alias("reason"), F.col("polled_at").alias("detected_at"))
+
+
+def lost_files(watermarks: DataFrame, listed: DataFrame, answered: DataFrame, *, now: int) -> tuple[DataFrame, DataFrame]:
+    """(gaps, watermarks): a file that was read from and that its provider no longer lists is lost, once and for good.
+
+    watermarks: provider_id, file_id, byte_offset, observed_at, rotation_state. listed: provider_id, file_id. answered:
+    provider_id of those whose list could be read; of others nothing is concluded. A lost file keeps its offset, and a
+    file that is lost already gives no further gap.
+    """
+    could = answered.select("provider_id").distinct()
+    there = listed.select("provider_id", "file_id").distinct().withColumn("_there", F.lit(True))
+    judged = watermarks.join(could.withColumn("_asked", F.lit(True)), "provider_id", "left").join(there, ["provider_id", "file_id"], "left")
+    gone = F.col("_asked").isNotNull() & F.col("_there").isNull()
+    new = gone & (F.col("rotation_state") != "lost")
+    gaps = judged.filter(new).select("provider_id", F.col("observed_at").alias("interval_start_at"), F.lit(now).cast("bigint").alias("interval_end_at"), F.lit("eve_rotation_lost").alias("reason"), F.lit(now).cast("bigint").alias("detected_at"), "file_id", "byte_offset")
+    return gaps, judged.withColumn("rotation_state", F.when(gone, "lost").otherwise(F.col("rotation_state"))).drop("_asked", "_there")
 
 
 def unclassified_due(flow: DataFrame, *, horizon: int) -> DataFrame:

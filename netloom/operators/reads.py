@@ -218,6 +218,12 @@ def leases_per_client(leases: DataFrame, clients: DataFrame) -> DataFrame:
 # -- samples -----------------------------------------------------------------------------------------------------------
 
 
+def no_domains(df: DataFrame, *names: str) -> DataFrame:
+    """df for readers who may not see site names: those columns (site_name and domain, if none are named) are null."""
+    hidden = {c.lower() for c in names or ("site_name", "domain")}
+    return df.select(*(F.lit(None).cast(kind).alias(c) if c.lower() in hidden else F.col(f"`{c}`") for c, kind in df.dtypes))
+
+
 def current_rates(samples: DataFrame, *, now: int, interval_s: int) -> DataFrame:
     """Newest rates by measure; a measure nobody reported is no row."""
     return latest_reading(samples, now=now, interval_s=interval_s).groupBy("measure").agg(F.sum("value").alias("rate"), _n().alias("subjects"), F.max("sampled_at").alias("sampled_at"))
@@ -313,8 +319,8 @@ def screen_interface(flow: DataFrame, clients: DataFrame, *, interface_id: int,
 
 def screen_client(flow: DataFrame, geo: DataFrame, attribution: DataFrame, devices: DataFrame, *, client_id: int, start: int, end: int) -> DataFrame:
     rows = flow.filter((F.col("src_client_id") == client_id) & in_window("observed_at", start, end))
-    out = rows.join(geo.select(F.col("address").alias("dst_address"), F.col("lookup_state").alias("geo_lookup_state"), "country_code", "operator"), "dst_address", "left").join(attribution.select(F.col("flow_id").alias("id"), "site_name", F.col("delay_s").alias("correlation_delay_seconds")), "id", "left").join(devices.select(F.col("device").alias("interface_device"), "description"), "interface_device", "left")
-    return out.select(F.col("id").alias("flow_id"), "observed_at", "dst_address", "dst_port", "protocol", "action", "traffic_scope", "packet_bytes", "geo_lookup_state", "country_code", "operator", "site_name", "correlation_delay_seconds", "interface_lookup_state", F.when(F.col("interface_lookup_state") == "resolved", F.col("description")).alias("interface_description"))
+    out = rows.join(geo.select(F.col("address").alias("dst_address"), F.col("lookup_state").alias("geo_lookup_state"), "country_code", "operator", "dataset_build_at"), "dst_address", "left").join(attribution.select(F.col("flow_id").alias("id"), "site_name", F.col("delay_s").alias("correlation_delay_seconds")), "id", "left").join(devices.select(F.col("device").alias("interface_device"), "description"), "interface_device", "left")
+    return out.select(F.col("id").alias("flow_id"), "observed_at", "dst_address", "dst_port", "protocol", "action", "traffic_scope", "packet_bytes", "geo_lookup_state", "country_code", "operator", "dataset_build_at", "site_name", "correlation_delay_seconds", "interface_lookup_state", F.when(F.col("interface_lookup_state") == "resolved", F.col("description")).alias("interface_description"))
 
 
 def screen_blocked(flow: DataFrame, rules: DataFrame, devices: DataFrame, *, start: int, end: int) -> DataFrame:

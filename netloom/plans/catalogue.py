@@ -12,6 +12,7 @@ from netloom.functions import time as t
 from netloom.functions.names import dns_name, host_label, registrable_domain
 from netloom.operators import derive, joins, quality, reads, retention, rollup, windows
 from netloom.plans.inputs import Tables, twin
+from netloom.sources import payloads
 
 A, B = 852076800, 883612800  # the year 1997
 EDGE_A, EDGE_B = A + 1234, B - 777
@@ -380,6 +381,25 @@ def _(x: Tables) -> DataFrame:
     return derive.detect_gaps(pages)
 
 
+@add("d12_gaps_after_what_was_stored", """WITH pg AS (SELECT user_id % 5 AS provider_id, EPOCH(ts) // 7200 * 7200 AS polled_at, min(EPOCH(ts)) AS oldest_at, max(EPOCH(ts)) AS newest_at FROM events GROUP BY 1, 2), st AS (SELECT provider_id, min(oldest_at) - 60 * (provider_id + 1) AS newest_at FROM pg WHERE provider_id <> 3 GROUP BY 1),
+ al AS (SELECT *, FALSE AS s FROM pg UNION ALL SELECT provider_id, 0, 0, newest_at, TRUE FROM st), w AS (SELECT *, max(newest_at) OVER (PARTITION BY provider_id ORDER BY polled_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM al)
+ SELECT provider_id, b AS interval_start_at, oldest_at AS interval_end_at, 'page_overrun' AS reason, polled_at AS detected_at FROM w WHERE NOT s AND oldest_at > b""")
+def _(x: Tables) -> DataFrame:
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    pages = x.events.select((F.col("user_id") % 5).alias("provider_id"), at.alias("at")).groupBy("provider_id", F.expr("at div 7200 * 7200").alias("polled_at")).agg(F.min("at").alias("oldest_at"), F.max("at").alias("newest_at"))
+    stored = pages.filter("provider_id <> 3").groupBy("provider_id").agg((F.min("oldest_at") - 60 * (F.col("provider_id") + 1)).alias("newest_at"))
+    return derive.detect_gaps(pages, stored)
+
+
+@add("d12_lost_files", f"""WITH wm AS (SELECT user_id % 5 AS provider_id, CAST(event_id % 40 AS STRING) AS file_id, max(event_id) AS byte_offset, max(EPOCH(ts)) AS observed_at, CASE WHEN event_id % 40 % 9 = 0 THEN 'lost' ELSE 'rotated' END AS rotation_state FROM events GROUP BY ALL)
+ SELECT provider_id, file_id, byte_offset, observed_at AS interval_start_at, CAST({NOW} AS BIGINT) AS interval_end_at, 'eve_rotation_lost' AS reason, CAST({NOW} AS BIGINT) AS detected_at FROM wm WHERE provider_id <> 2 AND rotation_state <> 'lost' AND CAST(file_id AS INT) % 3 = 0""")
+def _(x: Tables) -> DataFrame:
+    file = F.col("event_id") % 40
+    marks = x.events.groupBy((F.col("user_id") % 5).alias("provider_id"), file.cast("string").alias("file_id"), F.when(file % 9 == 0, "lost").otherwise("rotated").alias("rotation_state")).agg(F.max("event_id").alias("byte_offset"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("observed_at"))
+    listed = marks.filter("cast(file_id as int) % 3 <> 0").select("provider_id", "file_id")
+    return derive.lost_files(marks, listed, marks.filter("provider_id <> 2").select("provider_id"), now=NOW)[0]
+
+
 @add("d13_unclassified_due", f"SELECT DISTINCT address FROM (SELECT src_address AS address FROM flow WHERE observed_at < {A} AND src_interface_id IS NULL UNION ALL SELECT dst_address FROM flow WHERE observed_at < {A} AND dst_interface_id IS NULL)")
 def _(x: Tables) -> DataFrame:
     return derive.unclassified_due(x.flow, horizon=A)
@@ -674,7 +694,7 @@ def _(x: Tables) -> DataFrame:
     return reads.screen_interface(x.flow, x.client, interface_id=7, start=A, end=B)
 
 
-@add("r19_screen_client", f"SELECT f.id AS flow_id, observed_at, dst_address, dst_port, protocol, action, traffic_scope, packet_bytes, g.lookup_state AS geo_lookup_state, country_code, operator, site_name, delay_s AS correlation_delay_seconds, interface_lookup_state, CASE WHEN interface_lookup_state = 'resolved' THEN m.description END AS interface_description FROM flow f LEFT JOIN attribution a ON a.flow_id = f.id LEFT JOIN geo_asn g ON g.address = f.dst_address LEFT JOIN interface_map m ON m.device = f.interface_device WHERE src_client_id = 7 AND observed_at >= 0 AND observed_at < {NOW}")
+@add("r19_screen_client", f"SELECT f.id AS flow_id, observed_at, dst_address, dst_port, protocol, action, traffic_scope, packet_bytes, g.lookup_state AS geo_lookup_state, country_code, operator, dataset_build_at, site_name, delay_s AS correlation_delay_seconds, interface_lookup_state, CASE WHEN interface_lookup_state = 'resolved' THEN m.description END AS interface_description FROM flow f LEFT JOIN attribution a ON a.flow_id = f.id LEFT JOIN geo_asn g ON g.address = f.dst_address LEFT JOIN interface_map m ON m.device = f.interface_device WHERE src_client_id = 7 AND observed_at >= 0 AND observed_at < {NOW}")
 def _(x: Tables) -> DataFrame:
     return reads.screen_client(x.flow, x.geo_asn, x.attribution, x.interface_map, client_id=7, start=0, end=NOW)
 
@@ -890,6 +910,76 @@ def _(x: Tables) -> DataFrame:
     return quality.lookups_by_resolution(x.dns)
 
 
+# -- sources: payload text made of the given tables, parsed back -------------------------------------------------------
+
+
+@add("s02_parse_flow_log", """SELECT concat('d', CAST(event_id AS STRING)) AS log_digest, EPOCH(ts) AS observed_at, concat('em', CAST(user_id % 9 AS STRING)) AS interface_device, CASE WHEN event_type = 'click' THEN 'pass' WHEN event_type = 'view' THEN 'block' ELSE 'unknown' END AS action, CASE WHEN event_id % 2 = 0 THEN 'in' ELSE 'out' END AS direction, CAST(CASE WHEN event_id % 4 = 1 THEN 6 ELSE 4 END AS INT) AS ip_version, CAST(event_id % 1500 AS BIGINT) AS packet_bytes, CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 65536 END AS INT) AS src_port
+ FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0""")
+def _(x: Tables) -> DataFrame:
+    e, text = F.col("event_id"), lambda c: c.cast("string")
+    at = F.col("ts").cast("timestamp")
+    stamp = F.when(e % 3 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(e % 3 == 1, F.date_format(at + F.expr("interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSSSS'+02:00'")).otherwise(text(F.unix_seconds(at)))
+    kind = F.when(F.col("event_type") == "click", "Pass").when(F.col("event_type") == "view", "BLOCK").otherwise(F.col("event_type"))
+    made = {"__digest__": F.when(e % 11 == 0, " ").otherwise(F.concat(F.lit("d"), text(e))), "__timestamp__": stamp, "interface": F.concat(F.lit("em"), text(F.col("user_id") % 9)), "action": kind, "dir": F.when(e % 2 == 0, "in").otherwise("OUT"), "ipversion": F.when(e % 13 == 0, "5").when(e % 4 == 1, "6").otherwise("4"), "length": F.when(e % 17 == 0, "x").otherwise(text(e % 1500)), "srcport": F.when(e % 3 == 0, text(e % 65536))}
+    raw = x.events.select(*(made.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in payloads.FLOW_LOG))
+    flow, _ = payloads.parse_flow_log(raw, reference_at=F.lit(NOW).cast("bigint"))
+    return flow.select("log_digest", "observed_at", "interface_device", "action", "direction", "ip_version", "packet_bytes", "src_port")
+
+
+@add("s02_rejected_flow_log", "SELECT CASE WHEN event_id % 13 = 0 THEN 'ip_version' ELSE 'length' END AS reject_reason, count(*) AS records FROM events WHERE event_id % 13 = 0 OR event_id % 17 = 0 GROUP BY 1")
+def _(x: Tables) -> DataFrame:
+    e = F.col("event_id")
+    made = {"__digest__": F.concat(F.lit("d"), e.cast("string")), "__timestamp__": F.lit("5"), "ipversion": F.when(e % 13 == 0, "").otherwise("4"), "length": F.when(e % 17 == 0, "-1").otherwise("60")}
+    raw = x.events.select(*(made.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in payloads.FLOW_LOG))
+    return payloads.parse_flow_log(raw, reference_at=F.lit(NOW).cast("bigint"))[1].groupBy("reject_reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+@add("s03_resolve_flow_keys", "SELECT f.id, CASE WHEN m.device IS NULL THEN 'not_found' ELSE 'resolved' END AS interface_lookup_state, r.id AS rule_id, CASE WHEN f.rid IS NULL THEN 'pending' WHEN r.id IS NULL THEN 'not_found' ELSE 'resolved' END AS rule_lookup_state FROM (SELECT id, interface_device, CASE WHEN id % 5 <> 0 THEN rid END AS rid FROM flow) f LEFT JOIN interface_map m ON m.device = f.interface_device LEFT JOIN (SELECT pf_label, min(id) AS id FROM rule GROUP BY 1) r ON r.pf_label = f.rid")
+def _(x: Tables) -> DataFrame:
+    flow = x.flow.select("id", "interface_device", F.when(F.col("id") % 5 != 0, F.col("rid")).alias("rid"))
+    # Every dimension row twice: records stay as many as they are.
+    return payloads.resolve_flow_keys(flow, x.interface_map.union(x.interface_map), x.rule.union(x.rule)).select("id", "interface_lookup_state", "rule_id", "rule_lookup_state")
+
+
+@add("s09_skipped_records", """SELECT CASE WHEN event_id % 6 = 5 THEN 'type' ELSE 'ttl' END AS reason, count(*) AS skipped FROM events WHERE event_id % 6 = 5 OR event_id % 7 = 0 GROUP BY 1""")
+def _(x: Tables) -> DataFrame:
+    return payloads.parse_resource_records(_raw_records(x), held_in="cache")[1]
+
+
+def _raw_records(x: Tables) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    kind = F.element_at(F.array(*map(F.lit, ("A", "AAAA", "CNAME", "PTR", "A", "MX"))), (e % 6 + 1).cast("int"))
+    name = F.when(kind == "PTR", F.concat((u % 256).cast("string"), F.lit(".2.0.203.in-addr.arpa."))).otherwise(F.concat(F.lit("S"), (u % 40).cast("string"), F.lit(".Example.")))
+    value = F.when(kind == "AAAA", F.concat(F.lit("2001:DB8:0:0:0:0:0:"), F.lower(F.hex((u % 256).cast("bigint"))))).when(kind == "A", F.concat(F.lit("203.0.2."), (u % 256).cast("string"))).otherwise(F.concat(F.lit("T"), (u % 9).cast("string"), F.lit(".example.")))
+    return x.events.select(name.alias("host"), kind.alias("rrtype"), value.alias("value"), F.when(e % 7 == 0, "x").otherwise((e % 600).cast("string")).alias("ttl"))
+
+
+@add("s09_parse_resource_records", """SELECT owner_name, rrtype, value, address, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 3 THEN concat(CAST(user_id % 256 AS STRING), '.2.0.203.in-addr.arpa') ELSE concat('s', CAST(user_id % 40 AS STRING), '.example') END AS owner_name, CASE event_id % 6 WHEN 1 THEN 'AAAA' WHEN 2 THEN 'CNAME' WHEN 3 THEN 'PTR' ELSE 'A' END AS rrtype,
+  CASE WHEN event_id % 6 IN (0, 4) THEN concat('203.0.2.', CAST(user_id % 256 AS STRING)) WHEN event_id % 6 = 1 THEN concat('2001:db8::', CASE WHEN user_id % 256 > 0 THEN lower(hex(CAST(user_id % 256 AS BIGINT))) ELSE '' END) ELSE concat('t', CAST(user_id % 9 AS STRING), '.example') END AS value,
+  CASE WHEN event_id % 6 IN (0, 3, 4) THEN concat('203.0.2.', CAST(user_id % 256 AS STRING)) WHEN event_id % 6 = 1 THEN concat('2001:db8::', CASE WHEN user_id % 256 > 0 THEN lower(hex(CAST(user_id % 256 AS BIGINT))) ELSE '' END) END AS address FROM events WHERE event_id % 6 <> 5 AND event_id % 7 <> 0) r GROUP BY ALL""")
+def _(x: Tables) -> DataFrame:
+    return payloads.parse_resource_records(_raw_records(x), held_in="cache")[0].groupBy("owner_name", "rrtype", "value", "address").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("s19_detect_networks", f"""SELECT DISTINCT concat('em', CAST(user_id % 25 AS STRING)) AS device, CASE WHEN event_id % 2 = 0 THEN concat('10.', CAST(user_id % 200 AS STRING), '.0.0') ELSE concat('2001:db8:', lower(hex(CAST(1 + user_id % 300 AS BIGINT))), '::') END AS network_address, CASE WHEN event_id % 2 = 0 THEN 16 ELSE 48 END AS prefix_length, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 6 END AS address_family, 'detected' AS origin, CAST({NOW} AS BIGINT) AS first_detected_at, CAST({NOW} AS BIGINT) AS last_detected_at FROM events WHERE event_id % 3 <> 0""")
+def _(x: Tables) -> DataFrame:
+    e, u = F.col("event_id"), F.col("user_id")
+    four = F.concat(F.lit("10."), (u % 200).cast("string"), F.lit("."), (e % 256).cast("string"), F.lit(".9"))
+    six = F.concat(F.lit("2001:DB8:"), F.hex((1 + u % 300).cast("bigint")), F.lit("::"), F.lower(F.hex((e % 65536).cast("bigint"))))
+    # A third are hosts, link-local or version 4 written as version 6: none is proposed.
+    address = F.when(e % 9 == 3, F.lit("fe80::1")).when(e % 9 == 6, F.lit("::ffff:10.0.0.1")).when(e % 2 == 0, four).otherwise(six)
+    bits = F.when(e % 9 == 0, F.when(e % 2 == 0, 32).otherwise(128)).when((e % 9 == 3) | (e % 9 == 6), 64).when(e % 2 == 0, 16).otherwise(48)
+    return payloads.detect_networks(x.events.select(F.concat(F.lit("em"), (u % 25).cast("string")).alias("device"), address.alias("address"), bits.alias("prefix_length")), detected_at=NOW)
+
+
+@add("f03_normalise_syslog", "SELECT event_id, EPOCH(ts) - 3600 AS instant FROM events")
+def _(x: Tables) -> DataFrame:
+    # The stamp has no year; a reference up to ten weeks off decides it, across the turn of a year too.
+    at = F.col("ts").cast("timestamp")
+    reference = F.unix_seconds(at) + (F.col("event_id") % 141 - 70) * 86400
+    return x.events.select("event_id", t.normalise_syslog(F.date_format(at, "MMM d HH:mm:ss"), reference, 3600).alias("instant"))
+
+
 # -- retention ---------------------------------------------------------------------------------------------------------
 
 
@@ -963,6 +1053,28 @@ def _(x: Tables) -> DataFrame:
     return derive.client_identity(rows)
 
 
+_MACS = "concat('02:00:00:00:', lpad(lower(hex(CAST(DIV(client_id, 256) % 256 AS BIGINT))), 2, '0'), ':', lpad(lower(hex(CAST(client_id % 256 AS BIGINT))), 2, '0'))"
+
+
+@add("d05_clients_across_servers", f"""WITH l AS (SELECT concat('server', CAST(id % 3 AS STRING)) AS server, CASE WHEN client_id % 4 = 0 THEN concat('c', CAST(client_id AS STRING)) END AS given, CASE WHEN client_id % 4 < 3 THEN {_MACS} END AS mac, address, CASE WHEN id % 2 = 0 THEN hostname_label END AS hostname, client_id % 25 AS interface_id, observed_at FROM lease),
+ k AS (SELECT *, CASE WHEN given IS NOT NULL THEN 'dhcp_client_id' WHEN mac IS NOT NULL THEN 'mac' ELSE 'address_in_interface' END AS identity_kind, coalesce(given, mac, concat(CAST(interface_id AS STRING), '|', address, '|', CAST(observed_at // 86400 AS STRING))) AS identity_key FROM l
+  UNION ALL SELECT NULL, NULL, m, address, NULL, interface_id, at_, 'mac', m FROM (SELECT {_MACS.replace("client_id", "user_id")} AS m, concat('10.7.0.', CAST(user_id % 256 AS STRING)) AS address, user_id % 25 AS interface_id, EPOCH(ts) AS at_ FROM events) n)
+ SELECT identity_kind, identity_key, min(observed_at) AS first_seen_at, max(observed_at) AS last_seen_at, arg_max(address, (observed_at, address)) AS address, arg_max(hostname, (observed_at, address, hostname)) FILTER (hostname IS NOT NULL) AS hostname, arg_max(interface_id, (observed_at, address, interface_id)) AS interface_id, arg_max(mac, (observed_at, address, mac)) FILTER (mac IS NOT NULL) AS mac, coalesce(array_to_string(list_sort(list(DISTINCT server) FILTER (server IS NOT NULL)), ','), '') AS servers FROM k GROUP BY 1, 2""")
+def _(x: Tables) -> DataFrame:
+    from netloom.plans.inputs import spark_sql
+
+    mac = lambda c: F.expr(spark_sql(_MACS.replace("client_id", c)))
+    none = F.lit(None).cast("string")
+    leases = x.lease.select(F.concat(F.lit("server"), (F.col("id") % 3).cast("string")).alias("server"), F.when(F.col("client_id") % 4 == 0, F.concat(F.lit("c"), F.col("client_id").cast("string"))).alias("dhcp_client_id"), none.alias("duid"), none.alias("iaid"), F.when(F.col("client_id") % 4 < 3, mac("client_id")).alias("mac"), "address", F.when(F.col("id") % 2 == 0, F.col("hostname_label")).alias("hostname"), (F.col("client_id") % 25).alias("interface_id"), "observed_at")
+    seen = x.events.select(mac("user_id").alias("mac"), F.concat(F.lit("10.7.0."), (F.col("user_id") % 256).cast("string")).alias("address"), (F.col("user_id") % 25).cast("bigint").alias("interface_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("observed_at"))
+    return derive.clients_seen(leases, seen)
+
+
+@add("p06_no_domains", "SELECT flow_id, CAST(NULL AS STRING) AS site_name, delay_s, method FROM attribution")
+def _(x: Tables) -> DataFrame:
+    return reads.no_domains(x.attribution)
+
+
 @add("d09_resolve_hostnames", """WITH q AS (SELECT id, concat('host', CAST(id % 120 AS STRING)) AS label, looked_up_at - 820000000 + id * 9000 AS t0 FROM dns), ld AS (SELECT concat('host', CAST(n_nationkey * 5 AS STRING)) AS label, concat('10.8.0.', CAST(n_nationkey AS STRING)) AS address FROM nation),
  c AS (SELECT q.id, q.label, count(DISTINCT address) AS n, min(address) AS a FROM q LEFT JOIN lease l ON l.hostname_label = q.label AND coalesce(starts_at, 0) <= t0 AND coalesce(expires_at, 4102444800) >= t0 GROUP BY 1, 2)
  SELECT c.id, CASE WHEN n = 1 THEN a WHEN n = 0 THEN ld.address END AS address, CASE WHEN n = 1 THEN 'lease_hostname' WHEN n > 1 THEN 'ambiguous_hostname' WHEN ld.address IS NOT NULL THEN 'local_data_hostname' ELSE 'unknown_hostname' END AS client_resolution FROM c LEFT JOIN ld ON ld.label = c.label""")

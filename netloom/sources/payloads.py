@@ -132,12 +132,17 @@ def _reverse_name(name: Column) -> Column:
 
 
 def parse_resource_records(raw: DataFrame, *, held_in: str, name: str = "host") -> tuple[DataFrame, DataFrame]:
-    """(records, tally): address, alias and reverse records of a resolver, and how many were skipped for which reason."""
+    """(records, tally): address, alias and reverse records of a resolver, and how many were skipped for which reason.
+
+    Addresses are in their shortest form; one of the other family than its record's, or with a zone, is none.
+    """
     owner, kind = dns_name(F.col(name)), F.upper("rrtype")
-    address = F.when(kind.isin("A", "AAAA"), F.col("value")).when(kind == "PTR", _reverse_name(owner))
+    given = F.when(~F.col("value").contains("%"), F.trim("value"))
+    own = F.when((kind == "A") & net.is_v4(given) | (kind == "AAAA") & ~net.is_v4(given), net.ip_canonical(given))
+    address = F.when(kind.isin("A", "AAAA"), own).when(kind == "PTR", net.ip_canonical(_reverse_name(owner)))
     ttl = F.when(F.col("ttl").rlike(r"^\d+$"), F.col("ttl").try_cast("bigint"))
-    reason = F.when(~kind.isin("A", "AAAA", "CNAME", "PTR"), "type").when(F.coalesce(owner, F.lit("")) == "", "owner").when(F.col("ttl").isNotNull() & ttl.isNull(), "ttl").when(kind.isin("A", "AAAA", "PTR") & F.coalesce(net.ip_family(address).isNull(), F.lit(True)), "address")
-    value = F.when(kind.isin("CNAME", "PTR"), dns_name(F.col("value"))).otherwise(F.col("value"))
+    reason = F.when(~kind.isin("A", "AAAA", "CNAME", "PTR"), "type").when(F.coalesce(owner, F.lit("")) == "", "owner").when(F.col("ttl").isNotNull() & ttl.isNull(), "ttl").when(kind.isin("A", "AAAA", "PTR") & address.isNull(), "address").when(kind.isin("CNAME", "PTR") & (F.coalesce(dns_name(F.col("value")), F.lit("")) == ""), "value")
+    value = F.when(kind.isin("CNAME", "PTR"), dns_name(F.col("value"))).otherwise(address)
     judged = raw.select(F.lit(held_in).alias("held_in"), owner.alias("owner_name"), kind.alias("rrtype"), value.alias("value"), address.alias("address"), ttl.alias("ttl"), reason.alias("reason"))
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("skipped"))
 

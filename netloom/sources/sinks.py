@@ -54,3 +54,8 @@ def write_snapshot(items: DataFrame, path: str, *, set_key: str, captured_at: in
     """A whole set at an instant; written again it replaces itself. Columns of items: item_key, attributes."""
     out = items.withColumns({"set_key": F.lit(set_key), "captured_at": F.lit(captured_at).cast("bigint")})
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_key", "captured_at").parquet(path)
+
+
+def write_ordered(df: DataFrame, path: str, *, measure: str, key: str) -> None:
+    """Rows by falling measure, ties by key, over files in that order: ranges of the order are dealt to tasks."""
+    df.orderBy(F.desc(measure), F.asc(key)).write.mode("overwrite").parquet(path)

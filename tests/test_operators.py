@@ -196,6 +196,22 @@ def test_rates_split_by_direction_only_where_peers_agree(spark):
     assert values(got, "grouping", "key", "in_rate", "out_rate", "out_measured") == sorted([("client", "4", 5.0, 7.0, True), ("device", "em0", 0.0, 8.0, True), ("device", "em1", 6.0, 7.0, False), ("direction", "inbound", 6.0, None, False), ("direction", "inter_interface", 6.0, None, False), ("direction", "outbound", 0.0, 7.0, True), ("owner", None, 5.0, 7.0, True), ("unsplit", None, 0.0, None, False)], key=str)
 
 
+def test_lost_files_are_one_gap_and_only_where_the_list_answered(spark):
+    marks = spark.createDataFrame([(1, "0", 4096, 10, "rotated"), (1, "1", 7, 20, "current"), (1, "2", 5, 5, "lost"), (2, "0", 9, 10, "rotated")], "provider_id long, file_id string, byte_offset long, observed_at long, rotation_state string")
+    listed = spark.createDataFrame([(1, "1"), (1, "1")], "provider_id long, file_id string")
+    answered = spark.createDataFrame([(1,)], "provider_id long")
+    gaps, after = derive.lost_files(marks, listed, answered, now=99)
+    assert values(gaps, "provider_id", "file_id", "interval_start_at", "interval_end_at", "byte_offset") == [(1, "0", 10, 99, 4096)]
+    assert values(after, "provider_id", "file_id", "byte_offset", "rotation_state") == [(1, "0", 4096, "lost"), (1, "1", 7, "current"), (1, "2", 5, "lost"), (2, "0", 9, "rotated")]
+    assert derive.lost_files(after, listed, answered, now=100)[0].count() == 0
+
+
+def test_order_at_the_sink(spark, tmp_path):
+    sinks.write_ordered(spark.range(40).selectExpr("id % 7 as n", "id as k"), str(tmp_path / "o"), measure="n", key="k")
+    got = [(r.n, r.k) for r in spark.read.parquet(str(tmp_path / "o")).withColumn("f", F.input_file_name()).collect()]
+    assert sorted(got, key=lambda r: (-r[0], r[1])) == [(i % 7, i) for i in sorted(range(40), key=lambda i: (-(i % 7), i))]
+
+
 def test_suffix_list_and_ranges(spark, tmp_path):
     (tmp_path / "list.dat").write_text("// comment\n\ncom\n*.ck\n!www.ck extra\n")
     assert values(payloads.read_suffix_rules(spark, str(tmp_path / "list.dat")), "rule", "kind") == [("ck", "wildcard"), ("com", "exact"), ("www.ck", "exception")]
