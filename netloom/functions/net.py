@@ -59,8 +59,8 @@ def _v6_key(address: Column) -> Column:
         sound = F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
         return F.when(sound, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
 
-    text = let(F.lower(F.substring_index(address, "%", 1)), in_hex)
-    return F.when(address.contains(":"), let(let(F.split(text, "::"), filled), digits))
+    text = lambda a: let(F.lower(F.substring_index(a, "%", 1)), in_hex)
+    return let(address, lambda a: F.when(a.contains(":"), let(let(F.split(text(a), "::"), filled), digits)))
 
 
 def ip_key(address: Column, *, v6: bool = True) -> Column:
@@ -114,9 +114,12 @@ def halves(address: Column) -> Column:
     def split(key: Column) -> Column:
         word = lambda at: F.conv(F.substring(key, at, 8), 16, 10).cast("bigint")
         half = lambda at: F.call_function("shiftleft", word(at), F.lit(32)).bitwiseOR(word(at + 8)).bitwiseXOR(F.lit(_TOP))
-        return F.when(key.isNotNull(), F.struct(F.when(is_v4(address), 4).otherwise(6).alias("family"), half(1).alias("high"), half(17).alias("low")))
+        return F.when(key.isNotNull(), F.struct(F.lit(6).alias("family"), half(1).alias("high"), half(17).alias("low")))
 
-    return let(ip_key(address), split)
+    def four(number: Column) -> Column:
+        return F.when(number.isNotNull(), F.struct(F.lit(4).alias("family"), F.lit(_TOP).alias("high"), number.bitwiseXOR(F.lit(_TOP)).alias("low")))
+
+    return let(address, lambda a: F.coalesce(let(v4_number(a), four), let(_v6_key(a), split)))
 
 
 def key_of(high: Column, low: Column) -> Column:
@@ -217,7 +220,7 @@ def is_public(address: Column) -> Column:
         return out
 
     six = lambda key: ~key.rlike("^(0{31}[01]$|f[cd]|fe[89a-f]|ff)")
-    return F.coalesce(F.when(is_v4(address), let(v4_number(address), four)), let(v4_number(unmapped(address)), lambda n: F.when(n.isNotNull(), four(n))), let(_v6_key(address), six), F.lit(False))
+    return F.coalesce(F.when(is_v4(address), let(v4_number(address), four)), let(unmapped(address), lambda u: let(v4_number(u), lambda n: F.when(n.isNotNull(), four(n)))), let(_v6_key(address), six), F.lit(False))
 
 
 def mac_normalise(mac: Column) -> Column:
