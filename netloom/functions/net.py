@@ -109,17 +109,18 @@ def v4_text(number: Column) -> Column:
 
 
 def halves(address: Column) -> Column:
-    """family, high and low of an address, as longs whose signed order is the address's; null for what is none."""
+    """family, high and low of an address, as longs whose signed order is the address's; null for what is none.
+
+    Give it a column rather than an expression: it is named several times. Version 4 needs no more than its number.
+    """
 
     def split(key: Column) -> Column:
         word = lambda at: F.conv(F.substring(key, at, 8), 16, 10).cast("bigint")
         half = lambda at: F.call_function("shiftleft", word(at), F.lit(32)).bitwiseOR(word(at + 8)).bitwiseXOR(F.lit(_TOP))
         return F.when(key.isNotNull(), F.struct(F.lit(6).alias("family"), half(1).alias("high"), half(17).alias("low")))
 
-    def four(number: Column) -> Column:
-        return F.when(number.isNotNull(), F.struct(F.lit(4).alias("family"), F.lit(_TOP).alias("high"), number.bitwiseXOR(F.lit(_TOP)).alias("low")))
-
-    return let(address, lambda a: F.coalesce(let(v4_number(a), four), let(_v6_key(a), split)))
+    four = F.struct(F.lit(4).alias("family"), F.lit(_TOP).alias("high"), v4_number(address).bitwiseXOR(F.lit(_TOP)).alias("low"))
+    return F.when(is_v4(address), four).otherwise(let(_v6_key(address), split))
 
 
 def key_of(high: Column, low: Column) -> Column:

@@ -124,7 +124,7 @@ def ip_range_join(addresses: DataFrame, ranges: DataFrame, *, address: str = "ad
     width = net.shared_width(F.col("_first"), F.col("_last"))
     high, low = net.masked(F.col("_first.high"), F.col("_first.low"), width)
     known = known.withColumn("_block", F.struct(F.col("_first.family").alias("family"), width.cast("int").alias("width"), high.alias("high"), low.alias("low")))
-    points = addresses.select(address).filter(net.is_public(F.col(address))).distinct().withColumn("_at", net.halves(net.unmapped(F.col(address))))
+    points = addresses.select(address).filter(net.is_public(F.col(address))).distinct().withColumn("_u", net.unmapped(F.col(address))).withColumn("_at", net.halves(F.col("_u"))).drop("_u")
     held = _in_blocks(points, known).filter(net.not_after(F.col("_first"), F.col("_at")) & net.not_after(F.col("_at"), F.col("_last")))
     held = held.drop("_at", "_first", "_last").withColumn("lookup_state", F.lit("resolved"))
     return points.select(address).join(held, address, "left").withColumn("lookup_state", F.coalesce("lookup_state", F.lit("miss")))
