@@ -19,6 +19,9 @@ from netloom.session import checkpointed
 SPAN_S = 3600
 
 
+#: Instants beyond which an interval is open.
+_FAR = 1 << 60
+
 #: Spans have so many children, as a power of two.
 _STEP = 3
 
@@ -86,6 +89,52 @@ def binned_range_join(points: DataFrame, intervals: DataFrame, *, at: str, low:
     return asked.join(spread, ["_level", "_span", *on]).filter(inside).drop("_level", "_span")
 
 
+def earliest_pieces(intervals: DataFrame, keys: Sequence[str], *, low: str, high: str) -> DataFrame:
+    """Closed intervals of each key (whole seconds) cut so that none overlap: keys, low, and the piece [_from, _until].
+
+    A piece belongs to the interval that began first of those that hold its instants, so a point meets one piece of a
+    key at most, however many intervals hold it, and low is the earliest of theirs. A null bound is open.
+    """
+    first, last = F.coalesce(F.col(low), F.lit(-_FAR)), F.coalesce(F.col(high), F.lit(_FAR))
+    widest = intervals.select(*keys, first.cast("bigint").alias("_a"), last.cast("bigint").alias("_z")).filter("_a <= _z").groupBy(*keys, "_a").agg(F.max("_z").alias("_z"))
+    reached = F.max("_z").over(Window.partitionBy(*keys).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1))
+    cut = widest.withColumn("_from", F.greatest(F.col("_a"), reached + 1)).filter("_from <= _z")
+    bound = lambda c: F.when(F.abs(F.col(c)) < _FAR, F.col(c))
+    return cut.select(*keys, bound("_a").alias(low), bound("_from").alias("_from"), bound("_z").alias("_until"))
+
+
+def values_held(points: DataFrame, intervals: DataFrame, *, at: str, low: str, high: str, on: Sequence[str], value: str, width: int = 86400) -> DataFrame:
+    """Points at whose instant an interval of their key holds, with values (how many distinct ones hold) and that value if it is one.
+
+    What is in force is counted along the starts and ends of a key's intervals, which gives stretches that don't overlap:
+    a point meets one at most, however many intervals hold it. A key's history is cut into bins of ``width``, each begun
+    with the sums of those before it, so a hot key is many groups. The one value is known by the exclusive or of two
+    hashes of all in force. An interval without a value holds but adds no value.
+    """
+    known = intervals.filter(" and ".join(f"`{k}` is not null" for k in on))
+    marks = {"_x": F.xxhash64(value), "_y": F.xxhash64(F.lit(1), value)}
+    there, zero = F.col(value).isNotNull(), F.lit(0).cast("bigint")
+    step = lambda t, n: F.struct(t.alias("_at"), F.lit(n).cast("bigint").alias("_held"), F.when(there, n).otherwise(0).cast("bigint").alias("_known"))
+    both = F.explode(F.array(step(F.coalesce("_from", F.lit(-_FAR)), 1), step(F.col("_until") + 1, -1)))
+    steps = earliest_pieces(known, [*on, value], low=low, high=high).select(*on, *(F.when(there, v).otherwise(zero).alias(k) for k, v in marks.items()), both.alias("_e"))
+    sums = {"_held": F.sum, "_known": F.sum, "_x": F.bit_xor, "_y": F.bit_xor}
+    steps = steps.select(*on, "_e.*", "_x", "_y").filter("_at is not null").groupBy(*on, "_at").agg(*(fn(c).alias(c) for c, fn in sums.items()))
+    steps = steps.withColumn("_bin", F.floor(F.col("_at") / width).cast("bigint"))
+    bins = steps.groupBy(*on, "_bin").agg(*(fn(c).alias(c) for c, fn in sums.items()), F.min("_at").alias("_first"))
+    order = Window.partitionBy(*on).orderBy("_bin")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*on, "_bin", F.lead("_first").over(order).alias("_next"), *(F.coalesce(fn(c).over(before), zero).alias(f"{c}_before") for c, fn in sums.items()))
+    within = Window.partitionBy(*on, "_bin").orderBy("_at")
+    along = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = {c: (F.col(f"{c}_before") + fn(c).over(along)) if fn is F.sum else F.col(f"{c}_before").bitwiseXOR(fn(c).over(along)) for c, fn in sums.items()}
+    until = F.coalesce(F.lead("_at").over(within), F.col("_next")) - 1
+    stretches = steps.join(bins, [*on, "_bin"]).select(*on, F.when(F.col("_at") > -_FAR, F.col("_at")).alias("_from"), until.alias("_until"), *(v.alias(c) for c, v in now.items())).filter("_held > 0")
+    named = known.select(*on, value).filter(there).distinct().withColumns(marks)
+    one = F.when(F.col("_known") == 1, F.col(value)).alias(value)
+    stretches = stretches.join(named, [*on, "_x", "_y"], "left").select(*on, "_from", "_until", F.col("_known").alias("values"), one)
+    return binned_range_join(points, stretches, at=at, low="_from", high="_until", width=width, on=on).drop("_from", "_until")
+
+
 def _in_blocks(points: DataFrame, blocks: DataFrame) -> DataFrame:
     """points (with _at, halves of an address) and the blocks (_block: a prefix) that hold them.
 
@@ -185,17 +234,21 @@ def expand_paths(frontier: DataFrame, edges: DataFrame, *, max_links: int = 11,
     covering, covered_from and covered_until, which must hold ``at``; a path's coverage starts when its last link's
     does. A name is kept once for each origin and terminal, with the earliest coverage. Rounds end when nothing is new.
     """
-    reached = frontier.withColumn("links", F.lit(0))
+    reached = checkpointed(frontier.withColumn("links", F.lit(0)))
     step, links = reached, 0
+    # Of the edges of one pair of names that hold an instant only the first to begin counts, so the others are left out before the join.
+    if covering:
+        edges = earliest_pieces(edges, ["from_name", "to_name"], low="covered_from", high="covered_until").select(F.col("from_name").alias("name"), "to_name", F.col("covered_from").alias("_starts"), "_from", "_until")
+    else:
+        edges = edges.select(F.col("from_name").alias("name"), "to_name").distinct()
     key = ["origin", "terminal", "name"]
     while links < max_links:
         links += 1
         if covering:
-            e = edges.select(F.col("from_name").alias("name"), "to_name", F.col("covered_from").alias("_from"), F.col("covered_until").alias("_until"))
-            met = binned_range_join(step, e, at="at", low="_from", high="_until", width=SPAN_S, on=["name"])
+            met = binned_range_join(step, edges, at="at", low="_from", high="_until", width=SPAN_S, on=["name"])
         else:
-            met = step.join(edges.select(F.col("from_name").alias("name"), "to_name"), "name")
-        start = F.greatest("covered_from", "_from") if covering else F.col("covered_from")
+            met = step.join(edges, "name")
+        start = F.greatest("covered_from", "_starts") if covering else F.col("covered_from")
         walked = met.select("origin", "terminal", F.col("to_name").alias("name"), "at", start.alias("covered_from"))
         walked = walked.groupBy("origin", "terminal", "name", "at").agg(F.min("covered_from").alias("covered_from"))
         known = reached.select(*key, F.col("covered_from").alias("_known"))
@@ -217,8 +270,9 @@ def answer_addresses(names: DataFrame, records: DataFrame, *, max_links: int = 1
     aliases = records.filter("rrtype = 'CNAME' and held_in = 'cache'").select(F.col("owner_name").alias("from_name"), F.col("value").alias("to_name"), *(c.alias(k) for k, c in span.items()))
     start = names.select("origin", F.col("name").alias("terminal"), "name", "at", F.lit(0).cast("bigint").alias("covered_from"))
     reached = expand_paths(start, aliases, max_links=max_links)
-    held = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("name"), "address", "held_in", "covered_from_at", "covered_until_at")
-    found = binned_range_join(reached, held, at="at", low="covered_from_at", high="covered_until_at", width=SPAN_S, on=["name"]).filter((F.col("held_in") == "cache") | (F.col("links") == 0))
+    held = records.filter(F.col("rrtype").isin("A", "AAAA")).withColumn("name", F.col("owner_name"))
+    held = earliest_pieces(held, ["name", "address", "held_in"], low="covered_from_at", high="covered_until_at").drop("covered_from_at")
+    found = binned_range_join(reached, held, at="at", low="_from", high="_until", width=SPAN_S, on=["name"]).filter((F.col("held_in") == "cache") | (F.col("links") == 0))
     return found.select("origin", F.col("terminal").alias("name"), "address").distinct()
 
 
@@ -228,11 +282,16 @@ def exact_candidates(paths: DataFrame, lookups: DataFrame, *, cap_s: int = 3600)
     Local data answers only lookups answered from it, and is matched without climbing (links = 0).
     """
     p = paths.withColumn("_low", F.greatest("covered_from", F.col("at") - cap_s))
-    look = lookups.withColumn("name", dns_name(F.col("domain")))
-    met = binned_range_join(look.drop("held_in"), p, at="looked_up_at", low="_low", high="at", width=SPAN_S, on=["name"])
+    look = lookups.withColumn("name", dns_name(F.col("domain"))).drop("held_in")
+
+    def met(asked: DataFrame, walked: DataFrame) -> DataFrame:
+        return binned_range_join(asked, walked, at="looked_up_at", low="_low", high="at", width=max(cap_s, 1), on=["name", "_who"])
+
+    # The client is part of the key: a name that all look up isn't paired with everyone's records.
+    by_id = met(look.filter("client_id is not null").withColumn("_who", F.col("client_id")), p.filter("src_client_id is not null").withColumn("_who", F.col("src_client_id")))
+    by_address = met(look.withColumn("_who", F.col("client_address")), p.withColumn("_who", F.col("src_address"))).filter("client_id is null or src_client_id is null")
     local = F.when(F.col("held_in") == "local_data", (F.col("answer_source") == "Local-data") & (F.col("links") == 0)).otherwise(True)
-    who = F.col("src_client_id").eqNullSafe(F.col("client_id")) & F.col("client_id").isNotNull() | (F.col("src_address") == F.col("client_address")) & (F.col("client_id").isNull() | F.col("src_client_id").isNull())
-    return met.filter(who & local).drop("_low")
+    return by_id.drop("_who").unionByName(by_address.drop("_who")).filter(local).drop("_low")
 
 
 def lease_at(questions: DataFrame, leases: DataFrame) -> DataFrame:
@@ -240,12 +299,11 @@ def lease_at(questions: DataFrame, leases: DataFrame) -> DataFrame:
 
     questions: key, label, at. leases: hostname_label, address, starts_at and expires_at, either of which may be open.
     """
-    held = leases.select(F.col("hostname_label").alias("label"), F.col("address"), F.col("starts_at").alias("_from"), F.col("expires_at").alias("_until"))
-    met = binned_range_join(questions, held, at="at", low="_from", high="_until", width=86400, on=["label"])
-    none = questions.select("key", "label", F.lit(None).cast("string").alias("address"))
-    # One address or several is all that is asked, so the least and the largest tell it.
-    found = met.select("key", "label", "address").unionByName(none).groupBy("key", "label").agg(F.min("address").alias("first"), F.max("address").alias("_last"))
-    found = found.withColumn("n", F.when(F.col("first").isNull(), 0).when(F.col("first") == F.col("_last"), 1).otherwise(2)).drop("_last")
+    held = leases.select(F.col("hostname_label").alias("label"), "address", "starts_at", "expires_at")
+    met = values_held(questions.select("key", "label", "at"), held, at="at", low="starts_at", high="expires_at", on=["label"], value="address")
+    none = questions.select("key", "label", F.lit(0).cast("bigint").alias("values"), F.lit(None).cast("string").alias("address"))
+    found = met.select(*none.columns).unionByName(none).groupBy("key", "label").agg(F.max("values").alias("n"), F.min("address").alias("first"), F.max("address").alias("_last"))
+    found = found.withColumn("n", F.when(F.col("first") != F.col("_last"), 2).otherwise(F.col("n"))).drop("_last")
     state = F.when(F.col("label") == "localhost", "this_firewall").when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
     return found.select("key", state.alias("state"), F.when((F.col("n") == 1) & (F.col("label") != "localhost"), F.col("first")).alias("address"))
 
