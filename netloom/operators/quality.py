@@ -59,14 +59,13 @@ def source_availability(providers: DataFrame, checks: DataFrame) -> DataFrame:
 def unresolved_hostnames_by_cause(lookups: DataFrame, leases: DataFrame) -> DataFrame:
     """lookups: id, label, at. The first cause that holds: no lease ever, none yet, none any more, several at once.
 
-    The first two need a label's earliest start alone; leases in force are found by label and span of time.
+    The first two need a label's earliest start alone; leases in force are counted along each label's time, not paired.
     """
     held = leases.select(F.col("hostname_label").alias("label"), "starts_at", "expires_at", "address")
     earliest = held.groupBy("label").agg(F.min(F.coalesce("starts_at", F.lit(0))).alias("_begins"))
-    met = joins.binned_range_join(lookups, held, at="at", low="starts_at", high="expires_at", width=86400, on=["label"])
-    current = met.groupBy("id").agg(F.min("address").alias("_one"), F.max("address").alias("_other"), F.lit(True).alias("_current"))
-    flags = lookups.join(earliest, "label", "left").join(current, "id", "left")
-    cause = F.when(F.col("_begins").isNull(), "no_lease").when(F.col("_begins") > F.col("at"), "lease_later").when(F.col("_current").isNull(), "lease_over").when(F.col("_one") != F.col("_other"), "several_addresses").otherwise("resolvable")
+    met = joins.values_held(lookups, held, at="at", low="starts_at", high="expires_at", on=["label"], value="address")
+    flags = lookups.join(earliest, "label", "left").join(met.groupBy("id").agg(F.max("values").alias("_values")), "id", "left")
+    cause = F.when(F.col("_begins").isNull(), "no_lease").when(F.col("_begins") > F.col("at"), "lease_later").when(F.col("_values").isNull(), "lease_over").when(F.col("_values") > 1, "several_addresses").otherwise("resolvable")
     return flags.groupBy(cause.alias("cause")).agg(_n().alias("lookups"))
 
 
