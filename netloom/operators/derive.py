@@ -9,6 +9,7 @@ from netloom.functions import net, scope
 from netloom.functions.names import dns_name, host_label
 from netloom.operators import joins
 from netloom.operators.windows import changed
+from netloom.session import checkpointed
 
 STRONG = ("dhcp_client_id", "mac")
 
@@ -139,6 +140,17 @@ def _usable(lookups: DataFrame) -> DataFrame:
     return lookups.filter((F.col("action") == "pass") & F.col("answer_source").isin("Recursion", "Cache", "Local-data") & F.col("client_resolution").isin("logged_address", "lease_hostname", "local_data_hostname"))
 
 
+def names_held(points: DataFrame, records: DataFrame) -> DataFrame:
+    """origin, held_in, name, at, covered_from: names whose answers held the target (dst_address) at an instant.
+
+    Of one name's answers with that target the earliest that holds counts, so a target is met once for each name.
+    """
+    answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "held_in", F.col("owner_name").alias("name"), F.col("covered_from_at").alias("covered_from"), "covered_until_at")
+    pieces = joins.earliest_pieces(answers, ["dst_address", "held_in", "name"], low="covered_from", high="covered_until_at")
+    met = joins.binned_range_join(points, pieces, at="at", low="_from", high="_until", width=joins.SPAN_S, on=["dst_address"])
+    return met.select("origin", "held_in", "name", "at", "covered_from")
+
+
 def exact_evidence(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, cap_s: int = 3600, max_links: int = 11) -> DataFrame:
     """For records that cached answers lead to a lookup: origin, at, names (how many), latest (looked_up_at, lookup_key, domain).
 
@@ -146,9 +158,7 @@ def exact_evidence(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, c
     """
     eligible = _eligible(flow)
     span = {"covered_from": F.col("covered_from_at"), "covered_until": F.col("covered_until_at")}
-    terminal = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "held_in", F.col("owner_name").alias("name"), *(c.alias(k) for k, c in span.items()))
-    start = joins.binned_range_join(eligible.select("id", "observed_at", "dst_address"), terminal, at="observed_at", low="covered_from", high="covered_until", width=joins.SPAN_S, on=["dst_address"])
-    frontier = start.select(F.col("id").alias("origin"), "held_in", "name", F.col("observed_at").alias("at"), "covered_from")
+    frontier = names_held(eligible.select(F.col("id").alias("origin"), F.col("observed_at").alias("at"), "dst_address"), records)
     aliases = records.filter("rrtype = 'CNAME' and held_in = 'cache'").select(F.col("value").alias("from_name"), F.col("owner_name").alias("to_name"), *(c.alias(k) for k, c in span.items()))
     cached = joins.expand_paths(frontier.filter("held_in <> 'local_data'").withColumn("terminal", F.lit("cache")).drop("held_in"), aliases, max_links=max_links).withColumn("held_in", F.lit("cache"))
     local = frontier.filter("held_in = 'local_data'").withColumns({"terminal": F.lit("local_data"), "links": F.lit(0)})
@@ -165,19 +175,29 @@ def timing_evidence(flow: DataFrame, lookups: DataFrame, records: DataFrame, exa
     """
     undecided = _eligible(flow).join(exact.select(F.col("origin").alias("id")), "id", "left_anti")
     timed = joins.match_lookups_by_time(undecided, _usable(lookups), delay_s=timing_s)
-    answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), "address", "covered_from_at", "covered_until_at")
-    asked = timed.join(undecided.select("id", "observed_at", "dst_address"), "id").withColumns({"_looked": F.col("observed_at") - F.col("delay_s"), "_n": dns_name(F.col("domain"))})
-    held = joins.binned_range_join(asked, answers, at="_looked", low="covered_from_at", high="covered_until_at", width=joins.SPAN_S, on=["_n"]).filter(net.ip_family(F.col("address")) == net.ip_family(F.col("dst_address")))
-    contradicted = held.groupBy("id").agg(F.max((F.col("address") == F.col("dst_address")).cast("int")).alias("_ok")).filter("_ok = 0").select("id")
+    family = net.ip_family(F.col("address"))
+    answers = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("owner_name").alias("_n"), F.col("address").alias("dst_address"), family.alias("_family"), "covered_from_at", "covered_until_at").filter("_family is not null")
+    asked = timed.join(undecided.select("id", "observed_at", "dst_address"), "id").withColumns({"_looked": F.col("observed_at") - F.col("delay_s"), "_n": dns_name(F.col("domain")), "_family": net.ip_family(F.col("dst_address"))})
+
+    def answered(key: str) -> DataFrame:
+        """Records whose name had an answer of that target or family then; pieces don't overlap, so each is met once."""
+        pieces = joins.earliest_pieces(answers, ["_n", key], low="covered_from_at", high="covered_until_at").drop("covered_from_at")
+        return joins.binned_range_join(asked.select("id", "_looked", "_n", key), pieces, at="_looked", low="_from", high="_until", width=joins.SPAN_S, on=["_n", key]).select("id")
+
+    contradicted = answered("_family").join(answered("dst_address"), "id", "left_anti")
     return timed.join(contradicted, "id", "left_anti")
 
 
-def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, timing_s: int = 5, cap_s: int = 3600, max_links: int = 11) -> DataFrame:
+def attribute_sites(flow: DataFrame, lookups: DataFrame, records: DataFrame, *, timing_s: int = 5, cap_s: int = 3600, max_links: int = 11, exact: DataFrame | None = None) -> DataFrame:
     """flow_id, site_name, method, delay_s: by exact evidence if that leaves one name, by timing if it leaves none.
 
+    exact: what ``exact_evidence`` found of these records, where that is known already.
+
     records: held_in, owner_name, rrtype, value, address, covered_from_at, covered_until_at.
     """
-    exact = exact_evidence(flow, lookups, records, cap_s=cap_s, max_links=max_links)
+    if exact is None:
+        # Met twice below; one row for each record that has such evidence.
+        exact = checkpointed(exact_evidence(flow, lookups, records, cap_s=cap_s, max_links=max_links))
     by_name = exact.filter("names = 1").select(F.col("origin").alias("flow_id"), F.col("latest.domain").alias("site_name"), F.lit("resolver_cache_answer").alias("method"), (F.col("at") - F.col("latest.looked_up_at")).alias("delay_s"))
     timed = timing_evidence(flow, lookups, records, exact, timing_s=timing_s)
     return by_name.unionByName(timed.select(F.col("id").alias("flow_id"), F.col("domain").alias("site_name"), F.lit("lookup_timing").alias("method"), "delay_s"))
@@ -187,9 +207,9 @@ def resolve_hostnames(lookups: DataFrame, leases: DataFrame, local_data: DataFra
     """id, address and client_resolution of lookups that came with a host name: by lease, else local data."""
     asked = lookups.select(F.col("id").alias("key"), host_label(F.col("client_hostname")).alias("label"), F.col("looked_up_at").alias("at"))
     by_lease = joins.lease_at(asked, leases)
-    rest = asked.join(by_lease.filter("state = 'unknown'").select("key"), "key", "left_semi")
-    local = joins.lease_at(rest, local_data).select("key", F.col("state").alias("_s"), F.col("address").alias("_a"))
-    both = by_lease.join(local, "key", "left")
+    local = joins.lease_at(asked, local_data).select("key", F.col("state").alias("_s"), F.col("address").alias("_a"))
+    unknown = F.col("state") == "unknown"
+    both = by_lease.join(local, "key", "left").withColumns({"_s": F.when(unknown, F.col("_s")), "_a": F.when(unknown, F.col("_a"))})
     state = F.when(F.col("state") == "resolved", "lease_hostname").when(F.col("state") == "this_firewall", "this_firewall").when((F.col("state") == "ambiguous") | (F.col("_s") == "ambiguous"), "ambiguous_hostname").when(F.col("_s") == "resolved", "local_data_hostname").otherwise("unknown_hostname")
     return both.select(F.col("key").alias("id"), F.coalesce("address", "_a").alias("address"), state.alias("client_resolution"))
 
