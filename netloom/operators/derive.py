@@ -103,11 +103,15 @@ def classify_flows(flow: DataFrame, *, placed: DataFrame, holdings: DataFrame, c
 
 
 def client_identity(leases: DataFrame) -> DataFrame:
-    """One client for each identity: DHCP id, else DUID, else IAID, else MAC, else interface, address and day."""
+    """One client for each identity: DHCP id, else DUID, else IAID, else MAC, else interface, address and day.
+
+    The latest lease tells its address, name and interface; ties by address, then by least id where leases have one.
+    """
     fallback = F.concat_ws("|", F.col("interface_id").cast("string"), F.col("address"), F.floor(F.col("observed_at") / 86400).cast("string"))
     kinds = (("dhcp_client_id", F.col("dhcp_client_id")), ("duid", F.col("duid")), ("iaid", F.col("iaid")), ("mac", net.mac_normalise(F.col("mac"))), ("address_in_interface", fallback))
     named = leases.withColumns({"identity_kind": F.coalesce(*(F.when(v.isNotNull(), F.lit(k)) for k, v in kinds)), "identity_key": F.coalesce(*(v for _, v in kinds))})
-    latest = lambda c: F.max_by(c, F.struct("observed_at", "address")).alias(c)
+    order = F.struct("observed_at", "address", *((-F.col("id")).alias(k) for k in ("id",) if k in leases.columns))
+    latest = lambda c: F.max_by(c, order).alias(c)
     return named.groupBy("identity_kind", "identity_key").agg(F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"), latest("address"), latest("hostname"), latest("interface_id"))
 
 
