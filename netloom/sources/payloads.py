@@ -84,10 +84,13 @@ def resolve_flow_keys(flow: DataFrame, interface_map: DataFrame, rule: DataFrame
 LOOKUP = text_fields("client", "domain", "time", "action", "source", "rcode", "dnssec_status", "blocklist", "uuid")
 
 
-def parse_lookups(raw: DataFrame) -> DataFrame:
-    """Resolver lookups; the key is a digest of what tells them apart, since the source has none."""
+def parse_lookups(raw: DataFrame, *, logged: Column | None = None) -> DataFrame:
+    """Resolver lookups; the key is a digest of what tells them apart, since the source has none.
+
+    logged: whether the client is an address rather than a host name, where the source has its own rule.
+    """
     key = F.sha2(F.concat_ws("\x1f", *(F.coalesce(c, F.lit("")) for c in ("time", "client", "domain", "action", "source", "rcode"))), 256)
-    address = F.when(net.is_v4(F.col("client")) | F.col("client").contains(":"), F.col("client"))
+    address = F.when(net.is_v4(F.col("client")) | F.col("client").contains(":") if logged is None else logged, F.col("client"))
     return raw.select(key.alias("lookup_key"), address.alias("client_address"), F.when(address.isNull(), F.col("client")).alias("client_hostname"), F.when(address.isNotNull(), "logged_address").otherwise("unknown_hostname").alias("client_resolution"), "domain", _known(F.col("action"), "pass", "block", "drop").alias("action"), F.col("source").alias("answer_source"), "rcode", "dnssec_status", F.nullif("blocklist", F.lit("")).alias("blocklist"), normalise_epoch(F.col("time")).alias("looked_up_at"))
 
 
