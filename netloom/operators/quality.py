@@ -50,10 +50,10 @@ def unresolved_joins(flow: DataFrame, geo: DataFrame) -> DataFrame:
     return flow.join(known, "dst_address", "left").agg(_n().alias("records"), F.count_if(F.col("interface_lookup_state") != "resolved").alias("interface"), F.count_if(F.col("rule_lookup_state") != "resolved").alias("rule"), F.count_if(F.col("src_interface_id").isNotNull() & F.col("src_client_id").isNull() & ~F.col("src_is_this_firewall")).alias("client"), F.count_if((F.col("traffic_scope") == "north_south") & F.col("_g").isNull()).alias("geo"))
 
 
-def source_availability(providers: DataFrame, checks: DataFrame) -> DataFrame:
-    """providers: id, provider_key. checks: provider_id, state, checked_at. The newest check of each, or none."""
-    last = checks.groupBy(F.col("provider_id").alias("id")).agg(F.max(F.struct("checked_at", "state")).alias("_l"))
-    return providers.join(last, "id", "left").select("id", "provider_key", F.coalesce("_l.state", F.lit("never_checked")).alias("state"), F.col("_l.checked_at").alias("checked_at"))
+def source_availability(providers: DataFrame, checks: DataFrame, *, order: Sequence[str] = ("checked_at",)) -> DataFrame:
+    """providers: id, provider_key. checks: provider_id, state, checked_at. The last check's state by ``order``, and when the newest was; or none."""
+    last = checks.groupBy(F.col("provider_id").alias("id")).agg(F.max(F.struct(*order, "state")).alias("_l"), F.max("checked_at").alias("checked_at"))
+    return providers.join(last, "id", "left").select("id", "provider_key", F.coalesce("_l.state", F.lit("never_checked")).alias("state"), "checked_at")
 
 
 def unresolved_hostnames_by_cause(lookups: DataFrame, leases: DataFrame) -> DataFrame:
