@@ -241,7 +241,7 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
             break
         more = checkpointed(_connect(dealt, contents, threshold, width))
         if not more.isEmpty():
-            links = checkpointed(links.union(more))
+            links = links.union(more)
             labels = components(links)
         least = block  # smaller buckets are settled
     named = copies.join(labels, copies.rep == labels.id, "left").select("k1", "k2", "first", F.coalesce("label", "rep").alias("label"))
