@@ -104,14 +104,12 @@ def connection_tree(classified: DataFrame, clients: DataFrame, geo: DataFrame, a
     site = F.coalesce("site_name", F.lit("none"))
     keyed = f.select(inner[root].alias("i1"), child.alias("i2"), outer.alias("o1"), site.alias("o2"), "packet_bytes", scope.blocked().alias("_b"))
     figures = [F.sum("packet_bytes").alias("bytes"), _n().alias("connections"), F.count_if("_b").alias("blocked")]
-    # One pass over the records for the finest of both levels; parents are sums of their children.
-    sides = []
-    for side, one, two in (("inside", "i1", "i2"), ("outside", "o1", "o2")):
-        fine = keyed.groupBy(one, two).agg(*figures)
-        sides.append(fine.select(F.lit(side).alias("side"), F.lit(2).alias("level"), F.col(one).alias("parent_key"), F.col(two).alias("key"), "bytes", "connections", "blocked"))
-        top = fine.groupBy(one).agg(*(F.sum(c).alias(c) for c in ("bytes", "connections", "blocked")))
-        sides.append(top.select(F.lit(side).alias("side"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_key"), F.col(one).alias("key"), "bytes", "connections", "blocked"))
-    return reduce(DataFrame.unionByName, sides)
+    # One pass over the joined records for the finest of both sides' levels; parents are sums of their children.
+    node = lambda side, one, two: F.struct(F.lit(side).alias("side"), F.col(one).alias("parent_key"), F.col(two).alias("key"))
+    fine = keyed.select(F.inline(F.array(node("inside", "i1", "i2"), node("outside", "o1", "o2"))), "packet_bytes", "_b").groupBy("side", "parent_key", "key").agg(*figures)
+    top = fine.groupBy("side", F.col("parent_key").alias("key")).agg(*(F.sum(c).alias(c) for c in ("bytes", "connections", "blocked")))
+    columns = ("side", "level", "parent_key", "key", "bytes", "connections", "blocked")
+    return fine.withColumn("level", F.lit(2)).select(*columns).unionByName(top.withColumns({"level": F.lit(1), "parent_key": F.lit(None).cast("string")}).select(*columns))
 
 
 # -- attribution -------------------------------------------------------------------------------------------------------
