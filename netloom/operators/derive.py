@@ -61,7 +61,8 @@ def mark_this_firewall(rows: DataFrame, holdings: DataFrame, *, address: str, at
     """
     until = F.when(~F.col("is_current"), F.col("last_seen_at") + margin_s)
     h = holdings.filter(F.col("source_field").isin(*HELD_FIELDS)).select(F.col("address").alias(address), F.col("interface_id").alias("_i"), "last_seen_at", (F.col("first_seen_at") - margin_s).alias("_from"), until.alias("_until"))
-    key = rows.select(address, at).distinct()
+    # Repeated pairs do no harm to a minimum; telling them apart first would send every record's pair over the network.
+    key = rows.select(address, at)
     held = joins.binned_range_join(key, h, at=at, low="_from", high="_until", width=86400, on=[address])
     newest = held.groupBy(address, at).agg(F.min(F.struct((-F.col("last_seen_at")).alias("o"), "_i"))["_i"].alias("firewall_interface_id"))
     out = rows.join(newest, [address, at], "left")
