@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.session import checkpointed
+from netloom.llm.session import checkpointed, gathered
 
 #: Edges that one task takes. The tables of a round have one partition for each so many, however many a shuffle makes.
 SHARE = 1 << 16
@@ -17,20 +17,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label of that label, so paths halve; rounds
     end when no label changes. An id with many edges is reduced by partial minima before it is shuffled, and the joins
     are plain equi-joins that Spark splits when one side of a key is large. Only the number of edges and whether a label
-    changed reach the driver. Up to ``SHARE`` edges lie in one partition and are joined without a shuffle: a driver
-    remembers every task it had run, and rounds over small tables would otherwise be most of them.
+    changed reach the driver. Up to ``SHARE`` rows of edges lie in one partition; labels, never more than those, then are
+    broadcast and nothing is shuffled: a driver remembers every task and plan it had run, and rounds over small tables
+    would otherwise be most of them. Edges are read twice.
     """
+    parts = 2 * gathered(edges).count() // SHARE + 1
     there, back = F.struct("a", "z"), F.struct(F.col("z").alias("a"), F.col("a").alias("z"))
-    both = checkpointed(edges.select(F.inline(F.array(there, back))).distinct())
-    parts = both.count() // SHARE + 1
-    both = both.coalesce(parts)
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("z")).alias("label")).coalesce(parts))
+    both = checkpointed(edges.coalesce(parts).select(F.inline(F.array(there, back))).distinct().coalesce(parts)).coalesce(parts)
+    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("z")).alias("label")).coalesce(parts)).coalesce(parts)
+    small = F.broadcast if parts == 1 else lambda df: df
     while True:
         own = labels.select("id", "label", F.col("label").alias("old"))
-        near = both.join(labels, both.z == labels.id).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
+        near = both.join(small(labels), both.z == labels.id).select(F.col("a").alias("id"), "label", F.lit(None).cast("long").alias("old"))
         better = own.union(near).coalesce(parts).groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("id").alias("via"), F.col("label").alias("far"))
-        after = checkpointed(better.join(jump, better.label == jump.via, "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old").coalesce(parts))
+        after = checkpointed(better.join(small(jump), better.label == jump.via, "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old").coalesce(parts)).coalesce(parts)
         labels = after.select("id", "label")
         if after.filter("label < old").isEmpty():
             return labels

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from netloom.llm import textvec as tv
 from netloom.llm.arrowio import add_columns, column, slices, unused
 from netloom.llm.components import components
-from netloom.llm.session import checkpointed, stored
+from netloom.llm.session import checkpointed, gathered, stored
 
 _SHINGLE, _POINT = 0xBA6, 0x9015
 _M64 = np.uint64(2**64 - 1)
@@ -236,11 +236,12 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
             each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
             outside = dealt.filter(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts"))).withColumn("block", each("blocks"))
             dealt = outside.unionByName(dealt.withColumn("part", each("parts")).withColumn("seeks", F.lit(False))).withColumn("block", F.col("part") * F.col("blocks") + F.col("block"))
-        dealt = checkpointed(dealt.groupBy("bucket", "block", "rep", "label").agg(F.max("seeks").alias("seeks")))
-        if dealt.isEmpty():
+            dealt = dealt.groupBy("bucket", "block", "rep", "label").agg(F.max("seeks").alias("seeks"))
+        dealt = checkpointed(dealt.select("bucket", "block", "rep", "label", "seeks"))
+        if gathered(dealt).isEmpty():
             break
         more = checkpointed(_connect(dealt, contents, threshold, width))
-        if not more.isEmpty():
+        if not gathered(more).isEmpty():
             links = links.union(more)
             labels = components(links)
         least = block  # smaller buckets are settled

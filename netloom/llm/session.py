@@ -31,3 +31,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df in one partition for each core, without a shuffle: for a pass over a few numbers, however many partitions they came in."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)

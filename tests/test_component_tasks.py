@@ -17,3 +17,25 @@ def test_rounds_over_few_edges_run_few_tasks(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     assert labels == {i: 1 for i in range(1, 31)} | {50: 50, 60: 50}
     assert parts == 1
+
+
+def test_no_round_over_few_edges_is_dealt_over_all_partitions(spark):
+    """A round joined its one partition over all shuffle partitions when Spark broadcast one side of it."""
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    context = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 60)], "a long, z long").repartition(40).checkpoint()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("rounds", "")
+        got = {r.id: r.label for r in components(edges).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    told = context.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("rounds") for s in told.getJobInfo(j).stageIds]
+    assert got == {i: 1 for i in range(1, 31)} | {50: 50, 60: 50}
+    assert sum(s.numCompletedTasks for s in stages if s) < 60
