@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.session import checkpointed, gathered
-
-#: Edges that one task takes. The tables of a round have one partition for each so many, however many a shuffle makes.
-SHARE = 1 << 16
+from netloom.llm.session import SHARE, checkpointed, gathered
 
 
 def components(edges: DataFrame) -> DataFrame:

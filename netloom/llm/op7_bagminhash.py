@@ -34,9 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm import textvec as tv
-from netloom.llm.arrowio import add_columns, column, slices, unused
+from netloom.llm.arrowio import SMALL_BYTES, add_columns, column, slices, unused
 from netloom.llm.components import components
-from netloom.llm.session import checkpointed, gathered, stored
+from netloom.llm.session import checkpointed, gathered, small, stored
+
+#: Entries (bucket, rep) that one task takes, 16 bytes each. Tables with fewer rows than those few entries are broadcast.
+ENTRIES = 1 << 17
 
 _SHINGLE, _POINT = 0xBA6, 0x9015
 _M64 = np.uint64(2**64 - 1)
@@ -132,7 +135,7 @@ def _features(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFram
 
     t1, t2 = _row_key()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", t1.alias("t1"), t2.alias("t2"))
-    return add_columns(keyed, "k1 long, k2 long, bands array<long>", fn, keep=["doc_id", "t1", "t2"])
+    return add_columns(keyed, "k1 long, k2 long, bands array<long>", fn, keep=["doc_id", "t1", "t2"], small=True)
 
 
 def _row_key() -> tuple[Column, Column]:
@@ -147,8 +150,8 @@ def _similarities(pairs: DataFrame, contents: DataFrame, width: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for half in slices(batch, "text_a"):
-                for piece in slices(half, "text_z"):
+            for half in slices(batch, "text_a", SMALL_BYTES):
+                for piece in slices(half, "text_z", SMALL_BYTES):
                     sides = []
                     for name in ("text_a", "text_z"):
                         shingle, doc, n = shingles(column(piece, name), width)
@@ -202,7 +205,7 @@ def _connect(entries: DataFrame, contents: DataFrame, threshold: float, width: i
             apart = [*rest, whole]
         return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "z": pa.array([x[1] for x in links], pa.int64())})
 
-    rows = entries.join(contents.withColumnRenamed("id", "rep"), "rep").select("bucket", "block", "rep", "label", "seeks", "text")
+    rows = contents.withColumnRenamed("id", "rep").join(small(entries), "rep").select("bucket", "block", "rep", "label", "seeks", "text")
     return rows.groupBy("bucket", "block").applyInArrow(run, "a long, z long")
 
 
@@ -215,9 +218,14 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
     entries = copies.select("rep", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     open_entries = checkpointed(entries.join(shared, "bucket"))
-    members = copies.join(open_entries.select("rep").distinct(), "rep").select(F.col("rep").alias("id"), "first.t1", "first.t2")
+    # A driver remembers every task: few entries aren't dealt over all partitions again and again, but lie in one and meet
+    # what is broadcast. Members, labels and buckets are never more than entries.
+    parts = gathered(open_entries).count() // ENTRIES + 1
+    open_entries = open_entries.coalesce(parts)
+    few = F.broadcast if parts == 1 else lambda df: df
+    members = copies.join(few(open_entries.select("rep").distinct()), "rep").select(F.col("rep").alias("id"), "first.t1", "first.t2")
     t1, t2 = _row_key()
-    contents = stored(docs.select(t1.alias("t1"), t2.alias("t2"), "text").join(members, ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
+    contents = stored(docs.select(t1.alias("t1"), t2.alias("t2"), "text").join(few(members), ["t1", "t2"]).groupBy("id").agg(F.min("text").alias("text")))
     leaders = open_entries.groupBy("bucket").agg(F.min("rep").alias("leader"))
     pairs = open_entries.join(leaders, "bucket").filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("z")).distinct()
     near = lambda pairs: _similarities(pairs, contents, width).filter(F.col("similarity") >= threshold - 1e-9).select("a", "z")
@@ -225,18 +233,21 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
     labels = components(links)
     least = 0
     for step in range(3):
-        named = open_entries.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
+        named = open_entries.join(few(labels.withColumnRenamed("id", "rep")), "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         by_label = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
         open_buckets = by_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("k", "label")).alias("largest"), F.max("k").alias("most")).filter((F.col("labels") > 1) & (F.col("n") > least))
-        dealt = named.join(open_buckets, "bucket").withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "parts": F.ceil((F.col("n") - F.col("most")) / block).cast("long")})
+        dealt = named.join(few(open_buckets), "bucket").withColumns({"blocks": F.ceil(F.col("n") / block).cast("long"), "parts": F.ceil((F.col("n") - F.col("most")) / block).cast("long")})
         mine = F.pmod(F.xxhash64("rep", F.lit(step)), F.col("blocks"))
         dealt = dealt.withColumns({"seeks": F.lit(True), "block": mine})
         if step == 2:
             # What two ways of dealing left outside the largest component is dealt into parts; every part meets every block.
-            each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-            outside = dealt.filter(F.col("label") != F.col("largest")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts"))).withColumn("block", each("blocks"))
-            dealt = outside.unionByName(dealt.withColumn("part", each("parts")).withColumn("seeks", F.lit(False))).withColumn("block", F.col("part") * F.col("blocks") + F.col("block"))
-            dealt = dealt.groupBy("bucket", "block", "rep", "label").agg(F.max("seeks").alias("seeks"))
+            # A member goes with its block to every part and, where it is outside, with its part to every block.
+            outside, part = F.col("label") != F.col("largest"), F.pmod(F.xxhash64("rep", F.lit("part")), F.col("parts"))
+            each = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+            with_block = F.transform(each("parts"), lambda p: p * F.col("blocks") + F.col("block"))
+            with_part = F.when(outside, F.transform(each("blocks"), lambda b: F.col("part") * F.col("blocks") + b)).otherwise(F.array().cast("array<long>"))
+            dealt = dealt.repartition("bucket", "rep").withColumn("part", part).withColumn("cell", F.explode(F.array_union(with_block, with_part)))
+            dealt = dealt.withColumns({"seeks": outside & (F.expr("cell div blocks") == F.col("part")), "block": F.col("cell")})
         dealt = checkpointed(dealt.select("bucket", "block", "rep", "label", "seeks"))
         if gathered(dealt).isEmpty():
             break
@@ -245,7 +256,7 @@ def _classes(docs: DataFrame, *, threshold: float = 0.8, width: int = 5, bands:
             links = links.union(more)
             labels = components(links)
         least = block  # smaller buckets are settled
-    named = copies.join(labels, copies.rep == labels.id, "left").select("k1", "k2", "first", F.coalesce("label", "rep").alias("label"))
+    named = copies.join(few(labels.withColumnRenamed("id", "rep")), "rep", "left").select("k1", "k2", "first", F.coalesce("label", "rep").alias("label"))
     return features.select("doc_id", "t1", "t2", "k1", "k2"), named
 
 

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers that one task takes of a loop's tables, and that are broadcast at most (about 3 MB).
+SHARE = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +40,8 @@ def stored(df: DataFrame) -> DataFrame:
 def gathered(df: DataFrame) -> DataFrame:
     """df in one partition for each core, without a shuffle: for a pass over a few numbers, however many partitions they came in."""
     return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most ``SHARE`` rows (of a few numbers each). It is read once more, to be counted."""
+    return F.broadcast(df) if gathered(df).count() <= SHARE else df
