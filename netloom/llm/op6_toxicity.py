@@ -227,14 +227,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", trainable=N
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a column score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return add_columns(docs, "score double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())])
+    return add_columns(docs, "score double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())], small=True)
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, at: float = 0.5) -> DataFrame:
     """Documents that score below ``at``, with the columns they had."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     (name,) = unused(docs.columns, "toxicity")
-    scored = add_columns(docs, f"`{name}` double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())])
+    scored = add_columns(docs, f"`{name}` double", lambda piece: [pa.array(shared.value(column(piece, "text")), pa.float64())], small=True)
     return scored.filter(F.col(name) < at).select(*docs.columns)
 
 

@@ -226,7 +226,7 @@ def mix(docs: DataFrame, *, block_words: int = 32, shards: int | None = None, sh
         whole = np.bincount(doc, minlength=len(blocks)) == blocks
         return [pc.if_else(pa.array(whole), column(piece, "text").cast(pa.string()), made)]
 
-    got = add_columns(got.select(*docs.columns, picked, shard, place), "text string", cut, keep=[*docs.columns, shard, place])
+    got = add_columns(got.select(*docs.columns, picked, shard, place), "text string", cut, keep=[*docs.columns, shard, place], small=True)
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast("long"))
     return got.repartitionById(shards, F.col(shard)).sortWithinPartitions(place).select(*docs.columns)
