@@ -65,7 +65,7 @@ def test_few_documents_are_not_dealt_over_all_partitions_in_each_round(spark):
     stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("classes") for s in told.getJobInfo(j).stageIds]
     assert got == {i: 0 for i in range(12)} | {i: i for i in range(20, 25)}
     tasks = sum(s.numCompletedTasks for s in stages if s)
-    assert tasks < 700, tasks
+    assert tasks < 350, tasks
 
 
 def test_slices_of_short_texts_are_bounded_in_rows(spark):
