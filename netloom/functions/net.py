@@ -38,8 +38,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _v6_key(address: Column) -> Column:
-    """The 32 digits of a version 6 address in any of its forms, its zone aside; null for what is none."""
+def v6_groups(address: Column, *, widest: int = 4) -> Column:
+    """The eight groups of a version 6 address in any of its forms, its zone aside; null for what is none.
+
+    A group has four digits at most; a source that writes wider ones says how wide.
+    """
     groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
 
     def in_hex(text: Column) -> Column:
@@ -55,12 +58,16 @@ def _v6_key(address: Column) -> Column:
         sound = (F.size(sides) == 1) & (missing == 0) | (F.size(sides) == 2) & (missing > 0)
         return F.when(sound, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
 
-    def digits(whole: Column) -> Column:
-        sound = F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-        return F.when(sound, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+    def checked(whole: Column) -> Column:
+        return F.when(F.forall(whole, lambda g: g.rlike(f"^[0-9a-f]{{1,{widest}}}$")), whole)
 
     text = lambda a: let(F.lower(F.substring_index(a, "%", 1)), in_hex)
-    return let(address, lambda a: F.when(a.contains(":"), let(let(F.split(text(a), "::"), filled), digits)))
+    return let(address, lambda a: F.when(a.contains(":"), let(let(F.split(text(a), "::"), filled), checked)))
+
+
+def _v6_key(address: Column) -> Column:
+    """The 32 digits of a version 6 address; null for what is none."""
+    return let(v6_groups(address), lambda whole: F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
 
 
 def ip_key(address: Column, *, v6: bool = True) -> Column:
@@ -73,8 +80,8 @@ def ip_family(address: Column) -> Column:
     return F.when(is_v4(address), 4).when(address.contains(":"), 6)
 
 
-def _v6_text(key: Column) -> Column:
-    """The shortest form of a key: the first of the longest runs of zero groups (two at least) left out."""
+def v6_shortest(groups: Column) -> Column:
+    """Eight groups without leading zeros as one text: the first of the longest runs of zero groups (two at least) left out."""
 
     def shortest(text: Column) -> Column:
         short = F.regexp_replace(text, "^:|:$", "")
@@ -85,10 +92,16 @@ def _v6_text(key: Column) -> Column:
             short = F.when(text.contains(run), F.concat(F.substring(before, F.lit(2), F.lit(64)), F.lit("::"), F.regexp_replace(after, ":$", ""))).otherwise(short)
         return short
 
+    return let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), shortest)
+
+
+def _v6_text(key: Column) -> Column:
+    """The shortest form of a key."""
+
     def written(k: Column) -> Column:
         groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(k, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
         mapped = F.concat(F.lit("::ffff:"), v4_text(F.conv(F.substring(k, 25, 8), 16, 10).cast("bigint")))
-        return F.when(k.startswith("0" * 20 + "ffff"), mapped).when(k.isNotNull(), let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), shortest))
+        return F.when(k.startswith("0" * 20 + "ffff"), mapped).when(k.isNotNull(), v6_shortest(groups))
 
     return let(key, written)
 
