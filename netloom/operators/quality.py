@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,26 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
+def _bounded(answers: DataFrame) -> DataFrame:
+    """What lacks an instant on either side covers nothing."""
+    return answers.filter("covered_from_at is not null and covered_until_at is not null")
+
+
+def _answers(records: DataFrame) -> DataFrame:
+    """Address records by the target they name."""
+    return _bounded(records.filter(F.col("rrtype").isin("A", "AAAA"))).withColumn("dst_address", F.col("address"))
+
+
+def _covered(points: DataFrame, answers: DataFrame, on: Sequence[str], *, at: str) -> DataFrame:
+    """points once for each key of answers that holds at their instant, however many answers of that key do.
+
+    Keys beyond ``on`` come with the point.
+    """
+    keys = [c for c in answers.columns if c not in ("covered_from_at", "covered_until_at")]
+    pieces = joins.earliest_pieces(_bounded(answers), keys, low="covered_from_at", high="covered_until_at").drop("covered_from_at")
+    return joins.binned_range_join(points, pieces, at=at, low="_from", high="_until", width=joins.SPAN_S, on=on).drop("_from", "_until")
+
+
 def flow_contract() -> dict[str, Column]:
     """What holds for every classified record."""
     return {
@@ -100,6 +120,18 @@ def unattributed_with_one_candidate(candidates: DataFrame, attribution: DataFram
     return one.join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
 
 
+def unattributed_with_one_answer(flow: DataFrame, records: DataFrame, attribution: DataFrame) -> DataFrame:
+    """Records whose target the answers of exactly one name held at their instant, and no attribution: must be 0.
+
+    flow: flow_id, observed_at, dst_address. Names are counted along each target's time, so a record isn't paired with every answer that holds.
+    """
+    answers = _answers(records).select("dst_address", F.col("owner_name").alias("domain"), "covered_from_at", "covered_until_at")
+    points = flow.select("flow_id", "observed_at", "dst_address")
+    met = joins.values_held(points, answers, at="observed_at", low="covered_from_at", high="covered_until_at", on=["dst_address"], value="domain").filter("values > 0")
+    one = met.groupBy("flow_id").agg(F.max("values").alias("n"), F.min("domain").alias("first"), F.max("domain").alias("last")).filter("n = 1 and first = last")
+    return one.join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
+
+
 def exact_left_out(exact: DataFrame, attribution: DataFrame) -> DataFrame:
     """Records whose exact evidence (``derive.exact_evidence``) leaves one name but that have none: must be 0."""
     return exact.filter("names = 1").select(F.col("origin").alias("flow_id")).join(attribution.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
@@ -116,21 +148,22 @@ def evidence_mismatch(attribution: DataFrame, flow: DataFrame, answers: DataFram
     answers: name, address, covered_from_at, covered_until_at, as forward expansion gives them.
     """
     exact = attribution.filter("method = 'resolver_cache_answer'").join(flow.select(F.col("id").alias("flow_id"), "observed_at", "dst_address"), "flow_id")
-    good = exact.join(answers, (exact["site_name"] == answers["name"]) & (exact["dst_address"] == answers["address"]) & F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at")), "left_semi")
+    held = answers.select(F.col("name").alias("site_name"), F.col("address").alias("dst_address"), "covered_from_at", "covered_until_at")
+    good = _covered(exact.select("flow_id", "site_name", "dst_address", "observed_at"), held, ["site_name", "dst_address"], at="observed_at")
     return exact.join(good.select("flow_id"), "flow_id", "left_anti").agg(_n().alias("violations"))
 
 
 def other_family_only(timed: DataFrame, answers: DataFrame) -> DataFrame:
     """Timing attributions whose name had answers only of the other address family. timed: flow_id, name, at, family."""
-    held = timed.join(answers, "name").filter(F.col("at").between(F.col("covered_from_at"), F.col("covered_until_at")))
+    held = _covered(timed.select("flow_id", "name", "at", "family"), answers.select("name", "answer_family", "covered_from_at", "covered_until_at"), ["name"], at="at")
     flags = held.groupBy("flow_id").agg(F.max((F.col("answer_family") == F.col("family")).cast("int")).alias("same"))
     return flags.filter("same = 0").agg(_n().alias("records"))
 
 
 def cache_coverage(flow: DataFrame, records: DataFrame) -> DataFrame:
     """Share of records whose target had a covering address record."""
-    r = records.filter(F.col("rrtype").isin("A", "AAAA")).select(F.col("address").alias("dst_address"), "covered_from_at", "covered_until_at")
-    covered = flow.join(r, (flow["dst_address"] == r["dst_address"]) & F.col("observed_at").between(F.col("covered_from_at"), F.col("covered_until_at")), "left_semi").agg(_n().alias("covered"))
+    r = _answers(records).select("dst_address", "covered_from_at", "covered_until_at")
+    covered = _covered(flow.select("dst_address", "observed_at"), r, ["dst_address"], at="observed_at").agg(_n().alias("covered"))
     return flow.agg(_n().alias("records")).crossJoin(covered).withColumn("percent", F.round(F.try_divide(100.0 * F.col("covered"), F.col("records")), 2))
 
 
