@@ -200,8 +200,16 @@ def network_bounds(network: Column, bits: Column) -> tuple[Column, Column]:
     return low, low + size - 1
 
 
-def ip_in_prefix(address: Column, network: Column, bits: Column) -> Column:
-    """Whether a prefix holds an address of its family; null if either is none."""
+def _known_prefix(network: str, bits: int) -> Column:
+    """``prefix`` of a network known beforehand, so that rows don't take it apart again."""
+    block = ipaddress.ip_network((network, bits), strict=False)
+    first = int(block.network_address)
+    half = lambda n: F.lit(n + _TOP).cast("bigint")
+    return F.struct(F.lit(block.version).alias("family"), F.lit(bits if block.version == 6 else bits + 96).alias("width"), half(first >> 64).alias("high"), half(first % 2**64).alias("low"))
+
+
+def ip_in_prefix(address: Column, network: Column | str, bits: Column | int) -> Column:
+    """Whether a prefix, of columns or known beforehand, holds an address of its family; null if either is none."""
 
     def holds(p: Column) -> Column:
         def inside(at: Column) -> Column:
@@ -210,7 +218,7 @@ def ip_in_prefix(address: Column, network: Column, bits: Column) -> Column:
 
         return let(halves(address), inside)
 
-    return let(prefix(network, bits), holds)
+    return let(_known_prefix(network, bits) if isinstance(network, str) else prefix(network, bits), holds)
 
 
 def is_loopback(address: Column) -> Column:
@@ -233,8 +241,12 @@ def is_public(address: Column) -> Column:
             out = out & ~n.between(low, low + 2 ** (32 - bits) - 1)
         return out
 
-    six = lambda key: ~key.rlike("^(0{31}[01]$|f[cd]|fe[89a-f]|ff)")
-    return F.coalesce(F.when(is_v4(address), let(v4_number(address), four)), let(unmapped(address), lambda u: let(v4_number(u), lambda n: F.when(n.isNotNull(), four(n)))), let(_v6_key(address), six), F.lit(False))
+    def six(key: Column) -> Column:
+        """A version 4 address written as one of version 6 is judged as version 4."""
+        mapped = let(F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint"), four)
+        return F.when(key.startswith("0" * 20 + "ffff"), mapped).otherwise(~key.rlike("^(0{31}[01]$|f[cd]|fe[89a-f]|ff)"))
+
+    return F.coalesce(F.when(is_v4(address), let(v4_number(address), four)), let(_v6_key(address), six), F.lit(False))
 
 
 def mac_normalise(mac: Column) -> Column:
